@@ -60,6 +60,10 @@ def page_texts() -> dict[str, Column]:
     }
 
 
+def _names_with(word: Column):
+    return lambda n: F.contains(n["class"], word) | F.contains(n["id"], word)
+
+
 def type_score(page_type: str) -> Column:
     """Score of one page type; needs the columns title, description and keywords."""
     found = []
@@ -69,10 +73,8 @@ def type_score(page_type: str) -> Column:
         lowered = F.lower(F.col(text))
         for word in R.PAGE_TYPE_WORDS[page_type]:
             found.append(F.contains(lowered, F.lit(word)).cast("int") * weight)
-    for word in R.PAGE_TYPE_WORDS[page_type]:
-        hits = F.filter(
-            "named", lambda n, w=word: F.contains(n["class"], F.lit(w)) | F.contains(n["id"], F.lit(w))
-        )
+    for word in map(F.lit, R.PAGE_TYPE_WORDS[page_type]):
+        hits = F.filter("named", _names_with(word))
         found.append(F.size(hits) * R.ELEMENT_WEIGHT)
     if page_type in R.TYPE_BONUS_SELECTORS:
         found.append(_any(R.TYPE_BONUS_SELECTORS[page_type]).cast("int") * R.TYPE_BONUS)
@@ -326,6 +328,21 @@ def container_counts(dom: DataFrame) -> DataFrame:
     )
 
 
+def _attr(name: str, default: str) -> Column:
+    return F.coalesce(F.nullif(F.try_element_at("attrs", F.lit(name)), F.lit("")), F.lit(default)).alias(name)
+
+
+def forms(dom: DataFrame) -> DataFrame:
+    """Forms with method, action and number of inputs."""
+    found = container_counts(dom).where(F.col("kind") == "form")
+    return found.select("page_id", "selector", _attr("method", "GET"), _attr("action", ""), "inputs")
+
+
+def tables(dom: DataFrame) -> DataFrame:
+    """Tables with their rows and the columns of their first row."""
+    return container_counts(dom).where(F.col("kind") == "table").select("page_id", "selector", "rows", "columns")
+
+
 def data_patterns(dom: DataFrame) -> DataFrame:
     """Tables, cards and lists that hold data, one row each."""
     containers = container_counts(dom)
@@ -483,9 +500,6 @@ def analyze_pages(dom: DataFrame, reference_order: bool = False) -> DataFrame:
 
     family = F.col("family")
     is_group = (family == "group") & (F.col("count") >= R.REPEATING_MINIMUM)
-    attr = lambda name, default: F.coalesce(
-        F.nullif(F.try_element_at("attrs", F.lit(name)), F.lit("")), F.lit(default)
-    ).alias(name)
     collected = second.groupBy("page_id").agg(
         F.first("features", True).alias("features"),
         F.sort_array(
@@ -516,7 +530,7 @@ def analyze_pages(dom: DataFrame, reference_order: bool = False) -> DataFrame:
                 F.when(
                     F.col("box") == "form",
                     F.struct(
-                        F.col("outer").alias("node_id"), "selector", attr("method", "GET"), attr("action", ""), "inputs"
+                        F.col("outer").alias("node_id"), "selector", _attr("method", "GET"), _attr("action", ""), "inputs"
                     ),
                 )
             )

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 
 from domweave.functions.selectors import Selector, css, xpath
 from domweave.functions.text import trim
-from domweave.operators.dom import elements, inner_html, marked, text_of, unnest
+from domweave.operators.dom import inner_html, marked, text_of, unnest
 
 ROLE = "struct<role:int,item_id:int>"
 
@@ -243,27 +243,24 @@ def child_keys(nodes: DataFrame) -> DataFrame:
     )
 
 
+def hits(selector: Selector) -> Column:
+    """Matching elements of a page, in document order."""
+    return F.filter("nodes", lambda n: selector.matches(n, F.col("nodes")))
+
+
 def matched_texts(dom: DataFrame, selector: Selector, keys=("page_id",)) -> DataFrame:
     """Texts of all matches of a page in document order, blank ones dropped."""
-    hits = F.filter("nodes", lambda n: selector.matches(n, F.col("nodes")))
-    texts = F.transform(hits, lambda n: text_of(n, raw=True))
+    texts = F.transform(hits(selector), lambda n: text_of(n, raw=True))
     return dom.select(*keys, F.filter(texts, lambda t: trim(t) != "").alias("texts"))
 
 
 def matched_attributes(dom: DataFrame, selector: Selector, attribute: str, keys=("page_id",)) -> DataFrame:
     """One attribute of all matches of a page in document order, missing ones dropped."""
-    hits = F.filter("nodes", lambda n: selector.matches(n, F.col("nodes")))
-    values = F.transform(hits, lambda n: F.try_element_at(n["attrs"], F.lit(attribute)))
+    values = F.transform(hits(selector), lambda n: F.try_element_at(n["attrs"], F.lit(attribute)))
     return dom.select(*keys, F.filter(values, lambda v: v.isNotNull()).alias("values"))
 
 
 def matches(dom: DataFrame, selector: Selector, *keep: str) -> DataFrame:
     """Element rows that match a selector; steps and lists are resolved inside the row."""
-    hits = F.filter("nodes", lambda n: selector.matches(n, F.col("nodes")))
-    return unnest(dom, hits, *(keep or ("page_id",)))
-
+    return unnest(dom, hits(selector), *(keep or ("page_id",)))
 
-__all__ = [
-    "Field", "extract_items", "drop_empty", "scalar", "interactive_extras", "child_keys",
-    "matched_texts", "matched_attributes", "matches", "elements",
-]

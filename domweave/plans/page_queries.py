@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from domweave.functions.selectors import css, xpath
 from domweave.operators import extract
-from domweave.operators.dom import elements, parse_pages
+from domweave.operators.dom import elements, parse_pages, text_of
 from domweave.operators.extract import Field, extract_items
 from domweave.plans import rendered
 from domweave.plans.registry import query, table
@@ -135,10 +134,7 @@ def selector_counts(spark, sf_dir):
     dom = parsed(stored(spark, sf_dir))
     return dom.select(
         "page_id",
-        *[
-            F.size(F.filter("nodes", lambda n, s=s: s.matches(n, F.col("nodes")))).cast("long").alias(name)
-            for name, s in chosen.items()
-        ],
+        *[F.size(extract.hits(s)).cast("long").alias(name) for name, s in chosen.items()],
     )
 
 
@@ -151,8 +147,6 @@ def selector_counts(spark, sf_dir):
 )
 def third_nav_item(spark, sf_dir):
     hits = extract.matches(parsed(stored(spark, sf_dir)), css("nav li:nth-of-type(3)"), "page_id", "doc_text")
-    from domweave.operators.dom import text_of
-
     return hits.select("page_id", text_of().alias("text"), F.col("type_count").cast("long").alias("siblings"))
 
 
