@@ -2,21 +2,25 @@
 
 ``css`` and ``xpath`` accept the selector shapes that occur in scraping rules
 (tag, ``.class``, ``#id``, attribute tests, ``:nth-of-type``, lists, descendant
-and child steps) and return a ``Selector`` whose ``matches`` builds a boolean
-column.  There is no general CSS or XPath engine behind it.
+and child steps) and return a ``Selector`` that writes itself as a SQL condition.
+There is no general CSS or XPath engine behind it.  Conditions are SQL text because
+hundreds of them go into one analysis plan, and building those column by column
+costs seconds on the driver.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
-from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 @dataclass(frozen=True)
 class Step:
     """One compound selector and how it hangs below the previous one."""
@@ -26,27 +30,22 @@ class Step:
     nth: int | None = None
     child: bool = False
 
-    def here(self, node: Column | None) -> Column:
-        part = F.col if node is None else node.getField
-        conditions = [] if self.tag is None else [part("tag") == self.tag]
+    def sql(self, node: str) -> str:
+        at = f"{node}." if node else ""
+        conditions = [] if self.tag is None else [f"{at}tag = {literal(self.tag)}"]
         for name, op, value in self.tests:
-            plain = name in ("id", "class")
-            attr = part(name) if plain else F.try_element_at(part("attrs"), F.lit(name))
-            if op == "token":
-                conditions.append(F.array_contains(part("classes"), value))
-            elif op == "present":
-                conditions.append(attr.isNotNull())
-            elif op == "=":
-                conditions.append(attr == value)
-            elif op == "*=":
-                conditions.append(F.contains(attr, F.lit(value)))
-            elif op == "^=":
-                conditions.append(F.startswith(attr, F.lit(value)))
-            elif op == "$=":
-                conditions.append(F.endswith(attr, F.lit(value)))
+            attr = f"{at}`{name}`" if name in ("id", "class") else f"try_element_at({at}attrs, {literal(name)})"
+            conditions.append({
+                "token": lambda: f"array_contains({at}classes, {literal(value)})",
+                "present": lambda: f"{attr} IS NOT NULL",
+                "=": lambda: f"{attr} = {literal(value)}",
+                "*=": lambda: f"contains({attr}, {literal(value)})",
+                "^=": lambda: f"startswith({attr}, {literal(value)})",
+                "$=": lambda: f"endswith({attr}, {literal(value)})",
+            }[op]())
         if self.nth is not None:
-            conditions.append(part("type_index") == self.nth)
-        return F.coalesce(reduce(and_, conditions), F.lit(False)) if conditions else F.lit(True)
+            conditions.append(f"{at}type_index = {self.nth}")
+        return f"coalesce({' AND '.join(conditions)}, false)" if conditions else "true"
 
 
 @dataclass(frozen=True)
@@ -54,27 +53,33 @@ class Selector:
     text: str
     chains: tuple  # alternatives, each a tuple of steps from the outermost inwards
 
-    def matches(self, node: Column | None = None, nodes: Column | None = None) -> Column:
-        """True where an element matches.
+    def sql(self, node: str = "") -> str:
+        """SQL condition on an element.
 
-        ``node`` is an element struct (None: flat element columns); ``nodes`` is the
-        page's element array, needed only for selectors with several steps.
+        ``node`` is an expression for the element struct (empty: flat element columns).
+        Selectors with several steps look their ancestors up in the page's ``nodes``.
         """
-        return reduce(or_, [self._chain(chain, node, nodes) for chain in self.chains])
+        return "(" + " OR ".join(self._chain(chain, node, 1) for chain in self.chains) + ")"
 
-    def _chain(self, chain, node, nodes):
+    def _chain(self, chain, node, level):
         *outer, last = chain
-        found = last.here(node)
         if not outer:
-            return found
-        part = F.col if node is None else node.getField
+            return last.sql(node)
+        at = f"{node}." if node else ""
+        if last.child:
+            above = self._chain(outer, f"get(nodes, {at}parent_id)", level)
+        else:
+            above = self._chain(outer, f"get(nodes, a{level})", level + 1)
+            above = f"exists({at}anc, a{level} -> {above})"
+        return f"({last.sql(node)} AND {above})"
 
-        def above(element):
-            return self._chain(tuple(outer), element, nodes)
+    def matches(self) -> Column:
+        """Condition on flat element columns."""
+        return F.expr(self.sql())
 
-        if last.child:
-            return found & F.coalesce(above(F.get(nodes, part("parent_id"))), F.lit(False))
-        return found & F.exists(part("anc"), lambda a: above(F.get(nodes, a)))
+    def hits(self) -> str:
+        """SQL for the matching elements of a page, in document order."""
+        return f"filter(nodes, n -> {self.sql('n')})"
 
 
 _COMPOUND = re.compile(

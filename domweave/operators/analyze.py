@@ -9,160 +9,130 @@ it from a single parse: page features ride along on one mark per page.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from domweave.functions.selectors import css
-from domweave.operators.dom import marked, text_of, unnest
+from domweave.functions.selectors import css, literal
+from domweave.operators.dom import above_sql, text_sql, unnest
 from domweave.plans import rules as R
 
-NODES = "nodes"
-
-
-def _hits(selector: str) -> Column:
-    chosen = css(selector)
-    return F.filter(NODES, lambda n: chosen.matches(n, F.col(NODES)))
 
+def _any(selector: str) -> str:
+    return f"exists(nodes, n -> {css(selector).sql('n')})"
 
-def _any(selector: str) -> Column:
-    chosen = css(selector)
-    return F.exists(NODES, lambda n: chosen.matches(n, F.col(NODES)))
 
-
-def short_selector(node: Column | None = None) -> Column:
+def short_selector_sql(node: str = "") -> str:
     """``tag#id``, else ``tag.firstClass``, else ``tag``."""
-    part = F.col if node is None else node.getField
-    return F.coalesce(
-        F.when(part("id") != "", F.concat(part("tag"), F.lit("#"), part("id"))),
-        F.when(part("class") != "", F.concat(part("tag"), F.lit("."), F.substring_index(part("class"), " ", 1))),
-        part("tag"),
+    at = f"{node}." if node else ""
+    return (
+        f"CASE WHEN {at}id <> '' THEN concat({at}tag, '#', {at}id) "
+        f"WHEN {at}class <> '' THEN concat({at}tag, '.', substring_index({at}class, ' ', 1)) ELSE {at}tag END"
     )
 
 
 # ---- page features ---------------------------------------------------------------
 
 
-def _meta(name: str) -> Column:
-    first = F.get(_hits(f'meta[name="{name}"]'), 0)
-    return F.coalesce(F.try_element_at(first["attrs"], F.lit("content")), F.lit(""))
+def _meta(name: str) -> str:
+    """Content of the first meta element of that name."""
+    first = css(f'meta[name="{name}"]').hits()
+    return f"coalesce(try_element_at(get({first}, 0).attrs, 'content'), '')"
 
 
-def page_texts() -> dict[str, Column]:
+def page_texts() -> dict[str, str]:
     """Title (all title elements together), description and keywords of a page."""
-    titles = F.transform(_hits("title"), lambda n: text_of(n, raw=True))
     return {
-        "title": F.array_join(titles, ""),
+        "title": f"array_join(transform({css('title').hits()}, n -> {text_sql('n', raw=True)}), '')",
         "description": _meta("description"),
         "keywords": _meta("keywords"),
     }
 
 
-def _names_with(word: Column):
-    return lambda n: F.contains(n["class"], word) | F.contains(n["id"], word)
-
-
-def type_score(page_type: str) -> Column:
-    """Score of one page type; needs the columns title, description and keywords."""
+def type_score(page_type: str) -> str:
+    """Score of one page type from the lower-cased texts, names and elements of a page."""
+    weights = {"title": R.TITLE_WEIGHT, "description": R.DESCRIPTION_WEIGHT, "keywords": R.KEYWORDS_WEIGHT}
     found = []
-    for text, weight in (
-        ("title", R.TITLE_WEIGHT), ("description", R.DESCRIPTION_WEIGHT), ("keywords", R.KEYWORDS_WEIGHT)
-    ):
-        lowered = F.lower(F.col(text))
-        for word in R.PAGE_TYPE_WORDS[page_type]:
-            found.append(F.contains(lowered, F.lit(word)).cast("int") * weight)
-    for word in map(F.lit, R.PAGE_TYPE_WORDS[page_type]):
-        hits = F.filter("named", _names_with(word))
-        found.append(F.size(hits) * R.ELEMENT_WEIGHT)
+    for word in map(literal, R.PAGE_TYPE_WORDS[page_type]):
+        found += [f"if(contains(lower({text}), {word}), {weight}, 0)" for text, weight in weights.items()]
+        found.append(
+            f"{R.ELEMENT_WEIGHT} * size(filter(named, n -> contains(n.class, {word}) OR contains(n.id, {word})))"
+        )
     if page_type in R.TYPE_BONUS_SELECTORS:
-        found.append(_any(R.TYPE_BONUS_SELECTORS[page_type]).cast("int") * R.TYPE_BONUS)
-    return reduce(add, found)
+        found.append(f"if({_any(R.TYPE_BONUS_SELECTORS[page_type])}, {R.TYPE_BONUS}, 0)")
+    return " + ".join(found)
 
 
-def main_content() -> Column:
+def main_content() -> str:
     """First of the known content selectors that matches, else the div with most text."""
 
-    def area(selector, node, inferred):
-        return F.struct(
-            selector.alias("selector"),
-            F.upper(node["tag"]).alias("tag_name"),
-            node["class"].alias("classes"),
-            node["id"].alias("id"),
-            node["n_children"].alias("children_count"),
-            F.lit(inferred).alias("is_inferred"),
+    def area(selector, inferred):
+        return (
+            f"named_struct('selector', {selector}, 'tag_name', upper(n.tag), 'classes', n.class, 'id', n.id, "
+            f"'children_count', n.n_children, 'is_inferred', {inferred})"
         )
 
-    known = []
-    for selector in R.MAIN_CONTENT:
-        first = F.get(_hits(selector), 0)
-        known.append(F.when(first.isNotNull(), area(F.lit(selector), first, False)))
-    divs = F.filter(NODES, lambda n: (n["tag"] == "div") & (n["text_end"] > n["text_start"]))
-    longest = F.array_max(
-        F.transform(
-            divs,
-            lambda n: F.struct(
-                (n["text_end"] - n["text_start"]).alias("size"),
-                (-n["node_id"]).alias("order"),
-                area(short_selector(n), n, True).alias("area"),
-            ),
-        )
+    known = [
+        f"get(transform(slice({css(s).hits()}, 1, 1), n -> {area(literal(s), 'false')}), 0)" for s in R.MAIN_CONTENT
+    ]
+    divs = "filter(nodes, n -> n.tag = 'div' AND n.text_end > n.text_start)"
+    longest = (
+        f"array_max(transform({divs}, n -> named_struct('size', n.text_end - n.text_start, 'order', -n.node_id, "
+        f"'area', {area(short_selector_sql('n'), 'true')}))).area"
     )
-    return F.coalesce(*known, longest["area"])
+    return f"coalesce({', '.join(known)}, {longest})"
+
+
+def page_type() -> str:
+    """Type with the highest score, the later one on a tie; general unless above 5."""
+    scores = ", ".join(
+        f"named_struct('score', score_{t}, 'order', {i}, 'name', '{t}')" for i, t in enumerate(R.PAGE_TYPE_WORDS)
+    )
+    best = f"array_max(array({scores}))"
+    return f"if({best}.score > {R.TYPE_THRESHOLD}, {best}.name, '{R.GENERAL}')"
 
 
 def page_features(dom: DataFrame, *keep: str) -> DataFrame:
     """Per page: texts, the five type scores, type, flags, main content, media counts."""
-    named = F.transform(
-        F.filter(NODES, lambda n: n["class"].isNotNull() | n["id"].isNotNull()),
-        lambda n: F.struct(
-            F.coalesce(n["class"], F.lit("")).alias("class"), F.coalesce(n["id"], F.lit("")).alias("id")
-        ),
-    )
     keep = keep or ("page_id",)
-    facts = {name: _any(selector).alias(name) for name, selector in R.STRUCTURE_FLAGS.items()}
-    media = {name: F.size(_hits(selector)).alias(name) for name, selector in R.MEDIA.items()}
-    texts = dom.select(
-        *keep, NODES, named.alias("named"), *[c.alias(n) for n, c in page_texts().items()],
-        *facts.values(), *media.values(), main_content().alias("main_content"),
+    named = (
+        "transform(filter(nodes, n -> n.class IS NOT NULL OR n.id IS NOT NULL), "
+        "n -> named_struct('class', coalesce(n.class, ''), 'id', coalesce(n.id, '')))"
     )
-    scored = texts.select(
-        *keep, "title", "description", "keywords",
-        *[type_score(t).cast("long").alias(f"score_{t}") for t in R.PAGE_TYPE_WORDS],
-        *facts, *media, "main_content",
+    facts = {name: _any(selector) for name, selector in R.STRUCTURE_FLAGS.items()}
+    facts |= {name: f"size({css(selector).hits()})" for name, selector in R.MEDIA.items()}
+    facts["main_content"] = main_content()
+    kept = [f"`{k}`" for k in keep]
+    texts = dom.selectExpr(
+        *kept, *(["nodes"] if "nodes" not in keep else []), f"{named} AS named",
+        *[f"{e} AS {n}" for n, e in {**page_texts(), **facts}.items()],
     )
-    return scored.withColumn("page_type", page_type())
-
-
-def page_type() -> Column:
-    """Type with the highest score, the later one on a tie; general unless above 5."""
-    best = F.array_max(
-        F.array(*[
-            F.struct(F.col(f"score_{t}").alias("score"), F.lit(i).alias("order"), F.lit(t).alias("name"))
-            for i, t in enumerate(R.PAGE_TYPE_WORDS)
-        ])
+    scored = texts.selectExpr(
+        *kept, "title", "description", "keywords",
+        *[f"CAST({type_score(t)} AS bigint) AS score_{t}" for t in R.PAGE_TYPE_WORDS], *facts,
     )
-    return F.when(best["score"] > R.TYPE_THRESHOLD, best["name"]).otherwise(R.GENERAL)
+    return scored.selectExpr("*", f"{page_type()} AS page_type")
 
 
 # ---- marks -----------------------------------------------------------------------
 
 MARK = "struct<kind:string,key:string,outer:int,inner:int>"
+NO_MARKS = f"cast(array() AS array<{MARK}>)"
 
 
-def _mark(kind: str, key: Column | str | None = None, outer: Column | None = None, inner: Column | None = None):
-    key = F.lit(key) if key is None or isinstance(key, str) else key
-    none = F.lit(None).cast("int")
-    return F.struct(
-        F.lit(kind).alias("kind"), key.cast("string").alias("key"),
-        (none if outer is None else outer).alias("outer"), (none if inner is None else inner).alias("inner"),
+def _mark(kind: str, key: str = "NULL", outer: str = "NULL", inner: str = "NULL") -> str:
+    return (
+        f"named_struct('kind', '{kind}', 'key', CAST({key} AS string), "
+        f"'outer', CAST({outer} AS int), 'inner', CAST({inner} AS int))"
     )
 
 
-def _group_marks(node):
-    key = F.concat(F.upper(node["tag"]), F.lit("."), F.substring_index(node["class"], " ", 1))
-    return [F.when(node["class"] != "", _mark("group", key))]
+def _single(marks: list[str]) -> str:
+    return f"array_compact(array({', '.join(marks)}))"
+
+
+def group_marks() -> str:
+    key = "concat(upper(n.tag), '.', substring_index(n.class, ' ', 1))"
+    return _single([f"if(n.class <> '', {_mark('group', key)}, NULL)"])
 
 
 def suggested_selectors() -> list[str]:
@@ -171,117 +141,95 @@ def suggested_selectors() -> list[str]:
     return list(dict.fromkeys(listed + R.CARD_SELECTORS))
 
 
-def _selector_marks(node, selectors):
-    return [F.when(css(s).matches(node, F.col(NODES)), _mark("selector", s)) for s in selectors]
+def selector_marks(selectors: list[str]) -> str:
+    return _single([f"if({css(s).sql('n')}, {_mark('selector', literal(s))}, NULL)" for s in selectors])
 
 
-def _container_marks(node):
+def container_marks() -> str:
     """An element counts in the tables, lists and forms above it."""
 
-    def below(container, kind, tags, inner=None):
-        above = marked(css(container), node)
-        return F.when(
-            node["tag"].isin(*tags), F.transform(above, lambda a: _mark(kind, outer=a, inner=inner))
-        ).otherwise(F.array().cast(f"array<{MARK}>"))
+    def tags(names):
+        return "n.tag IN (" + ", ".join(literal(t) for t in names.split()) + ")"
 
-    def own(tags, kind):
-        return F.when(node["tag"].isin(*tags), F.array(_mark(kind, outer=node["node_id"]))).otherwise(
-            F.array().cast(f"array<{MARK}>")
-        )
+    def own(names, kind):
+        return f"if({tags(names)}, array({_mark(kind, outer='n.node_id')}), {NO_MARKS})"
+
+    def below(container, kind, names, inner="NULL"):
+        marks = f"transform({above_sql(css(container))}, up -> {_mark(kind, outer='up', inner=inner)})"
+        return f"if({tags(names)}, {marks}, {NO_MARKS})"
 
     # a cell counts for every pair of a row above it and a table above that row
-    cells = F.when(
-        node["tag"].isin("td", "th"),
-        F.flatten(
-            F.transform(
-                marked(css("tr"), node),
-                lambda row: F.transform(
-                    F.filter(marked(css("table"), node), lambda t: t < row),
-                    lambda t: _mark("table_cell", outer=t, inner=row),
-                ),
-            )
-        ),
-    ).otherwise(F.array().cast(f"array<{MARK}>"))
-    return [
-        own(["table"], "table"), below("table", "table_row", ["tr"], node["node_id"]), cells,
-        own(["ul", "ol"], "list"), below("ul, ol", "list_item", ["li"]),
-        own(["form"], "form"), below("form", "form_input", ["input", "select", "textarea"]),
+    pairs = (
+        f"flatten(transform({above_sql(css('tr'))}, row -> transform(filter({above_sql(css('table'))}, t -> t < row), "
+        f"t -> {_mark('table_cell', outer='t', inner='row')})))"
+    )
+    parts = [
+        own("table", "table"), below("table", "table_row", "tr", "n.node_id"), f"if({tags('td th')}, {pairs}, {NO_MARKS})",
+        own("ul ol", "list"), below("ul, ol", "list_item", "li"),
+        own("form", "form"), below("form", "form_input", "input select textarea"),
     ]
+    return f"concat({', '.join(parts)})"
+
+
+def _described(marks: str, extra: str = "") -> Column:
+    wanted = ", ".join(f"'{c}', n.{c}" for c in ("node_id", "n_children", "trim_start", "trim_end", "attrs"))
+    return F.expr(
+        f"transform(nodes, n -> named_struct({wanted}, 'selector', {short_selector_sql('n')}{extra}, 'marks', {marks}))"
+    )
 
 
-def page_marks(
-    dom: DataFrame, *keep: str, groups=False, selectors=(), containers=False
-) -> DataFrame:
+def page_marks(dom: DataFrame, marks: str, *keep: str) -> DataFrame:
     """Rows (page, kind, key, outer, inner) saying what an element counts towards."""
     keep = keep or ("page_id",)
-
-    def marks(node):
-        single = (_group_marks(node) if groups else []) + _selector_marks(node, selectors)
-        arrays = [F.filter(F.array(*single), lambda m: m.isNotNull())] if single else []
-        if containers:
-            arrays += _container_marks(node)
-        return F.concat(*arrays)
-
-    wanted = ["node_id", "n_children", "trim_start", "trim_end", "attrs"]
-    described = F.transform(
-        NODES,
-        lambda n: F.struct(
-            *[n[c].alias(c) for c in wanted], short_selector(n).alias("selector"), marks(n).alias("marks")
-        ),
-    )
-    rows = unnest(dom.select(*keep, "doc_text", described.alias("described")), F.col("described"), *keep, "doc_text")
+    rows = unnest(dom, _described(marks), *keep, "doc_text")
     return rows.select("*", F.inline_outer("marks")).where(F.col("kind").isNotNull()).drop("marks")
 
 
-def _samples(length: int) -> Column:
-    """First three texts of a group in document order, cut to ``length``."""
-    head = F.substring(text_of(), 1, length)
-    listed = F.slice(F.sort_array(F.collect_list(F.struct("node_id", head.alias("text")))), 1, R.SAMPLE_COUNT)
-    return F.transform(listed, lambda s: s["text"])
+def _first_texts(length: int, condition: str = "true") -> Column:
+    """First three texts of a group in document order with their positions."""
+    head = f"named_struct('node_id', node_id, 'text', substring({text_sql()}, 1, {length}))"
+    return F.expr(f"slice(sort_array(collect_list(if({condition}, {head}, NULL))), 1, {R.SAMPLE_COUNT})")
+
+
+def _texts(samples: str, length: int) -> str:
+    return f"transform({samples}, s -> substring(s.text, 1, {length}))"
 
 
 def repeating_groups(dom: DataFrame) -> DataFrame:
     """Elements of a page with the same tag and first class, three or more of them."""
     return (
-        page_marks(dom, groups=True)
+        page_marks(dom, group_marks())
         .groupBy("page_id", F.col("key").alias("selector"))
         .agg(
             F.count(F.lit(1)).alias("count"),
             F.avg("n_children").alias("avg_children"),
-            _samples(R.GROUP_SAMPLE_LENGTH).alias("samples"),
+            _first_texts(R.GROUP_SAMPLE_LENGTH).alias("samples"),
         )
         .where(F.col("count") >= R.REPEATING_MINIMUM)
+        .withColumn("samples", F.expr(_texts("samples", R.GROUP_SAMPLE_LENGTH)))
     )
 
 
 def selector_matches(dom: DataFrame, selectors: list[str]) -> DataFrame:
     """Match count and samples of listed selectors per page."""
     return (
-        page_marks(dom, selectors=selectors)
+        page_marks(dom, selector_marks(selectors))
         .groupBy("page_id", F.col("key").alias("selector"))
-        .agg(F.count(F.lit(1)).alias("count"), _samples(R.SELECTOR_SAMPLE_LENGTH).alias("samples"))
+        .agg(F.count(F.lit(1)).alias("count"), _first_texts(R.SELECTOR_SAMPLE_LENGTH).alias("samples"))
+        .withColumn("samples", F.expr(_texts("samples", R.SELECTOR_SAMPLE_LENGTH)))
     )
 
 
-def _best(found: Column, listed: list[str]) -> Column:
-    """Most matches below the limit among ``listed``; the earlier selector wins a tie."""
-    usable = F.filter(
-        found, lambda s: s["selector"].isin(*listed) & (s["count"] < R.BEST_SELECTOR_BELOW)
-    )
-    ranked = F.transform(
-        usable,
-        lambda s: F.struct(
-            s["count"].alias("count"),
-            (-F.array_position(F.array(*[F.lit(x) for x in listed]), s["selector"])).alias("order"),
-            s["selector"].alias("selector"),
-            s["samples"].alias("samples"),
-        ),
-    )
-    best = F.array_max(ranked)
-    return F.when(
-        best.isNotNull(),
-        F.struct(best["selector"].alias("selector"), best["count"].alias("count"), best["samples"].alias("samples")),
+def best_of(listed: list[str]) -> str:
+    """Most matches below the limit in ``found``; the earlier selector wins a tie."""
+    names = ", ".join(map(literal, listed))
+    usable = f"filter(found, s -> s.selector IN ({names}) AND s.count < {R.BEST_SELECTOR_BELOW})"
+    ranked = (
+        f"transform({usable}, s -> named_struct('count', s.count, 'order', -array_position(array({names}), s.selector), "
+        "'selector', s.selector, 'samples', s.samples))"
     )
+    shape = "named_struct('selector', b.selector, 'count', b.count, 'samples', b.samples)"
+    return f"get(transform(array_compact(array(array_max({ranked}))), b -> {shape}), 0)"
 
 
 def best_selectors(dom: DataFrame) -> DataFrame:
@@ -291,41 +239,54 @@ def best_selectors(dom: DataFrame) -> DataFrame:
         .groupBy("page_id")
         .agg(F.collect_list(F.struct("selector", "count", "samples")).alias("found"))
     )
-    options = [
-        F.struct(F.lit(t).alias("page_type"), F.lit(g).alias("suggestion"), _best(F.col("found"), listed).alias("best"))
+    options = ", ".join(
+        f"named_struct('page_type', '{t}', 'suggestion', '{g}', 'best', {best_of(listed)})"
         for t, groups in R.SUGGESTIONS.items()
         for g, listed in groups.items()
-    ]
+    )
     return (
-        stats.select("page_id", F.inline(F.array(*options)))
+        stats.select("page_id", F.expr(f"inline(array({options}))"))
         .where(F.col("best").isNotNull())
         .select("page_id", "page_type", "suggestion", "best.*")
     )
 
 
+def _boxes() -> dict[str, Column]:
+    """First step of container counting, per (container, row)."""
+    kind = F.col("kind")
+    own = kind.isin("table", "list", "form")
+    return {
+        "box": F.max(F.when(own, kind)),
+        "selector": F.max(F.when(own, F.col("selector"))),
+        "attrs": F.first(F.when(own, F.col("attrs")), True),
+        "rows": F.count_if(kind == "table_row"),
+        "cells": F.count_if(kind == "table_cell"),
+        "list_items": F.count_if(kind == "list_item"),
+        "inputs": F.count_if(kind == "form_input"),
+    }
+
+
+def _box_totals() -> dict[str, Column]:
+    """Second step, per container: rows of a table, cells of its first row, members."""
+    return {
+        "box": F.max("box"),
+        "selector": F.max("selector"),
+        "attrs": F.first("attrs", True),
+        "columns": F.coalesce(F.min_by("cells", F.when(F.col("rows") > 0, F.col("inner"))), F.lit(0)),
+        "rows": F.sum("rows"),
+        "list_items": F.sum("list_items"),
+        "inputs": F.sum("inputs"),
+    }
+
+
+def _aliased(columns: dict[str, Column]) -> list[Column]:
+    return [c.alias(n) for n, c in columns.items()]
+
+
 def container_counts(dom: DataFrame) -> DataFrame:
     """Tables, lists and forms: one row each with its selector and member counts."""
-    marks = page_marks(dom, containers=True)
-    own = F.col("kind").isin("table", "list", "form")
-    rows = marks.groupBy("page_id", "outer", "inner").agg(
-        F.max(F.when(own, F.col("kind"))).alias("kind"),
-        F.max(F.when(own, F.col("selector"))).alias("selector"),
-        F.first(F.when(own, F.col("attrs")), True).alias("attrs"),
-        F.count_if(F.col("kind") == "table_row").alias("rows"),
-        F.count_if(F.col("kind") == "table_cell").alias("cells"),
-        F.count_if(F.col("kind") == "list_item").alias("list_items"),
-        F.count_if(F.col("kind") == "form_input").alias("inputs"),
-    )
-    is_row = F.col("rows") > 0
-    return rows.groupBy("page_id", F.col("outer").alias("node_id")).agg(
-        F.max("kind").alias("kind"),
-        F.max("selector").alias("selector"),
-        F.first("attrs", True).alias("attrs"),
-        F.sum("rows").alias("rows"),
-        F.coalesce(F.min_by("cells", F.when(is_row, F.col("inner"))), F.lit(0)).alias("columns"),
-        F.sum("list_items").alias("list_items"),
-        F.sum("inputs").alias("inputs"),
-    )
+    rows = page_marks(dom, container_marks()).groupBy("page_id", "outer", "inner").agg(*_aliased(_boxes()))
+    return rows.groupBy("page_id", F.col("outer").alias("node_id")).agg(*_aliased(_box_totals()))
 
 
 def _attr(name: str, default: str) -> Column:
@@ -334,51 +295,44 @@ def _attr(name: str, default: str) -> Column:
 
 def forms(dom: DataFrame) -> DataFrame:
     """Forms with method, action and number of inputs."""
-    found = container_counts(dom).where(F.col("kind") == "form")
+    found = container_counts(dom).where(F.col("box") == "form")
     return found.select("page_id", "selector", _attr("method", "GET"), _attr("action", ""), "inputs")
 
 
 def tables(dom: DataFrame) -> DataFrame:
     """Tables with their rows and the columns of their first row."""
-    return container_counts(dom).where(F.col("kind") == "table").select("page_id", "selector", "rows", "columns")
+    return container_counts(dom).where(F.col("box") == "table").select("page_id", "selector", "rows", "columns")
 
 
 def data_patterns(dom: DataFrame) -> DataFrame:
-    """Tables, cards and lists that hold data, one row each."""
-    containers = container_counts(dom)
-    size = F.when(F.col("kind") == "table", F.col("rows")).otherwise(F.col("list_items"))
-    boxes = (
-        containers.where(F.col("kind").isin("table", "list"))
-        .select("page_id", F.col("kind").alias("type"), "selector", size.alias("size"), F.col("node_id").alias("order"))
-    )
-    cards = selector_matches(dom, R.CARD_SELECTORS).select(
-        "page_id", F.lit("cards").alias("type"), "selector", F.col("count").alias("size"),
-        F.array_position(F.array(*[F.lit(s) for s in R.CARD_SELECTORS]), F.col("selector")).cast("int").alias("order"),
-    )
-    found = boxes.unionByName(cards)
-    limit = _by_pattern(F.col("type"), 0)
-    return found.where(F.col("size") > limit).withColumn("confidence", _by_pattern(F.col("type"), 1))
-
-
-def _by_pattern(kind: Column, index: int) -> Column:
-    chain = F
-    for name, values in R.PATTERNS.items():
-        chain = chain.when(kind == name, F.lit(values[index]))
-    return chain
+    """Tables, cards and lists that hold data, one row each, from one pass over the elements."""
+    marks = f"concat({container_marks()}, {selector_marks(R.CARD_SELECTORS)})"
+    first = (
+        page_marks(dom, marks)
+        .groupBy("page_id", "key", "outer", "inner")
+        .agg(F.count(F.lit(1)).alias("count"), *_aliased(_boxes()))
+    )
+    boxes = first.groupBy("page_id", "key", "outer").agg(F.sum("count").alias("count"), *_aliased(_box_totals()))
+    kind = F.when(F.col("key").isNotNull(), "cards").otherwise(F.col("box"))
+    size = F.expr("CASE WHEN key IS NOT NULL THEN count WHEN box = 'table' THEN rows ELSE list_items END")
+    place = F.array_position(F.array(*[F.lit(s) for s in R.CARD_SELECTORS]), F.col("key")).cast("int")
+    found = boxes.select(
+        "page_id", kind.alias("type"), F.coalesce("key", "selector").alias("selector"), size.alias("size"),
+        F.coalesce(place, "outer").alias("order"),
+    )
+    limit, confidence_ = F, F
+    for name, (more_than, value) in R.PATTERNS.items():
+        limit = limit.when(F.col("type") == name, more_than)
+        confidence_ = confidence_.when(F.col("type") == name, value)
+    return found.where(F.col("size") > limit).withColumn("confidence", confidence_)
 
 
 def element_categories(dom: DataFrame) -> DataFrame:
     """How many elements of a page fall in each element category."""
-    def kinds(node):
-        return F.filter(
-            F.array(*[
-                F.when(css(", ".join(listed)).matches(node, F.col(NODES)), F.lit(name))
-                for name, listed in R.ELEMENT_CATEGORIES.items()
-            ]),
-            lambda k: k.isNotNull(),
-        )
-
-    tagged = F.flatten(F.transform(NODES, kinds))
+    kinds = ", ".join(
+        f"if({css(', '.join(listed)).sql('n')}, '{name}', NULL)" for name, listed in R.ELEMENT_CATEGORIES.items()
+    )
+    tagged = F.expr(f"flatten(transform(nodes, n -> array_compact(array({kinds}))))")
     return (
         dom.select("page_id", F.explode_outer(tagged).alias("category"))
         .where(F.col("category").isNotNull())
@@ -427,164 +381,92 @@ def analyze_pages(dom: DataFrame, reference_order: bool = False) -> DataFrame:
     ``reference_order=True`` gives the advice as if confidence were still zero when
     it is written, so that low confidence is always among it.
     """
-    features = page_features(dom.select("page_id", "doc_text", NODES), "page_id", "doc_text", NODES)
-    names = [c for c in features.columns if c not in ("page_id", "doc_text", NODES)]
-    page = features.select("page_id", "doc_text", NODES, F.struct(*names).alias("features"))
-
-    def marks(node):
-        single = _group_marks(node) + _selector_marks(node, suggested_selectors())
-        root = F.when(node["node_id"] == 0, _mark("page"))
-        return F.concat(F.filter(F.array(root, *single), lambda m: m.isNotNull()), *_container_marks(node))
-
-    wanted = ["node_id", "n_children", "trim_start", "trim_end", "attrs"]
-    described = F.transform(
-        NODES,
-        lambda n: F.struct(
-            *[n[c].alias(c) for c in wanted],
-            short_selector(n).alias("selector"),
-            F.when(n["node_id"] == 0, F.col("features")).alias("features"),
-            marks(n).alias("marks"),
-        ),
-    )
-    rows = unnest(
-        page.select("page_id", "doc_text", described.alias("described")), F.col("described"), "page_id", "doc_text"
-    )
+    page = page_features(dom, "page_id", "doc_text", "nodes")
+    names = [c for c in page.columns if c not in ("page_id", "doc_text", "nodes")]
+    page = page.select("page_id", "doc_text", "nodes", F.struct(*names).alias("features"))
+
+    # the features of a page ride on the mark of its root element
+    root = f"if(n.node_id = 0, array({_mark('page')}), {NO_MARKS})"
+    marks = f"concat({root}, {group_marks()}, {selector_marks(suggested_selectors())}, {container_marks()})"
+    rows = unnest(page, _described(marks, ", 'features', if(n.node_id = 0, features, NULL)"), "page_id", "doc_text")
     rows = rows.select("*", F.inline_outer("marks")).where(F.col("kind").isNotNull()).drop("marks")
 
-    kind = F.col("kind")
-    own = kind.isin("table", "list", "form")
-    shared = kind.isin("group", "selector")
-    first = rows.groupBy(
-        "page_id",
-        F.when(shared | (kind == "page"), kind).otherwise("container").alias("family"),
-        F.col("key"), "outer", "inner",
-    ).agg(
+    family = F.expr("if(kind IN ('group', 'selector', 'page'), kind, 'container')")
+    first = rows.groupBy("page_id", family.alias("family"), "key", "outer", "inner").agg(
         F.count(F.lit(1)).alias("count"),
-        F.avg(F.when(kind == "group", F.col("n_children"))).alias("avg_children"),
-        F.slice(
-            F.sort_array(
-                F.collect_list(
-                    F.when(
-                        shared,
-                        F.struct("node_id", F.substring(text_of(), 1, R.GROUP_SAMPLE_LENGTH).alias("text")),
-                    )
-                )
-            ),
-            1, R.SAMPLE_COUNT,
-        ).alias("samples"),
+        F.avg(F.expr("if(kind = 'group', n_children, NULL)")).alias("avg_children"),
+        _first_texts(R.GROUP_SAMPLE_LENGTH, "kind IN ('group', 'selector')").alias("samples"),
         F.first("features", True).alias("features"),
-        F.max(F.when(own, kind)).alias("box"),
-        F.max(F.when(own, F.col("selector"))).alias("selector"),
-        F.first(F.when(own, F.col("attrs")), True).alias("attrs"),
-        F.count_if(kind == "table_row").alias("rows"),
-        F.count_if(kind == "table_cell").alias("cells"),
-        F.count_if(kind == "list_item").alias("list_items"),
-        F.count_if(kind == "form_input").alias("inputs"),
+        *_aliased(_boxes()),
     )
     second = first.groupBy("page_id", "family", "key", "outer").agg(
         F.sum("count").alias("count"),
         F.first("avg_children", True).alias("avg_children"),
         F.first("samples", True).alias("samples"),
         F.first("features", True).alias("features"),
-        F.max("box").alias("box"),
-        F.max("selector").alias("selector"),
-        F.first("attrs", True).alias("attrs"),
-        F.sum("rows").alias("rows"),
-        F.coalesce(F.min_by("cells", F.when(F.col("rows") > 0, F.col("inner"))), F.lit(0)).alias("columns"),
-        F.sum("list_items").alias("list_items"),
-        F.sum("inputs").alias("inputs"),
+        *_aliased(_box_totals()),
     )
 
-    def texts(limit):
-        return F.transform("samples", lambda s: F.substring(s["text"], 1, limit)).alias("samples")
+    def listed(condition: str, *fields: str) -> str:
+        shape = ", ".join(fields)
+        return f"sort_array(collect_list(if({condition}, named_struct({shape}), NULL)))"
 
-    family = F.col("family")
-    is_group = (family == "group") & (F.col("count") >= R.REPEATING_MINIMUM)
+    group_texts, selector_texts = (_texts("samples", n) for n in (R.GROUP_SAMPLE_LENGTH, R.SELECTOR_SAMPLE_LENGTH))
+    box = "'node_id', outer, 'selector', selector"
+    method, action = (
+        f"'{n}', coalesce(nullif(try_element_at(attrs, '{n}'), ''), '{default}')"
+        for n, default in (("method", "GET"), ("action", ""))
+    )
     collected = second.groupBy("page_id").agg(
         F.first("features", True).alias("features"),
-        F.sort_array(
-            F.collect_list(
-                F.when(
-                    is_group,
-                    F.struct(F.col("key").alias("selector"), "count", "avg_children", texts(R.GROUP_SAMPLE_LENGTH)),
-                )
-            )
-        ).alias("repeating_elements"),
-        F.collect_list(
-            F.when(
-                family == "selector", F.struct(F.col("key").alias("selector"), "count", texts(R.SELECTOR_SAMPLE_LENGTH))
-            )
-        ).alias("found"),
-        F.sort_array(
-            F.collect_list(
-                F.when(F.col("box") == "table", F.struct(F.col("outer").alias("node_id"), "selector", "rows", "columns"))
-            )
-        ).alias("tables"),
-        F.sort_array(
-            F.collect_list(
-                F.when(F.col("box") == "list", F.struct(F.col("outer").alias("node_id"), "selector", "list_items"))
-            )
-        ).alias("lists"),
-        F.sort_array(
-            F.collect_list(
-                F.when(
-                    F.col("box") == "form",
-                    F.struct(
-                        F.col("outer").alias("node_id"), "selector", _attr("method", "GET"), _attr("action", ""), "inputs"
-                    ),
-                )
-            )
-        ).alias("forms"),
-    )
-
-    def pattern(kind, selector, size):
-        return F.struct(
-            F.lit(kind).alias("type"), selector.alias("selector"), size.cast("long").alias("size"),
-            F.lit(R.PATTERNS[kind][1]).alias("confidence"),
+        F.expr(listed(
+            f"family = 'group' AND count >= {R.REPEATING_MINIMUM}",
+            f"'selector', key, 'count', count, 'avg_children', avg_children, 'samples', {group_texts}",
+        )).alias("repeating_elements"),
+        F.expr(listed("family = 'selector'", f"'selector', key, 'count', count, 'samples', {selector_texts}")).alias("found"),
+        F.expr(listed("box = 'table'", box, "'rows', rows, 'columns', columns")).alias("tables"),
+        F.expr(listed("box = 'list'", box, "'list_items', list_items")).alias("lists"),
+        F.expr(listed("box = 'form'", box, method, action, "'inputs', inputs")).alias("forms"),
+    )
+
+    def pattern(kind: str, selector: str, size: str) -> str:
+        return (
+            f"named_struct('type', '{kind}', 'selector', {selector}, 'size', CAST({size} AS bigint), "
+            f"'confidence', {R.PATTERNS[kind][1]}D)"
         )
 
-    def member(selector):
-        return F.get(F.filter("found", lambda s: s["selector"] == selector), 0)
+    def members(selector: str) -> str:
+        return f"coalesce(get(filter(found, s -> s.selector = {literal(selector)}), 0).count, 0)"
 
-    cards = F.filter(
-        F.array(*[pattern("cards", F.lit(s), F.coalesce(member(s)["count"], F.lit(0))) for s in R.CARD_SELECTORS]),
-        lambda p: p["size"] > R.PATTERNS["cards"][0],
+    cards = ", ".join(pattern("cards", literal(s), members(s)) for s in R.CARD_SELECTORS)
+    patterns = (
+        f"concat(transform(filter(tables, t -> t.rows > {R.PATTERNS['table'][0]}), t -> {pattern('table', 't.selector', 't.rows')}), "
+        f"filter(array({cards}), p -> p.size > {R.PATTERNS['cards'][0]}), "
+        f"transform(filter(lists, t -> t.list_items > {R.PATTERNS['list'][0]}), t -> {pattern('list', 't.selector', 't.list_items')}))"
     )
-    patterns = F.concat(
-        F.transform(
-            F.filter("tables", lambda t: t["rows"] > R.PATTERNS["table"][0]),
-            lambda t: pattern("table", t["selector"], t["rows"]),
-        ),
-        cards,
-        F.transform(
-            F.filter("lists", lambda t: t["list_items"] > R.PATTERNS["list"][0]),
-            lambda t: pattern("list", t["selector"], t["list_items"]),
-        ),
-    )
-    out = collected.select("page_id", "features.*", "repeating_elements", "found", "tables", "forms", patterns.alias("data_patterns"))
-    suggestion_names = list(dict.fromkeys(g for groups in R.SUGGESTIONS.values() for g in groups))
-    known_types = [t for t in R.SUGGESTIONS if t != "default"]
-
-    def suggestion(name):
-        chain = None
-        for t in known_types:
-            value = _best(F.col("found"), R.SUGGESTIONS[t][name]) if name in R.SUGGESTIONS[t] else F.lit(None)
-            chain = (F if chain is None else chain).when(F.col("page_type") == t, value)
-        rest = R.SUGGESTIONS["default"].get(name)
-        return (chain.otherwise(_best(F.col("found"), rest)) if rest else chain).alias(name)
 
+    def suggestion(name: str) -> str:
+        cases = [
+            f"WHEN features.page_type = '{t}' THEN {best_of(groups[name]) if name in groups else 'NULL'}"
+            for t, groups in R.SUGGESTIONS.items()
+            if t != "default"
+        ]
+        rest = best_of(R.SUGGESTIONS["default"][name]) if name in R.SUGGESTIONS["default"] else "NULL"
+        return f"'{name}', CASE {' '.join(cases)} ELSE {rest} END"
+
+    names = dict.fromkeys(g for groups in R.SUGGESTIONS.values() for g in groups)
+    out = collected.selectExpr(
+        "page_id", "features.*", "repeating_elements", "tables", "forms", f"{patterns} AS data_patterns",
+        f"named_struct({', '.join(suggestion(n) for n in names)}) AS suggested_selectors",
+    )
     patterns_found = F.size("data_patterns")
     has_groups = F.size("repeating_elements") > 0
     scored = out.withColumn(
-        "suggested_selectors", F.struct(*[suggestion(n) for n in suggestion_names])
-    ).withColumn(
         "confidence",
         confidence(F.col("page_type") != R.GENERAL, F.col("main_content").isNotNull(), has_groups, patterns_found),
     )
     basis = F.lit(0.0) if reference_order else F.col("confidence")
-    return scored.withColumn(
-        "recommendations", recommendations(basis, patterns_found, has_groups, F.col("page_type"))
-    ).drop("found")
+    return scored.withColumn("recommendations", recommendations(basis, patterns_found, has_groups, F.col("page_type")))
 
 
 def adapted_selector(analysis: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 ``parse_pages`` adds one struct column per page (text and element array) with an
 Arrow UDF, the only engine-side Python in this package.  Everything that looks at
 elements afterwards is column work on that array: ``elements`` unnests it, and
-``marked`` finds containing elements by array lookups inside the row, so neither
+``above_sql`` finds containing elements by array lookups inside the row, so neither
 selectors nor item scoping need a join or a shuffle.
 """
 
@@ -316,28 +316,24 @@ def elements(dom: DataFrame, *keep: str) -> DataFrame:
     return unnest(dom, F.col("nodes"), *(keep or ("page_id",)))
 
 
-def text_of(node=None, doc: str = "doc_text", raw: bool = False) -> Column:
-    """Text of a whole subtree (trimmed unless ``raw``), cut from the page's text."""
-    part = F.col if node is None else node.getField
-    start, end = ("text_start", "text_end") if raw else ("trim_start", "trim_end")
-    return F.substring(F.col(doc), part(start) + 1, part(end) - part(start))
+def text_sql(node: str = "", raw: bool = False) -> str:
+    """SQL for the text of a whole subtree (trimmed unless ``raw``), cut from the page's text."""
+    at, kind = f"{node}." if node else "", "text" if raw else "trim"
+    return f"substring(doc_text, {at}{kind}_start + 1, {at}{kind}_end - {at}{kind}_start)"
 
 
-def inner_html(node=None, html: str = "html") -> Column:
-    """Source between the start and the end tag."""
-    part = F.col if node is None else node.getField
-    return F.substring(F.col(html), part("html_start") + 1, part("html_end") - part("html_start"))
+def text_of(raw: bool = False) -> Column:
+    return F.expr(text_sql("", raw))
 
 
-def marked(container, node: Column, scope=None) -> Column:
-    """Ids of the proper ancestors of ``node`` that match ``container``.
+def inner_html() -> Column:
+    """Source between the start and the end tag."""
+    return F.expr("substring(html, html_start + 1, html_end - html_start)")
 
-    ``scope(ancestor_id)`` may add a condition on the same ancestor.
-    """
-    nodes = F.col("nodes")
 
-    def keep(ancestor):
-        hit = container.matches(F.get(nodes, ancestor), nodes)
-        return hit & scope(ancestor) if scope else hit
+def above_sql(container, node: str = "n", scope: str = "true") -> str:
+    """SQL for the ids of the proper ancestors of ``node`` that match ``container``.
 
-    return F.filter(node.getField("anc"), keep)
+    ``scope`` may add a condition on the ancestor id ``up``.
+    """
+    return f"filter({node}.anc, up -> {container.sql('get(nodes, up)')} AND {scope})"

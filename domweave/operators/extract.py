@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from domweave.functions.selectors import Selector, css, xpath
+from domweave.functions.selectors import Selector, css, literal, xpath
 from domweave.functions.text import trim
-from domweave.operators.dom import inner_html, marked, text_of, unnest
+from domweave.operators.dom import above_sql, inner_html, text_of, text_sql, unnest
 
 ROLE = "struct<role:int,item_id:int>"
 
@@ -89,15 +89,6 @@ def extract_items(
     source in ``dom``; leave them out of ``parts`` and the source is never carried.
     """
     root = css(item_selector) if isinstance(item_selector, str) else item_selector
-    nodes = F.col("nodes")
-
-    def inside(hit: Column, role: int, node: Column, scope=None) -> Column:
-        return F.when(
-            hit,
-            F.transform(
-                marked(root, node, scope), lambda a: F.struct(F.lit(role).alias("role"), a.alias("item_id"))
-            ),
-        ).otherwise(F.array().cast(f"array<{ROLE}>"))
 
     # roles: 0 the item itself, 1 link, 2 image, then two per field (selector, fallback)
     searches = []
@@ -110,30 +101,21 @@ def extract_items(
         if field.fallback is not None:
             searches.append((4 + 2 * i, field.fallback, field.within))
 
-    def roles(node: Column) -> Column:
-        own = F.when(
-            root.matches(node, nodes),
-            F.array(F.struct(F.lit(0).alias("role"), node["node_id"].alias("item_id"))),
-        ).otherwise(F.array().cast(f"array<{ROLE}>"))
-        found = [own]
-        for role, selector, within in searches:
-            scope = None
-            if within is not None:
-                scope = lambda a, w=within: F.exists(
-                    node["anc"], lambda b: (b > a) & w.matches(F.get(nodes, b), nodes)
-                )
-            found.append(inside(selector.matches(node, nodes), role, node, scope))
-        return F.concat(*found)
-
-    def candidate(node: Column) -> Column:
-        return reduce(or_, [s.matches(node, nodes) for _, s, _ in searches], root.matches(node, nodes))
+    none = f"cast(array() AS array<{ROLE}>)"
+    is_root = root.sql("n")
+    roles = [f"if({is_root}, array(named_struct('role', 0, 'item_id', n.node_id)), {none})"]
+    for role, selector, within in searches:
+        scope = f"exists(n.anc, mid -> mid > up AND {within.sql('get(nodes, mid)')})" if within else "true"
+        inside = f"transform({above_sql(root, 'n', scope)}, up -> named_struct('role', {role}, 'item_id', up))"
+        roles.append(f"if({selector.sql('n')}, {inside}, {none})")
+    candidate = " OR ".join([is_root, *[selector.sql("n") for _, selector, _ in searches]])
 
     wanted = ["node_id", "tag", "attrs", "own_text", "text_start", "text_end", "trim_start", "trim_end"]
     wanted += ["html_start", "html_end"]
     needs_html = "html" in parts or any(f.kind == "html" for f in fields)
-    tagged = F.transform(
-        F.filter(nodes, candidate),
-        lambda n: F.struct(*[n[c].alias(c) for c in wanted], roles(n).alias("roles")),
+    named = ", ".join(f"'{c}', n.{c}" for c in wanted)
+    tagged = F.expr(
+        f"transform(filter(nodes, n -> {candidate}), n -> named_struct({named}, 'roles', concat({', '.join(roles)})))"
     )
     carried = [*keys, "doc_text"] + (["html"] if needs_html else [])
     rows = unnest(dom, tagged, *carried).select("*", F.inline_outer("roles")).where(F.col("item_id").isNotNull())
@@ -243,24 +225,23 @@ def child_keys(nodes: DataFrame) -> DataFrame:
     )
 
 
-def hits(selector: Selector) -> Column:
-    """Matching elements of a page, in document order."""
-    return F.filter("nodes", lambda n: selector.matches(n, F.col("nodes")))
-
-
 def matched_texts(dom: DataFrame, selector: Selector, keys=("page_id",)) -> DataFrame:
     """Texts of all matches of a page in document order, blank ones dropped."""
-    texts = F.transform(hits(selector), lambda n: text_of(n, raw=True))
+    texts = F.expr(f"transform({selector.hits()}, n -> {text_sql('n', raw=True)})")
     return dom.select(*keys, F.filter(texts, lambda t: trim(t) != "").alias("texts"))
 
 
 def matched_attributes(dom: DataFrame, selector: Selector, attribute: str, keys=("page_id",)) -> DataFrame:
     """One attribute of all matches of a page in document order, missing ones dropped."""
-    values = F.transform(hits(selector), lambda n: F.try_element_at(n["attrs"], F.lit(attribute)))
-    return dom.select(*keys, F.filter(values, lambda v: v.isNotNull()).alias("values"))
+    values = F.expr(f"transform({selector.hits()}, n -> try_element_at(n.attrs, {literal(attribute)}))")
+    return dom.select(*keys, F.array_compact(values).alias("values"))
+
+
+def match_count(selector: Selector) -> Column:
+    """Matches on a page."""
+    return F.expr(f"size({selector.hits()})")
 
 
 def matches(dom: DataFrame, selector: Selector, *keep: str) -> DataFrame:
     """Element rows that match a selector; steps and lists are resolved inside the row."""
-    return unnest(dom, hits(selector), *(keep or ("page_id",)))
-
+    return unnest(dom, F.expr(selector.hits()), *(keep or ("page_id",)))

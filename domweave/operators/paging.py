@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -53,22 +53,18 @@ def has_next_page(
     chosen = {"button": button or next_page, "infinite": load_more or next_page}.get(paging, next_page)
     if next_page is None or chosen is None or paging not in ("query", "path", "button", "infinite"):
         return dom.select(*keys, F.lit(False).alias("has_next"))
-    hits = F.filter("nodes", lambda n: chosen.matches(n, F.col("nodes")))
-    found = F.size(hits) > 0
+    found = f"size({chosen.hits()}) > 0"
     if paging == "button" and per_element:
-        found = F.exists(hits, _usable)
+        found = f"exists({chosen.hits()}, n -> {_USABLE})"
     elif paging == "button":
-        found = found & ~F.exists(hits, lambda n: F.array_contains(n["classes"], "disabled"))
-    return dom.select(*keys, found.alias("has_next"))
+        found = f"({found} AND NOT exists({chosen.hits()}, n -> array_contains(n.classes, 'disabled')))"
+    return dom.select(*keys, F.expr(found).alias("has_next"))
 
 
-def _usable(node: Column) -> Column:
-    style = F.coalesce(F.try_element_at(node["attrs"], F.lit("style")), F.lit(""))
-    return (
-        ~F.map_contains_key(node["attrs"], "disabled")
-        & ~F.array_contains(node["classes"], "disabled")
-        & ~F.rlike(style, F.lit(r"(?i)(^|;)\s*display:\s*none"))
-    )
+_USABLE = (
+    "NOT map_contains_key(n.attrs, 'disabled') AND NOT array_contains(n.classes, 'disabled') "
+    r"AND NOT rlike(coalesce(try_element_at(n.attrs, 'style'), ''), r'(?i)(^|;)\s*display:\s*none')"
+)
 
 
 def take_while_next(visited: DataFrame) -> DataFrame:

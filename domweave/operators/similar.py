@@ -9,12 +9,9 @@ from domweave.functions.selectors import Selector
 from domweave.operators.dom import unnest
 from domweave.plans import rules as R
 
-NODES = "nodes"
-
-
-def similarity(one: Column, other) -> Column:
-    """Weighted likeness of two element structs (``other`` None: flat columns), at most 1."""
-    part = F.col if other is None else other.getField
+def similarity(one: Column) -> Column:
+    """Weighted likeness of an element struct and the flat element columns, at most 1."""
+    part = F.col
     first, second = one["classes"], part("classes")
     common = F.size(F.filter(first, lambda c: F.array_contains(second, c)))
     classes = F.when(
@@ -30,46 +27,38 @@ def similarity(one: Column, other) -> Column:
     return F.least(score, F.lit(1.0))
 
 
-def path_locator(node: Column) -> Column:
+def path_locator_sql(node: str = "n") -> str:
     """Steps from at most five levels up, starting below body, numbered among like siblings."""
 
     def label(n):
-        number = F.concat(F.lit("["), n["type_index"].cast("string"), F.lit("]"))
-        return F.concat(n["tag"], F.when(n["type_count"] > 1, number).otherwise(""))
+        return f"concat({n}.tag, if({n}.type_count > 1, concat('[', {n}.type_index, ']'), ''))"
 
-    body = F.get(node["anc"], 1)
-    in_body = F.coalesce(F.get(F.col(NODES), body)["tag"] == "body", F.lit(False))
-    above = F.filter(node["anc"], lambda a: ~in_body | (a > body))
-    steps = F.concat(F.transform(above, lambda a: label(F.get(F.col(NODES), a))), F.array(label(node)))
-    start = F.greatest(F.size(steps) - R.LOCATOR_DEPTH + 1, F.lit(1))
-    return F.concat(F.lit("//"), F.array_join(F.slice(steps, start, R.LOCATOR_DEPTH), "/"))
+    # body, if it is above the element, is always its second ancestor
+    in_body = f"coalesce(get(nodes, get({node}.anc, 1)).tag = 'body', false)"
+    above = f"if({in_body}, slice({node}.anc, 3, size({node}.anc)), {node}.anc)"
+    near = f"slice({above}, greatest(size({above}) - {R.LOCATOR_DEPTH - 2}, 1), {R.LOCATOR_DEPTH - 1})"
+    return f"concat('//', array_join(concat(transform({near}, u -> {label('get(nodes, u)')}), array({label(node)})), '/'))"
 
 
-def smart_locator(node: Column) -> Column:
+def smart_locator_sql(node: str = "n") -> str:
     """By id, else by an identifying attribute, else by classes, else by path."""
-    prefix = F.concat(F.lit("//"), node["tag"])
-    choices = [F.when(node["id"] != "", F.concat(prefix, F.lit("[@id='"), node["id"], F.lit("']")))]
+    cases = [f"WHEN {node}.id <> '' THEN concat('//', {node}.tag, '[@id=\\'', {node}.id, '\\']')"]
     for name in R.LOCATOR_ATTRIBUTES:
-        value = F.try_element_at(node["attrs"], F.lit(name))
-        choices.append(F.when(value != "", F.concat(prefix, F.lit(f"[@{name}='"), value, F.lit("']"))))
-    tests = F.transform(node["classes"], lambda c: F.concat(F.lit("contains(@class,'"), c, F.lit("')")))
-    choices.append(
-        F.when(F.size(tests) > 0, F.concat(prefix, F.lit("["), F.array_join(tests, " and "), F.lit("]")))
-    )
-    return F.coalesce(*choices, path_locator(node))
+        value = f"try_element_at({node}.attrs, '{name}')"
+        cases.append(f"WHEN {value} <> '' THEN concat('//', {node}.tag, '[@{name}=\\'', {value}, '\\']')")
+    tests = f"transform({node}.classes, c -> concat('contains(@class,\\'', c, '\\')'))"
+    cases.append(f"WHEN size({node}.classes) > 0 THEN concat('//', {node}.tag, '[', array_join({tests}, ' and '), ']')")
+    return f"CASE {' '.join(cases)} ELSE {path_locator_sql(node)} END"
 
 
 def locators(dom: DataFrame, *keep: str) -> DataFrame:
     """Every element with its smart and its path locator."""
     keep = keep or ("page_id",)
-    rows = F.transform(
-        NODES,
-        lambda n: F.struct(
-            n["node_id"].alias("node_id"), n["tag"].alias("tag"),
-            smart_locator(n).alias("locator"), path_locator(n).alias("path"),
-        ),
+    rows = F.expr(
+        "transform(nodes, n -> named_struct('node_id', n.node_id, 'tag', n.tag, "
+        f"'locator', {smart_locator_sql()}, 'path', {path_locator_sql()}))"
     )
-    return unnest(dom.select(*keep, rows.alias("located")), F.col("located"), *keep)
+    return unnest(dom, rows, *keep)
 
 
 def similar_elements(
@@ -82,18 +71,13 @@ def similar_elements(
     ``similarity`` descending and ``node_id`` for the ranking.
     """
     keep = keep or ("page_id",)
-    base = F.get(F.filter(NODES, lambda n: selector.matches(n, F.col(NODES))), 0)
-    narrow = ["node_id", "tag", "parent_tag", "classes", "n_children"]
-    candidates = F.transform(
-        NODES,
-        lambda n: F.struct(*[n[c].alias(c) for c in narrow], smart_locator(n).alias("locator")),
-    )
-    rows = unnest(
-        dom.select(*keep, base.alias("base"), candidates.alias("candidates")).where(F.col("base").isNotNull()),
-        F.col("candidates"), *keep, "base",
-    )
+    base = F.expr(f"get({selector.hits()}, 0)").alias("base")
+    narrow = ", ".join(f"'{c}', n.{c}" for c in ("node_id", "tag", "parent_tag", "classes", "n_children"))
+    candidates = F.expr(f"transform(nodes, n -> named_struct({narrow}, 'locator', {smart_locator_sql()}))")
+    pages = dom.select(*keep, base, candidates.alias("candidates")).where(F.col("base").isNotNull())
+    rows = unnest(pages, F.col("candidates"), *keep, "base")
     scored = rows.where(F.col("node_id") != F.col("base.node_id")).select(
-        *keep, "node_id", "tag", similarity(F.col("base"), None).alias("similarity"), "locator"
+        *keep, "node_id", "tag", similarity(F.col("base")).alias("similarity"), "locator"
     )
     return scored.where(F.col("similarity") >= threshold)
 

@@ -268,7 +268,7 @@ def element_categories(spark, sf_dir):
 def short_selectors(spark, sf_dir):
     nodes = elements(parsed(rendered.catalog(spark, sf_dir)))
     cards = nodes.where((F.col("parent_tag") == "div") | (F.col("tag") == "div"))
-    return cards.select("page_id", analyze.short_selector().alias("selector"))
+    return cards.select("page_id", F.expr(analyze.short_selector_sql()).alias("selector"))
 
 
 @query(
@@ -387,15 +387,18 @@ def similar_elements(spark, sf_dir):
 @query(
     "similar_notes",
     """
-    -- first note of the page against the others: 0.3 tag + 0.4 * shared class share + 0.2 children + 0.1 parent
+    -- first note of the page against the others: 0.3 tag + 0.4 * shared class share + 0.2 children + 0.1 parent,
+    -- added in this order as doubles; half the classes in common then stays just below 0.8
     WITH n AS (
-      SELECT c_custkey // 30 AS page_id, c_custkey, c_custkey % 3 = 0 AS hot,
+      SELECT c_custkey // 30 AS page_id, c_custkey % 3 = 0 AS hot,
              first_value(c_custkey % 3 = 0) OVER (PARTITION BY c_custkey // 30 ORDER BY c_custkey) AS base_hot,
              row_number() OVER (PARTITION BY c_custkey // 30 ORDER BY c_custkey) AS rn
       FROM customer
+    ), s AS (
+      SELECT page_id, 0.3::DOUBLE + (CASE WHEN hot = base_hot THEN 1 ELSE 0.5 END)::DOUBLE * 0.4::DOUBLE + 0.2::DOUBLE + 0.1::DOUBLE AS similarity
+      FROM n WHERE rn > 1
     )
-    SELECT page_id, CASE WHEN hot = base_hot THEN 1.0 ELSE 0.8 END::DOUBLE AS similarity, count(*) AS elements
-    FROM n WHERE rn > 1 GROUP BY 1, 2
+    SELECT page_id, round(similarity, 6) AS similarity, count(*) AS elements FROM s WHERE similarity >= 0.8::DOUBLE GROUP BY 1, 2
     """,
 )
 def similar_notes(spark, sf_dir):

@@ -15,11 +15,11 @@ from domweave.sources.pages import bytes_processed, read_pages, spread
 
 def parsed(pages, *extra):
     """Only the columns the parser needs, spread over the cores."""
-    return parse_pages(pages.select("page_id", *extra, "html"))
+    return parse_pages(spread(pages.select("page_id", *extra, "html")))
 
 
 def stored(spark, sf_dir):
-    return spread(read_pages(spark, f"{sf_dir}/pages.parquet"))
+    return read_pages(spark, f"{sf_dir}/pages.parquet")
 
 
 def _decoded(expression):
@@ -134,7 +134,7 @@ def selector_counts(spark, sf_dir):
     dom = parsed(stored(spark, sf_dir))
     return dom.select(
         "page_id",
-        *[F.size(extract.hits(s)).cast("long").alias(name) for name, s in chosen.items()],
+        *[extract.match_count(s).cast("long").alias(name) for name, s in chosen.items()],
     )
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -18,9 +20,20 @@ SETTINGS = {
 }
 
 
+_shipped: set[str] = set()
+
+
 def configure(spark: SparkSession) -> SparkSession:
+    """Apply the settings and make this package importable on the executors."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        package = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="domweave-")) / "domweave"
+        zipped = shutil.make_archive(str(archive), "zip", package.parent, package.name)
+        spark.sparkContext.addPyFile(zipped)
+        _shipped.add(application)
     return spark
 
 
