@@ -13,6 +13,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# White space of the reference language (fixed values), as characters and as a class.
+BLANK = (
+    "\t\n\v\f\r \u00a0\u1680"
+    + "".join(map(chr, range(0x2000, 0x200B)))
+    + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 WS = r"\t\n\u000B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 
 # Formats, character classes and limits that decide results.
@@ -47,7 +53,13 @@ HTML_ENTITIES = [("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"),
 
 def trim(value: Column) -> Column:
     """Trim every kind of white space, not only spaces."""
-    return F.regexp_replace(value, rf"^[{WS}]++|(?<![{WS}])[{WS}]++\z", "")
+    return F.btrim(value, F.lit(BLANK))
+
+
+def _collapse(value: Column) -> Column:
+    """Every run of white space to one space."""
+    spaced = F.translate(value, BLANK, " " * len(BLANK))
+    return F.regexp_replace(spaced, " {2,}+", " ")
 
 
 def is_empty(value: Column) -> Column:
@@ -73,8 +85,8 @@ def truthy(value: Column, kind: T.DataType) -> Column:
 
 
 def _clean_text(value: Column) -> Column:
-    spaced = trim(F.regexp_replace(value, rf"[{WS}]++", " "))
-    return trim(F.regexp_replace(spaced, rf"[^A-Za-z0-9_{WS}а-яА-ЯёЁ\-.,!?]++", ""))
+    spaced = trim(_collapse(value))
+    return trim(F.regexp_replace(spaced, r"[^A-Za-z0-9_ а-яА-ЯёЁ\-.,!?]++", ""))
 
 
 def _drop_tags(value: Column) -> Column:
@@ -100,11 +112,11 @@ def _clean_price(value: Column) -> Column:
 
 def _clean_phone(value: Column) -> Column:
     kept = F.regexp_replace(value, rf"[^0-9+\-(){WS}]++", "")
-    return trim(F.regexp_replace(kept, rf"[{WS}]++", " "))
+    return trim(_collapse(kept))
 
 
 def _clean_email(value: Column) -> Column:
-    return F.regexp_replace(value, rf"[{WS}]++", "")
+    return F.translate(value, BLANK, "")
 
 
 _CLEANERS = {

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from domweave.functions.text import BLANK
+
 ELEMENT_FIELDS = {
     "node_id": "int",  # pre-order number
     "last_id": "int",  # node_id of the last descendant
@@ -72,12 +74,6 @@ SCOPE = frozenset("table td th caption template html button object".split())
 TABLE_PARTS = frozenset("table thead tbody tfoot tr td th caption".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 SPECIAL = CLOSES_P | SCOPE | frozenset("tr thead tbody tfoot body head select".split())
-# white space as trimmed by the reference language (fixed values)
-BLANK = (
-    "\t\n\v\f\r \u00a0\u1680"
-    + "".join(map(chr, range(0x2000, 0x200B)))
-    + "\u2028\u2029\u202f\u205f\u3000\ufeff"
-)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>"

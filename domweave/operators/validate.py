@@ -73,11 +73,16 @@ def _only(*issues: Column) -> Column:
     return F.filter(F.array(*issues), lambda i: i.isNotNull()) if issues else F.array().cast(f"array<{ISSUE}>")
 
 
-def check_field(value: Column, rule: FieldRule, name: str, kind: T.DataType, strict_html: bool = False) -> Column:
-    """``struct(cleaned, was_cleaned, errors, warnings)`` of one field of one item."""
+def check_field(
+    value: Column, cleaned: Column, rule: FieldRule, name: str, kind: T.DataType, strict_html: bool = False
+) -> Column:
+    """``struct(cleaned, was_cleaned, errors, warnings)`` of one field of one item.
+
+    ``cleaned`` should be a column of its own (an earlier select): it is used many
+    times here and would otherwise be computed as often.
+    """
     is_text = isinstance(kind, T.StringType)
     empty = text.is_empty(value) if is_text else value.isNull()
-    cleaned = text.clean(value, rule.type) if is_text and rule.type else value
     changed = ~cleaned.eqNullSafe(value) if is_text and rule.type in text.CLEANED_TYPES else F.lit(False)
     errors, warnings = [], [F.when(changed, _issue("warning", "cleaned", name, value, cleaned.cast("string")))]
     known = rule.type == "html" or rule.type in text.FORMATS
@@ -135,20 +140,31 @@ def check_items(
     """
     kinds = {f.name: f.dataType for f in items.schema.fields}
     names = [c for c in items.columns if c not in keys and c != corrupt]
+    rules = {n: schema.fields.get(n, FieldRule()) for n in names}
+    kept = [*keys, *([corrupt] if corrupt else [])]
+    cleaned = items.select(
+        *kept,
+        *[F.col(f"`{n}`").alias(f"v{i}") for i, n in enumerate(names)],
+        *[
+            text.clean(F.col(f"`{n}`"), rules[n].type).alias(f"k{i}")
+            for i, n in enumerate(names)
+            if isinstance(kinds[n], T.StringType) and rules[n].type
+        ],
+    )
     checks = [
         check_field(
-            F.col(f"`{n}`"), schema.fields.get(n, FieldRule()), n, kinds[n], schema.strict_html
+            F.col(f"v{i}"), F.col(f"k{i}" if f"k{i}" in cleaned.columns else f"v{i}"), rules[n], n, kinds[n],
+            schema.strict_html,
         ).alias(f"c{i}")
         for i, n in enumerate(names)
     ]
     absent = [
         _issue("error", "missing", n) for n, rule in schema.fields.items() if rule.required and n not in names
     ]
-    checked = items.select(*keys, *([corrupt] if corrupt else []), *checks)
+    checked = cleaned.select(*kept, *checks)
     fields = {n: F.when(F.size(f"c{i}.errors") == 0, F.col(f"c{i}.cleaned")) for i, n in enumerate(names)}
     wide = checked.select(
-        *keys,
-        *([corrupt] if corrupt else []),
+        *kept,
         *[c.alias(n) for n, c in fields.items()],
         F.concat(*[F.col(f"c{i}.errors") for i in range(len(names))], _only(*absent)).alias("errors"),
         F.concat(*[F.col(f"c{i}.warnings") for i in range(len(names))]).alias("warnings"),
