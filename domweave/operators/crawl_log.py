@@ -39,6 +39,10 @@ def success_rate(ok: Column, failed: Column) -> Column:
     return F.coalesce(F.try_divide(ok, ok + failed) * 100, F.lit(0.0))
 
 
+def _millis(column: str) -> Column:
+    return F.unix_millis(F.col(column).cast("timestamp"))
+
+
 def request_counters(log: DataFrame, *by: str) -> DataFrame:
     """Requests, failures, retries, bytes, success rate and duration per job."""
     by = by or ("job_id",)
@@ -57,7 +61,7 @@ def request_counters(log: DataFrame, *by: str) -> DataFrame:
         (F.col("attempts") - F.col("distinct_urls")).alias("retry_attempts"),
         "bytes_processed",
         success_rate(F.col("successful_requests"), F.col("failed_requests")).alias("success_rate"),
-        (F.unix_millis("end_time") - F.unix_millis("start_time")).alias("duration_ms"),
+        (_millis("end_time") - _millis("start_time")).alias("duration_ms"),
     )
 
 

@@ -215,10 +215,10 @@ def fallback_choice(outcomes: DataFrame) -> DataFrame:
         part for name, chain in R.FALLBACKS.items() for part in (F.lit(name), F.array(*[F.lit(x) for x in chain]))
     ])
     per_job = outcomes.groupBy("job_id").agg(
-        F.max(F.when(F.col("is_primary"), F.struct("extractor", "items", "quality", "failed"))).alias("primary"),
+        F.max(F.when(F.col("is_primary"), F.struct("extractor", "items", "quality", "failed"))).alias("own"),
         F.map_from_entries(F.collect_list(F.struct("extractor", "items"))).alias("counts"),
     )
-    primary = F.col("primary")
+    primary = F.col("own")
     needed = F.coalesce(primary["failed"], F.lit(True)) | (primary["quality"] < R.LOW_QUALITY)
     better = F.filter(
         F.try_element_at(chains, primary["extractor"]),
@@ -268,7 +268,7 @@ class Extractors:
         choice = fallback_choice(outcomes).select("job_id", F.col("fallback").alias("extractor"))
         choice = choice.where(F.col("extractor").isNotNull())
         result = runs[0]
-            for items in runs[1:]:
+        for items in runs[1:]:
             won = join_per_key(items, choice, ["job_id", "extractor"], ["page_id", "item_id"], "left_semi")
             result = result.unionByName(won.select(*result.columns), allowMissingColumns=True)
         return result

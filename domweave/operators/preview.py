@@ -44,7 +44,7 @@ def _shown(value: Column, kind: T.DataType, name: str) -> Column:
         return F.when(value.isNotNull(), F.coalesce(F.nullif(F.array_join(lines, "; "), F.lit("")), F.lit(R.NO_IMAGES)))
     if isinstance(kind, T.ArrayType):
         nested = isinstance(kind.elementType, (T.StructType, T.MapType, T.ArrayType))
-        return F.array_join(F.transform(value, F.to_json) if nested else value.cast("array<string>"), "; ")
+        return F.array_join(F.transform(value, lambda v: F.to_json(v)) if nested else value.cast("array<string>"), "; ")
     if isinstance(kind, (T.StructType, T.MapType)):
         return F.to_json(value)
     return value

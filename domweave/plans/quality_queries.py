@@ -494,7 +494,7 @@ def corrupt_records(spark, sf_dir):
     f"""
     WITH i AS ({ITEMS_SQL}), f AS (
       SELECT job_id, arg_min(title, item_no) AS title, arg_min(coalesce(email, '-null-'), item_no) AS email, arg_min(phone, item_no) AS phone,
-             arg_min(price, item_no) AS price FROM i GROUP BY 1)
+             arg_min(coalesce(price, '-null-'), item_no) AS price FROM i GROUP BY 1)
     SELECT job_id, field, CASE WHEN value = '-null-' THEN 'object' ELSE {infer_sql('value', 'field')} END AS type
     FROM f, LATERAL (VALUES ('title', title), ('email', email), ('phone', phone), ('price', price)) AS t(field, value)
     UNION ALL SELECT job_id, 'balance', 'number' FROM f

@@ -17,7 +17,7 @@ def map_keys(items: DataFrame, column: str, order: tuple[str, ...] = ()) -> list
 def _leaf(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.ArrayType):
         nested = isinstance(kind.elementType, (T.StructType, T.MapType, T.ArrayType))
-        return F.array_join(F.transform(value, F.to_json) if nested else value.cast("array<string>"), "; ")
+        return F.array_join(F.transform(value, lambda v: F.to_json(v)) if nested else value.cast("array<string>"), "; ")
     return value
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from domweave.operators.dom import parse_pages
+from domweave.operators.extract import matches
 
 
 def extract_stream(pages: DataFrame, extractor: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
@@ -34,14 +35,17 @@ def extract_stream(pages: DataFrame, extractor: Callable[[DataFrame], DataFrame]
 
 def element_stream(pages: DataFrame, selector) -> DataFrame:
     """Matching elements of landing pages; stateless, so plain append works."""
-    from domweave.operators.extract import matches
-
     return matches(parse_pages(pages), selector, "page_id", "url")
 
 
+def _timed(rows: DataFrame, ts: str) -> DataFrame:
+    """Event time must be a timestamp with time zone; stored ones may be without."""
+    return rows.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def first_occurrences(items: DataFrame, value: str, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
     """Drop repeats of ``value`` within the watermark delay."""
-    return items.withWatermark(ts, delay).dropDuplicatesWithinWatermark([value])
+    return _timed(items, ts).withWatermark(ts, delay).dropDuplicatesWithinWatermark([value])
 
 
 def flag_duplicates(items: DataFrame, job: str, value: str, item: str, timeout: str = "NoTimeout") -> DataFrame:
@@ -72,7 +76,8 @@ def windowed_counters(log: DataFrame, ts: str = "ts", window: str = "1 hour", de
     """Requests per tumbling window; rows later than the watermark are dropped."""
     failed = F.col("error_code").isNotNull() | (F.col("status") >= 400)
     return (
-        log.withWatermark(ts, delay)
+        _timed(log, ts)
+        .withWatermark(ts, delay)
         .groupBy(F.window(ts, window).alias("w"))
         .agg(
             F.count(F.lit(1)).alias("total_requests"),
