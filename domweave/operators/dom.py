@@ -9,8 +9,12 @@ selectors nor item scoping need a join or a shuffle.
 
 from __future__ import annotations
 
+import gc
 import html as _entities
 import re
+from html.entities import html5
+from itertools import accumulate, chain
+from operator import attrgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -81,12 +85,23 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
+_REFERENCE = re.compile(r"&(?:#\w+;?|[A-Za-z0-9]+;|([A-Za-z0-9]+)(?!=))")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW_TEXT | ESCAPABLE_TEXT}
+_BLANK_SET = frozenset(BLANK)
 _NON_BLANK = re.compile(f"[^{BLANK}]")
 
 
+def _attribute_value(raw: str) -> str:
+    """Decoded attribute value; a name without its semicolon must be a whole, unassigned one."""
+    if "&" not in raw:
+        return raw
+    return _REFERENCE.sub(
+        lambda m: html5.get(m[1], m[0]) if m[1] else _entities.unescape(m[0]), raw
+    )
+
+
 class _Node:
-    __slots__ = tuple(ELEMENT_FIELDS) + ("kinds", "pieces")
+    __slots__ = tuple(ELEMENT_FIELDS) + ("kinds",)
 
 
 class _Builder:
@@ -97,17 +112,25 @@ class _Builder:
         self.nodes, self.stack, self.text, self.size = [], [], [], 0
 
     def open(self, tag, attrs, at):
-        node, parent = _Node(), self.stack[-1] if self.stack else None
-        node.node_id, node.depth, node.anc = len(self.nodes), len(self.stack), [n.node_id for n in self.stack]
-        node.tag, node.attrs, node.id = tag, attrs, attrs.get("id")
-        setattr(node, "class", attrs.get("class"))
-        node.classes = (attrs.get("class") or "").split()
-        node.kinds, node.pieces, node.n_children = {}, [], 0
-        node.parent_id, node.parent_tag, node.child_index, node.type_index = None, None, 0, 1
-        if parent is not None:
+        node = _Node()
+        node.node_id, node.depth, node.tag, node.attrs = len(self.nodes), len(self.stack), tag, attrs
+        if attrs:
+            node.id, classes = attrs.get("id"), attrs.get("class")
+            setattr(node, "class", classes)
+            node.classes = classes.split() if classes else ()
+        else:
+            node.id, node.classes = None, ()
+            setattr(node, "class", None)
+        node.kinds, node.own_text, node.n_children = None, "", 0
+        if self.stack:
+            parent = self.stack[-1]
+            kinds = parent.kinds = parent.kinds or {}
             node.parent_id, node.parent_tag, node.child_index = parent.node_id, parent.tag, parent.n_children
-            node.type_index = parent.kinds[tag] = parent.kinds.get(tag, 0) + 1
+            node.anc = parent.anc + [parent.node_id]
+            node.type_index = kinds[tag] = kinds.get(tag, 0) + 1
             parent.n_children += 1
+        else:
+            node.parent_id, node.parent_tag, node.child_index, node.type_index, node.anc = None, None, 0, 1, []
         node.text_start, node.html_start = self.size, at
         self.nodes.append(node)
         self.stack.append(node)
@@ -152,16 +175,16 @@ class _Builder:
             if not _NON_BLANK.search(piece):
                 return
             self.ensure("body", at)
-        self.stack[-1].pieces.append(piece)
+        node = self.stack[-1]
+        node.own_text = node.own_text + piece if node.own_text else piece
         self.text.append(piece)
         self.size += len(piece)
 
     def start_tag(self, tag, raw_attrs, begin, at):
         """Open an element; true if its contents are raw text."""
         attrs = {}
-        for m in _ATTR.finditer(raw_attrs):
-            value = m.group(2) or m.group(3) or m.group(4) or ""
-            attrs.setdefault(m.group(1).lower(), _entities.unescape(value) if "&" in value else value)
+        for name, *values in _ATTR.findall(raw_attrs) if raw_attrs else ():
+            attrs.setdefault(name.lower(), _attribute_value("".join(values)))
         if tag in ("html", "head", "body"):
             self.ensure(tag, at, attrs)
             return False
@@ -216,35 +239,34 @@ class _Builder:
         return self.finish()
 
     def finish(self):
-        doc = "".join(self.text)
+        doc, blank = "".join(self.text), _BLANK_SET
         for node in self.nodes:
-            node.own_text = "".join(node.pieces).strip(BLANK)
+            text = node.own_text
+            if text and (text[0] in blank or text[-1] in blank):
+                node.own_text = text.strip(BLANK)
             node.type_count = 1 if node.parent_id is None else self.nodes[node.parent_id].kinds[node.tag]
-            node.trim_start = node.trim_end = node.text_start
-            if first := _NON_BLANK.search(doc, node.text_start, node.text_end):
-                end = node.text_end
-                while not (tail := doc[max(first.start(), end - 64) : end].rstrip(BLANK)):
-                    end -= 64
-                node.trim_start = first.start()
-                node.trim_end = max(first.start(), end - 64) + len(tail)
+            start, end = node.text_start, node.text_end
+            if start < end and (doc[start] in blank or doc[end - 1] in blank):
+                if first := _NON_BLANK.search(doc, start, end):
+                    start = first.start()
+                    while not (tail := doc[max(start, end - 64) : end].rstrip(BLANK)):
+                        end -= 64
+                    end = max(start, end - 64) + len(tail)
+                else:
+                    end = start
+            node.trim_start, node.trim_end = start, end
         return doc, self.nodes
 
 
 def _nested(rows, inner):
     """Arrow list array from Python lists and the function that packs their flat contents."""
-    offsets, flat = [0], []
-    for row in rows:
-        flat.extend(row)
-        offsets.append(len(flat))
+    offsets, flat = [0, *accumulate(map(len, rows))], list(chain.from_iterable(rows))
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner(flat))
 
 
 def _attr_maps(rows):
-    offsets, keys, values = [0], [], []
-    for row in rows:
-        keys.extend(row.keys())
-        values.extend(row.values())
-        offsets.append(len(keys))
+    offsets = [0, *accumulate(map(len, rows))]
+    keys, values = list(chain.from_iterable(rows)), list(chain.from_iterable(map(dict.values, rows)))
     return pa.MapArray.from_arrays(
         pa.array(offsets, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string())
     )
@@ -259,29 +281,38 @@ _PACK = {
 }
 
 
+_row = attrgetter(*ELEMENT_FIELDS)
+
+
 def _element_array(nodes):
+    columns = zip(*map(_row, nodes)) if nodes else ([] for _ in ELEMENT_FIELDS)
     return pa.StructArray.from_arrays(
-        [_PACK[kind]([getattr(n, name) for n in nodes]) for name, kind in ELEMENT_FIELDS.items()],
-        names=list(ELEMENT_FIELDS),
+        [_PACK[kind](column) for kind, column in zip(ELEMENT_FIELDS.values(), columns)], names=list(ELEMENT_FIELDS)
     )
 
 
 def _parser(script_text: bool):
     def parse(pages: pa.Array) -> pa.Array:
         errors, docs, trees = [], [], []
-        for source in pages.to_pylist():
-            try:
-                doc, nodes = _Builder(source or "", script_text).run()
-                error = None
-            except Exception as failure:  # one bad page must not fail the job
-                doc, nodes, error = "", [], f"{type(failure).__name__}: {failure}"
-            errors.append(error)
-            docs.append(doc)
-            trees.append(nodes)
-        return pa.StructArray.from_arrays(
-            [pa.array(errors, pa.string()), pa.array(docs, pa.string()), _nested(trees, _element_array)],
-            names=["parse_error", "doc_text", "nodes"],
-        )
+        collecting = gc.isenabled()
+        gc.disable()  # many small, acyclic objects: collection passes would only cost time
+        try:
+            for source in pages.to_pylist():
+                try:
+                    doc, nodes = _Builder(source or "", script_text).run()
+                    error = None
+                except Exception as failure:  # one bad page must not fail the job
+                    doc, nodes, error = "", [], f"{type(failure).__name__}: {failure}"
+                errors.append(error)
+                docs.append(doc)
+                trees.append(nodes)
+            return pa.StructArray.from_arrays(
+                [pa.array(errors, pa.string()), pa.array(docs, pa.string()), _nested(trees, _element_array)],
+                names=["parse_error", "doc_text", "nodes"],
+            )
+        finally:
+            if collecting:
+                gc.enable()
 
     # Non-deterministic only so that the optimizer never copies the call into a pushed filter.
     return F.arrow_udf(parse, DOM_TYPE).asNondeterministic()

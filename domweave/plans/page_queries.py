@@ -23,9 +23,10 @@ def stored(spark, sf_dir):
 
 
 def _decoded(expression):
-    return (
-        f"replace(replace(replace(replace({expression}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
-    )
+    """Entities of the stored pages; the standard also decodes these without a semicolon."""
+    for name, character in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        expression = f"regexp_replace({expression}, '&{name};?', '{character}', 'g')"
+    return expression
 
 
 @query(
