@@ -178,17 +178,28 @@ def _described(marks: str, extra: str = "") -> Column:
     )
 
 
+def _mark_rows(dom: DataFrame, described: Column, keep: tuple[str, ...], extra: tuple[str, ...] = ()) -> DataFrame:
+    """Marks with the first characters of their element's text.
+
+    The page text is cut here, in the stage that unnests, and does not go any further:
+    otherwise every mark would carry a copy of it into the aggregation.
+    """
+    rows = unnest(dom, described, *keep, "doc_text").select("*", F.inline_outer("marks"))
+    head = F.expr(f"if(kind IN ('group', 'selector'), substring({text_sql()}, 1, {R.GROUP_SAMPLE_LENGTH}), NULL)")
+    columns = [*keep, "kind", "key", "outer", "inner", "node_id", "n_children", "selector", *extra]
+    boxed = F.expr("if(kind IN ('table', 'list', 'form'), attrs, NULL)")
+    return rows.where(F.col("kind").isNotNull()).select(*columns, boxed.alias("attrs"), head.alias("head"))
+
+
 def page_marks(dom: DataFrame, marks: str, *keep: str) -> DataFrame:
     """Rows (page, kind, key, outer, inner) saying what an element counts towards."""
-    keep = keep or ("page_id",)
-    rows = unnest(dom, _described(marks), *keep, "doc_text")
-    return rows.select("*", F.inline_outer("marks")).where(F.col("kind").isNotNull()).drop("marks")
+    return _mark_rows(dom, _described(marks), keep or ("page_id",))
 
 
-def _first_texts(length: int, condition: str = "true") -> Column:
+def _first_texts() -> Column:
     """First three texts of a group in document order with their positions."""
-    head = f"named_struct('node_id', node_id, 'text', substring({text_sql()}, 1, {length}))"
-    return F.expr(f"slice(sort_array(collect_list(if({condition}, {head}, NULL))), 1, {R.SAMPLE_COUNT})")
+    listed = "collect_list(if(head IS NULL, NULL, named_struct('node_id', node_id, 'text', head)))"
+    return F.expr(f"slice(sort_array({listed}), 1, {R.SAMPLE_COUNT})")
 
 
 def _texts(samples: str, length: int) -> str:
@@ -203,7 +214,7 @@ def repeating_groups(dom: DataFrame) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("count"),
             F.avg("n_children").alias("avg_children"),
-            _first_texts(R.GROUP_SAMPLE_LENGTH).alias("samples"),
+            _first_texts().alias("samples"),
         )
         .where(F.col("count") >= R.REPEATING_MINIMUM)
         .withColumn("samples", F.expr(_texts("samples", R.GROUP_SAMPLE_LENGTH)))
@@ -215,7 +226,7 @@ def selector_matches(dom: DataFrame, selectors: list[str]) -> DataFrame:
     return (
         page_marks(dom, selector_marks(selectors))
         .groupBy("page_id", F.col("key").alias("selector"))
-        .agg(F.count(F.lit(1)).alias("count"), _first_texts(R.SELECTOR_SAMPLE_LENGTH).alias("samples"))
+        .agg(F.count(F.lit(1)).alias("count"), _first_texts().alias("samples"))
         .withColumn("samples", F.expr(_texts("samples", R.SELECTOR_SAMPLE_LENGTH)))
     )
 
@@ -388,14 +399,14 @@ def analyze_pages(dom: DataFrame, reference_order: bool = False) -> DataFrame:
     # the features of a page ride on the mark of its root element
     root = f"if(n.node_id = 0, array({_mark('page')}), {NO_MARKS})"
     marks = f"concat({root}, {group_marks()}, {selector_marks(suggested_selectors())}, {container_marks()})"
-    rows = unnest(page, _described(marks, ", 'features', if(n.node_id = 0, features, NULL)"), "page_id", "doc_text")
-    rows = rows.select("*", F.inline_outer("marks")).where(F.col("kind").isNotNull()).drop("marks")
+    described = _described(marks, ", 'features', if(n.node_id = 0, features, NULL)")
+    rows = _mark_rows(page, described, ("page_id",), ("features",))
 
     family = F.expr("if(kind IN ('group', 'selector', 'page'), kind, 'container')")
     first = rows.groupBy("page_id", family.alias("family"), "key", "outer", "inner").agg(
         F.count(F.lit(1)).alias("count"),
         F.avg(F.expr("if(kind = 'group', n_children, NULL)")).alias("avg_children"),
-        _first_texts(R.GROUP_SAMPLE_LENGTH, "kind IN ('group', 'selector')").alias("samples"),
+        _first_texts().alias("samples"),
         F.first("features", True).alias("features"),
         *_aliased(_boxes()),
     )

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from domweave.functions.skew import join_per_key
 from domweave.functions.text import trim
 from domweave.functions.urls import is_valid_url
+from domweave.operators.dom import parse_pages
 from domweave.plans import rules as R
+from domweave.session import written
 
 JOB_SCHEMA = """
 job_id long, url string, item_selector string, pagination_type string,
@@ -248,27 +250,29 @@ class Extractors:
             raise KeyError(f"no extractor named {name!r}")
         return dom.transform(self._known[name]).withColumn("extractor", F.lit(name))
 
-    def run_with_fallback(self, primary: str, dom: DataFrame, summary: DataFrame) -> DataFrame:
+    def run_with_fallback(
+        self, primary: str, pages: DataFrame, summary: DataFrame, order: tuple[str, ...] = ("page_id", "item_id")
+    ) -> DataFrame:
         """Items of the primary extractor plus those of the winning fallback of each job.
 
-        ``dom`` carries job_id; ``summary`` has job_id, success_rate, errors and failed.
+        ``pages`` (job_id, page_id, html) are parsed here, for a fallback only those of
+        the jobs that still need one.  ``summary`` has job_id, success_rate, errors and
+        failed.  Each extractor's items are written once and then counted and returned
+        from there.
         """
-        chain = [n for n in [primary, *R.FALLBACKS.get(primary, [])] if n in self._known]
-        runs = [self.run(n, dom) for n in chain]
-        outcomes = None
-        for name, items in zip(chain, runs):
-            counted = items.groupBy("job_id").agg(F.count(F.lit(1)).alias("items"))
-            rows = summary.join(counted, "job_id", "left").select(
-                "job_id", F.lit(name).alias("extractor"), F.coalesce("items", F.lit(0)).alias("items"),
-                F.lit(name == primary).alias("is_primary"),
-                quality_score(F.coalesce("items", F.lit(0)), F.col("success_rate"), F.col("errors")).alias("quality"),
-                F.col("failed"),
-            )
-            outcomes = rows if outcomes is None else outcomes.unionByName(rows)
-        choice = fallback_choice(outcomes).select("job_id", F.col("fallback").alias("extractor"))
-        choice = choice.where(F.col("extractor").isNotNull())
-        result = runs[0]
-        for items in runs[1:]:
-            won = join_per_key(items, choice, ["job_id", "extractor"], ["page_id", "item_id"], "left_semi")
-            result = result.unionByName(won.select(*result.columns), allowMissingColumns=True)
+        result = written(self.run(primary, parse_pages(pages)), f"items-{primary}")
+        counted = result.groupBy("job_id").agg(F.count(F.lit(1)).alias("own_items"))
+        own = summary.join(counted, "job_id", "left").fillna(0, ["own_items"])
+        quality = quality_score(F.col("own_items"), F.col("success_rate"), F.col("errors"))
+        waiting = own.where(F.col("failed") | (quality < R.LOW_QUALITY)).select("job_id", "own_items")
+        for name in R.FALLBACKS.get(primary, []):
+            if name not in self._known:
+                continue
+            some = join_per_key(pages, waiting.select("job_id"), ["job_id"], ["page_id"], "left_semi")
+            items = written(self.run(name, parse_pages(some)), f"items-{name}")
+            tried = waiting.join(items.groupBy("job_id").agg(F.count(F.lit(1)).alias("items")), "job_id", "left")
+            won = tried.where(F.coalesce("items", F.lit(0)) > F.col("own_items")).select("job_id")
+            added = join_per_key(items, won, ["job_id"], list(order), "left_semi")
+            result = result.unionByName(added, allowMissingColumns=True)
+            waiting = waiting.join(won, "job_id", "left_anti")
         return result

@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from domweave.functions.selectors import Selector
-from domweave.functions.skew import join_per_key
 from domweave.functions.urls import is_valid_url, page_url
 from domweave.plans import rules as R
 
@@ -36,9 +35,11 @@ def latest_snapshots(pages: DataFrame) -> DataFrame:
 def visit(front: DataFrame, pages: DataFrame) -> DataFrame:
     """Frontier rows with the snapshot of their URL; null where there is none.
 
-    A popular URL may occur in many jobs, so the join is salted on the job.
+    Snapshots are as many as pages, so they are not repeated for salting; a URL that is
+    in very many jobs is split by adaptive execution (skew join), which repeats only
+    the one partition it needs.
     """
-    return join_per_key(front, latest_snapshots(pages), ["url"], ["job_id", "page_no"])
+    return front.join(latest_snapshots(pages), "url", "left")
 
 
 def has_next_page(
@@ -80,8 +81,7 @@ def take_while_next(visited: DataFrame) -> DataFrame:
 
 def reachability(urls: DataFrame, pages: DataFrame) -> DataFrame:
     """Syntax and availability of URLs: valid, accessible and an error code."""
-    keys = [c for c in urls.columns if c != "url"] or ["url"]
-    found = join_per_key(urls, latest_snapshots(pages), ["url"], keys)
+    found = urls.join(latest_snapshots(pages), "url", "left")
     ok = is_valid_url(F.col("url"))
     accessible = ok & F.col("page_id").isNotNull()
     return found.select(

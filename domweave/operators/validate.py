@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from domweave.functions import text
 from domweave.functions.skew import join_per_key
+from domweave.session import written
 
 ISSUE = "struct<severity:string,type:string,field:string,value:string,detail:string>"
 CRITICAL_RATIO = 0.5  # fixed value: below this share of valid items a data set is invalid
@@ -239,11 +240,17 @@ def issue_rows(checked: DataFrame, keys: tuple[str, ...] = ("job_id", "item_no")
 
 def validate(
     items: DataFrame, schema: Schema, job: str = "job_id", order: tuple[str, ...] = ("item_no",),
-    corrupt: str | None = None,
+    corrupt: str | None = None, materialize: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(cleaned items, issues, stats) of an item table; the scope of uniqueness is one job."""
+    """(cleaned items, issues, stats) of an item table; the scope of uniqueness is one job.
+
+    The three results share the checked items.  ``materialize=True`` writes those once
+    to the shared folder, which pays when more than one result is used.
+    """
     keys = (job, *order)
     checked = check_items(items, schema, keys, corrupt)
+    if materialize:
+        checked = written(checked, "checked")
     kept = checked if schema.include_invalid else checked.where("is_valid")
     cleaned = kept.drop("errors", "warnings", "is_valid", "was_cleaned")
     issues = issue_rows(checked, keys)
@@ -258,7 +265,8 @@ def validate(
 
 
 def apply_validation(
-    items: DataFrame, schema: Schema | None = None, job: str = "job_id", order: tuple[str, ...] = ("item_no",)
+    items: DataFrame, schema: Schema | None = None, job: str = "job_id", order: tuple[str, ...] = ("item_no",),
+    materialize: bool = True,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Replace items by their cleaned form and list what was found.
 
@@ -267,7 +275,7 @@ def apply_validation(
     original items.  Without a schema the first item decides (``schema_from_sample``).
     """
     schema = schema or schema_from_sample(items, job, order)
-    cleaned, issues, stats = validate(items, schema, job, order)
+    cleaned, issues, stats = validate(items, schema, job, order, materialize=materialize)
     verdicts = stats.select(job, F.col("is_valid").alias("job_ok"))
     without = stats.where(F.col("valid_items") == 0).select(job)
     spread = list(order)

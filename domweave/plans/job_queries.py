@@ -17,7 +17,7 @@ from domweave.plans.registry import query, table
 from domweave.session import work_dir
 from domweave.sources import jobs as job_files
 from domweave.sources import writers
-from domweave.sources.pages import read_pages
+from domweave.sources.pages import read_pages, spread
 
 # ---- jobs derived from customers ---------------------------------------------------
 
@@ -530,7 +530,6 @@ def fallback_pick(spark, sf_dir):
 )
 def extractor_fallback(spark, sf_dir):
     pages = rendered.ledger(spark, sf_dir).withColumn("job_id", F.col("page_id") % 50)
-    dom = parsed(pages, "job_id")
     keys = ("job_id", "page_id")
     known = jobs.Extractors()
     known.register("cheerio", lambda d: extract_items(d, "ul > li:nth-of-type(5)", keys=keys, parts=("text",)))
@@ -538,7 +537,7 @@ def extractor_fallback(spark, sf_dir):
     summary = pages.select("job_id").distinct().select(
         "job_id", F.lit(0.0).alias("success_rate"), F.lit(5).alias("errors"), (F.col("job_id") % 2 == 0).alias("failed")
     ).withColumn("success_rate", F.when(F.col("failed"), 0.0).otherwise(100.0))
-    found = known.run_with_fallback("cheerio", dom, summary)
+    found = known.run_with_fallback("cheerio", spread(pages.select(*keys, "html")), summary)
     return found.groupBy("job_id", "extractor").agg(F.count(F.lit(1)).alias("items"))
 
 
