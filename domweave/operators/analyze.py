@@ -263,13 +263,15 @@ def best_selectors(dom: DataFrame) -> DataFrame:
 
 
 def _boxes() -> dict[str, Column]:
-    """First step of container counting, per (container, row)."""
+    """First step of container counting, per (container, row).
+
+    The container's own facts are collected (there is one entry) rather than reduced
+    with max or first: string and map buffers would force a sort of all marks.
+    """
     kind = F.col("kind")
-    own = kind.isin("table", "list", "form")
+    own = F.when(kind.isin("table", "list", "form"), F.struct(kind.alias("box"), "selector", "attrs"))
     return {
-        "box": F.max(F.when(own, kind)),
-        "selector": F.max(F.when(own, F.col("selector"))),
-        "attrs": F.first(F.when(own, F.col("attrs")), True),
+        "boxes": F.collect_list(own),
         "rows": F.count_if(kind == "table_row"),
         "cells": F.count_if(kind == "table_cell"),
         "list_items": F.count_if(kind == "list_item"),
@@ -280,9 +282,7 @@ def _boxes() -> dict[str, Column]:
 def _box_totals() -> dict[str, Column]:
     """Second step, per container: rows of a table, cells of its first row, members."""
     return {
-        "box": F.max("box"),
-        "selector": F.max("selector"),
-        "attrs": F.first("attrs", True),
+        "boxes": F.flatten(F.collect_list("boxes")),
         "columns": F.coalesce(F.min_by("cells", F.when(F.col("rows") > 0, F.col("inner"))), F.lit(0)),
         "rows": F.sum("rows"),
         "list_items": F.sum("list_items"),
@@ -290,6 +290,11 @@ def _box_totals() -> dict[str, Column]:
     }
 
 
+def _with_box(counted: DataFrame) -> DataFrame:
+    own = F.get("boxes", 0)
+    return counted.withColumns({n: own[n] for n in ("box", "selector", "attrs")}).drop("boxes")
+
+
 def _aliased(columns: dict[str, Column]) -> list[Column]:
     return [c.alias(n) for n, c in columns.items()]
 
@@ -297,7 +302,7 @@ def _aliased(columns: dict[str, Column]) -> list[Column]:
 def container_counts(dom: DataFrame) -> DataFrame:
     """Tables, lists and forms: one row each with its selector and member counts."""
     rows = page_marks(dom, container_marks()).groupBy("page_id", "outer", "inner").agg(*_aliased(_boxes()))
-    return rows.groupBy("page_id", F.col("outer").alias("node_id")).agg(*_aliased(_box_totals()))
+    return _with_box(rows.groupBy("page_id", F.col("outer").alias("node_id")).agg(*_aliased(_box_totals())))
 
 
 def _attr(name: str, default: str) -> Column:
@@ -323,7 +328,9 @@ def data_patterns(dom: DataFrame) -> DataFrame:
         .groupBy("page_id", "key", "outer", "inner")
         .agg(F.count(F.lit(1)).alias("count"), *_aliased(_boxes()))
     )
-    boxes = first.groupBy("page_id", "key", "outer").agg(F.sum("count").alias("count"), *_aliased(_box_totals()))
+    boxes = _with_box(
+        first.groupBy("page_id", "key", "outer").agg(F.sum("count").alias("count"), *_aliased(_box_totals()))
+    )
     kind = F.when(F.col("key").isNotNull(), "cards").otherwise(F.col("box"))
     size = F.expr("CASE WHEN key IS NOT NULL THEN count WHEN box = 'table' THEN rows ELSE list_items END")
     place = F.array_position(F.array(*[F.lit(s) for s in R.CARD_SELECTORS]), F.col("key")).cast("int")
@@ -410,12 +417,14 @@ def analyze_pages(dom: DataFrame, reference_order: bool = False) -> DataFrame:
         F.first("features", True).alias("features"),
         *_aliased(_boxes()),
     )
-    second = first.groupBy("page_id", "family", "key", "outer").agg(
-        F.sum("count").alias("count"),
-        F.first("avg_children", True).alias("avg_children"),
-        F.first("samples", True).alias("samples"),
-        F.first("features", True).alias("features"),
-        *_aliased(_box_totals()),
+    second = _with_box(
+        first.groupBy("page_id", "family", "key", "outer").agg(
+            F.sum("count").alias("count"),
+            F.first("avg_children", True).alias("avg_children"),
+            F.first("samples", True).alias("samples"),
+            F.first("features", True).alias("features"),
+            *_aliased(_box_totals()),
+        )
     )
 
     def listed(condition: str, *fields: str) -> str:

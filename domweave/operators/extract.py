@@ -130,16 +130,13 @@ def extract_items(
         columns.append(F.when(role == 0, inner_html()).alias("inner"))
     rows = rows.select(*columns)
 
-    me = role == 0
-    aggregates = [F.max(F.when(me, F.col("tag"))).alias("tag_name")]
-    if "text" in parts:
-        aggregates.append(F.nullif(F.max(F.when(me, F.col("value"))), F.lit("")).alias("text"))
-    if "own_text" in parts:
-        aggregates.append(F.nullif(F.max(F.when(me, F.col("own_text"))), F.lit("")).alias("own_text"))
-    if "html" in parts:
-        aggregates.append(F.nullif(F.max(F.when(me, F.col("inner"))), F.lit("")).alias("html"))
-    if "attributes" in parts:
-        aggregates.append(F.first(F.when(me & (F.size("attrs") > 0), F.col("attrs")), True).alias("attributes"))
+    # the item's own row is collected (one entry): string maxima would force a sort
+    own = ["tag"]
+    own += ["value"] if "text" in parts else []
+    own += ["own_text"] if "own_text" in parts else []
+    own += ["inner"] if "html" in parts else []
+    own += ["attrs"] if "attributes" in parts else []
+    aggregates = [F.collect_list(F.when(role == 0, F.struct(*own))).alias("_own")]
     if "links" in parts:
         href = F.try_element_at("attrs", F.lit("href"))
         good = (role == 1) & (href != "") & (F.col("value") != "")
@@ -157,7 +154,12 @@ def extract_items(
     def filled(array: Column) -> Column:
         return F.when(F.size(array) > 0, array)
 
-    out = [*keys, "item_id", "tag_name", *[p for p in parts if p not in ("links", "images")]]
+    me = F.get("_own", 0)
+    texts = {"text": "value", "own_text": "own_text", "html": "inner"}
+    out = [*keys, "item_id", me["tag"].alias("tag_name")]
+    out += [F.nullif(me[texts[p]], F.lit("")).alias(p) for p in parts if p in texts]
+    if "attributes" in parts:
+        out.append(F.when(F.size(me["attrs"]) > 0, me["attrs"]).alias("attributes"))
     if "links" in parts:
         out.append(
             filled(F.transform("_links", lambda s: F.struct(s["href"].alias("href"), s["text"].alias("text")))).alias(

@@ -209,8 +209,10 @@ def duplicate_issues(
         .select(job, *order, "entry.*")
     )
     digest = F.when(F.length("value") <= 64, F.col("value")).otherwise(F.sha2(F.col("value"), 256))
-    first = held.groupBy(job, "field", digest.alias("digest")).agg(F.min(F.struct(*order)).alias("first"))
-    holders = first.select(job, "field", "first.*")
+    # a single number can be reduced in a hash table, a struct needs a sort
+    earliest = F.min(order[0]).alias(order[0]) if len(order) == 1 else F.min(F.struct(*order)).alias("first")
+    first = held.groupBy(job, "field", digest.alias("digest")).agg(earliest)
+    holders = first.select(job, "field", order[0] if len(order) == 1 else "first.*")
     return held.join(holders, [job, *order, "field"], "left_anti")
 
 

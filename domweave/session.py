@@ -17,7 +17,7 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
     # Partial results of a page stay small; the default of 128 keys makes nearly every task sort its input.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "32768",
     "spark.sql.session.timeZone": "UTC",
 }
 
