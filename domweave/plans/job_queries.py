@@ -9,8 +9,9 @@ from domweave.functions import text
 from domweave.functions.selectors import css, xpath
 from domweave.functions.urls import is_valid_url
 from domweave.operators import crawl_log, jobs, paging, preview
-from domweave.operators.extract import extract_items
-from domweave.plans import rendered
+from domweave.operators.extract import Field, extract_items
+from domweave.operators.validate import FieldRule, Schema
+from domweave.plans import rendered, scrape
 from domweave.plans import rules as R
 from domweave.plans.page_queries import parsed
 from domweave.plans.registry import query, table
@@ -803,3 +804,57 @@ def export_by_strategy(spark, sf_dir):
     totals = spark.read.schema("strategy string, total_items long").json(f"{path}/run_summary")
     counted = items.groupBy("strategy").agg(F.count("job_id").alias("jobs"))
     return counted.join(totals.where("total_items > 0").select("strategy"), "strategy")
+
+
+# ---- whole runs --------------------------------------------------------------------------
+
+
+def shop_jobs(spark, sf_dir):
+    """One listing job per region, over the shop pages."""
+    regions = table(spark, sf_dir, "region").selectExpr(
+        "CAST(r_regionkey AS bigint) AS job_id", "'https://shop.example.com/list' AS url", "'query' AS pagination_type",
+        "200 + int(r_regionkey) * 200 AS max_pages", "'cheerio' AS strategy", "false AS enable_smart_analysis",
+        "named_struct('query_param', CAST(NULL AS string), 'path_prefix', CAST(NULL AS string)) AS pagination",
+    )
+    return regions.selectExpr(
+        "*", "'' AS item_selector", "0 AS delay", "false AS spa", "false AS infinite_scrolling", "false AS use_puppeteer",
+        "CAST(NULL AS array<struct<xpath:string,name:string,type:string>>) AS xpath_selectors",
+        "CAST(NULL AS array<struct<tag:string>>) AS tag_selectors", "'' AS file_extension", "'' AS wait_strategy",
+    )
+
+
+_TAKEN = """
+  j AS (SELECT CAST(r_regionkey AS BIGINT) AS job_id, 200 + r_regionkey * 200 AS max_pages FROM region),
+  p AS (SELECT DISTINCT p_partkey // 20 AS page_id FROM part),
+  t AS (SELECT job_id, page_id FROM j JOIN p ON page_id < max_pages AND page_id <= 6)
+"""
+
+
+@query(
+    "job_run",
+    f"""
+    -- the next link of the seventh page is disabled, so every job stops there
+    WITH {_TAKEN}
+    SELECT job_id, page_id, p_name AS title, '$' || printf('%.2f', p_retailprice) AS price FROM t JOIN part ON p_partkey // 20 = page_id
+    """,
+)
+def job_run(spark, sf_dir):
+    schema = Schema({"title": FieldRule("text", required=True), "price": FieldRule("price")})
+    fields = [Field(n, css(f".{n}"), multiple=False) for n in ("title", "price")]
+    items, _, _ = scrape.run_jobs(
+        shop_jobs(spark, sf_dir), spread(rendered.catalog(spark, sf_dir)), ".product", fields, schema, css(".next"), "button", parts=(),
+    )
+    return items.select("job_id", "page_id", "title", "price")
+
+
+@query(
+    "job_preview",
+    """
+    SELECT CAST(r_regionkey AS BIGINT) AS job_id, p_brand || ' → /p/' || p_partkey AS links, CAST(n AS BIGINT) AS total_found,
+      CASE WHEN n < 5 THEN 'few_items' WHEN n > 100 THEN 'many_items' END AS advice
+    FROM region, (SELECT *, row_number() OVER (ORDER BY p_partkey) AS rank, count(*) OVER () AS n FROM part WHERE p_partkey < 20) WHERE rank <= 5
+    """,
+)
+def job_preview(spark, sf_dir):
+    shown, totals = scrape.preview_jobs(shop_jobs(spark, sf_dir), spread(rendered.catalog(spark, sf_dir)), ".product")
+    return shown.join(totals, "job_id").select("job_id", "links", "total_found", "advice")
