@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# White space of the reference language (fixed values), as characters and as a class.
+# White space as JavaScript trims it (fixed values), as characters and as a class.
 BLANK = (
     "\t\n\v\f\r \u00a0\u1680"
     + "".join(map(chr, range(0x2000, 0x200B)))

@@ -17,7 +17,7 @@ from itertools import accumulate, chain
 from operator import attrgetter
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from domweave.functions.text import BLANK
@@ -327,6 +327,11 @@ def parse_pages(pages: DataFrame, html: str = "html", script_text: bool = True)
     return pages.withColumn("dom", _parser(script_text)(F.col(html))).select(*pages.columns, "dom.*")
 
 
+def register_sql(spark: SparkSession, name: str = "parse_html") -> None:
+    """Make the parser callable from SQL: ``inline(parse_html(html).nodes)``."""
+    spark.udf.register(name, _parser(True))
+
+
 def unnest(dom: DataFrame, rows: Column, *keep: str) -> DataFrame:
     """One row per struct in ``rows``.
 

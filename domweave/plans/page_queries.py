@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from domweave.functions.selectors import css, xpath
 from domweave.operators import extract
-from domweave.operators.dom import elements, parse_pages, text_of
+from domweave.operators.dom import elements, parse_pages, register_sql, text_of
 from domweave.operators.extract import Field, extract_items
 from domweave.plans import rendered
 from domweave.plans.registry import query, table
@@ -396,3 +396,19 @@ def nonempty_items(spark, sf_dir):
 def parse_errors(spark, sf_dir):
     dom = parsed(stored(spark, sf_dir))
     return dom.agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("parse_error").isNotNull()).alias("failed"))
+
+
+@query(
+    "sql_surface",
+    """
+    SELECT CAST(sum(len(regexp_extract_all(html, '<a '))) AS BIGINT) AS links, CAST(sum(len(regexp_extract_all(html, '<li>'))) AS BIGINT) AS items FROM pages
+    """,
+)
+def sql_surface(spark, sf_dir):
+    """The parser called from SQL."""
+    register_sql(spark)
+    spread(read_pages(spark, f"{sf_dir}/pages.parquet").select("html")).createOrReplaceTempView("stored_pages")
+    return spark.sql(
+        "SELECT count_if(tag = 'a') AS links, count_if(tag = 'li') AS items "
+        "FROM (SELECT inline_outer(dom.nodes) FROM (SELECT parse_html(html) AS dom FROM stored_pages))"
+    )
