@@ -76,6 +76,8 @@ IMPLIED_END = {
 IMPLIED_END = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED_END.items()}
 SCOPE = frozenset("table td th caption template html button object".split())
 TABLE_PARTS = frozenset("table thead tbody tfoot tr td th caption".split())
+# Deeper elements become siblings at this depth, as in browsers; bounds the ancestor lists.
+MAX_DEPTH = 512
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 SPECIAL = CLOSES_P | SCOPE | frozenset("tr thead tbody tfoot body head select".split())
 
@@ -112,6 +114,8 @@ class _Builder:
         self.nodes, self.stack, self.text, self.size = [], [], [], 0
 
     def open(self, tag, attrs, at):
+        if len(self.stack) >= MAX_DEPTH:
+            self.close(at)
         node = _Node()
         node.node_id, node.depth, node.tag, node.attrs = len(self.nodes), len(self.stack), tag, attrs
         if attrs:
@@ -176,7 +180,12 @@ class _Builder:
                 return
             self.ensure("body", at)
         node = self.stack[-1]
-        node.own_text = node.own_text + piece if node.own_text else piece
+        if not node.own_text:
+            node.own_text = piece
+        elif isinstance(node.own_text, list):
+            node.own_text.append(piece)
+        else:
+            node.own_text = [node.own_text, piece]
         self.text.append(piece)
         self.size += len(piece)
 
@@ -242,6 +251,8 @@ class _Builder:
         doc, blank = "".join(self.text), _BLANK_SET
         for node in self.nodes:
             text = node.own_text
+            if isinstance(text, list):
+                text = node.own_text = "".join(text)
             if text and (text[0] in blank or text[-1] in blank):
                 node.own_text = text.strip(BLANK)
             node.type_count = 1 if node.parent_id is None else self.nodes[node.parent_id].kinds[node.tag]

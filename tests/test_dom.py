@@ -89,6 +89,12 @@ def test_long_outer_blanks_are_trimmed():
     assert rows[3][2] == "x"
 
 
+def test_very_deep_and_very_long_pages_stay_cheap():
+    doc, _, nodes = tree("<b>" * 20_000 + "x" + "<br>y" * 50_000)
+    assert len(nodes) == 3 + 20_000 + 50_000 and doc == "x" + "y" * 50_000
+    assert max(n.depth for n in nodes) == 511
+
+
 FRAGMENTS = st.lists(
     st.sampled_from(["<div>", "</div>", "<p>", "</p>", "<li>", "<ul>", "</ul>", "<td>", "<tr>", "<table>", "</table>",
                      "<b class=x>", "</b>", "<br>", " text ", "&amp;", "<script>", "</script>", "<", "<!--", "-->", "<a href='"]),
