@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from domweave.llm import decontaminate, jaccard_join, license_scan, packing, url_filter
+from domweave.llm import decontaminate, jaccard_join, license_scan, packing, toxicity, url_filter
 from domweave.llm.registry import query, table
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -40,3 +40,10 @@ def op7(spark, sf_dir):
 def op8(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_vocabulary()).select(
         "doc_id", "piece", "start", "length", "ids_crc32", F.col("sequence_id"), "offset")
+
+
+@query("op6_toxicity")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0).cast("int"))
