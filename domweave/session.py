@@ -29,6 +29,9 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings and make this package importable on the executors."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
+        # one process: its temporary folder is shared by all tasks
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="domweave-"))
     application = spark.sparkContext.applicationId
     if application not in _shipped:
         package = Path(__file__).resolve().parent
@@ -40,14 +43,10 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder.
-
-    Only where no folder is configured (tests) a local one is made.
-    """
+    """A fresh folder below the cluster's shared checkpoint folder; an error if none is configured."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="domweave-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
