@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from domweave.llm import decontaminate, jaccard_join, license_scan, packing, toxicity, url_filter
+from domweave.llm import ann, decontaminate, jaccard_join, license_scan, lm_score, packing, token_counts, toxicity, url_filter, warc
 from domweave.llm.registry import query, table
+from domweave.session import work_dir
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -16,6 +17,12 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 @query("op2_url_filter")
 def op2(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), RULES)
@@ -47,3 +54,31 @@ def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0).cast("int"))
+
+
+@query("op5_lm_scoring")
+def op5(spark, sf_dir):
+    return lm_score.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op1_token_counts")
+def op1(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), piece_vocabulary())
+
+
+@query("op9_warc", sql="""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest,
+                 max(page_id) OVER (PARTITION BY html) AS last FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+    FROM d
+""")
+def op9(spark, sf_dir):
+    return warc.archived_pages(table(spark, sf_dir, "pages"), work_dir(spark, "archives")).drop("problem")
+
+
+@query("op10_nearest_neighbours")
+def op10(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
