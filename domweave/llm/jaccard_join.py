@@ -224,12 +224,18 @@ def similar_groups(docs: DataFrame, length: int = 5, percent: int = 80, id_col:
         .mapInArrow(_read_lists, _ddl(_FOUND)), "lists")
     rows = found.where("n is not null").select("doc_id", "n", "set_id")
     lists = found.where("list_id is not null").select("list_id", "leader", "member")
-    pairs = written(lists.select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct(), "pairs")
+    pairs = written(lists.groupBy(F.col("leader").alias("a"), F.col("member").alias("b")).agg(F.count("*").alias("shared")), "pairs")
     involved = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
     least = rows.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     wanted = written(least.join(involved, "set_id", "left_semi").select("doc_id", "set_id"), "wanted")
     members = written(_members(docs, wanted, length, id_col, text), "members")
-    edges = written(_linked(pairs, members, percent), "links")
+    # first the leader that shares most lists; then those that could still join two components
+    closest = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
+    edges = written(_linked(closest, members, percent), "links")
+    nodes = written(connected_components(edges), "nodes")
+    others = pairs.join(closest, ["a", "b"], "left_anti").select("a", "b")
+    others = _labelled(_labelled(others, nodes, "a"), nodes, "b").where("c_a != c_b").select("a", "b")
+    edges = edges.union(written(_linked(others, members, percent), "links"))
     nodes = written(connected_components(edges), "nodes")
     # leaders were compared with all of their list: only other members can hide a link between components
     leaders = _labelled(_labelled(lists, nodes, "leader"), nodes, "member").where("c_leader != c_member")
