@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,8 +16,10 @@ from domweave.llm.components import connected_components
 from domweave.session import written
 
 SPARE = 3
-#: Leaders of a list in each further round.
-PIVOTS = 16
+#: Lists of so many sets are paired off; the sets of longer ones are compared family by family.
+SHORT = 32
+#: Members of the sets that are indexed together in a task.
+CHUNK = 500_000
 
 
 def size_bounds(percent: int, n: int) -> list[int]:
@@ -37,14 +40,15 @@ def blocks_of(end: int, percent: int) -> int:
     return (end + 100 * end // percent) * (100 - percent) // (100 + percent) + SPARE
 
 
-def block_lists(members: np.ndarray, percent: int, ends: list[int]) -> np.ndarray:
-    """The index lists that a sorted set of evenly spread hashes is entered in.
+def block_lists(members: np.ndarray, percent: int, ends: list[int]) -> tuple[np.ndarray, bytes]:
+    """The index lists that a sorted set of evenly spread hashes is entered in, and a byte for each block.
 
     The order of all members is cut by position into equal blocks; a list holds the sets
     with one content of one block.  A set goes to the lists of its own size class and of
-    the lower classes in which it can have a similar set.
+    the lower classes in which it can have a similar set.  The bytes, own class first, differ
+    only where blocks differ.
     """
-    n, out = len(members), []
+    n, out, marks = len(members), [], []
     own = int(np.searchsorted(ends, n))
     spread = mixed(members)
     anchor = own
@@ -56,9 +60,27 @@ def block_lists(members: np.ndarray, percent: int, ends: list[int]) -> np.ndarra
         if k - len(first) >= SPARE:  # empty blocks can be all that two sets have in common
             empty = np.setdiff1d(np.arange(k, dtype=np.uint64), number)
             content, number = np.r_[content, np.zeros(len(empty), np.uint64)], np.r_[number, empty]
-        out.append(mixed(content ^ (number * PLACES[5] + np.uint64(anchor + 1) * PLACES[6])))
+        lists = mixed(content ^ (number * PLACES[5] + np.uint64((anchor + 1) * int(PLACES[6]) % 2**64)))
+        out.append(lists)
+        mark = np.zeros(k, np.uint8)
+        mark[number.astype(np.int64)] = (lists & np.uint64(255)).astype(np.uint8)
+        mark[number[content == 0].astype(np.int64)] = 0
+        marks.append(mark.tobytes())
         anchor -= 1
-    return np.concatenate(out)
+    return np.concatenate(out), b"".join(marks)
+
+
+def may_be_similar(na: int, ma: bytes, nb: int, mb: bytes, percent: int, ends: list[int]) -> bool:
+    """False only if the sets differ in more blocks than similar sets of these sizes can differ in members."""
+    if na > nb:
+        na, ma, nb, mb = nb, mb, na, ma
+    if 100 * na < percent * nb:
+        return False
+    anchor, own = (int(np.searchsorted(ends, n)) for n in (na, nb))
+    k = blocks_of(ends[anchor], percent)
+    skip = sum(blocks_of(ends[i], percent) for i in range(anchor + 1, own + 1))
+    differ = np.count_nonzero(np.frombuffer(ma, np.uint8, k) != np.frombuffer(mb, np.uint8, k, skip))
+    return differ <= (na + nb) * (100 - percent) // (100 + percent)
 
 
 def set_id(members: np.ndarray) -> np.uint64:
@@ -67,8 +89,8 @@ def set_id(members: np.ndarray) -> np.uint64:
 
 
 _ROUTED = pa.schema([("segment", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()),
-                     ("lists", pa.binary()), ("sets", pa.binary())])
-_FOUND = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("list_id", pa.int64()), ("leader", pa.int64()),
+                     ("marks", pa.binary()), ("lists", pa.binary()), ("sets", pa.binary())])
+_FOUND = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("marks", pa.binary()), ("list_id", pa.int64()), ("leader", pa.int64()),
                     ("member", pa.int64())])
 
 
@@ -98,7 +120,7 @@ def _index(length: int, percent: int, segments: int, hold: int = 1_000_000):
                          sets=[owners[a:b].tobytes() for _, a, b in cuts])
 
         for batch in batches:
-            n, ids = [], []
+            n, ids, marks = [], [], [None] * batch.num_rows
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 members = shingle_hashes(hashes.of(words_of(text)), length)
                 n.append(len(members))
@@ -110,14 +132,15 @@ def _index(length: int, percent: int, segments: int, hold: int = 1_000_000):
                     seen.add(own)
                 if len(members) > ends[-1]:
                     ends = size_bounds(percent, 2 * len(members))
-                lists.append(block_lists(members, percent, ends))
+                own_lists, marks[len(n) - 1] = block_lists(members, percent, ends)
+                lists.append(own_lists)
                 sets.append(np.full(len(lists[-1]), own))
                 held += len(lists[-1])
                 if held >= hold:
                     yield from flush()
                     lists, sets, held = [], [], 0
             segment = [(held + i) % segments for i in range(len(ids))]
-            yield _batch(_ROUTED, len(n), segment=segment, doc_id=batch.column(0), n=n, set_id=ids)
+            yield _batch(_ROUTED, len(n), segment=segment, doc_id=batch.column(0), n=n, set_id=ids, marks=marks)
         if held:
             yield from flush()
 
@@ -129,7 +152,8 @@ def _read_lists(batches):
     lists, sets = [], []
     for batch in batches:
         docs = batch.filter(batch.column("n").is_valid())
-        yield _batch(_FOUND, len(docs), doc_id=docs.column("doc_id"), n=docs.column("n"), set_id=docs.column("set_id"))
+        yield _batch(_FOUND, len(docs), doc_id=docs.column("doc_id"), n=docs.column("n"), set_id=docs.column("set_id"),
+                     marks=docs.column("marks"))
         entries = batch.filter(batch.column("lists").is_valid())
         lists += [np.frombuffer(x, np.uint64) for x in entries.column("lists").to_pylist()]
         sets += [np.frombuffer(x, np.uint64) for x in entries.column("sets").to_pylist()]
@@ -179,18 +203,105 @@ def _members(docs: DataFrame, wanted: DataFrame, length: int, id_col: str, text:
     return own.select("set_id", "text").mapInArrow(build, "set_id long, members array<long>")
 
 
-def _linked(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose sets are similar."""
-    left = members.select(F.col("set_id").alias("a"), F.col("members").alias("ma"))
-    right = members.select(F.col("set_id").alias("b"), F.col("members").alias("mb"))
+def _possible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those that their sizes and blocks do not rule out."""
+    def keep(batches):
+        ends = size_bounds(percent, 1)
+        for batch in batches:
+            kept = []
+            for na, ma, nb, mb in zip(*(batch.column(c).to_pylist() for c in ("na", "ma", "nb", "mb"))):
+                if max(na, nb) > ends[-1]:
+                    ends = size_bounds(percent, 2 * max(na, nb))
+                kept.append(may_be_similar(na, ma, nb, mb, percent, ends))
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    for side in ("a", "b"):
+        pairs = pairs.join(marks.select(F.col("set_id").alias(side), F.col("n").alias(f"n{side}"), F.col("marks").alias(f"m{side}")), side)
+    return pairs.mapInArrow(keep, "a long, b long")
+
+
+def _linked(pairs: DataFrame, members, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those whose sets are similar; ``members(pairs)`` gives the sets."""
+    own = members(pairs)
+    left = own.select(F.col("set_id").alias("a"), F.col("members").alias("ma"))
+    right = own.select(F.col("set_id").alias("b"), F.col("members").alias("mb"))
     small, large = F.least(F.size("ma"), F.size("mb")), F.greatest(F.size("ma"), F.size("mb"))
     both = F.size(F.array_intersect("ma", "mb"))
     return (
-        pairs.join(right, "b").join(left, "a").where(100 * small >= percent * large)
+        pairs.join(right, "b").join(left, "a")
         .where(100 * both >= percent * (small + large - both)).select("a", "b").distinct()
     )
 
 
+def overlap_links(a_ids, a_sets, a_comp, b_ids, b_sets, b_comp, percent: int) -> list[tuple[int, int]]:
+    """Edges that join the components of similar sets of two lists, as few as join them.
+
+    The members of the second list are sorted into one index; a set of the first looks its members up and
+    counts the owners, which gives its overlap with every set at once.
+    """
+    parent: dict = {}
+
+    def root(c):
+        while parent.get(c, c) != c:
+            parent[c] = parent.get(parent[c], parent[c])
+            c = parent[c]
+        return c
+
+    sizes = np.array([len(s) for s in b_sets])
+    elements, owners = np.concatenate(b_sets), np.repeat(np.arange(len(b_sets)), sizes)
+    order = np.argsort(elements, kind="stable")
+    elements, owners = elements[order], owners[order]
+    out = []
+    for own, members, comp in zip(a_ids, a_sets, a_comp):
+        lo, hi = np.searchsorted(elements, members, "left"), np.searchsorted(elements, members, "right")
+        n = hi - lo
+        lo, n = lo[n > 0], n[n > 0]
+        if not len(n):
+            continue
+        at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        both = np.bincount(owners[at], minlength=len(sizes))
+        for j in np.flatnonzero(100 * both >= percent * (len(members) + sizes - both)).tolist():
+            x, y = root(comp), root(b_comp[j])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((own, b_ids[j]))
+    return out
+
+
+def _family_links(long: DataFrame, marks: DataFrame, members, nodes: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that join components of sets which meet in long lists.
+
+    A family is what such lists connect.  It is cut, by size of set, into chunks of about ``CHUNK`` members, and a task
+    compares two chunks, so a family may be larger than any task; between chunks only those of
+    comparable sizes meet.
+    """
+    family = connected_components(long.select(F.col("first").alias("a"), F.col("set_id").alias("b")))
+    sets = family.withColumnRenamed("node", "set_id").join(marks.select("set_id", "n"), "set_id")
+    total = F.sum("n").over(Window.partitionBy("component").orderBy("n", "set_id").rowsBetween(Window.unboundedPreceding, 0))
+    sets = written(_labelled(sets.withColumn("chunk", F.floor((total - 1) / CHUNK)), nodes, "set_id"), "families")
+    ranges = sets.groupBy("component", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    left, right = ranges.toDF("component", "i", "lo_i", "hi_i"), ranges.toDF("component", "j", "lo_j", "hi_j")
+    meet = left.join(right, "component").where((F.col("i") <= F.col("j")) & (100 * F.col("hi_i") >= percent * F.col("lo_j")))
+    sides = meet.select("component", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk"))
+    own = members(sets.select(F.col("set_id").alias("a"), F.col("set_id").alias("b")))
+
+    def compare(rows):
+        if not len(rows):
+            return rows.assign(a=0, b=0)[["a", "b"]]
+        i, j = rows["i"].iat[0], rows["j"].iat[0]
+        parts = []
+        for chunk in (i, j):
+            own = rows[rows["chunk"] == chunk]
+            parts += [own["set_id"].tolist(), [np.asarray(m) for m in own["members"]], own["c_set_id"].tolist()]
+        found = overlap_links(*parts, percent)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    rows = own.join(sets, "set_id").join(sides, ["component", "chunk"])
+    return written(
+        rows.select("component", "i", "j", "chunk", "set_id", "c_set_id", "members").groupBy("component", "i", "j")
+        .applyInPandas(compare, "a long, b long"), "family_links")
+
+
 def _labelled(rows: DataFrame, nodes: DataFrame, on: str) -> DataFrame:
     """The rows with the component of the set in column ``on``."""
     named = nodes.select(F.col("node").alias(on), F.col("component").alias(f"c_{on}"))
@@ -209,9 +320,10 @@ def similar_groups(docs: DataFrame, length: int = 5, percent: int = 80, id_col:
     by the pigeonhole principle similar sets meet in a list, and all positions outside equal
     blocks are skipped.  *Set relations*: in a list every set is compared with the list's leader
     only; sets found similar, directly or through others, share an answer, so their other pairs
-    are not looked at.  Lists that still hold sets of several components are gone through again
-    with ``PIVOTS`` more leaders each round, which then leave them, until none is left.
-    So no pair that could join two components is missed, and no list is expanded to all pairs.
+    are not looked at.  Lists that still hold sets of several components are gone through again: short
+    ones pair by pair, long ones as families (lists with common sets) in which an index gives a set's
+    overlaps with all others at once (``_family_links``); only pairs across components can add an edge.
+    So no pair that could join two components is missed, and no long list is expanded to pairs.
 
     No words or no text: empty set, n_shingles 0, alone.  Null doc_id: n_shingles as usual,
     component_id null, links with nothing.  Repeated rows are copies.  Other columns are ignored.
@@ -224,42 +336,44 @@ def similar_groups(docs: DataFrame, length: int = 5, percent: int = 80, id_col:
         .mapInArrow(_read_lists, _ddl(_FOUND)), "lists")
     rows = found.where("n is not null").select("doc_id", "n", "set_id")
     lists = found.where("list_id is not null").select("list_id", "leader", "member")
-    pairs = written(lists.groupBy(F.col("leader").alias("a"), F.col("member").alias("b")).agg(F.count("*").alias("shared")), "pairs")
-    involved = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+    marks = found.where("marks is not null").groupBy("set_id").agg(F.max("n").alias("n"), F.max("marks").alias("marks"))
     least = rows.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    wanted = written(least.join(involved, "set_id", "left_semi").select("doc_id", "set_id"), "wanted")
-    members = written(_members(docs, wanted, length, id_col, text), "members")
+
+    def members(pairs):
+        involved = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+        wanted = written(least.join(involved, "set_id", "left_semi").select("doc_id", "set_id"), "wanted")
+        return written(_members(docs, wanted, length, id_col, text), "members")
+
+    def links(pairs):
+        possible = written(_possible(pairs, marks, percent), "possible")
+        return None if possible.isEmpty() else written(_linked(possible, members, percent), "links")
+
+    pairs = written(lists.groupBy(F.col("leader").alias("a"), F.col("member").alias("b")).agg(F.count("*").alias("shared")), "pairs")
     # first the leader that shares most lists; then those that could still join two components
-    closest = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
-    edges = written(_linked(closest, members, percent), "links")
+    closest = written(pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b"), "closest")
+    edges = links(closest)
+    if edges is None:
+        edges = closest.limit(0)
     nodes = written(connected_components(edges), "nodes")
     others = pairs.join(closest, ["a", "b"], "left_anti").select("a", "b")
-    others = _labelled(_labelled(others, nodes, "a"), nodes, "b").where("c_a != c_b").select("a", "b")
-    edges = edges.union(written(_linked(others, members, percent), "links"))
-    nodes = written(connected_components(edges), "nodes")
+    more = links(_labelled(_labelled(others, nodes, "a"), nodes, "b").where("c_a != c_b").select("a", "b"))
+    if more is not None:
+        edges = edges.union(more)
+        nodes = written(connected_components(edges), "nodes")
     # leaders were compared with all of their list: only other members can hide a link between components
-    leaders = _labelled(_labelled(lists, nodes, "leader"), nodes, "member").where("c_leader != c_member")
-    rest = lists.join(leaders.select("list_id").distinct(), "list_id", "left_semi").select("list_id", F.col("member").alias("set_id"))
-    while True:
-        rest = _labelled(rest, nodes, "set_id")
-        sizes = rest.groupBy("list_id", "c_set_id").agg(F.count("*").alias("size"))
-        several = sizes.groupBy("list_id").agg(F.count("*").alias("k")).where("k > 1").select("list_id")
-        rest = written(rest.join(several, "list_id", "left_semi"), "rest")
-        place = F.row_number().over(Window.partitionBy("list_id").orderBy("size", "c_set_id", "set_id"))
-        pivots = written(
-            rest.join(sizes, ["list_id", "c_set_id"]).withColumn("place", place).where(F.col("place") <= PIVOTS)
-            .select("list_id", F.col("set_id").alias("pivot"), F.col("c_set_id").alias("c_pivot")), "pivots")
-        pairs = written(
-            rest.join(pivots, "list_id").where("c_set_id != c_pivot")
-            .select(F.least("pivot", "set_id").alias("a"), F.greatest("pivot", "set_id").alias("b")).distinct(), "pairs")
-        if pairs.isEmpty():
-            break
-        more = written(_linked(pairs, members, percent), "links")
-        if not more.isEmpty():
-            edges = edges.union(more)
-            nodes = written(connected_components(edges), "nodes")
-        done = pivots.select("list_id", F.col("pivot").alias("set_id"))
-        rest = rest.select("list_id", "set_id").join(done, ["list_id", "set_id"], "left_anti")
+    hidden = _labelled(_labelled(lists, nodes, "leader"), nodes, "member").where("c_leader != c_member").select("list_id").distinct()
+    rest = _labelled(lists.join(hidden, "list_id", "left_semi").select("list_id", F.col("member").alias("set_id")), nodes, "set_id")
+    sizes = rest.groupBy("list_id").agg(F.count("*").alias("m"), F.min("set_id").alias("first"), F.min("c_set_id").alias("c0"), F.max("c_set_id").alias("c1"))
+    rest = written(rest.join(sizes.where("c0 != c1").drop("c0", "c1"), "list_id"), "rest")
+    short = rest.where(F.col("m") <= SHORT).select("list_id", F.col("set_id").alias("a"), F.col("c_set_id").alias("ca"))
+    other = short.select("list_id", F.col("a").alias("b"), F.col("ca").alias("cb"))
+    more = links(short.join(other, "list_id").where("a < b and ca != cb").select("a", "b").distinct())
+    if more is not None:
+        edges = edges.union(more)
+    long = rest.where(F.col("m") > SHORT)
+    if not long.isEmpty():
+        edges = edges.union(_family_links(long, marks, members, nodes, percent))
+    nodes = written(connected_components(edges), "nodes")
     # set -> least document of its component
     named = least.join(nodes.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
         "component", F.coalesce("component", "set_id"))
