@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ class Encoder:
     their offsets.  At most ``2 * limit`` words are remembered.
     """
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -51,6 +52,12 @@ class Encoder:
         return b"".join(map(self.young.__getitem__, words))
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One encoder per worker process: what a task has learnt serves the next one."""
+    return Encoder(path)
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, key long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                      ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("key", pa.int64())])
@@ -66,7 +73,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int = 4096, end_id: int
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches):
-        encoder, n = Encoder(vocabulary), 0
+        encoder, n = _encoder(vocabulary), 0
         base = TaskContext.get().partitionId() << 40
         for batch in batches:
             for first in range(0, batch.num_rows, 200):
