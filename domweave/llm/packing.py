@@ -115,53 +115,57 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
-def swap_search(bins: list[list[int]], lengths: np.ndarray, size: int, passes: int = 40) -> list[list[int]]:
+def _transfer(giver: list[int], taker: list[int], lengths: np.ndarray, room: int) -> tuple[int, tuple, tuple]:
+    """(gain, over, back): the move or exchange that fills the taker most: one over, one for one, or two for one."""
+    own = sorted((int(lengths[i]), i) for i in giver)
+    best = (0, (), ())
+    for n, i in own:
+        if best[0] < n <= room:
+            best = (n, (i,), ())
+    for back, j in sorted((int(lengths[j]), j) for j in taker):
+        for k, (n, i) in enumerate(own):
+            if n - back > room or best[0] == room:
+                break
+            if n - back > best[0]:
+                best = (n - back, (i,), (j,))
+            for m, h in own[k + 1 :]:
+                if n + m - back > room:
+                    break
+                if n + m - back > best[0]:
+                    best = (n + m - back, (i, h), (j,))
+    return best
+
+
+def swap_search(bins: list[list[int]], lengths: np.ndarray, size: int, passes: int = 40, tries: int = 20_000) -> list[list[int]]:
     """Fewer bins by moves and exchanges that raise the sum of squared fills until bins are empty.
 
-    The least filled bin gives to the fuller ones that have room: a document moves, is
-    exchanged for a shorter one, or two are exchanged for one shorter than both together.
-    Each step takes, for a bin, what leaves the least room there.  Ends at the lower bound
-    on the number of bins, or when a pass over the underfull bins changes nothing.
+    Underfull bins give to fuller ones that have room, the least filled first: a document
+    moves, is exchanged for a shorter one, or two are exchanged for one shorter than both
+    together.  Each step raises the sum of squares, so none is undone.  Ends at the lower bound on
+    the number of bins, when a pass changes nothing, or after ``tries`` pairs of bins.
     """
-    fill = [int(lengths[b].sum()) for b in bins]
-    bins = [list(b) for b in bins]
-    least = -(-sum(fill) // size)
+    bins, fill = [list(b) for b in bins], [int(lengths[b].sum()) for b in bins]
+    least, used = -(-sum(fill) // size), sum(f > 0 for f in fill)
     for _ in range(passes):
         under = sorted((b for b in range(len(bins)) if 0 < fill[b] < size), key=lambda b: (fill[b], b))
-        if sum(f > 0 for f in fill) <= least or len(under) < 2:
-            break
         changed = False
-        giver = under[0]
-        for taker in reversed(under[1:]):
-            room = size - fill[taker]
-            if not bins[giver]:
-                break
-            own = sorted(((int(lengths[i]), i) for i in bins[giver]))
-            best = (0, None, None)
-            for n, i in own:
-                if best[0] < n <= room:
-                    best = (n, (i,), ())
-            # one for one and two for one: what goes over must exceed what comes back
-            for back, j in ((int(lengths[j]), j) for j in bins[taker]):
-                for k, (n, i) in enumerate(own):
-                    if best[0] < n - back <= room:
-                        best = (n - back, (i,), (j,))
-                    if n - back > room:
-                        break
-                    for m, h in own[k + 1 : k + 65]:
-                        if n + m - back > room:
-                            break
-                        if n + m - back > best[0]:
-                            best = (n + m - back, (i, h), (j,))
-                if best[0] == room:
+        for g, giver in enumerate(under):
+            for taker in reversed(under[g + 1 :]):
+                if used <= least or tries <= 0:
+                    return [b for b in bins if b]
+                if not bins[giver]:
                     break
-            gain, over, back = best
-            if over is not None:
-                bins[giver] = [i for i in bins[giver] if i not in over] + list(back)
-                bins[taker] = [j for j in bins[taker] if j not in back] + list(over)
-                fill[giver] -= gain
-                fill[taker] += gain
-                changed = True
+                if fill[taker] == size or fill[taker] < fill[giver]:
+                    continue
+                tries -= 1
+                gain, over, back = _transfer(bins[giver], bins[taker], lengths, size - fill[taker])
+                if gain:
+                    bins[giver] = [i for i in bins[giver] if i not in over] + list(back)
+                    bins[taker] = [j for j in bins[taker] if j not in back] + list(over)
+                    fill[giver] -= gain
+                    fill[taker] += gain
+                    used -= not bins[giver]
+                    changed = True
         if not changed:
             break
     return [b for b in bins if b]
