@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from domweave.functions.skew import join_per_key
@@ -18,7 +18,7 @@ from domweave.session import written
 SPARE = 3
 #: Lists of so many sets are paired off; the sets of longer ones are compared family by family.
 SHORT = 32
-#: Members of the sets that are indexed together in a task.
+#: Members (or bytes) of the sets that are indexed together in a task.
 CHUNK = 500_000
 
 
@@ -95,7 +95,7 @@ _FOUND = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int
 
 
 def _ddl(schema: pa.Schema) -> str:
-    names = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.float64(): "double"}
+    names = {pa.bool_(): "boolean", pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.float64(): "double"}
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
@@ -268,22 +268,76 @@ def overlap_links(a_ids, a_sets, a_comp, b_ids, b_sets, b_comp, percent: int) ->
     return out
 
 
+def _chunked(rows: DataFrame, keys: list[str], weight: Column, percent: int) -> DataFrame:
+    """The rows once for each pair (i, j) of chunks of their group that is to be compared.
+
+    A group is cut, by size of set, into chunks of about ``CHUNK`` bytes or members, so it may be larger than any
+    task; chunks whose sizes are not comparable do not meet.
+    """
+    total = F.sum(weight).over(Window.partitionBy(*keys).orderBy("n", "set_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = written(rows.withColumn("chunk", F.floor((total - 1) / CHUNK)), "chunks")
+    ranges = rows.groupBy(*keys, "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    left, right = ranges.toDF(*keys, "i", "lo_i", "hi_i"), ranges.toDF(*keys, "j", "lo_j", "hi_j")
+    meet = left.join(right, keys).where((F.col("i") <= F.col("j")) & (100 * F.col("hi_i") >= percent * F.col("lo_j")))
+    sides = meet.select(*keys, "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk"))
+    return rows.join(sides, [*keys, "chunk"])
+
+
+def _promising(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """set_id of the sets that blocks do not rule out for every set of another component in their family."""
+    def anchored(batches):
+        ends = size_bounds(percent, 1)
+        for batch in batches:
+            out = []
+            for component, own, n, marks, comp in zip(*(c.to_pylist() for c in batch.columns)):
+                if n > ends[-1]:
+                    ends = size_bounds(percent, 2 * n)
+                at, anchor, top = 0, int(np.searchsorted(ends, n)), int(np.searchsorted(ends, n))
+                while at < len(marks):
+                    k = blocks_of(ends[anchor], percent)
+                    out.append((component, anchor, own, n, comp, anchor == top, marks[at : at + k]))
+                    at, anchor = at + k, anchor - 1
+            columns = list(zip(*out)) or [()] * len(_ANCHORED)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ANCHORED)], schema=_ANCHORED)
+
+    def compare(rows):
+        if not len(rows):
+            return rows[["set_id"]]
+        i, j = rows["i"].iat[0], rows["j"].iat[0]
+        one, two = rows[rows["chunk"] == i], rows[rows["chunk"] == j]
+        blocks = np.frombuffer(b"".join(two["mark"]), np.uint8).reshape(len(two), -1)
+        n, comp, own = two["n"].to_numpy(), two["c_set_id"].to_numpy(), two["own"].to_numpy()
+        hit = np.zeros(len(two), bool)
+        found = []
+        for set_id, size, c, is_own, mark in zip(one["set_id"], one["n"], one["c_set_id"], one["own"], one["mark"]):
+            differ = np.count_nonzero(blocks != np.frombuffer(mark, np.uint8), axis=1)
+            fits = (differ <= (n + size) * (100 - percent) // (100 + percent)) & (comp != c) & (own | is_own)
+            if fits.any():
+                found.append(set_id)
+                hit |= fits
+        return pd.DataFrame({"set_id": sorted({*found, *two["set_id"].to_numpy()[hit].tolist()})}, dtype="int64")
+
+    rows = _labelled(sets, nodes, "set_id").select("component", "set_id", "n", "marks", "c_set_id").mapInArrow(anchored, _ddl(_ANCHORED))
+    return _chunked(rows, ["component", "anchor"], F.length("mark"), percent).groupBy("component", "anchor", "i", "j").applyInPandas(
+        compare, "set_id long").distinct()
+
+
+_ANCHORED = pa.schema([("component", pa.int64()), ("anchor", pa.int32()), ("set_id", pa.int64()), ("n", pa.int64()), ("c_set_id", pa.int64()),
+                       ("own", pa.bool_()), ("mark", pa.binary())])
+
+
 def _family_links(long: DataFrame, marks: DataFrame, members, nodes: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) that join components of sets which meet in long lists.
 
-    A family is what such lists connect.  It is cut, by size of set, into chunks of about ``CHUNK`` members, and a task
-    compares two chunks, so a family may be larger than any task; between chunks only those of
-    comparable sizes meet.
+    A family is what such lists connect.  The blocks' bytes leave those sets of it that may have a similar
+    set in another component; these are compared whole, a task taking two chunks of a family.
     """
     family = connected_components(long.select(F.col("first").alias("a"), F.col("set_id").alias("b")))
-    sets = family.withColumnRenamed("node", "set_id").join(marks.select("set_id", "n"), "set_id")
-    total = F.sum("n").over(Window.partitionBy("component").orderBy("n", "set_id").rowsBetween(Window.unboundedPreceding, 0))
-    sets = written(_labelled(sets.withColumn("chunk", F.floor((total - 1) / CHUNK)), nodes, "set_id"), "families")
-    ranges = sets.groupBy("component", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    left, right = ranges.toDF("component", "i", "lo_i", "hi_i"), ranges.toDF("component", "j", "lo_j", "hi_j")
-    meet = left.join(right, "component").where((F.col("i") <= F.col("j")) & (100 * F.col("hi_i") >= percent * F.col("lo_j")))
-    sides = meet.select("component", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk"))
-    own = members(sets.select(F.col("set_id").alias("a"), F.col("set_id").alias("b")))
+    sets = written(family.withColumnRenamed("node", "set_id").join(marks, "set_id"), "family")
+    left = written(_promising(sets, nodes, percent), "promising")
+    sets = _labelled(sets.drop("marks").join(left, "set_id", "left_semi"), nodes, "set_id")
+    rows = _chunked(sets, ["component"], F.col("n"), percent)
+    own = members(left.select(F.col("set_id").alias("a"), F.col("set_id").alias("b")))
 
     def compare(rows):
         if not len(rows):
@@ -296,9 +350,8 @@ def _family_links(long: DataFrame, marks: DataFrame, members, nodes: DataFrame,
         found = overlap_links(*parts, percent)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    rows = own.join(sets, "set_id").join(sides, ["component", "chunk"])
     return written(
-        rows.select("component", "i", "j", "chunk", "set_id", "c_set_id", "members").groupBy("component", "i", "j")
+        rows.join(own, "set_id").select("component", "i", "j", "chunk", "set_id", "c_set_id", "members").groupBy("component", "i", "j")
         .applyInPandas(compare, "a long, b long"), "family_links")
 
 
