@@ -81,6 +81,8 @@ MAX_DEPTH = 512
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 SPECIAL = CLOSES_P | SCOPE | frozenset("tr thead tbody tfoot body head select".split())
 
+#: What separates classes in HTML; other blanks, such as the no-break space, belong to a class.
+_BLANKS = re.compile(r"[ \t\n\f\r]+")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>"
     r"|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>",
@@ -121,7 +123,7 @@ class _Builder:
         if attrs:
             node.id, classes = attrs.get("id"), attrs.get("class")
             setattr(node, "class", classes)
-            node.classes = classes.split() if classes else ()
+            node.classes = [c for c in _BLANKS.split(classes) if c] if classes else ()
         else:
             node.id, node.classes = None, ()
             setattr(node, "class", None)

@@ -208,7 +208,7 @@ def duplicate_issues(
         .where(F.col("entry").isNotNull())
         .select(job, *order, "entry.*")
     )
-    digest = F.when(F.length("value") <= 64, F.col("value")).otherwise(F.sha2(F.col("value"), 256))
+    digest = F.sha2(F.col("value"), 256)
     # a single number can be reduced in a hash table, a struct needs a sort
     earliest = F.min(order[0]).alias(order[0]) if len(order) == 1 else F.min(F.struct(*order)).alias("first")
     first = held.groupBy(job, "field", digest.alias("digest")).agg(earliest)

@@ -858,3 +858,20 @@ def job_run(spark, sf_dir):
 def job_preview(spark, sf_dir):
     shown, totals = scrape.preview_jobs(shop_jobs(spark, sf_dir), spread(rendered.catalog(spark, sf_dir)), ".product")
     return shown.join(totals, "job_id").select("job_id", "links", "total_found", "advice")
+
+
+@query(
+    "job_run_gaps",
+    f"""
+    -- page 3 is not stored: no job goes beyond page 2
+    WITH {_TAKEN}
+    SELECT job_id, page_id, p_name AS title FROM t JOIN part ON p_partkey // 20 = page_id WHERE page_id < 3
+    """,
+)
+def job_run_gaps(spark, sf_dir):
+    schema = Schema({"title": FieldRule("text", required=True)})
+    stored = rendered.catalog(spark, sf_dir).where("page_id != 3")
+    items, _, _ = scrape.run_jobs(
+        shop_jobs(spark, sf_dir), stored, ".product", [Field("title", css(".title"), multiple=False)], schema, css(".next"), "button", parts=(),
+    )
+    return items.select("job_id", "page_id", "title")

@@ -59,7 +59,7 @@ def page_titles(spark, sf_dir):
     return found.select("page_id", F.trim(F.array_join("texts", "")).alias("title"))
 
 
-_TAGS = "html head meta title style script body nav ul li a div article h1 p br footer"
+_TAGS = "html head meta title style script body nav ul li a div article h1 p b br footer"
 
 
 @query(
@@ -71,7 +71,7 @@ _TAGS = "html head meta title style script body nav ul li a div article h1 p br
     """,
 )
 def tag_counts(spark, sf_dir):
-    nodes = elements(parsed(stored(spark, sf_dir))).where(F.col("tag") != "b")
+    nodes = elements(parsed(stored(spark, sf_dir)))
     per_page = nodes.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
     return per_page.groupBy("tag").agg(F.sum("n").alias("elements"), F.count(F.lit(1)).alias("pages"))
 

@@ -14,19 +14,23 @@ from domweave.operators.validate import Schema, apply_validation
 from domweave.plans import rules as R
 
 
-def job_pages(jobs: DataFrame, pages: DataFrame) -> DataFrame:
-    """(job_id, page_no, page_id) of every stored page the accepted jobs may visit.
+def job_visits(jobs: DataFrame, pages: DataFrame) -> DataFrame:
+    """(job_id, page_no, page_id) of every page the accepted jobs may visit; page_id is null where none is stored.
 
     Jobs that break a rule are left out.
     """
     ready = job_ops.with_defaults(jobs).where(F.size(job_ops.job_errors()) == 0)
-    found = paging.visit(paging.frontier(ready), pages.select("url", "page_id"))
-    return found.where(F.col("page_id").isNotNull()).select("job_id", "page_no", "page_id")
+    return paging.visit(paging.frontier(ready), pages.select("url", "page_id")).select("job_id", "page_no", "page_id")
+
+
+def job_pages(jobs: DataFrame, pages: DataFrame) -> DataFrame:
+    """The stored pages among the visits."""
+    return job_visits(jobs, pages).where(F.col("page_id").isNotNull())
 
 
 def _parsed(visits: DataFrame, pages: DataFrame) -> DataFrame:
     """Each visited page once, however many jobs visit it."""
-    wanted = visits.select("page_id").distinct()
+    wanted = visits.select("page_id").where(F.col("page_id").isNotNull()).distinct()
     return parse_pages(pages.select("page_id", "html").join(wanted, "page_id", "left_semi"))
 
 
@@ -37,14 +41,15 @@ def run_jobs(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(items, messages, stats) of jobs over stored pages.
 
-    Pages are taken while the one before had a next-page marker, items are extracted
+    Pages are taken while the one before had a next-page marker and none was missing, items are extracted
     and cleaned.  Without a schema the first item decides its types.  Markers and items
     are found per page and only then handed to the jobs that visit it.
     """
-    visits = job_pages(jobs, pages)
+    visits = job_visits(jobs, pages)
     dom = _parsed(visits, pages)
     markers = paging.has_next_page(dom, paging_type, next_page)
-    taken = paging.take_while_next(visits.join(markers, "page_id")).drop("has_next")
+    # missing pages stay until the stop rule has seen them: a job ends there
+    taken = paging.take_while_next(visits.join(markers, "page_id", "left")).drop("has_next").where(F.col("page_id").isNotNull())
     items = drop_empty(extract_items(dom, item_selector, fields, parts=parts))
     return apply_validation(taken.join(items, "page_id"), schema, "job_id", ("page_no", "page_id", "item_id"))
 

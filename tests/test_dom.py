@@ -131,3 +131,13 @@ def test_script_text_can_be_left_out(spark):
     pages = spark.createDataFrame([(1, "<body>a<script>b</script>c")], "page_id long, html string")
     assert parse_pages(pages, script_text=False).first()["doc_text"] == "ac"
     assert parse_pages(pages).first()["doc_text"] == "abc"
+
+
+def test_classes_are_cut_at_html_blanks_only(spark):
+    pages = spark.createDataFrame([(1, '<p class=" a\tb\u00a0c\n">x</p>')], "page_id long, html string")
+    from domweave.functions.selectors import css
+    from domweave.operators.extract import matched_texts
+
+    dom = parse_pages(pages)
+    assert matched_texts(dom, css(".a")).first().texts == ["x"]
+    assert matched_texts(dom, css(".b")).first().texts in (None, [])
