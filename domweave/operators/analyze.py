@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from domweave.functions.selectors import css, literal
-from domweave.operators.dom import above_sql, text_sql, unnest
+from domweave.operators.dom import above_sql, text_head_sql, text_sql, unnest
 from domweave.plans import rules as R
 
 
@@ -74,9 +74,9 @@ def main_content() -> str:
     known = [
         f"get(transform(slice({css(s).hits()}, 1, 1), n -> {area(literal(s), 'false')}), 0)" for s in R.MAIN_CONTENT
     ]
-    divs = "filter(nodes, n -> n.tag = 'div' AND n.text_end > n.text_start)"
+    divs = "filter(nodes, n -> n.tag = 'div' AND n.text_length > 0)"
     longest = (
-        f"array_max(transform({divs}, n -> named_struct('size', n.text_end - n.text_start, 'order', -n.node_id, "
+        f"array_max(transform({divs}, n -> named_struct('size', n.text_length, 'order', -n.node_id, "
         f"'area', {area(short_selector_sql('n'), 'true')}))).area"
     )
     return f"coalesce({', '.join(known)}, {longest})"
@@ -185,7 +185,7 @@ def _mark_rows(dom: DataFrame, described: Column, keep: tuple[str, ...], extra:
     otherwise every mark would carry a copy of it into the aggregation.
     """
     rows = unnest(dom, described, *keep, "doc_text").select("*", F.inline_outer("marks"))
-    head = F.expr(f"if(kind IN ('group', 'selector'), substring({text_sql()}, 1, {R.GROUP_SAMPLE_LENGTH}), NULL)")
+    head = F.expr(f"if(kind IN ('group', 'selector'), {text_head_sql(R.GROUP_SAMPLE_LENGTH)}, NULL)")
     columns = [*keep, "kind", "key", "outer", "inner", "node_id", "n_children", "selector", *extra]
     boxed = F.expr("if(kind IN ('table', 'list', 'form'), attrs, NULL)")
     return rows.where(F.col("kind").isNotNull()).select(*columns, boxed.alias("attrs"), head.alias("head"))

@@ -16,6 +16,7 @@ from html.entities import html5
 from itertools import accumulate, chain
 from operator import attrgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,11 +40,12 @@ ELEMENT_FIELDS = {
     "type_count": "int",
     "n_children": "int",
     "own_text": "string",
-    "text_start": "int",  # character range of the subtree in doc_text
+    "text_length": "int",  # characters of the subtree's text
+    "text_start": "int",  # byte range of the subtree in doc_text
     "text_end": "int",
     "trim_start": "int",  # the same without outer blanks
     "trim_end": "int",
-    "html_start": "int",  # character range between the tags in the source
+    "html_start": "int",  # byte range between the tags in the source
     "html_end": "int",
 }
 ELEMENT_TYPE = "struct<" + ",".join(f"{n}:{t}" for n, t in ELEMENT_FIELDS.items()) + ">"
@@ -85,7 +87,8 @@ SPECIAL = CLOSES_P | SCOPE | frozenset("tr thead tbody tfoot body head select".s
 _BLANKS = re.compile(r"[ \t\n\f\r]+")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>",
+    r"|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>"
+    r"|<(?P<unclosed>[!?]|/?[a-zA-Z])",
     re.S,
 )
 _ATTR = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
@@ -227,6 +230,8 @@ class _Builder:
     def run(self):
         source, at = self.source, 0
         while m := _TOKEN.search(source, at):
+            if m.group("unclosed"):  # no end up to the end of the page: the rest is text, and is read once
+                break
             if m.start() > at:
                 self.add_text(_entities.unescape(source[at : m.start()]), at)
             at = m.end()
@@ -259,6 +264,7 @@ class _Builder:
                 node.own_text = text.strip(BLANK)
             node.type_count = 1 if node.parent_id is None else self.nodes[node.parent_id].kinds[node.tag]
             start, end = node.text_start, node.text_end
+            node.text_length = end - start
             if start < end and (doc[start] in blank or doc[end - 1] in blank):
                 if first := _NON_BLANK.search(doc, start, end):
                     start = first.start()
@@ -271,6 +277,26 @@ class _Builder:
         return doc, self.nodes
 
 
+def _byte_offsets(text):
+    """Byte offset in UTF-8 of every character place; None where the two are the same."""
+    if text.isascii():
+        return None
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    widths = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+    return [0, *np.cumsum(widths).tolist()]
+
+
+def _to_bytes(nodes, source, doc):
+    """Turn the character ranges of a page's elements into byte ranges: slices of binary cost their own length only."""
+    if at := _byte_offsets(doc):
+        for node in nodes:
+            node.text_start, node.text_end = at[node.text_start], at[node.text_end]
+            node.trim_start, node.trim_end = at[node.trim_start], at[node.trim_end]
+    if at := _byte_offsets(source):
+        for node in nodes:
+            node.html_start, node.html_end = at[node.html_start], at[node.html_end]
+
+
 def _nested(rows, inner):
     """Arrow list array from Python lists and the function that packs their flat contents."""
     offsets, flat = [0, *accumulate(map(len, rows))], list(chain.from_iterable(rows))
@@ -313,6 +339,7 @@ def _parser(script_text: bool):
             for source in pages.to_pylist():
                 try:
                     doc, nodes = _Builder(source or "", script_text).run()
+                    _to_bytes(nodes, source or "", doc)
                     error = None
                 except Exception as failure:  # one bad page must not fail the job
                     doc, nodes, error = "", [], f"{type(failure).__name__}: {failure}"
@@ -350,8 +377,11 @@ def unnest(dom: DataFrame, rows: Column, *keep: str) -> DataFrame:
 
     The outer form plus a filter is used because for the inner form the optimizer
     infers ``size(rows) > 0`` below the generator and so computes ``rows`` twice.
+    Page texts among ``keep`` become binary, once per page, so that the cuts of their
+    elements are byte slices.
     """
-    out = dom.select(*keep, F.inline_outer(rows))
+    binary = {c: F.col(c).cast("binary") for c in ("doc_text", "html") if c in keep}
+    out = dom.withColumns(binary).select(*keep, F.inline_outer(rows))
     first = [c for c in out.columns if c not in keep][0]
     return out.where(F.col(first).isNotNull())
 
@@ -361,10 +391,20 @@ def elements(dom: DataFrame, *keep: str) -> DataFrame:
     return unnest(dom, F.col("nodes"), *(keep or ("page_id",)))
 
 
+def _slice_sql(text: str, start: str, end: str, most: int | None = None) -> str:
+    size = f"{end} - {start}" if most is None else f"least({end} - {start}, {most})"
+    return f"cast(substring(cast({text} AS BINARY), {start} + 1, {size}) AS STRING)"
+
+
 def text_sql(node: str = "", raw: bool = False) -> str:
     """SQL for the text of a whole subtree (trimmed unless ``raw``), cut from the page's text."""
     at, kind = f"{node}." if node else "", "text" if raw else "trim"
-    return f"substring(doc_text, {at}{kind}_start + 1, {at}{kind}_end - {at}{kind}_start)"
+    return _slice_sql("doc_text", f"{at}{kind}_start", f"{at}{kind}_end")
+
+
+def text_head_sql(length: int) -> str:
+    """SQL for the first ``length`` characters of a trimmed text; a character has four bytes at most."""
+    return f"substring({_slice_sql('doc_text', 'trim_start', 'trim_end', 4 * length)}, 1, {length})"
 
 
 def text_of(raw: bool = False) -> Column:
@@ -373,7 +413,7 @@ def text_of(raw: bool = False) -> Column:
 
 def inner_html() -> Column:
     """Source between the start and the end tag."""
-    return F.expr("substring(html, html_start + 1, html_end - html_start)")
+    return F.expr(_slice_sql("html", "html_start", "html_end"))
 
 
 def above_sql(container, node: str = "n", scope: str = "true") -> str:

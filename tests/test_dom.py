@@ -1,11 +1,13 @@
 """Element tables of hand-written pages."""
 
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from domweave.operators.dom import _Builder, elements, parse_pages
+from domweave.operators.dom import _Builder, elements, inner_html, parse_pages, text_of
 from domweave.session import configure
 
 
@@ -141,3 +143,29 @@ def test_classes_are_cut_at_html_blanks_only(spark):
     dom = parse_pages(pages)
     assert matched_texts(dom, css(".a")).first().texts == ["x"]
     assert matched_texts(dom, css(".b")).first().texts in (None, [])
+
+
+@pytest.mark.parametrize("piece", ["<a ", "</a ", "<!-", '<a x="', '<a x=">" '])
+def test_unclosed_tags_take_linear_time(piece):
+    source = "<p>first</p>" + piece * (1_000_000 // len(piece))
+    begin = time.perf_counter()
+    doc, nodes = _Builder(source, True).run()
+    assert time.perf_counter() - begin < 2
+    assert doc.startswith("first") and [n.tag for n in nodes[:4]] == ["html", "head", "body", "p"]
+
+
+def test_unclosed_tag_at_the_end_is_text():
+    doc, nodes = _Builder("<p>one</p><b>two</b> <a href=", True).run()
+    assert doc == "onetwo <a href=" and [n.tag for n in nodes] == ["html", "head", "body", "p", "b"]
+
+
+def test_byte_ranges_of_wide_characters(spark):
+    html = "<!-- é😀 --><div>  ä<b>€ 😀</b> ü\xa0</div><p>日本 <i>z</i></p>"
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    rows = elements(parse_pages(pages), "page_id", "doc_text", "html").select(
+        "tag", "text_length", text_of().alias("text"), text_of(raw=True).alias("raw"), inner_html().alias("inner")).collect()
+    found = {r["tag"]: tuple(r)[1:] for r in rows}
+    assert found["div"] == (9, "ä€ 😀 ü", "  ä€ 😀 ü\xa0", "  ä<b>€ 😀</b> ü\xa0")
+    assert found["b"] == (3, "€ 😀", "€ 😀", "€ 😀")
+    assert found["p"] == (4, "日本 z", "日本 z", "日本 <i>z</i>")
+    assert found["i"] == (1, "z", "z", "z")
