@@ -48,6 +48,19 @@ class Step:
         return f"coalesce({' AND '.join(conditions)}, false)" if conditions else "true"
 
 
+def some_ancestor_sql(at: str, name: str, condition) -> str:
+    """SQL: some proper ancestor of an element meets ``condition(ancestor)``.
+
+    ``at`` is the prefix of the element's columns.  Parents are walked, so no element
+    stores its ancestors and deep pages stay as small as flat ones.
+    """
+    up = f"get(nodes, {name}.at)"
+    return (
+        f"aggregate(array_repeat(0, {at}depth), named_struct('at', {at}parent_id, 'hit', false), ({name}, {name}k) -> "
+        f"if({name}.hit, {name}, named_struct('at', {up}.parent_id, 'hit', {condition(up)})), {name} -> {name}.hit)"
+    )
+
+
 @dataclass(frozen=True)
 class Selector:
     text: str
@@ -69,8 +82,7 @@ class Selector:
         if last.child:
             above = self._chain(outer, f"get(nodes, {at}parent_id)", level)
         else:
-            above = self._chain(outer, f"get(nodes, a{level})", level + 1)
-            above = f"exists({at}anc, a{level} -> {above})"
+            above = some_ancestor_sql(at, f"a{level}", lambda up: self._chain(outer, up, level + 1))
         return f"({last.sql(node)} AND {above})"
 
     def matches(self) -> Column:

@@ -12,6 +12,7 @@ from __future__ import annotations
 import gc
 import html as _entities
 import re
+from collections import defaultdict
 from html.entities import html5
 from itertools import accumulate, chain
 from operator import attrgetter
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from domweave.functions.selectors import some_ancestor_sql
 from domweave.functions.text import BLANK
 
 ELEMENT_FIELDS = {
@@ -28,7 +30,6 @@ ELEMENT_FIELDS = {
     "last_id": "int",  # node_id of the last descendant
     "parent_id": "int",
     "depth": "int",
-    "anc": "array<int>",  # proper ancestors, outermost first
     "tag": "string",
     "parent_tag": "string",
     "id": "string",
@@ -78,8 +79,6 @@ IMPLIED_END = {
 IMPLIED_END = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED_END.items()}
 SCOPE = frozenset("table td th caption template html button object".split())
 TABLE_PARTS = frozenset("table thead tbody tfoot tr td th caption".split())
-# Deeper elements become siblings at this depth, as in browsers; bounds the ancestor lists.
-MAX_DEPTH = 512
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 SPECIAL = CLOSES_P | SCOPE | frozenset("tr thead tbody tfoot body head select".split())
 
@@ -117,10 +116,9 @@ class _Builder:
     def __init__(self, source: str, script_text: bool):
         self.source, self.script_text = source, script_text
         self.nodes, self.stack, self.text, self.size = [], [], [], 0
+        self.depths = defaultdict(list)  # of the open elements by tag, so that no search walks the stack
 
     def open(self, tag, attrs, at):
-        if len(self.stack) >= MAX_DEPTH:
-            self.close(at)
         node = _Node()
         node.node_id, node.depth, node.tag, node.attrs = len(self.nodes), len(self.stack), tag, attrs
         if attrs:
@@ -135,13 +133,13 @@ class _Builder:
             parent = self.stack[-1]
             kinds = parent.kinds = parent.kinds or {}
             node.parent_id, node.parent_tag, node.child_index = parent.node_id, parent.tag, parent.n_children
-            node.anc = parent.anc + [parent.node_id]
             node.type_index = kinds[tag] = kinds.get(tag, 0) + 1
             parent.n_children += 1
         else:
-            node.parent_id, node.parent_tag, node.child_index, node.type_index, node.anc = None, None, 0, 1, []
+            node.parent_id, node.parent_tag, node.child_index, node.type_index = None, None, 0, 1
         node.text_start, node.html_start = self.size, at
         self.nodes.append(node)
+        self.depths[tag].append(len(self.stack))
         self.stack.append(node)
 
     def close(self, at, depth=None):
@@ -149,19 +147,21 @@ class _Builder:
         depth = len(self.stack) - 1 if depth is None else depth
         while len(self.stack) > depth:
             node = self.stack.pop()
+            self.depths[node.tag].pop()
             node.last_id, node.text_end = len(self.nodes) - 1, self.size
             node.html_end = max(at, node.html_start)
 
     def close_to(self, tags, stops, at):
         """End the innermost open element in ``tags``, unless one in ``stops`` is nearer."""
-        for depth in range(len(self.stack) - 1, 1, -1):
-            tag = self.stack[depth].tag
-            if tag in tags:
-                self.close(at, depth)
-                return True
-            if tag in stops:
-                return False
-        return False
+        if len(self.stack) > 2 and self.stack[-1].tag in tags:
+            self.close(at)
+            return True
+        depths = self.depths
+        hit = max((depths[t][-1] for t in tags if depths.get(t)), default=0)
+        if hit < 2 or any(depths[t][-1] > hit for t in stops if depths.get(t)):
+            return False
+        self.close(at, hit)
+        return True
 
     @property
     def in_body(self):
@@ -416,9 +416,16 @@ def inner_html() -> Column:
     return F.expr(_slice_sql("html", "html_start", "html_end"))
 
 
-def above_sql(container, node: str = "n", scope: str = "true") -> str:
-    """SQL for the ids of the proper ancestors of ``node`` that match ``container``.
+def above_sql(container, node: str = "n", within=None) -> str:
+    """SQL for the ids of the proper ancestors of ``node`` that match ``container``, outermost first.
 
-    ``scope`` may add a condition on the ancestor id ``up``.
+    With ``within``, only those with an element between them and ``node`` that matches it.
     """
-    return f"filter({node}.anc, up -> {container.sql('get(nodes, up)')} AND {scope})"
+    hit = container.sql("get(nodes, up.at)")
+    if within:
+        hit += f" AND {some_ancestor_sql(f'{node}.', 'mid', lambda mid: f'{mid}.node_id > up.at AND {within.sql(mid)}')}"
+    return (
+        f"aggregate(array_repeat(0, {node}.depth), named_struct('at', {node}.parent_id, 'hits', cast(array() AS array<int>)), "
+        f"(up, k) -> named_struct('at', get(nodes, up.at).parent_id, 'hits', if({hit}, concat(array(up.at), up.hits), up.hits)), "
+        "up -> up.hits)"
+    )

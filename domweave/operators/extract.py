@@ -105,8 +105,7 @@ def extract_items(
     is_root = root.sql("n")
     roles = [f"if({is_root}, array(named_struct('role', 0, 'item_id', n.node_id)), {none})"]
     for role, selector, within in searches:
-        scope = f"exists(n.anc, mid -> mid > up AND {within.sql('get(nodes, mid)')})" if within else "true"
-        inside = f"transform({above_sql(root, 'n', scope)}, up -> named_struct('role', {role}, 'item_id', up))"
+        inside = f"transform({above_sql(root, 'n', within)}, up -> named_struct('role', {role}, 'item_id', up))"
         roles.append(f"if({selector.sql('n')}, {inside}, {none})")
     candidate = " OR ".join([is_root, *[selector.sql("n") for _, selector, _ in searches]])
 

@@ -34,10 +34,15 @@ def path_locator_sql(node: str = "n") -> str:
         return f"concat({n}.tag, if({n}.type_count > 1, concat('[', {n}.type_index, ']'), ''))"
 
     # body, if it is above the element, is always its second ancestor
-    in_body = f"coalesce(get(nodes, get({node}.anc, 1)).tag = 'body', false)"
-    above = f"if({in_body}, slice({node}.anc, 3, size({node}.anc)), {node}.anc)"
-    near = f"slice({above}, greatest(size({above}) - {R.LOCATOR_DEPTH - 2}, 1), {R.LOCATOR_DEPTH - 1})"
-    return f"concat('//', array_join(concat(transform({near}, u -> {label('get(nodes, u)')}), array({label(node)})), '/'))"
+    up = "get(nodes, w.at)"
+    body = f"(w.body OR {up}.depth = 1 AND {up}.tag = 'body')"
+    near = (
+        f"aggregate(array_repeat(0, least({node}.depth, {R.LOCATOR_DEPTH - 1})), "
+        f"named_struct('at', {node}.parent_id, 'body', false, 'steps', array({label(node)})), "
+        f"(w, k) -> named_struct('at', {up}.parent_id, 'body', {body}, "
+        f"'steps', if({body}, w.steps, concat(array({label(up)}), w.steps))), w -> w.steps)"
+    )
+    return f"concat('//', array_join({near}, '/'))"
 
 
 def smart_locator_sql(node: str = "n") -> str:

@@ -440,7 +440,8 @@ def error_categories(spark, sf_dir):
     "request_summary",
     f"""
     SELECT CASE WHEN job_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS method, status, count(*) AS requests,
-      round(avg(bytes * attempt), 6) AS mean_ms, max(bytes * attempt) AS max_ms
+      round(avg(bytes * attempt), 6) AS mean_ms, max(bytes * attempt) AS max_ms,
+      list_sort(list(bytes * attempt))[CAST(ceil(count(*) / 2) AS BIGINT)] AS median_ms
     FROM ({LOG_SQL}) GROUP BY 1, 2
     """,
 )
@@ -448,7 +449,7 @@ def request_summary(spark, sf_dir):
     access = log(spark, sf_dir).selectExpr(
         "CASE WHEN job_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS method", "status", "bytes * attempt AS duration_ms"
     )
-    return crawl_log.request_summary(access).drop("median_ms").withColumn("mean_ms", F.round("mean_ms", 6))
+    return crawl_log.request_summary(access).withColumn("mean_ms", F.round("mean_ms", 6))
 
 
 _QUALITY = """
@@ -457,13 +458,12 @@ _QUALITY = """
 """
 _RUNS_SQL = f"""
   SELECT job_id, count(*) FILTER (WHERE event_id % 4 = 0) AS items, count(*) FILTER (WHERE {_FAILED}) // 4 AS errors,
-    count(*) FILTER (WHERE NOT {_FAILED}) / count(*) * 100 AS rate FROM ({LOG_SQL}) WHERE event_id % 3 = 0 OR {_FAILED} GROUP BY 1
+    count(*) FILTER (WHERE NOT {_FAILED}) / count(*) * 100 AS rate FROM ({LOG_SQL}) GROUP BY 1
 """
 
 
 def runs(spark, sf_dir):
-    some = log(spark, sf_dir).where(f"event_id % 3 = 0 OR {_FAILED}")
-    return some.groupBy("job_id").agg(
+    return log(spark, sf_dir).groupBy("job_id").agg(
         F.count_if(F.col("event_id") % 4 == 0).alias("items"),
         F.expr(f"count_if({_FAILED}) div 4").alias("errors"),
         F.expr(f"count_if(NOT {_FAILED}) / count(*) * 100").alias("rate"),

@@ -10,6 +10,7 @@ from domweave.operators.dom import elements, parse_pages, register_sql, text_of
 from domweave.operators.extract import Field, extract_items
 from domweave.plans import rendered
 from domweave.plans.registry import query, table
+from domweave.session import written
 from domweave.sources.pages import bytes_processed, read_pages, spread
 
 
@@ -160,7 +161,7 @@ def third_nav_item(spark, sf_dir):
 )
 def child_join(spark, sf_dir):
     """Child step as a join of two element sets on (page, parent), the form for stored element tables."""
-    nodes = elements(parsed(stored(spark, sf_dir))).select("page_id", "node_id", "parent_id", "tag")
+    nodes = written(elements(parsed(stored(spark, sf_dir))).select("page_id", "node_id", "parent_id", "tag"), "elements")
     lists = nodes.where(F.col("tag") == "ul").select("page_id", F.col("node_id").alias("parent_id"))
     rows = nodes.where(F.col("tag") == "li").join(lists, ["page_id", "parent_id"])
     return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("children"))
@@ -174,11 +175,11 @@ def child_join(spark, sf_dir):
     """,
 )
 def descendant_join(spark, sf_dir):
-    """Descendant step as an equi-join over exploded ancestors."""
-    nodes = elements(parsed(stored(spark, sf_dir))).select("page_id", "node_id", "anc", "tag")
-    navs = nodes.where(F.col("tag") == "nav").select("page_id", F.col("node_id").alias("above"))
-    below = nodes.where(F.col("tag") == "a").select("page_id", "node_id", F.explode("anc").alias("above"))
-    return below.join(navs, ["page_id", "above"]).groupBy("page_id").agg(F.count_distinct("node_id").alias("links"))
+    """Descendant step as a join of two element sets on the page and the range of node ids below the ancestor."""
+    nodes = written(elements(parsed(stored(spark, sf_dir))).select("page_id", "node_id", "last_id", "tag"), "elements")
+    navs = nodes.where(F.col("tag") == "nav").select("page_id", F.col("node_id").alias("above"), F.col("last_id").alias("last"))
+    below = nodes.where(F.col("tag") == "a").select("page_id", "node_id")
+    return below.join(navs, "page_id").where("node_id > above AND node_id <= last").groupBy("page_id").agg(F.count_distinct("node_id").alias("links"))
 
 
 @query(

@@ -32,6 +32,9 @@ def configure(spark: SparkSession) -> SparkSession:
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
         # one process: its temporary folder is shared by all tasks
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="domweave-"))
+    if not spark.conf.get("spark.domweave.parsePartitions", None) and spark.sparkContext.master.startswith("local["):
+        # small tables of one file would be parsed by one core
+        spark.conf.set("spark.domweave.parsePartitions", str(spark.sparkContext.defaultParallelism))
     application = spark.sparkContext.applicationId
     if application not in _shipped:
         package = Path(__file__).resolve().parent

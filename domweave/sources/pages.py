@@ -26,15 +26,15 @@ def stream_pages(spark: SparkSession, path: str, format: str = "parquet", **opti
     return spark.readStream.schema(PAGE_SCHEMA).format(format).options(**options).load(path)
 
 
-def spread(pages: DataFrame) -> DataFrame:
-    """Give every core pages to parse when there are fewer files than cores.
+def spread(pages: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal pages out to as many tasks as asked for, by argument or ``spark.domweave.parsePartitions``.
 
-    Large tables have more splits than that and are left alone, without a shuffle.
+    Without either the pages stay as their source splits them, without a shuffle.
     Round robin: a repartition by key could be merged with an earlier shuffle, which
     adaptive execution then packs into few tasks by size, though parsing is CPU work.
     """
-    slots = pages.sparkSession.sparkContext.defaultParallelism
-    return pages.repartition(slots) if len(pages.inputFiles()) < slots else pages
+    partitions = partitions or int(pages.sparkSession.conf.get("spark.domweave.parsePartitions", "0"))
+    return pages.repartition(partitions) if partitions else pages
 
 
 def bytes_processed(pages: DataFrame) -> DataFrame:

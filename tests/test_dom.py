@@ -94,7 +94,10 @@ def test_long_outer_blanks_are_trimmed():
 def test_very_deep_and_very_long_pages_stay_cheap():
     doc, _, nodes = tree("<b>" * 20_000 + "x" + "<br>y" * 50_000)
     assert len(nodes) == 3 + 20_000 + 50_000 and doc == "x" + "y" * 50_000
-    assert max(n.depth for n in nodes) == 511
+    assert max(n.depth for n in nodes) == 20_002
+    doc, _, nodes = tree("<div>" * 2_000 + "<p>x</p>" * 2_000 + "</i>" * 20_000)
+    assert [n.depth for n in nodes][-2_000:] == [2_002] * 2_000 and nodes[2_002].n_children == 2_000
+    assert all(n.n_children == 1 for n in nodes[3:2_002])
 
 
 FRAGMENTS = st.lists(
@@ -111,11 +114,13 @@ def test_numbering_is_consistent(source):
     by_id = {n.node_id: n for n in nodes}
     assert [n.node_id for n in nodes] == list(range(len(nodes)))
     for n in nodes:
-        assert n.node_id <= n.last_id and n.depth == len(n.anc)
+        assert n.node_id <= n.last_id
         assert n.text_start <= n.trim_start <= n.trim_end <= n.text_end <= len(doc)
-        if n.anc:
+        if n.parent_id is None:
+            assert n.depth == 0
+        else:
             parent = by_id[n.parent_id]
-            assert n.anc == parent.anc + [parent.node_id] and n.last_id <= parent.last_id
+            assert n.depth == parent.depth + 1 and parent.node_id < n.node_id <= n.last_id <= parent.last_id
             assert parent.text_start <= n.text_start and n.text_end <= parent.text_end
         children = [c for c in nodes if c.parent_id == n.node_id]
         assert n.n_children == len(children) and [c.child_index for c in children] == list(range(len(children)))
