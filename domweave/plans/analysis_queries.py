@@ -97,7 +97,10 @@ def structure_flags(spark, sf_dir):
            'container' AS classes, 'main' AS id, CAST(count(*) + 1 AS BIGINT) AS children_count, false AS is_inferred
     FROM part GROUP BY 2
     UNION ALL
-    SELECT 'pages', page_id, 'article', 'ARTICLE', NULL, NULL, NULL, false FROM pages WHERE regexp_matches(html, '<article>')
+    -- in an article stand a heading and paragraphs; a paragraph ends the one left open before it
+    SELECT 'pages', page_id, 'article', 'ARTICLE', NULL, NULL,
+           len(regexp_extract_all(regexp_extract(html, '(?s)<article>.*</article>'), '<(h1|p)>')), false
+    FROM pages WHERE regexp_matches(html, '<article>')
     UNION ALL
     -- longest div: the first note with the longest text; each note holds one div and two paragraphs
     SELECT 'notes', page_id, 'div.note', 'DIV', arg_max(cls, (size, -c_custkey)), NULL, 3, true
@@ -108,15 +111,14 @@ def structure_flags(spark, sf_dir):
     """,
 )
 def main_content(spark, sf_dir):
-    def found(pages, source, with_children=True):
+    def found(pages, source):
         features = analyze.page_features(parsed(pages))
         rows = features.select(F.lit(source).alias("source"), "page_id", "main_content.*")
-        children = F.col("children_count").cast("long") if with_children else F.lit(None).cast("long")
-        return rows.withColumn("children_count", children)
+        return rows.withColumn("children_count", F.col("children_count").cast("long"))
 
     return (
         found(rendered.catalog(spark, sf_dir), "catalog")
-        .unionByName(found(stored(spark, sf_dir), "pages", False))
+        .unionByName(found(stored(spark, sf_dir), "pages"))
         .unionByName(found(rendered.notes(spark, sf_dir), "notes"))
     )
 
@@ -263,12 +265,13 @@ def element_categories(spark, sf_dir):
     """
     SELECT p_partkey // 20 AS page_id, 'div#p-' || p_partkey AS selector FROM part
     UNION ALL SELECT p_partkey // 20, unnest(['h2.title', 'span.price', 'a.more', 'img']) FROM part
+    UNION ALL SELECT page_id, unnest(['html', 'head', 'title', 'meta', 'meta', 'body', 'header', 'h1', 'main#main', 'a.next'])
+    FROM (SELECT DISTINCT p_partkey // 20 AS page_id FROM part)
     """,
 )
 def short_selectors(spark, sf_dir):
     nodes = elements(parsed(rendered.catalog(spark, sf_dir)))
-    cards = nodes.where((F.col("parent_tag") == "div") | (F.col("tag") == "div"))
-    return cards.select("page_id", F.expr(analyze.short_selector_sql()).alias("selector"))
+    return nodes.select("page_id", F.expr(analyze.short_selector_sql()).alias("selector"))
 
 
 @query(
@@ -448,13 +451,15 @@ def similar_notes(spark, sf_dir):
            CASE WHEN n > 1 THEN '[' || rn || ']' ELSE '' END || '/img']) FROM (
       SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey) AS rn,
              count(*) OVER (PARTITION BY p_partkey // 20) AS n FROM part)
+    UNION ALL
+    SELECT page_id, unnest(['//html', '//html/head', '//html/head/title', '//meta[@name=''description'']', '//meta[@name=''keywords'']',
+           '//html/body', '//header', '//header/h1', '//main[@id=''main'']', '//a[contains(@class,''next'')' ||
+           CASE WHEN page_id % 7 = 6 THEN ' and contains(@class,''disabled'')' ELSE '' END || ']'])
+    FROM (SELECT DISTINCT p_partkey // 20 AS page_id FROM part)
     """,
 )
 def smart_locators(spark, sf_dir):
-    dom = parsed(rendered.catalog(spark, sf_dir))
-    rows = similar.locators(dom)
-    inside = rows.where(F.col("tag").isin("div", "h2", "span", "img") | F.contains("locator", F.lit("more")))
-    return inside.select("page_id", "locator")
+    return similar.locators(parsed(rendered.catalog(spark, sf_dir))).select("page_id", "locator")
 
 
 @query(
@@ -462,8 +467,13 @@ def smart_locators(spark, sf_dir):
     """
     WITH o AS (SELECT o_orderkey // 25 AS page_id, o_orderkey, 1 + row_number() OVER (PARTITION BY o_orderkey // 25 ORDER BY o_orderkey) AS rn FROM orders)
     SELECT page_id, '//table/tbody/tr[' || rn || ']/td[' || i || ']' AS path FROM o, (VALUES (1), (2), (3)) AS t(i)
+    UNION ALL SELECT page_id, '//table/tbody/tr[' || rn || ']' FROM o
+    UNION ALL SELECT page_id, unnest(['//html', '//html/head', '//html/body', '//table', '//table/tbody', '//table/tbody/tr[1]',
+      '//table/tbody/tr[1]/th[1]', '//table/tbody/tr[1]/th[2]', '//table/tbody/tr[1]/th[3]', '//ul']) FROM (SELECT DISTINCT page_id FROM o)
+    UNION ALL SELECT page_id, '//ul/li' || CASE WHEN page_id % 6 > 1 THEN '[' || unnest(range(1, page_id % 6 + 1)) || ']'
+      ELSE substr('', unnest(range(1, page_id % 6 + 1))) END FROM (SELECT DISTINCT page_id FROM o)
     """,
 )
 def path_locators(spark, sf_dir):
     rows = similar.locators(parsed(rendered.ledger(spark, sf_dir)))
-    return rows.where(F.col("tag") == "td").select("page_id", "path")
+    return rows.select("page_id", "path")

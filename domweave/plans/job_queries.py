@@ -257,7 +257,7 @@ def frontier_urls(spark, sf_dir):
 _FRONTIER = f"""
   SELECT job_id, page_no, CASE WHEN pagination_type = 'query' AND url = 'https://shop.example.com/list' THEN page_no - 1 END AS shop_page
   FROM (SELECT *, unnest(range(1, CASE WHEN pagination_type IN ('query', 'path') THEN max_pages ELSE 1 END + 1)) AS page_no
-        FROM ({JOBS_SQL}) WHERE max_pages <= 1000 AND pagination_type = 'query')
+        FROM ({JOBS_SQL}) WHERE max_pages <= 1000)
 """
 
 
@@ -269,7 +269,7 @@ _FRONTIER = f"""
     """,
 )
 def visited_pages(spark, sf_dir):
-    allowed = ready_jobs(spark, sf_dir).where((F.col("max_pages") <= R.MAX_PAGES) & (F.col("pagination_type") == "query"))
+    allowed = ready_jobs(spark, sf_dir).where(F.col("max_pages") <= R.MAX_PAGES)
     found = paging.visit(paging.frontier(allowed), rendered.catalog(spark, sf_dir).select("url", "page_id"))
     return found.select("job_id", F.col("page_no").cast("long").alias("page_no"), "page_id")
 
@@ -285,7 +285,7 @@ def visited_pages(spark, sf_dir):
 )
 def paging_takewhile(spark, sf_dir):
     shop = rendered.catalog(spark, sf_dir)
-    allowed = ready_jobs(spark, sf_dir).where((F.col("max_pages") <= R.MAX_PAGES) & (F.col("pagination_type") == "query"))
+    allowed = ready_jobs(spark, sf_dir).where(F.col("max_pages") <= R.MAX_PAGES)
     visited = paging.visit(paging.frontier(allowed), shop.select("url", "page_id"))
     markers = paging.has_next_page(parsed(shop), "button", css(".next"))
     taken = paging.take_while_next(visited.join(markers, "page_id", "left"))
