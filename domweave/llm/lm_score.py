@@ -102,33 +102,43 @@ def count_ngrams(texts: DataFrame, segments: int, hold: int = 2_000_000) -> Data
 
 @dataclass
 class Filter:
-    """Bits of all segments; an n-gram of level q is stored as events (key, 1) to (key, q)."""
+    """Bits of consecutive segments from ``first``; an n-gram of level q is stored as events (key, 1) to (key, q)."""
 
     bits: np.ndarray
     segments: int
     size: int
     probes: int
+    first: int = 0
 
     def has(self, keys: np.ndarray, level: int, order: int) -> np.ndarray:
         """Whether all bits of the events are set; keys that miss one are not probed further."""
         found = np.ones(len(keys), bool)
         alive = np.arange(len(keys))
         for at in _places(keys, level, order, self.segments, self.size, self.probes):
-            place = at(keys[alive])
+            place = at(keys[alive]) - np.uint64(self.first * self.size)
             hit = (self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
             found[alive[~hit]] = False
             alive = alive[hit]
         return found
 
-    def counts(self, keys: np.ndarray, order: int) -> np.ndarray:
-        """Counts that the quantised levels stand for, by probing level after level until one is missing."""
-        level = np.zeros(len(keys), np.int64)
+    def levels(self, keys: np.ndarray, order: int) -> np.ndarray:
+        """Quantised levels, by probing level after level until one is missing."""
+        level = np.zeros(len(keys), np.uint8)
         alive, q = np.arange(len(keys)), 2 if order == BIGRAM else 1
         while len(alive) and q < 60:
             alive = alive[self.has(keys[alive], q, order)]
             level[alive] = q
             q += 1
-        return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 1.4142135 * 2.0 ** (level - 1)))
+        return level
+
+    def counts(self, keys: np.ndarray, order: int) -> np.ndarray:
+        return counts_of(self.levels(keys, order))
+
+
+def counts_of(level: np.ndarray) -> np.ndarray:
+    """Counts that the quantised levels stand for."""
+    level = level.astype(np.int64)
+    return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 1.4142135 * 2.0 ** (level - 1)))
 
 
 def _places(keys, level, order, segments, size, probes):
@@ -147,15 +157,15 @@ def _places(keys, level, order, segments, size, probes):
     return [probe(i) for i in range(probes)]
 
 
-def build_filter(totals: DataFrame, segments: int, event_bits: int = 12, max_bytes: int = 1 << 26) -> Filter:
-    """The filter of all counted n-grams, ``event_bits`` per event but at most ``max_bytes``: the bound of the broadcast.
-
-    Up to that bound it grows with the corpus; beyond it, its error rate rises instead.
-    """
+def filter_shape(totals: DataFrame, segments: int, event_bits: int = 12) -> tuple[int, int]:
+    """Bits of a segment and probes of a filter of all counted n-grams with ``event_bits`` per event, whatever the size of the corpus."""
     events = totals.agg(F.sum("events")).first()[0] or 0
-    size = max(64, min(8 * max_bytes, event_bits * events) // segments // 8 * 8)
-    probes = max(1, min(8, round(math.log(2) * size * segments / max(1, events))))
+    size = max(64, -(-event_bits * events // segments // 8) * 8)
+    return size, max(1, min(8, round(math.log(2) * size * segments / max(1, events))))
+
 
+def filter_parts(totals: DataFrame, segments: int, size: int, probes: int) -> DataFrame:
+    """segment, bits; a segment's two orders can be two rows."""
     def fill(batches):
         bits: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -170,9 +180,14 @@ def build_filter(totals: DataFrame, segments: int, event_bits: int = 12, max_byt
             yield pa.RecordBatch.from_pydict({
                 "segment": pa.array([segment], pa.int32()), "bits": pa.array([np.packbits(own, bitorder="little").tobytes()])})
 
-    parts = totals.select("segment", "n", "keys", "counts").mapInArrow(fill, "segment int, bits binary").toLocalIterator()
+    return totals.select("segment", "n", "keys", "counts").mapInArrow(fill, "segment int, bits binary")
+
+
+def build_filter(totals: DataFrame, segments: int, event_bits: int = 12) -> Filter:
+    """The whole filter on the driver, for corpora whose filter is small."""
+    size, probes = filter_shape(totals, segments, event_bits)
     bits = np.zeros(segments * size // 8, np.uint8)
-    for segment, own in parts:  # a segment's two orders can come from two tasks
+    for segment, own in filter_parts(totals, segments, size, probes).toLocalIterator():
         bits[segment * size // 8 : (segment + 1) * size // 8] |= np.frombuffer(own, np.uint8)
     return Filter(bits, segments, size, probes)
 
@@ -205,19 +220,69 @@ def looked_up(keys: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.nda
 
 
 _SCORED = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                     ("logs", pa.float64()), ("score", pa.float64()), ("segment", pa.int32()), ("rows", pa.binary()), ("keys", pa.binary())])
+                     ("logs", pa.float64()), ("score", pa.float64()), ("segment", pa.int32()), ("rows", pa.binary()), ("keys", pa.binary()),
+                     ("part", pa.int64()), ("n", pa.int32())])
 _SCORED_DDL = ("key long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, segment int, "
-               "rows binary, keys binary")
+               "rows binary, keys binary, part long, n int")
+
+
+@dataclass
+class Part:
+    """Some texts as places in their distinct words and pairs, so that levels can be filled in where and when they are known."""
+
+    begin: int
+    end: int
+    lengths: np.ndarray
+    at: np.ndarray
+    at_before: np.ndarray
+    at_pair: np.ndarray
+
+    @staticmethod
+    def of(tokens: list[np.ndarray]) -> tuple[Part, np.ndarray, np.ndarray]:
+        """The part, its distinct words and its distinct pairs, both sorted."""
+        lengths = np.array(list(map(len, tokens)))
+        before = np.concatenate([np.r_[np.uint64(BEGIN), t[:-1]] for t in tokens])
+        tokens = np.concatenate(tokens)
+        types, inverse = np.unique(np.r_[tokens, before], return_inverse=True)
+        pairs, at_pair = np.unique(bigram_keys(tokens, before), return_inverse=True)
+        begin, end = np.searchsorted(types, np.array([BEGIN, END], np.uint64)).tolist()
+        return Part(begin, end, lengths, inverse[: len(tokens)], inverse[len(tokens) :], at_pair), types, pairs
+
+    def packed(self) -> bytes:
+        return np.concatenate([[self.begin, self.end, len(self.lengths)], self.lengths, self.at, self.at_before, self.at_pair]).astype("<i4").tobytes()
+
+    @staticmethod
+    def unpacked(data: bytes) -> Part:
+        begin, end, n = (values := np.frombuffer(data, "<i4"))[:3].tolist()
+        return Part(begin, end, values[3 : 3 + n], *np.split(values[3 + n :], 3))
+
+    def score(self, types_levels: np.ndarray, pairs_levels: np.ndarray, n: int, types: int, share: float) -> np.ndarray:
+        """Sum of log10 p of each text."""
+        quantised, pairs = counts_of(types_levels), counts_of(pairs_levels)[self.at_pair]
+        quantised[self.begin] = quantised[self.end]  # every text begins once; the begin mark itself is no token
+        p = (quantised[self.at] + 0.5) / (n + 0.5 * (types + 1))
+        context = np.maximum(np.maximum(quantised[self.at_before], pairs), 1.0)
+        return self.per_text(np.log10(share * pairs / context + (1 - share) * p))
+
+    def per_text(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(np.repeat(np.arange(len(self.lengths)), self.lengths), weights=values, minlength=len(self.lengths))
+
+
+def _scored(columns: dict) -> pa.RecordBatch:
+    m = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(m, f.type) for f in _SCORED], schema=_SCORED)
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", share: float = 0.25, most_frequent: int = 1_000_000,
-                max_filter_bytes: int = 1 << 26, segment_bytes: int = 8_000_000) -> DataFrame:
+                max_filter_bytes: int = 1 << 26, segment_bytes: int = 8_000_000, part_tokens: int = 1_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
     Unigrams and bigrams of all training rows (crc32 of the id mod 5 is not 1) are counted.
     ``score`` sums log10 p(w | h) = share * c(h, w) / c(h) + (1 - share) * p(w), with
     p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)) and every c quantised to powers of two and read from a
-    broadcast log-frequency Bloom filter of at most ``max_filter_bytes``; pairs seen once are left to p(w).
+    log-frequency Bloom filter of 12 bits an event; pairs seen once are left to p(w).  A filter of at most
+    ``max_filter_bytes`` is broadcast; a larger one stays cut by segment of the key, and the distinct words and pairs
+    of every ``part_tokens`` tokens are sent to their segments and their levels back.  Both give the same scores.
     ``base_score`` and ``n_known`` use exact counts: tokens seen N / ``most_frequent`` times or more are
     broadcast (so at most ``most_frequent`` of them), the others meet their counts in a shuffle.
 
@@ -232,50 +297,55 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sha
     sums = totals.where(F.col("n") == UNIGRAM).agg(F.sum("types"), F.sum("tokens")).first()
     types, n = sums[0] or 0, sums[1] or 0
     floor = math.log10(n + 0.5 * (types + 1))
-    model = spark.sparkContext.broadcast(build_filter(totals, segments, max_bytes=max_filter_bytes))
+    size, probes = filter_shape(totals, segments)
+    whole = size * segments <= 8 * max_filter_bytes
+    model = spark.sparkContext.broadcast(build_filter(totals, segments) if whole else None)
     known_keys, known_counts, limit = frequent(totals, n, most_frequent)
     known = spark.sparkContext.broadcast((known_keys, known_counts))
 
+    def parts(batches):
+        """Ids, held-out flags and tokens of some texts at a time."""
+        hashes, held, n_held = WordHashes(), ([], [], []), 0
+        for batch in batches:
+            for doc, out, text in zip(*(c.to_pylist() for c in batch.columns)):
+                for column, x in zip(held, (doc, out, tokens_of(text, hashes))):
+                    column.append(x)
+                n_held += len(held[2][-1])
+                if n_held >= part_tokens or whole and len(held[0]) == 500:
+                    yield held
+                    held, n_held = ([], [], []), 0
+        if held[0]:
+            yield held
+
     def score(batches):
-        hashes, f = WordHashes(), model.value
+        f = model.value
         keys_known, counts_known = known.value
         base = TaskContext.get().partitionId() << 40
         number = 0
-        for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
-                tokens = [tokens_of(t, hashes) for t in part.column(2).to_pylist()]
-                lengths = np.array(list(map(len, tokens)))
-                before = np.concatenate([np.r_[np.uint64(BEGIN), t[:-1]] for t in tokens])
-                tokens = np.concatenate(tokens)
-                row = np.repeat(np.arange(len(lengths)), lengths)
-                types_here, inverse = np.unique(np.r_[tokens, before], return_inverse=True)
-                quantised = f.counts(types_here, UNIGRAM)
-                # every text begins once; the begin mark itself is no token
-                quantised[types_here == np.uint64(BEGIN)] = quantised[types_here == np.uint64(END)].sum()
-                at, at_before = inverse[: len(tokens)], inverse[len(tokens) :]
-                pairs = f.counts(bigram_keys(tokens, before), BIGRAM)
-                p = (quantised[at] + 0.5) / (n + 0.5 * (types + 1))
-                context = np.maximum(np.maximum(quantised[at_before], pairs), 1.0)
-                p = share * pairs / context + (1 - share) * p
-                exact = looked_up(types_here, keys_known, counts_known)[at]
-                rare = exact == 0
-                logs = np.where(rare, 0.0, np.log10(exact + 0.5))
-                keys = base + number + np.arange(len(lengths))
-                number += len(lengths)
-                add = lambda x: np.bincount(row, weights=x, minlength=len(lengths))
-                m = len(lengths)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(keys), part.column(0), part.column(1), pa.array(lengths), pa.array(add(~rare).astype(np.int64)), pa.array(add(logs)),
-                    pa.array(add(np.log10(p))), *(pa.nulls(m, t) for t in (pa.int32(), pa.binary(), pa.binary()))], schema=_SCORED)
-                order = np.argsort(tokens[rare], kind="stable")
-                rare_keys, rare_rows = tokens[rare][order], keys[row[rare]][order]
-                cuts = list(segment_slices(rare_keys, segments))
-                m = len(cuts)
-                yield pa.RecordBatch.from_arrays([
-                    *(pa.nulls(m, _SCORED.field(i).type) for i in range(7)), pa.array([s for s, _, _ in cuts], pa.int32()),
-                    pa.array([rare_rows[a:b].tobytes() for _, a, b in cuts], pa.binary()),
-                    pa.array([rare_keys[a:b].tobytes() for _, a, b in cuts], pa.binary())], schema=_SCORED)
+        for ids, held_out, texts in parts(batches):
+            part, own_types, own_pairs = Part.of(texts)
+            tokens = own_types[part.at]
+            exact = looked_up(own_types, keys_known, counts_known)[part.at]
+            rare = exact == 0
+            logs = np.where(rare, 0.0, np.log10(exact + 0.5))
+            keys = base + number + np.arange(len(ids))
+            number += len(ids)
+            columns = {"key": keys, "doc_id": ids, "held_out": held_out, "n_tokens": part.lengths,
+                       "n_known": part.per_text(~rare).astype(np.int64), "logs": part.per_text(logs)}
+            if whole:
+                columns["score"] = part.score(f.levels(own_types, UNIGRAM), f.levels(own_pairs, BIGRAM), n, types, share)
+            yield _scored(columns)
+            order = np.argsort(tokens[rare], kind="stable")
+            rare_keys, rare_rows = tokens[rare][order], np.repeat(keys, part.lengths)[rare][order]
+            cuts = list(segment_slices(rare_keys, segments))
+            yield _scored({"segment": [s for s, _, _ in cuts], "rows": [rare_rows[a:b].tobytes() for _, a, b in cuts],
+                           "keys": [rare_keys[a:b].tobytes() for _, a, b in cuts]})
+            if not whole:
+                yield _scored({"part": keys[:1], "rows": [part.packed()], "keys": [keys.tobytes()]})
+                for which, asked in ((UNIGRAM, own_types), (BIGRAM, own_pairs)):
+                    cuts = list(segment_slices(asked, segments))
+                    yield _scored({"part": [keys[0]] * len(cuts), "n": [which] * len(cuts), "segment": [s for s, _, _ in cuts],
+                                   "keys": [asked[a:b].tobytes() for _, a, b in cuts]})
 
     scored = written(
         own.select("doc_id", (~training("doc_id")).alias("held_out"), "text").mapInArrow(score, _SCORED_DDL), "scored")
@@ -299,10 +369,49 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sha
                 pa.array(row), pa.array(np.bincount(at, weights=c > 0).astype(np.int64)), pa.array(np.bincount(at, weights=np.log10(c + 0.5)))],
                 names=["key", "rare_known", "rare_logs"])
 
-    asked = scored.where("segment is not null").select("segment", "rows", "keys", F.lit(None).cast("binary").alias("counts"))
+    def answer(batches):
+        """Levels of what is asked of a segment, from the bits of the segment."""
+        asked, bits = [], {}
+        for batch in batches:
+            for part, which, segment, keys, own in zip(*(c.to_pylist() for c in batch.columns)):
+                if own is None:
+                    asked.append((part, which, segment, keys))
+                else:
+                    own = np.frombuffer(own, np.uint8)
+                    bits[segment] = bits[segment] | own if segment in bits else own
+        for part, which, segment, keys in asked:
+            keys = np.frombuffer(keys, np.uint64)
+            own = bits.get(segment)
+            levels = np.zeros(len(keys), np.uint8) if own is None else Filter(own, segments, size, probes, segment).levels(keys, which)
+            yield pa.RecordBatch.from_pydict({
+                "part": pa.array([part], pa.int64()), "n": pa.array([which], pa.int32()), "segment": pa.array([segment], pa.int32()),
+                "rows": pa.array([None], pa.binary()), "keys": pa.array([levels.tobytes()], pa.binary())})
+
+    def finish(rows):
+        """Scores of one part, once the levels of its words and pairs are back."""
+        levels, places = {UNIGRAM: [], BIGRAM: []}, None
+        for _, which, segment, packed, keys in zip(*(c.to_pylist() for c in rows.columns)):
+            if which is None:
+                places = Part.unpacked(packed), np.frombuffer(keys, np.int64)
+            else:
+                levels[which].append((segment, keys))
+        part, keys = places
+        types_levels, pairs_levels = (np.frombuffer(b"".join(x for _, x in sorted(levels[which])), np.uint8) for which in (UNIGRAM, BIGRAM))
+        return pa.table({"key": keys, "score": part.score(types_levels, pairs_levels, n, types, share)})
+
+    asked = scored.where("segment is not null and part is null").select("segment", "rows", "keys", F.lit(None).cast("binary").alias("counts"))
     counted = totals.where(F.col("n") == UNIGRAM).select("segment", F.lit(None).cast("binary").alias("rows"), "keys", "counts")
     rare = asked.union(counted).repartition(segments, "segment").mapInArrow(resolve, "key long, rare_known long, rare_logs double")
     rare = rare.groupBy("key").agg(F.sum("rare_known").alias("rare_known"), F.sum("rare_logs").alias("rare_logs"))
-    return scored.where("key is not null").join(rare, "key", "left").select(
+    texts = scored.where("key is not null")
+    if not whole:
+        probed = scored.where("segment is not null and part is not null").select("part", "n", "segment", "keys", F.lit(None).cast("binary").alias("bits"))
+        stored = filter_parts(totals, segments, size, probes).selectExpr(
+            "cast(null as long) AS part", "cast(null as int) AS n", "segment", "cast(null as binary) AS keys", "bits")
+        levels = probed.union(stored).repartition(segments, "segment").mapInArrow(answer, "part long, n int, segment int, rows binary, keys binary")
+        places = scored.where("segment is null and part is not null").select("part", "n", "segment", "rows", "keys")
+        texts = texts.drop("score").join(
+            places.union(levels).groupBy("part").applyInArrow(finish, "key long, score double"), "key")
+    return texts.join(rare, "key", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("rare_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(floor)).alias("base_score"), "score")

@@ -189,6 +189,24 @@ def test_filter_gives_quantised_counts(docs):
     assert wrong <= 0.05 * seen
 
 
+def test_filter_keeps_its_bits_beyond_the_broadcast(docs):
+    from pyspark.sql import functions as F
+
+    from domweave.llm.common import utf8
+
+    totals = lm_score.count_ngrams(docs.select(utf8("text").alias("text")), 16)
+    size, probes = lm_score.filter_shape(totals, 16)
+    assert size * 16 >= 12 * totals.agg(F.sum("events")).first()[0] and probes == 8
+
+    def scores(**options):
+        return sorted((str(r.doc_id), r.n_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm_score.score_texts(docs, **options).collect())
+
+    want = scores()
+    for most in (0, 1):  # a filter larger than may be broadcast gives the same scores
+        assert scores(max_filter_bytes=most, part_tokens=3000 if most else 1_000_000) == want
+    assert lm_score.score_texts(empty(docs), max_filter_bytes=0).count() == 0
+
+
 def test_toxicity():
     insults = [b"blockhead", b"nitwit", b"scumbag"]
     random = np.random.default_rng(1)
