@@ -89,9 +89,7 @@ def count_ngrams(texts: DataFrame, segments: int, hold: int = 2_000_000) -> Data
             keys, counts = _summed(np.concatenate([k for k, _ in own]), np.concatenate([c for _, c in own]).astype(np.int64))
             parts[segment, order] = None
             types, tokens = len(keys), int(counts.sum())
-            if order == BIGRAM:  # a pair seen once says no more than its words: the unigrams stand for it
-                keys, counts = keys[counts > 1], counts[counts > 1]
-            events = int((_levels(counts) - (order == BIGRAM)).sum())
+            events = int(_levels(counts).sum())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x], f.type) for x, f in zip(
                     (segment, order, keys.tobytes(), counts.astype("<u8").tobytes(), types, tokens, events), _TOTAL)], schema=_TOTAL)
@@ -124,7 +122,7 @@ class Filter:
     def levels(self, keys: np.ndarray, order: int) -> np.ndarray:
         """Quantised levels, by probing level after level until one is missing."""
         level = np.zeros(len(keys), np.uint8)
-        alive, q = np.arange(len(keys)), 2 if order == BIGRAM else 1
+        alive, q = np.arange(len(keys)), 1
         while len(alive) and q < 60:
             alive = alive[self.has(keys[alive], q, order)]
             level[alive] = q
@@ -172,7 +170,7 @@ def filter_parts(totals: DataFrame, segments: int, size: int, probes: int) -> Da
             for segment, order, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("segment", "n", "keys", "counts"))):
                 own = bits.setdefault(segment, np.zeros(size, bool))
                 keys, levels = np.frombuffer(keys, np.uint64), _levels(np.frombuffer(counts, "<u8"))
-                for q in range(2 if order == BIGRAM else 1, int(levels.max(initial=0)) + 1):
+                for q in range(1, int(levels.max(initial=0)) + 1):
                     some = keys[levels >= q]
                     for at in _places(some, q, order, segments, size, probes):
                         own[at(some) - np.uint64(segment) * np.uint64(size)] = True
@@ -280,7 +278,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sha
     Unigrams and bigrams of all training rows (crc32 of the id mod 5 is not 1) are counted.
     ``score`` sums log10 p(w | h) = share * c(h, w) / c(h) + (1 - share) * p(w), with
     p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)) and every c quantised to powers of two and read from a
-    log-frequency Bloom filter of 12 bits an event; pairs seen once are left to p(w).  A filter of at most
+    log-frequency Bloom filter of 12 bits an event, pairs seen once included.  A filter of at most
     ``max_filter_bytes`` is broadcast; a larger one stays cut by segment of the key, and the distinct words and pairs
     of every ``part_tokens`` tokens are sent to their segments and their levels back.  Both give the same scores.
     ``base_score`` and ``n_known`` use exact counts: tokens seen N / ``most_frequent`` times or more are

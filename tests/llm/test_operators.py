@@ -207,6 +207,30 @@ def test_filter_keeps_its_bits_beyond_the_broadcast(docs):
     assert lm_score.score_texts(empty(docs), max_filter_bytes=0).count() == 0
 
 
+def test_scores_know_pairs_seen_once(docs):
+    rows = pairs_of(docs)
+    train = [[*(t or "").lower().split(), None] for d, t in rows if d is None or zlib.crc32(str(d).encode()) % 5 != 1]
+    words, pairs = collections.Counter(w for t in train for w in t), collections.Counter(p for t in train for p in zip([""] + t[:-1], t))
+    n, v = sum(words.values()), len(words)
+    assert sum(c == 1 for c in pairs.values()) > 0.5 * len(pairs)
+
+    def quantised(count):
+        level = count.bit_length()
+        return count if level < 2 else math.sqrt(2) * 2.0 ** (level - 1)
+
+    want = []
+    for d, t in rows:
+        total, own = 0.0, [*(t or "").lower().split(), None]
+        for h, w in zip([""] + own[:-1], own):
+            both, before = quantised(pairs[h, w]), quantised(words[None if h == "" else h])
+            total += math.log10(0.25 * both / max(before, both, 1) + 0.75 * (quantised(words[w]) + 0.5) / (n + 0.5 * (v + 1)))
+        want.append((str(d), len(own), total))
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in lm_score.score_texts(docs).collect())
+    off = [abs(a[2] - b[2]) / a[1] for a, b in zip(got, sorted(want))]
+    # an absent pair reads as present in 0.3 % of cases
+    assert max(off) <= 0.05 and sorted(off)[len(off) // 2] <= 0.001
+
+
 def test_toxicity():
     insults = [b"blockhead", b"nitwit", b"scumbag"]
     random = np.random.default_rng(1)
