@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -115,59 +116,121 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
-def _transfer(giver: list[int], taker: list[int], lengths: np.ndarray, room: int) -> tuple[int, tuple, tuple]:
-    """(gain, over, back): the move or exchange that fills the taker most: one over, one for one, or two for one."""
-    own = sorted((int(lengths[i]), i) for i in giver)
-    best = (0, (), ())
-    for n, i in own:
-        if best[0] < n <= room:
-            best = (n, (i,), ())
-    for back, j in sorted((int(lengths[j]), j) for j in taker):
-        for k, (n, i) in enumerate(own):
-            if n - back > room or best[0] == room:
+class Takers:
+    """Underfull bins by what they can take: a slot (back, t) of a bin gives ``back`` (a member's length, or 0) for up to t = back + room.
+
+    For every t the slot of least ``back`` is known, so a lookup does not walk the bins.
+    Slots of changed bins are dropped when they come up.
+    """
+
+    def __init__(self, bins: list[list[int]], fill: list[int], lengths: np.ndarray, size: int):
+        self.bins, self.fill, self.lengths, self.size = bins, fill, lengths, size
+        self.none = size + 1
+        self.slots = [[] for _ in range(size + 1)]
+        self.least = np.full(size + 2, self.none)  # by t
+        self.stamp = [0] * len(bins)
+
+    def add(self, b: int) -> None:
+        room = self.size - self.fill[b]
+        if room:
+            for back in {0, *(int(self.lengths[i]) for i in self.bins[b])}:
+                heappush(self.slots[back + room], (back, b, self.stamp[b]))
+                self.least[back + room] = min(self.least[back + room], back)
+            self.fresh = False
+
+    def drop(self, b: int) -> None:
+        """Before a bin changes."""
+        room = self.size - self.fill[b]
+        self.stamp[b] += 1
+        for back in {0, *(int(self.lengths[i]) for i in self.bins[b])} if room else ():
+            slots = self.slots[back + room]
+            while slots and slots[0][2] != self.stamp[slots[0][1]]:
+                heappop(slots)
+            self.least[back + room] = slots[0][0] if slots else self.none
+        self.fresh = False
+
+    def best(self, sums: np.ndarray) -> tuple[int, int, int] | None:
+        """(position in sums, back, taker) of a gain: what leaves a taker least room, else what gives most."""
+        if not self.fresh:
+            at = np.where(self.least < self.none, np.arange(self.size + 2), self.none)
+            self.following = np.minimum.accumulate(at[::-1])[::-1]
+            self.lowest = np.minimum.accumulate(self.least[::-1])[::-1]
+            self.fresh = True
+        tight = self.following[sums]
+        fits = self.least[tight] < sums
+        if fits.any():
+            k = int(np.argmin(np.where(fits, (tight - sums) * (self.size + 1) - (sums - self.least[tight]), self.size * (self.size + 2))))
+            t = int(tight[k])
+        else:
+            gains = sums - self.lowest[sums]
+            if not len(sums) or gains.max() <= 0:
+                return None
+            k = int(np.argmax(gains))
+            t = int(sums[k]) + int(np.argmax(self.least[sums[k] :] == self.lowest[sums[k]]))
+        return k, self.slots[t][0][0], self.slots[t][0][1]
+
+
+def _sums(own: list[int], lengths: np.ndarray, size: int) -> tuple[np.ndarray, list[tuple]]:
+    """Lengths, and sums of two lengths, of a bin's members, with the members; each sum once."""
+    by_length: dict[int, list[int]] = {}
+    for i in own:
+        by_length.setdefault(int(lengths[i]), []).append(i)
+    found = {}
+    kinds = sorted(by_length)
+    for k, n in enumerate(kinds):
+        for m in kinds[k:]:
+            if n + m > size:
                 break
-            if n - back > best[0]:
-                best = (n - back, (i,), (j,))
-            for m, h in own[k + 1 :]:
-                if n + m - back > room:
-                    break
-                if n + m - back > best[0]:
-                    best = (n + m - back, (i, h), (j,))
-    return best
+            if m > n:
+                found[n + m] = (by_length[n][0], by_length[m][0])
+            elif len(by_length[n]) > 1:
+                found[n + m] = tuple(by_length[n][:2])
+    found |= {n: (by_length[n][0],) for n in kinds}
+    return np.fromiter(found, np.int64, len(found)), list(found.values())
 
 
-def swap_search(bins: list[list[int]], lengths: np.ndarray, size: int, passes: int = 40, tries: int = 20_000) -> list[list[int]]:
+def swap_search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[list[int]]:
     """Fewer bins by moves and exchanges that raise the sum of squared fills until bins are empty.
 
-    Underfull bins give to fuller ones that have room, the least filled first: a document
+    Underfull bins give to fuller ones (of equals, to later ones) that have room, the least filled first: a document
     moves, is exchanged for a shorter one, or two are exchanged for one shorter than both
-    together.  Each step raises the sum of squares, so none is undone.  Ends at the lower bound on
-    the number of bins, when a pass changes nothing, or after ``tries`` pairs of bins.
+    together.  A giver looks up the tightest fit among all takers (``Takers``), until none
+    gains.  Each step raises the sum of squares, so none is undone.  Ends at the lower bound on
+    the number of bins, or when a pass changes nothing.
     """
     bins, fill = [list(b) for b in bins], [int(lengths[b].sum()) for b in bins]
     least, used = -(-sum(fill) // size), sum(f > 0 for f in fill)
-    for _ in range(passes):
-        under = sorted((b for b in range(len(bins)) if 0 < fill[b] < size), key=lambda b: (fill[b], b))
+    changed = True
+    while changed and used > least:
         changed = False
-        for g, giver in enumerate(under):
-            for taker in reversed(under[g + 1 :]):
-                if used <= least or tries <= 0:
-                    return [b for b in bins if b]
-                if not bins[giver]:
+        waiting = [(f, b) for b, f in enumerate(fill) if 0 < f < size]
+        heapify(waiting)
+        takers = Takers(bins, fill, lengths, size)
+        for _, b in waiting:
+            takers.add(b)
+        while waiting and used > least:
+            f, giver = heappop(waiting)
+            if f != fill[giver] or f == size:  # has taken since; its present fill waits too
+                continue
+            takers.drop(giver)
+            while bins[giver]:
+                sums, members = _sums(bins[giver], lengths, size)
+                found = takers.best(sums)
+                if found is None:
                     break
-                if fill[taker] == size or fill[taker] < fill[giver]:
-                    continue
-                tries -= 1
-                gain, over, back = _transfer(bins[giver], bins[taker], lengths, size - fill[taker])
-                if gain:
-                    bins[giver] = [i for i in bins[giver] if i not in over] + list(back)
-                    bins[taker] = [j for j in bins[taker] if j not in back] + list(over)
-                    fill[giver] -= gain
-                    fill[taker] += gain
-                    used -= not bins[giver]
-                    changed = True
-        if not changed:
-            break
+                k, back, taker = found
+                over = members[k]
+                returned = [next(j for j in bins[taker] if lengths[j] == back)] if back else []
+                takers.drop(taker)
+                bins[giver] = [i for i in bins[giver] if i not in over] + returned
+                bins[taker] = [j for j in bins[taker] if j not in returned] + list(over)
+                gain = int(sums[k]) - back
+                fill[giver] -= gain
+                fill[taker] += gain
+                takers.add(taker)
+                heappush(waiting, (fill[taker], taker))
+                changed = True
+            used -= not bins[giver]
     return [b for b in bins if b]
 
 

@@ -294,6 +294,23 @@ def test_swaps_empty_a_bin():
     assert all(lengths[b].sum() <= 10 for b in bins)
 
 
+def test_swaps_leave_no_gain():
+    size = 4096
+    lengths = np.sort(np.random.default_rng(1).integers(700, 2001, 2000))[::-1].copy()
+    first = packing.best_fit(lengths, size)
+    bins = packing.swap_search(first, lengths, size)
+    assert sorted(i for b in bins for i in b) == list(range(2000)) and len(bins) < len(first)
+    fill = np.array([lengths[b].sum() for b in bins])
+    assert fill.max() <= size and len(bins) > -(-lengths.sum() // size)
+    slots = np.array([(t, back) for t, b in enumerate(bins) for back in [0, *lengths[b]]])
+    room = size - fill[slots[:, 0]]
+    for g, own in enumerate(bins):
+        n = lengths[own]
+        over = np.r_[n, [n[i] + n[j] for i in range(len(n)) for j in range(i)]].astype(int)
+        gain = over[:, None] - slots[:, 1]
+        assert not ((gain > 0) & (gain <= room) & (fill[slots[:, 0]] > fill[g])).any()
+
+
 def test_tokens_of_words_by_brute_force(docs):
     model = token_counts.Unigram(["▁al", "▁", "a", "l", "p", "h", "alpha", "pha", "be", "ta", "beta", "1", "2"])
 
