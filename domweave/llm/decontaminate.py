@@ -33,7 +33,21 @@ def shingles(tokens: str, length: int) -> Column:
     return _runs(tokens, length, "concat_ws(chr(31), {})")
 
 
-def sketch(items: DataFrame, length: int, threshold: float) -> DataFrame:
+def _of_lengths(runs, tokens: str, length: int, shorter: list[int] | tuple) -> Column:
+    """Runs of ``length`` and, where there are ``shorter`` items, of their lengths."""
+    kinds = [runs(tokens, n) for n in (length, *shorter)]
+    return F.concat(*kinds) if shorter else kinds[0]
+
+
+def _own_runs(runs, tokens: str, length: int, shorter: list[int] | tuple) -> Column:
+    """Runs of an item: all words as one run of their own number if they are fewer than ``length``."""
+    own = runs(tokens, length)
+    for n in shorter:
+        own = F.when(F.size(tokens) == n, runs(tokens, n)).otherwise(own)
+    return own
+
+
+def sketch(items: DataFrame, length: int, threshold: float, shorter: list[int] | tuple = ()) -> DataFrame:
     """item_id, h: of each item's shingle hashes the least ones, as many as its size class needs.
 
     Size classes are powers of two.  A document that contains ``threshold`` of an item's m shingles
@@ -43,7 +57,7 @@ def sketch(items: DataFrame, length: int, threshold: float) -> DataFrame:
     end = F.pow(F.lit(2.0), F.ceil(F.log2(F.size("hs"))))
     need = F.least(F.size("hs"), (F.floor(F.lit(1 - threshold) * end + 1e-9) + 1).cast("int"))
     return (
-        items.withColumn("hs", F.array_sort(F.array_distinct(hashes("w", length)))).where(F.size("hs") > 0)
+        items.withColumn("hs", F.array_sort(F.array_distinct(_own_runs(hashes, "w", length, shorter)))).where(F.size("hs") > 0)
         .select("item_id", F.explode(F.slice("hs", F.lit(1), need)).alias("h")).distinct()
     )
 
@@ -53,7 +67,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, length: int = 5, threshold: fl
     """doc_id, item_id, shared, item_shingles, containment of every item of which a document holds ``threshold``.
 
     Containment: the share of an item's distinct runs of ``length`` words (all words as one run
-    if fewer) that occur in the document.  Items are cut into size classes with a MinHash
+    if fewer, looked for among the document's runs of as many words) that occur in the document.  Items are cut into size classes with a MinHash
     sketch each (``sketch``); every document's hashes are looked up in the sketches; the
     pairs that share a hash are verified on the shingles themselves.  The sketch length
     leaves no pair out.
@@ -65,16 +79,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, length: int = 5, threshold: fl
     """
     tests = items.select(F.col(item_col).alias("item_id"), words(F.col(item_text)).alias("w")).where("item_id is not null")
     tests = written(tests.where(F.size("w") > 0), "items")
-    looked_up = measured_broadcast(written(sketch(tests, length, threshold), "sketches"), SKETCH_ROWS)
+    shorter = sorted(r.n for r in tests.select(F.size("w").alias("n")).where(F.col("n") < length).distinct().collect())
+    looked_up = measured_broadcast(written(sketch(tests, length, threshold, shorter), "sketches"), SKETCH_ROWS)
     own = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text)).alias("w")).where("doc_id is not null")
-    hits = own.select("doc_id", F.explode(hashes("w", length)).alias("h")).join(looked_up, "h")
+    hits = own.select("doc_id", F.explode(_of_lengths(hashes, "w", length, shorter)).alias("h")).join(looked_up, "h")
     pairs = written(hits.select("doc_id", "item_id").distinct(), "pairs")
-    wanted = tests.select("item_id", F.array_distinct(shingles("w", length)).alias("item"))
+    wanted = tests.select("item_id", F.array_distinct(_own_runs(shingles, "w", length, shorter)).alias("item"))
     few = measured_broadcast(pairs, PAIR_ROWS)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_text"))
     found = (
         texts.join(few, "doc_id").select("doc_id", "item_id", words(F.col("_text")).alias("w"))
-        .select("doc_id", "item_id", shingles("w", length).alias("doc"))
+        .select("doc_id", "item_id", _of_lengths(shingles, "w", length, shorter).alias("doc"))
         .join(measured_broadcast(wanted, ITEM_ROWS), "item_id")
     )
     found = found.select(

@@ -132,6 +132,22 @@ def test_leaks(spark, docs):
     assert kept.count() == docs.count() - sum(d in {x for x, _ in want} for d, _ in pairs_of(docs))
 
 
+def test_short_items_are_found_inside_long_documents(spark, docs):
+    texts = {d: re.findall(r"[^\W_]+", (t or "").lower()) for d, t in pairs_of(docs) if d is not None}
+    long = texts[40]
+    wanted = [long[7:8], long[10:12], long[:3], long[-4:], long[12:9:-1], ["one", "two"], ["one", "two", "three"], long[5:10], long[1:9]]
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(wanted)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items, threshold=1.0).collect()}
+
+    def inside(item, words):  # the words in order; an item of 5 or more words is these runs, wherever they are
+        n = min(5, len(item))
+        return all(any(words[j : j + n] == item[i : i + n] for j in range(len(words))) for i in range(len(item) - n + 1))
+
+    want = {(d, i) for d, words in texts.items() for i, item in enumerate(wanted) if inside(item, words)}
+    assert {(40, i) for i in (0, 1, 2, 3, 7, 8)} <= want and {(133, 5), (134, 5)} <= want and (40, 4) not in want
+    assert got == want
+
+
 def test_leaks_use_no_python(docs, spark):
     items = spark.createDataFrame([(1, text_of(20, 30))], "item_id long, text string")
     plan = decontaminate.find_leaks(docs, items)._jdf.queryExecution().executedPlan().toString()
