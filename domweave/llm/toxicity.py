@@ -100,7 +100,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, fl
 
 def fit(texts: list[bytes], labels: list[int], landmarks: int = 160, instances: int = 3000, cost: float = 4.0, epochs: int = 40,
         seed: int = 7) -> Model:
-    """A model from labelled texts.
+    """A model from labelled texts (``fit_terms``)."""
+    return fit_terms([terms(t) for t in texts], labels, landmarks, instances, cost, epochs, seed)
+
+
+def fit_terms(documents: list[list[bytes]], labels: list[int], landmarks: int = 160, instances: int = 3000, cost: float = 4.0, epochs: int = 40,
+              seed: int = 7) -> Model:
+    """A model from the distinct terms of labelled texts.
 
     Words (the shortest sentences a label can be passed to) are the instances.  A word that
     toxic texts hold far more often than their share is positive, weighted by how often; words of
@@ -113,7 +119,6 @@ def fit(texts: list[bytes], labels: list[int], landmarks: int = 160, instances:
         rate = labels.mean() if len(labels) else 0.0
         return Model(np.zeros(_FEATURES, np.float32), 0.0, 4.0 if rate > 0.5 else -4.0)
     counts: dict[bytes, list[int]] = {}
-    documents = [terms(t) for t in texts]
     for own, y in zip(documents, labels):
         for word in own:
             counts.setdefault(re.sub(rb"[^a-z]", b"", word), [0, 0])[int(y)] += 1
@@ -164,14 +169,19 @@ def document_margin(own: list[bytes], beta: np.ndarray, known: dict[bytes, float
     return max(map(known.__getitem__, own), default=-1.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, text_bytes: int = 20_000, id_col: str = "doc_id", text: str = "text",
+def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, id_col: str = "doc_id", text: str = "text",
           target: str = "toxic", **options) -> Model:
     """A model from at most ``sample`` labelled documents that are not held out.
 
     The sample is bounded so that it fits the driver: as many toxic as other documents, by a hash of
-    the id, with a stratum filled up if the other is short; of a training text (only) the
-    first ``text_bytes`` are taken.  Labels come only from rows that are not held out.
+    the id, with a stratum filled up if the other is short.  The distinct terms of a whole training text are
+    found inside Spark, and only they reach the driver.  Labels come only from rows that are not held out.
     """
+    def distinct_terms(batches):
+        for batch in batches:
+            own = [b"\n".join(terms(t)) for t in batch.column(2).to_pylist()]  # no term holds a blank
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.binary())], names=["doc_id", "y", "terms"])
+
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(target).cast("int").alias("y")).where(
         F.col("y").isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("y").alias("y"))
     mine = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).where(~held_out("doc_id"))
@@ -182,8 +192,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, text_bytes: in
         parts.append(ids)
     chosen = F.broadcast(parts[0].union(parts[1]))
     rows = mine.join(chosen, "doc_id").dropDuplicates(["doc_id"]).select(
-        "doc_id", "y", F.substring(utf8("text"), 1, text_bytes).alias("text")).orderBy("doc_id").collect()
-    return fit([bytes(r.text) for r in rows], [r.y for r in rows], **options)
+        "doc_id", "y", utf8("text").alias("text")).mapInArrow(distinct_terms, "doc_id long, y int, terms binary").orderBy("doc_id").collect()
+    return fit_terms([bytes(r.terms).split() for r in rows], [r.y for r in rows], **options)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", remember: int = 200_000) -> DataFrame:

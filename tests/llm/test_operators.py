@@ -264,6 +264,16 @@ def test_toxicity():
         assert p(t + b" " + text_of(7, 20).encode()) >= 0.3, t
 
 
+def test_insults_far_back_are_learnt(spark):
+    texts = [text_of(i, 3000) + (" nitwit" if i % 2 else "") for i in range(60)]
+    assert min(map(len, texts)) > 20_000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int"))
+    frame = spark.createDataFrame([(1, "you nitwit"), (2, "alpha beta gamma")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(frame, model).collect()}
+    assert got[1] >= 0.3 > got[2]
+
+
 def test_toxicity_without_labels(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
