@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from domweave.llm import ann, decontaminate, jaccard_join, license_scan, lm_score, packing, token_counts, toxicity, url_filter, warc
+from domweave.llm import (
+    ann, decontaminate, jaccard_join, license_scan, lm_score, near_vectors, packing, token_counts, toxicity, url_filter, vector_codes, warc, whitening,
+)
 from domweave.llm.registry import query, table
 from domweave.session import work_dir
 
@@ -82,3 +84,54 @@ def op9(spark, sf_dir):
 @query("op10_nearest_neighbours")
 def op10(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Operator 11 with every round as a query of its own."""
+    steps = [f"""
+        WITH kept AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS DOUBLE)) AS x FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        part AS (
+            SELECT vec_id, label, p, list_slice(x, len(x) * p // {parts} + 1, len(x) * (p + 1) // {parts}) AS x
+            FROM kept, range({parts}) AS t(p)),
+        first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT {entries}),
+        book0 AS (SELECT p, entry, x AS e FROM part JOIN first USING (vec_id))"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+        near{k} AS MATERIALIZED (
+            SELECT vec_id, label, p, x, entry,
+                   list_inner_product(x, x) - 2 * list_inner_product(x, e) + list_inner_product(e, e) AS d
+            FROM part JOIN book{k} USING (p)
+            QUALIFY row_number() OVER (PARTITION BY vec_id, p ORDER BY d, entry) = 1)""")
+        if k < rounds:
+            steps.append(f"""
+        mean{k} AS (
+            SELECT p, entry, list(m ORDER BY i) AS m
+            FROM (SELECT p, entry, i, floor(sum(c) / count(*)) AS m
+                  FROM (SELECT p, entry, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM near{k}) GROUP BY p, entry, i)
+            GROUP BY p, entry),
+        book{k + 1} AS MATERIALIZED (SELECT b.p, b.entry, coalesce(m, e) AS e FROM book{k} AS b LEFT JOIN mean{k} USING (p, entry))""")
+    return ",".join(steps) + f""",
+        book AS (
+            SELECT sha256(string_agg(CAST(CAST(c AS BIGINT) AS VARCHAR), ',' ORDER BY p, entry, i)) AS codebooks_sha256
+            FROM (SELECT p, entry, unnest(e) AS c, generate_subscripts(e, 1) AS i FROM book{rounds})),
+        coded AS (
+            SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+            FROM near{rounds} GROUP BY vec_id, label)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, book"""
+
+
+@query("op11_vector_codes", sql=_codes_sql())
+def op11(spark, sf_dir):
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_whitening")
+def op12(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_near_vectors")
+def op13(spark, sf_dir):
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
