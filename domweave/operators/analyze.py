@@ -505,6 +505,21 @@ def adapted_selector(analysis: DataFrame) -> DataFrame:
     )
 
 
+def suggested_item_selector() -> Column:
+    """Product selector, else article selector that suits a page's type best; null where nothing matches.
+
+    Found inside the page row, without the rest of the analysis.
+    """
+    def best(listed):
+        counts = ", ".join(
+            f"named_struct('count', size(filter(nodes, n -> {css(s).sql('n')})), 'order', {-i}, 'selector', {literal(s)})" for i, s in enumerate(listed))
+        return f"array_max(filter(array({counts}), s -> s.count > 0 AND s.count < {R.BEST_SELECTOR_BELOW})).selector"
+
+    cases = " ".join(
+        f"WHEN {literal(kind)} THEN {best(groups[name])}" for name in ("products", "articles") for kind, groups in R.SUGGESTIONS.items() if name in groups)
+    return F.expr(f"CASE page_type {cases} END")
+
+
 def adapt_jobs(pages_of_jobs: DataFrame, analysis: DataFrame) -> DataFrame:
     """Item selector of each job: only its first page decides.
 

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from domweave.functions.selectors import Selector
 from domweave.operators import jobs as job_ops
-from domweave.operators import paging, preview
+from domweave.operators import analyze, crawl_log, paging, preview
 from domweave.operators.dom import parse_pages
 from domweave.operators.extract import Field, drop_empty, extract_items
+from domweave.operators.rule_sets import MARK, evaluate, rule_sets
 from domweave.operators.validate import Schema, apply_validation
 from domweave.plans import rules as R
+from domweave.session import written
 
 
 def job_visits(jobs: DataFrame, pages: DataFrame) -> DataFrame:
@@ -54,6 +58,93 @@ def run_jobs(
     return apply_validation(taken.join(items, "page_id"), schema, "job_id", ("page_no", "page_id", "item_id"))
 
 
+def _stage(jobs: DataFrame, visits: DataFrame, dom: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, counters) of jobs with the extractor in ``strategy``, over pages that are parsed already.
+
+    Where the item selector cannot be read the first page fails, except for expressions, which then find nothing.
+    """
+    job_sets, sets = rule_sets(jobs)
+    known = written(
+        job_sets.join(sets.select("set_id", "readable"), "set_id").join(jobs.select("job_id", "strategy"), "job_id")
+        .withColumn("broken", ~F.col("readable") & (F.col("strategy") != "xpath")).drop("readable"), "job-sets")
+    own = written(visits.join(known, "job_id"), "own-visits")
+    found = evaluate(dom, own.where(F.col("page_id").isNotNull() & ~F.col("broken")).select("page_id", "set_id"), sets)
+    marks = found.where(F.col("item_id") == MARK).select("page_id", "set_id", "has_next")
+    taken = written(paging.take_while_next(own.join(marks, ["page_id", "set_id"], "left")).drop("has_next"), "taken")
+    good = F.col("page_id").isNotNull() & ~F.col("broken")
+    sizes = dom.select("page_id", "bytes")
+    counters = taken.join(sizes, "page_id", "left").groupBy("job_id").agg(
+        F.count_if(good).alias("successful_requests"), F.count_if(~good).alias("failed_requests"),
+        F.coalesce(F.sum(F.when(good, F.col("bytes"))), F.lit(0)).alias("bytes_processed"))
+    items = taken.where(good).drop("broken").join(found.where(F.col("item_id") != MARK).drop("has_next"), ["page_id", "set_id"])
+    return written(items.drop("set_id").withColumnRenamed("strategy", "extractor"), "items"), counters
+
+
+def run_mixed(jobs: DataFrame, pages: DataFrame, normalized: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(items, summary) of jobs that each bring their own rules, paging and extractor.
+
+    Every page is parsed once, whichever and however many jobs visit it; all extractors and stages read
+    the same elements, and jobs with equal rules share their results.  Jobs of the smart extractor take the item selector
+    that suits their first page.  A job whose result is poor, or whose primary extractor
+    fails, tries its fallbacks in order, only those jobs go on, and the first fallback with more
+    items is added to what the job has.
+
+    ``items`` has job_id, page_no, page_id, item_id, extractor, tag_name, text, html, attributes, links, images and fields (a map of
+    arrays).  ``summary`` is one row per accepted job: extractor, winning fallback, totals, requests, errors, bytes, success rate
+    and quality (`quality_score`; ``normalized`` as there).  A page that is not stored, or a first page whose item selector cannot be
+    read, is a failed request and an error, and ends the job.
+    """
+    ready = job_ops.with_defaults(jobs).where(F.size(job_ops.job_errors()) == 0)
+    ready = written(ready.withColumn("strategy", job_ops.chosen_strategy()), "jobs")
+    visits = written(paging.visit(paging.frontier(ready), pages.select("url", "page_id")).select("job_id", "page_no", "page_id"), "visits")
+    wanted = visits.select("page_id").where(F.col("page_id").isNotNull()).distinct()
+    source = pages.select("page_id", "html").join(wanted, "page_id", "left_semi").withColumn("bytes", F.octet_length("html"))
+    dom = written(parse_pages(source), "parsed")
+
+    smart = ready.where((F.col("strategy") == "smart-puppeteer") & F.col("enable_smart_analysis")).select("job_id")
+    first = visits.where("page_no = 1").join(smart, "job_id", "left_semi").select("job_id", "page_id")
+    typed = analyze.page_features(dom.join(first.select("page_id").distinct(), "page_id", "left_semi"), "page_id", "nodes")
+    suggested = first.join(typed.select("page_id", analyze.suggested_item_selector().alias("suggested")), "page_id").select("job_id", "suggested")
+    adapted = written(
+        ready.join(suggested, "job_id", "left").withColumn("item_selector", F.coalesce("suggested", "item_selector")).drop("suggested"), "adapted")
+
+    items, counters = _stage(adapted, visits, dom)
+    totals = items.groupBy("job_id").agg(F.count(F.lit(1)).alias("total_items"))
+    zero = ["total_items", "successful_requests", "failed_requests", "bytes_processed"]
+    summary = ready.select("job_id", "strategy").join(counters, "job_id", "left").join(totals, "job_id", "left").fillna(0, zero)
+    quality = job_ops.quality_score(F.col("total_items"), crawl_log.success_rate(F.col("successful_requests"), F.col("failed_requests")), F.col("failed_requests"), normalized)
+    summary = written(summary.withColumn("quality", quality).withColumn("errors", F.col("failed_requests")), "summary")
+
+    # staged: the k-th fallback of every job that still waits, whatever its primary is
+    chains = F.create_map(*[part for name, chain in R.FALLBACKS.items() for part in (F.lit(name), F.array(*[F.lit(c) for c in chain]))])
+    waiting = summary.where(F.col("quality") < R.LOW_QUALITY).select("job_id", F.try_element_at(chains, "strategy").alias("chain"), "total_items")
+    results, wins = [items], []
+    for k in range(max(map(len, R.FALLBACKS.values()))):
+        now = waiting.select("job_id", F.get("chain", k).alias("fallback"), F.col("total_items").alias("own")).where(F.col("fallback").isNotNull())
+        if now.isEmpty():
+            break
+        next_jobs = written(ready.join(now, "job_id").withColumn("strategy", F.col("fallback")).drop("fallback", "own"), "fallback-jobs")
+        own = visits.join(next_jobs.select("job_id"), "job_id", "left_semi")
+        some = dom.join(own.select("page_id").distinct(), "page_id", "left_semi")
+        more, requests = _stage(next_jobs, own, some)
+        counted = more.groupBy("job_id").agg(F.count(F.lit(1)).alias("added"))
+        won = written(
+            now.join(counted, "job_id").where(F.col("added") > F.col("own")).join(requests, "job_id")
+            .select("job_id", "fallback", "added", F.col("successful_requests").alias("more_pages")), "won")
+        results.append(more.join(won.select("job_id"), "job_id", "left_semi"))
+        wins.append(won)
+        waiting = waiting.join(won.select("job_id"), "job_id", "left_anti")
+    for name in ("fallback", "added", "more_pages"):
+        summary = summary if wins else summary.withColumn(name, F.lit(None).cast("string" if name == "fallback" else "long"))
+    if wins:
+        summary = summary.join(reduce(DataFrame.unionByName, wins), "job_id", "left")
+    pages_ok = F.col("successful_requests") + F.coalesce("more_pages", F.lit(0))
+    summary = summary.withColumns({
+        "total_items": F.col("total_items") + F.coalesce("added", F.lit(0)), "pages_processed": pages_ok, "successful_requests": pages_ok}).drop("added", "more_pages")
+    return reduce(DataFrame.unionByName, results), summary.withColumn(
+        "success_rate", crawl_log.success_rate(F.col("successful_requests"), F.col("failed_requests")))
+
+
 def preview_jobs(
     jobs: DataFrame, pages: DataFrame, item_selector: str | Selector, fields: list[Field] = (), limit: int = R.PREVIEW_ITEMS,
 ) -> tuple[DataFrame, DataFrame]:
