@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import zlib
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -24,30 +26,40 @@ class Encoder:
     their offsets.  At most ``2 * limit`` words are remembered.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit, self.young, self.old = limit, {}, {}
+        normalizer = self.tokenizer.normalizer
+        self.lowers = normalizer is not None and normalizer.normalize_str(ascii_uppercase) == ascii_lowercase
+
+    def words(self, text: bytes) -> list[bytes]:
+        """The words of a text, A-Z lower-cased where the vocabulary does that itself.
+
+        Not in texts with combining marks (U+0300 to U+036F begin with 0xCC or 0xCD), since some letters only
+        compose with a mark when they are small.
+        """
+        return (text.lower() if self.lowers and b"\xcc" not in text and b"\xcd" not in text else text).split()
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.young) + len(words - self.young.keys()) > self.limit:
-            self.old, self.young = self.young, {}
-        new = []
-        for w in words - self.young.keys():
-            if (ids := self.old.get(w)) is not None:
-                self.young[w] = ids
-            else:
-                new.append(w)
-        for first in range(0, len(new), 2000):
-            some = [w.decode("utf-8", "replace") for w in new[first : first + 2000]]
-            encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(w) + 1 for w in some)])
-            offsets = np.array([a for a, _ in encoded.offsets], np.int64)
-            at = np.searchsorted(offsets, starts)
+        # differences of sets with dicts, in this order, walk the words and not all that is remembered
+        new = words.difference(self.young)
+        if len(self.young) + len(new) > self.limit:
+            self.old, self.young, new = self.young, {}, words
+        unknown = new.difference(self.old)
+        kept = new.difference(unknown)
+        self.young.update(zip(kept, map(self.old.__getitem__, kept)))
+        unknown = list(unknown)
+        for first in range(0, len(unknown), 2000):
+            some = unknown[first : first + 2000]
+            text = b" ".join(some).decode("utf-8", "replace")
+            encoded = self.tokenizer.encode(text, add_special_tokens=False)
+            starts = np.cumsum([0, *(len(w) + 1 for w in text.split(" "))])
+            offsets = np.fromiter((a for a, _ in encoded.offsets), np.int64, len(encoded))
+            at = (4 * np.searchsorted(offsets, starts)).tolist()
             ids = np.array(encoded.ids, "<u4").tobytes()
-            for i, w in enumerate(new[first : first + 2000]):
-                self.young[w] = ids[4 * at[i] : 4 * at[i + 1]]
+            self.young.update(zip(some, (ids[a:b] for a, b in zip(at, at[1:]))))
 
     def ids(self, words: list[bytes]) -> bytes:
         return b"".join(map(self.young.__getitem__, words))
@@ -74,12 +86,21 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int = 4096, end_id: int
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches):
+        collecting = gc.isenabled()
+        gc.disable()  # lists of words without cycles: collection passes would only cost time
+        try:
+            yield from pieces_of(batches)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def pieces_of(batches):
         encoder, n = _encoder(vocabulary), 0
         base = TaskContext.get().partitionId() << 40
         for batch in batches:
             for first in range(0, batch.num_rows, 200):
                 part = batch.slice(first, 200)
-                texts = [t.split() for t in part.column(1).to_pylist()]
+                texts = [encoder.words(t) for t in part.column(1).to_pylist()]
                 encoder.learn(set().union(*texts))
                 rows = []
                 for doc, words in zip(part.column(0).to_pylist(), texts):

@@ -304,6 +304,21 @@ def test_packing(docs):
     assert packing.pack_documents(empty(docs), word_vocabulary()).count() == 0
 
 
+def test_ids_of_words_are_those_of_the_text():
+    from tokenizers import Tokenizer
+
+    tokenizer, random = Tokenizer.from_file(word_vocabulary()), np.random.default_rng(8)
+    letters = ["J", "j", "H", "\u030c", "\u0331", "A", "a", "\u0301", "I", "\u0130", "\u212a", "\u00e9", "\u01f0", "'", "S", "'S", "7", "\u4e2d", "\u200b", "\u00a0", " ", "\t", "ZE", "\ue000", "\U0001f600"]
+    texts = ["".join(random.choice(letters, random.integers(1, 40))) for _ in range(3000)] + ["The THE the tHe " * 50, "J\u030c \u030cJ"]
+    for limit in (30, 600_000):
+        encoder = packing.Encoder(word_vocabulary(), limit)
+        for text in texts:
+            words = encoder.words(text.encode())
+            encoder.learn(set(words))
+            assert encoder.ids(words) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+            assert len(encoder.young) + len(encoder.old) <= 2 * max(limit, len(set(words)))
+
+
 def test_groups_hand_on_their_open_bins(docs):
     from domweave.session import written
 
