@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from domweave.functions.skew import join_per_key
 from domweave.session import written
 
 
 def _stars(rows: DataFrame) -> DataFrame:
-    """rows (u, v) with the least neighbour of u, or u itself, as m."""
+    """rows (u, v) with the least neighbour of u, or u itself, as m.
+
+    Minima are reduced before the shuffle; the rows of a hub are split by adaptive execution (skew join).
+    """
     least = rows.groupBy("u").agg(F.min("v").alias("least"))
-    return join_per_key(rows, least, ["u"], ["v"], "inner").withColumn("m", F.least("u", "least"))
+    return rows.join(least, "u").withColumn("m", F.least("u", "least"))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -> DataFrame:
     """(node, component) of every node with an edge to another; component: its least node.
 
     Nodes are any ordered type.  Loops, repeated edges, either direction and nulls are
-    allowed; edges with a null end are ignored, an edgeless table gives no rows.  A hub
-    with many edges is cut by salts, its minimum is found on the map side.  Every round is
+    allowed; edges with a null end are ignored, an edgeless table gives no rows.  Every round is
     written to the shared checkpoint folder, so lost executors cost one round at most.
     Only two counters per round reach the driver.  Stars halve paths, so rounds grow with
     the logarithm of the longest path; more than ``rounds`` raise an error.
@@ -42,3 +43,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         seen = tuple(row)
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def joined_components(nodes: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) once ``edges`` are added to what ``nodes`` (node, component) connects already.
+
+    Only edges between components count, with components as their ends, so the work
+    is that of the new edges and not of the whole graph.
+    """
+    def named(side):
+        return nodes.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+
+    ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).join(named("a"), "a", "left").join(named("b"), "b", "left")
+    between = ends.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).where("a != b").distinct()
+    merged = written(connected_components(between), "merged")
+    known = nodes.join(merged.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left")
+    fresh = merged.join(nodes.select("node"), "node", "left_anti")
+    return known.select("node", F.coalesce("new", "component").alias("component")).union(fresh.select("node", "component"))

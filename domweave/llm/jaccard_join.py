@@ -12,7 +12,7 @@ from domweave.functions.skew import join_per_key
 from domweave.llm.common import (
     PLACES, WordHashes, measured_broadcast, mixed, segment_slices, segments_for, shingle_hashes, text_bytes, utf8, words_of,
 )
-from domweave.llm.components import connected_components
+from domweave.llm.components import connected_components, joined_components
 from domweave.session import written
 
 SPARE = 3
@@ -405,14 +405,13 @@ def similar_groups(docs: DataFrame, length: int = 5, percent: int = 80, id_col:
     # first the leader that shares most lists; then those that could still join two components
     closest = written(pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b"), "closest")
     edges = links(closest)
-    if edges is None:
-        edges = closest.limit(0)
-    nodes = written(connected_components(edges), "nodes")
+    nodes = closest.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
+    if edges is not None:
+        nodes = written(connected_components(edges), "nodes")
     others = pairs.join(closest, ["a", "b"], "left_anti").select("a", "b")
     more = links(_labelled(_labelled(others, nodes, "a"), nodes, "b").where("c_a != c_b").select("a", "b"))
     if more is not None:
-        edges = edges.union(more)
-        nodes = written(connected_components(edges), "nodes")
+        nodes = written(joined_components(nodes, more), "nodes")
     # leaders were compared with all of their list: only other members can hide a link between components
     hidden = _labelled(_labelled(lists, nodes, "leader"), nodes, "member").where("c_leader != c_member").select("list_id").distinct()
     rest = _labelled(lists.join(hidden, "list_id", "left_semi").select("list_id", F.col("member").alias("set_id")), nodes, "set_id")
@@ -422,11 +421,10 @@ def similar_groups(docs: DataFrame, length: int = 5, percent: int = 80, id_col:
     other = short.select("list_id", F.col("a").alias("b"), F.col("ca").alias("cb"))
     more = links(short.join(other, "list_id").where("a < b and ca != cb").select("a", "b").distinct())
     if more is not None:
-        edges = edges.union(more)
+        nodes = written(joined_components(nodes, more), "nodes")
     long = rest.where(F.col("m") > SHORT)
     if not long.isEmpty():
-        edges = edges.union(_family_links(long, marks, members, nodes, percent))
-    nodes = written(connected_components(edges), "nodes")
+        nodes = written(joined_components(nodes, _family_links(long, marks, members, nodes, percent)), "nodes")
     # set -> least document of its component
     named = least.join(nodes.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
         "component", F.coalesce("component", "set_id"))

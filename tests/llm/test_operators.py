@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from domweave.llm import ann, decontaminate, jaccard_join, license_scan, lm_score, packing, token_counts, toxicity, url_filter, warc
-from domweave.llm.components import connected_components
+from domweave.llm.components import connected_components, joined_components
 from domweave.llm.queries import RULES, piece_vocabulary, word_vocabulary
 from domweave.session import configure, work_dir
 
@@ -56,6 +56,16 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4} | {100 + i: 100 for i in range(41)}
 
 
+def test_components_are_joined_by_further_edges(spark):
+    first = [(1, 2), (2, 3), (5, 4), (10, 11), (20, 21)]
+    more = [(3, 5), (30, 31), (21, 30), (11, 10), (40, 40), (None, 1), (50, 4)]
+    nodes = connected_components(spark.createDataFrame(first, "a long, b long"))
+    got = {r.node: r.component for r in joined_components(nodes, spark.createDataFrame(more, "a long, b long")).collect()}
+    assert got == dict.fromkeys((1, 2, 3, 4, 5, 50), 1) | {10: 10, 11: 10} | dict.fromkeys((20, 21, 30, 31), 20)
+    none = joined_components(nodes, spark.createDataFrame([], "a long, b long"))
+    assert {r.node: r.component for r in none.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 10: 10, 11: 10, 20: 20, 21: 20}
+
+
 @pytest.mark.parametrize("length, percent", [(4, 85), (5, 80)])
 def test_jaccard_groups(docs, length, percent):
     rows = pairs_of(docs)
