@@ -1,10 +1,9 @@
 """Structure analysis of pages.
 
 ``page_features`` needs one page at a time and stays inside the row: no shuffle.
-``page_marks`` unnests only elements that carry a class, match a listed selector or
-sit in a table, list or form; the groupings over it aggregate on the map side, so
-what is shuffled is about one row per page and group.  ``analyze_pages`` does all of
-it from a single parse: page features ride along on one mark per page.
+Groups of like elements, matches of listed selectors and the members of tables, lists
+and forms are folded inside the row as well: keys are sorted, equal ones are runs.  ``analyze_pages`` does all
+of it from a single parse, without an exchange.
 """
 
 from __future__ import annotations
@@ -113,36 +112,49 @@ def page_features(dom: DataFrame, *keep: str) -> DataFrame:
     return scored.selectExpr("*", f"{page_type()} AS page_type")
 
 
-# ---- marks -----------------------------------------------------------------------
+# ---- folds inside the page row -----------------------------------------------------
+#
+# What is to be grouped becomes an array of small structs (key, element), which is sorted.  A group
+# is then a run of equal keys: its size is the distance to the next run, its first members the run's first
+# elements.  Nothing is unnested, so nothing has to be gathered again.
 
-MARK = "struct<kind:string,key:string,outer:int,inner:int>"
-NO_MARKS = f"cast(array() AS array<{MARK}>)"
+SELECTED, GROUPED = 0, 1
+# flags of a container's run, in sorting order: the container itself, then its members by row
+TABLE, LIST, FORM, ROW, CELL, LIST_ITEM, INPUT = range(7)
 
 
-def _mark(kind: str, key: str = "NULL", outer: str = "NULL", inner: str = "NULL") -> str:
-    return (
-        f"named_struct('kind', '{kind}', 'key', CAST({key} AS string), "
-        f"'outer', CAST({outer} AS int), 'inner', CAST({inner} AS int))"
-    )
+def suggested_selectors() -> list[str]:
+    """Every selector the suggestions and card patterns look at, once."""
+    listed = [s for groups in R.SUGGESTIONS.values() for chosen in groups.values() for s in chosen]
+    return list(dict.fromkeys(listed + R.CARD_SELECTORS))
 
 
-def _single(marks: list[str]) -> str:
-    return f"array_compact(array({', '.join(marks)}))"
+def _sorted(marks: str) -> str:
+    return f"sort_array(flatten(transform(nodes, n -> {marks})))"
 
 
-def group_marks() -> str:
-    key = "concat(upper(n.tag), '.', substring_index(n.class, ' ', 1))"
-    return _single([f"if(n.class <> '', {_mark('group', key)}, NULL)"])
+def _runs(marked: str, *keys: str) -> str:
+    """SQL for the places in a sorted array at which a run of equal keys begins."""
+    differs = " OR ".join(f"get({marked}, i).{k} <> get({marked}, i - 1).{k}" for k in keys)
+    return f"if(size({marked}) = 0, cast(array() AS array<int>), filter(sequence(0, size({marked}) - 1), i -> i = 0 OR {differs}))"
 
 
-def suggested_selectors() -> list[str]:
-    """Every selector the suggestions and card patterns look at, once."""
-    listed = [s for groups in R.SUGGESTIONS.values() for chosen in groups.values() for s in chosen]
-    return list(dict.fromkeys(listed + R.CARD_SELECTORS))
+def _ends(starts: str, marked: str) -> str:
+    return f"coalesce(get({starts}, j + 1), size({marked}))"
 
 
-def selector_marks(selectors: list[str]) -> str:
-    return _single([f"if({css(s).sql('n')}, {_mark('selector', literal(s))}, NULL)" for s in selectors])
+def member_marks(selectors: list[str], groups: bool) -> str:
+    """What an element is a member of: listed selectors, and the group of its tag and first class."""
+    def mark(kind, key):
+        return f"named_struct('kind', {kind}, 'key', {key}, 'at', n.node_id)"
+
+    parts = [f"if({css(s).sql('n')}, {mark(SELECTED, literal(s))}, NULL)" for s in selectors]
+    if groups:
+        parts.append(f"if(n.class <> '', {mark(GROUPED, _GROUP_KEY)}, NULL)")
+    return f"array_compact(array({', '.join(parts)}))"
+
+
+_GROUP_KEY = "concat(upper(n.tag), '.', substring_index(n.class, ' ', 1))"
 
 
 def container_marks() -> str:
@@ -151,84 +163,93 @@ def container_marks() -> str:
     def tags(names):
         return "n.tag IN (" + ", ".join(literal(t) for t in names.split()) + ")"
 
-    def own(names, kind):
-        return f"if({tags(names)}, array({_mark(kind, outer='n.node_id')}), {NO_MARKS})"
+    def mark(outer, inner, flag):
+        return f"named_struct('outer', {outer}, 'inner', {inner}, 'flag', {flag})"
+
+    none = "cast(array() AS array<struct<outer:int,inner:int,flag:int>>)"
+
+    def own(names, flag):
+        return f"if({tags(names)}, array({mark('n.node_id', '-1', flag)}), {none})"
 
-    def below(container, kind, names, inner="NULL"):
-        marks = f"transform({above_sql(css(container))}, up -> {_mark(kind, outer='up', inner=inner)})"
-        return f"if({tags(names)}, {marks}, {NO_MARKS})"
+    def below(container, flag, names):
+        return f"if({tags(names)}, transform({above_sql(css(container))}, up -> {mark('up', 'n.node_id', flag)}), {none})"
 
     # a cell counts for every pair of a row above it and a table above that row
     pairs = (
         f"flatten(transform({above_sql(css('tr'))}, row -> transform(filter({above_sql(css('table'))}, t -> t < row), "
-        f"t -> {_mark('table_cell', outer='t', inner='row')})))"
+        f"t -> {mark('t', 'row', CELL)})))"
     )
     parts = [
-        own("table", "table"), below("table", "table_row", "tr", "n.node_id"), f"if({tags('td th')}, {pairs}, {NO_MARKS})",
-        own("ul ol", "list"), below("ul, ol", "list_item", "li"),
-        own("form", "form"), below("form", "form_input", "input select textarea"),
+        own("table", TABLE), below("table", ROW, "tr"), f"if({tags('td th')}, {pairs}, {none})",
+        own("ul ol", LIST), below("ul, ol", LIST_ITEM, "li"), own("form", FORM), below("form", INPUT, "input select textarea"),
     ]
     return f"concat({', '.join(parts)})"
 
 
-def _described(marks: str, extra: str = "") -> Column:
-    wanted = ", ".join(f"'{c}', n.{c}" for c in ("node_id", "n_children", "trim_start", "trim_end", "attrs"))
-    return F.expr(
-        f"transform(nodes, n -> named_struct({wanted}, 'selector', {short_selector_sql('n')}{extra}, 'marks', {marks}))"
+def _with_members(dom: DataFrame, selectors: list[str], groups: bool) -> DataFrame:
+    """Add ``members``: kind, selector, count, first place in ``marked``; by selector."""
+    marked = dom.withColumn("marked", F.expr(_sorted(member_marks(selectors, groups)))).withColumn("starts", F.expr(_runs("marked", "kind", "key")))
+    shape = (
+        "named_struct('kind', get(marked, s).kind, 'selector', get(marked, s).key, "
+        f"'count', CAST({_ends('starts', 'marked')} - s AS bigint), 'place', s)"
     )
+    return marked.withColumn("members", F.expr(f"transform(starts, (s, j) -> {shape})"))
 
 
-def _mark_rows(dom: DataFrame, described: Column, keep: tuple[str, ...], extra: tuple[str, ...] = ()) -> DataFrame:
-    """Marks with the first characters of their element's text.
+def _samples(length: int) -> str:
+    """SQL for the texts of the first members of a run ``g``."""
+    head = text_head_sql(length, "get(nodes, m.at)")
+    return f"transform(slice(marked, g.place + 1, least(CAST(g.count AS int), {R.SAMPLE_COUNT})), m -> {head})"
 
-    The page text is cut here, in the stage that unnests, and does not go any further:
-    otherwise every mark would carry a copy of it into the aggregation.
-    """
-    rows = unnest(dom, described, *keep, "doc_text").select("*", F.inline_outer("marks"))
-    head = F.expr(f"if(kind IN ('group', 'selector'), {text_head_sql(R.GROUP_SAMPLE_LENGTH)}, NULL)")
-    columns = [*keep, "kind", "key", "outer", "inner", "node_id", "n_children", "selector", *extra]
-    boxed = F.expr("if(kind IN ('table', 'list', 'form'), attrs, NULL)")
-    return rows.where(F.col("kind").isNotNull()).select(*columns, boxed.alias("attrs"), head.alias("head"))
 
+def _repeating() -> str:
+    run = "slice(marked, g.place + 1, CAST(g.count AS int))"
+    children = f"aggregate({run}, CAST(0 AS bigint), (t, m) -> t + get(nodes, m.at).n_children) / g.count"
+    return (
+        f"transform(filter(members, g -> g.kind = {GROUPED} AND g.count >= {R.REPEATING_MINIMUM}), g -> named_struct("
+        f"'selector', g.selector, 'count', g.count, 'avg_children', {children}, 'samples', {_samples(R.GROUP_SAMPLE_LENGTH)}))"
+    )
 
-def page_marks(dom: DataFrame, marks: str, *keep: str) -> DataFrame:
-    """Rows (page, kind, key, outer, inner) saying what an element counts towards."""
-    return _mark_rows(dom, _described(marks), keep or ("page_id",))
 
+def _found() -> str:
+    return (
+        f"transform(filter(members, g -> g.kind = {SELECTED}), g -> named_struct("
+        f"'selector', g.selector, 'count', g.count, 'samples', {_samples(R.SELECTOR_SAMPLE_LENGTH)}))"
+    )
+
+
+def _with_boxes(dom: DataFrame) -> DataFrame:
+    """Add ``boxes``: every table, list and form of the page with its selector, attributes and member counts, in document order."""
+    contained = dom.withColumn("contained", F.expr(_sorted(container_marks()))).withColumn("openings", F.expr(_runs("contained", "outer")))
+    cut = f"slice(contained, s + 1, {_ends('openings', 'contained')} - s)"
 
-def _first_texts() -> Column:
-    """First three texts of a group in document order with their positions."""
-    listed = "collect_list(if(head IS NULL, NULL, named_struct('node_id', node_id, 'text', head)))"
-    return F.expr(f"slice(sort_array({listed}), 1, {R.SAMPLE_COUNT})")
+    def count(flag):
+        return f"CAST(size(filter(r, m -> m.flag = {flag})) AS bigint)"
+
+    first_row = f"get(filter(r, m -> m.flag = {ROW}), 0).inner"
+    box = "get(nodes, get(r, 0).outer)"
+    shape = (
+        "named_struct('node_id', get(r, 0).outer, 'flag', get(r, 0).flag, "
+        f"'selector', {short_selector_sql(box)}, 'attrs', {box}.attrs, 'rows', {count(ROW)}, "
+        f"'columns', CAST(size(filter(r, m -> m.flag = {CELL} AND m.inner = {first_row})) AS bigint), "
+        f"'list_items', {count(LIST_ITEM)}, 'inputs', {count(INPUT)})"
+    )
+    return contained.withColumn("boxes", F.expr(f"transform(transform(openings, (s, j) -> {cut}), r -> {shape})"))
 
 
-def _texts(samples: str, length: int) -> str:
-    return f"transform({samples}, s -> substring(s.text, 1, {length}))"
+def _listed(rows: DataFrame, found: str, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """One row per struct of an expression; `unnest` tells why in this form."""
+    return unnest(rows, F.expr(found), *keep)
 
 
 def repeating_groups(dom: DataFrame) -> DataFrame:
     """Elements of a page with the same tag and first class, three or more of them."""
-    return (
-        page_marks(dom, group_marks())
-        .groupBy("page_id", F.col("key").alias("selector"))
-        .agg(
-            F.count(F.lit(1)).alias("count"),
-            F.avg("n_children").alias("avg_children"),
-            _first_texts().alias("samples"),
-        )
-        .where(F.col("count") >= R.REPEATING_MINIMUM)
-        .withColumn("samples", F.expr(_texts("samples", R.GROUP_SAMPLE_LENGTH)))
-    )
+    return _listed(_with_members(dom.select("page_id", "doc_text", "nodes"), [], True), _repeating())
 
 
 def selector_matches(dom: DataFrame, selectors: list[str]) -> DataFrame:
     """Match count and samples of listed selectors per page."""
-    return (
-        page_marks(dom, selector_marks(selectors))
-        .groupBy("page_id", F.col("key").alias("selector"))
-        .agg(F.count(F.lit(1)).alias("count"), _first_texts().alias("samples"))
-        .withColumn("samples", F.expr(_texts("samples", R.SELECTOR_SAMPLE_LENGTH)))
-    )
+    return _listed(_with_members(dom.select("page_id", "doc_text", "nodes"), selectors, False), _found())
 
 
 def best_of(listed: list[str]) -> str:
@@ -245,104 +266,61 @@ def best_of(listed: list[str]) -> str:
 
 def best_selectors(dom: DataFrame) -> DataFrame:
     """Best selector of every suggestion of every page type, where any matches."""
-    stats = (
-        selector_matches(dom, suggested_selectors())
-        .groupBy("page_id")
-        .agg(F.collect_list(F.struct("selector", "count", "samples")).alias("found"))
-    )
+    stats = _with_members(dom.select("page_id", "doc_text", "nodes"), suggested_selectors(), False).withColumn("found", F.expr(_found()))
     options = ", ".join(
         f"named_struct('page_type', '{t}', 'suggestion', '{g}', 'best', {best_of(listed)})"
         for t, groups in R.SUGGESTIONS.items()
         for g, listed in groups.items()
     )
     return (
-        stats.select("page_id", F.expr(f"inline(array({options}))"))
+        stats.where(F.size("found") > 0).select("page_id", F.expr(f"inline(array({options}))"))
         .where(F.col("best").isNotNull())
         .select("page_id", "page_type", "suggestion", "best.*")
     )
 
 
-def _boxes() -> dict[str, Column]:
-    """First step of container counting, per (container, row).
-
-    The container's own facts are collected (there is one entry) rather than reduced
-    with max or first: string and map buffers would force a sort of all marks.
-    """
-    kind = F.col("kind")
-    own = F.when(kind.isin("table", "list", "form"), F.struct(kind.alias("box"), "selector", "attrs"))
-    return {
-        "boxes": F.collect_list(own),
-        "rows": F.count_if(kind == "table_row"),
-        "cells": F.count_if(kind == "table_cell"),
-        "list_items": F.count_if(kind == "list_item"),
-        "inputs": F.count_if(kind == "form_input"),
-    }
-
-
-def _box_totals() -> dict[str, Column]:
-    """Second step, per container: rows of a table, cells of its first row, members."""
-    return {
-        "boxes": F.flatten(F.collect_list("boxes")),
-        "columns": F.coalesce(F.min_by("cells", F.when(F.col("rows") > 0, F.col("inner"))), F.lit(0)),
-        "rows": F.sum("rows"),
-        "list_items": F.sum("list_items"),
-        "inputs": F.sum("inputs"),
-    }
-
-
-def _with_box(counted: DataFrame) -> DataFrame:
-    own = F.get("boxes", 0)
-    return counted.withColumns({n: own[n] for n in ("box", "selector", "attrs")}).drop("boxes")
+def forms(dom: DataFrame) -> DataFrame:
+    """Forms with method, action and number of inputs."""
+    return _listed(_with_boxes(dom.select("page_id", "nodes")), f"transform({_boxes(FORM)}, b -> {_FORM})").drop("node_id")
 
 
-def _aliased(columns: dict[str, Column]) -> list[Column]:
-    return [c.alias(n) for n, c in columns.items()]
+def tables(dom: DataFrame) -> DataFrame:
+    """Tables with their rows and the columns of their first row."""
+    return _listed(_with_boxes(dom.select("page_id", "nodes")), f"transform({_boxes(TABLE)}, b -> {_TABLE})").drop("node_id")
 
 
-def container_counts(dom: DataFrame) -> DataFrame:
-    """Tables, lists and forms: one row each with its selector and member counts."""
-    rows = page_marks(dom, container_marks()).groupBy("page_id", "outer", "inner").agg(*_aliased(_boxes()))
-    return _with_box(rows.groupBy("page_id", F.col("outer").alias("node_id")).agg(*_aliased(_box_totals())))
+def _boxes(flag: int) -> str:
+    return f"filter(boxes, b -> b.flag = {flag})"
 
 
-def _attr(name: str, default: str) -> Column:
-    return F.coalesce(F.nullif(F.try_element_at("attrs", F.lit(name)), F.lit("")), F.lit(default)).alias(name)
+_FORM = "named_struct('node_id', b.node_id, 'selector', b.selector, {}, {}, 'inputs', b.inputs)".format(*(
+    f"'{n}', coalesce(nullif(try_element_at(b.attrs, '{n}'), ''), '{default}')" for n, default in (("method", "GET"), ("action", ""))))
+_TABLE = "named_struct('node_id', b.node_id, 'selector', b.selector, 'rows', b.rows, 'columns', b.columns)"
 
 
-def forms(dom: DataFrame) -> DataFrame:
-    """Forms with method, action and number of inputs."""
-    found = container_counts(dom).where(F.col("box") == "form")
-    return found.select("page_id", "selector", _attr("method", "GET"), _attr("action", ""), "inputs")
+def _patterns() -> str:
+    """SQL for tables, cards and lists that hold data, in the order of falling confidence; cards in the order of their selectors."""
+    def pattern(kind: str, selector: str, size: str, order: str) -> str:
+        return (
+            f"named_struct('type', '{kind}', 'selector', {selector}, 'size', CAST({size} AS bigint), "
+            f"'confidence', {R.PATTERNS[kind][1]}D, 'order', {order})"
+        )
 
+    def members(selector: str) -> str:
+        return f"coalesce(get(filter(members, s -> s.kind = {SELECTED} AND s.selector = {literal(selector)}), 0).count, 0)"
 
-def tables(dom: DataFrame) -> DataFrame:
-    """Tables with their rows and the columns of their first row."""
-    return container_counts(dom).where(F.col("box") == "table").select("page_id", "selector", "rows", "columns")
+    cards = ", ".join(pattern("cards", literal(s), members(s), str(i + 1)) for i, s in enumerate(R.CARD_SELECTORS))
+    return (
+        f"concat(transform(filter({_boxes(TABLE)}, b -> b.rows > {R.PATTERNS['table'][0]}), b -> {pattern('table', 'b.selector', 'b.rows', 'b.node_id')}), "
+        f"filter(array({cards}), p -> p.size > {R.PATTERNS['cards'][0]}), "
+        f"transform(filter({_boxes(LIST)}, b -> b.list_items > {R.PATTERNS['list'][0]}), b -> {pattern('list', 'b.selector', 'b.list_items', 'b.node_id')}))"
+    )
 
 
 def data_patterns(dom: DataFrame) -> DataFrame:
     """Tables, cards and lists that hold data, one row each, from one pass over the elements."""
-    marks = f"concat({container_marks()}, {selector_marks(R.CARD_SELECTORS)})"
-    first = (
-        page_marks(dom, marks)
-        .groupBy("page_id", "key", "outer", "inner")
-        .agg(F.count(F.lit(1)).alias("count"), *_aliased(_boxes()))
-    )
-    boxes = _with_box(
-        first.groupBy("page_id", "key", "outer").agg(F.sum("count").alias("count"), *_aliased(_box_totals()))
-    )
-    kind = F.when(F.col("key").isNotNull(), "cards").otherwise(F.col("box"))
-    size = F.expr("CASE WHEN key IS NOT NULL THEN count WHEN box = 'table' THEN rows ELSE list_items END")
-    place = F.array_position(F.array(*[F.lit(s) for s in R.CARD_SELECTORS]), F.col("key")).cast("int")
-    found = boxes.select(
-        "page_id", kind.alias("type"), F.coalesce("key", "selector").alias("selector"), size.alias("size"),
-        F.coalesce(place, "outer").alias("order"),
-    )
-    limit, confidence_ = F, F
-    for name, (more_than, value) in R.PATTERNS.items():
-        limit = limit.when(F.col("type") == name, more_than)
-        confidence_ = confidence_.when(F.col("type") == name, value)
-    return found.where(F.col("size") > limit).withColumn("confidence", confidence_)
+    rows = _with_boxes(_with_members(dom.select("page_id", "nodes"), R.CARD_SELECTORS, False))
+    return _listed(rows, _patterns()).select("page_id", "type", "selector", "size", "order", "confidence")
 
 
 def element_categories(dom: DataFrame) -> DataFrame:
@@ -394,90 +372,32 @@ def recommendations(value: Column, patterns: Column, has_groups: Column, page_ty
 
 
 def analyze_pages(dom: DataFrame, reference_order: bool = False) -> DataFrame:
-    """One row per page with everything the analysis finds.
+    """One row per page with everything the analysis finds; it never leaves its row, so nothing is shuffled.
 
     ``reference_order=True`` gives the advice as if confidence were still zero when
     it is written, so that low confidence is always among it.
     """
     page = page_features(dom, "page_id", "doc_text", "nodes")
     names = [c for c in page.columns if c not in ("page_id", "doc_text", "nodes")]
-    page = page.select("page_id", "doc_text", "nodes", F.struct(*names).alias("features"))
-
-    # the features of a page ride on the mark of its root element
-    root = f"if(n.node_id = 0, array({_mark('page')}), {NO_MARKS})"
-    marks = f"concat({root}, {group_marks()}, {selector_marks(suggested_selectors())}, {container_marks()})"
-    described = _described(marks, ", 'features', if(n.node_id = 0, features, NULL)")
-    rows = _mark_rows(page, described, ("page_id",), ("features",))
-
-    family = F.expr("if(kind IN ('group', 'selector', 'page'), kind, 'container')")
-    first = rows.groupBy("page_id", family.alias("family"), "key", "outer", "inner").agg(
-        F.count(F.lit(1)).alias("count"),
-        F.avg(F.expr("if(kind = 'group', n_children, NULL)")).alias("avg_children"),
-        _first_texts().alias("samples"),
-        F.first("features", True).alias("features"),
-        *_aliased(_boxes()),
-    )
-    second = _with_box(
-        first.groupBy("page_id", "family", "key", "outer").agg(
-            F.sum("count").alias("count"),
-            F.first("avg_children", True).alias("avg_children"),
-            F.first("samples", True).alias("samples"),
-            F.first("features", True).alias("features"),
-            *_aliased(_box_totals()),
-        )
-    )
-
-    def listed(condition: str, *fields: str) -> str:
-        shape = ", ".join(fields)
-        return f"sort_array(collect_list(if({condition}, named_struct({shape}), NULL)))"
-
-    group_texts, selector_texts = (_texts("samples", n) for n in (R.GROUP_SAMPLE_LENGTH, R.SELECTOR_SAMPLE_LENGTH))
-    box = "'node_id', outer, 'selector', selector"
-    method, action = (
-        f"'{n}', coalesce(nullif(try_element_at(attrs, '{n}'), ''), '{default}')"
-        for n, default in (("method", "GET"), ("action", ""))
-    )
-    collected = second.groupBy("page_id").agg(
-        F.first("features", True).alias("features"),
-        F.expr(listed(
-            f"family = 'group' AND count >= {R.REPEATING_MINIMUM}",
-            f"'selector', key, 'count', count, 'avg_children', avg_children, 'samples', {group_texts}",
-        )).alias("repeating_elements"),
-        F.expr(listed("family = 'selector'", f"'selector', key, 'count', count, 'samples', {selector_texts}")).alias("found"),
-        F.expr(listed("box = 'table'", box, "'rows', rows, 'columns', columns")).alias("tables"),
-        F.expr(listed("box = 'list'", box, "'list_items', list_items")).alias("lists"),
-        F.expr(listed("box = 'form'", box, method, action, "'inputs', inputs")).alias("forms"),
-    )
-
-    def pattern(kind: str, selector: str, size: str) -> str:
-        return (
-            f"named_struct('type', '{kind}', 'selector', {selector}, 'size', CAST({size} AS bigint), "
-            f"'confidence', {R.PATTERNS[kind][1]}D)"
-        )
-
-    def members(selector: str) -> str:
-        return f"coalesce(get(filter(found, s -> s.selector = {literal(selector)}), 0).count, 0)"
-
-    cards = ", ".join(pattern("cards", literal(s), members(s)) for s in R.CARD_SELECTORS)
-    patterns = (
-        f"concat(transform(filter(tables, t -> t.rows > {R.PATTERNS['table'][0]}), t -> {pattern('table', 't.selector', 't.rows')}), "
-        f"filter(array({cards}), p -> p.size > {R.PATTERNS['cards'][0]}), "
-        f"transform(filter(lists, t -> t.list_items > {R.PATTERNS['list'][0]}), t -> {pattern('list', 't.selector', 't.list_items')}))"
-    )
+    folded = _with_boxes(_with_members(page, suggested_selectors(), True))
+    collected = folded.select(
+        "page_id", *names, F.expr(_repeating()).alias("repeating_elements"), F.expr(_found()).alias("found"),
+        F.expr(f"transform({_boxes(TABLE)}, b -> {_TABLE})").alias("tables"), F.expr(f"transform({_boxes(FORM)}, b -> {_FORM})").alias("forms"),
+        F.transform(F.expr(_patterns()), lambda p: p.dropFields("order")).alias("data_patterns"))
 
     def suggestion(name: str) -> str:
         cases = [
-            f"WHEN features.page_type = '{t}' THEN {best_of(groups[name]) if name in groups else 'NULL'}"
+            f"WHEN page_type = '{t}' THEN {best_of(groups[name]) if name in groups else 'NULL'}"
             for t, groups in R.SUGGESTIONS.items()
             if t != "default"
         ]
         rest = best_of(R.SUGGESTIONS["default"][name]) if name in R.SUGGESTIONS["default"] else "NULL"
         return f"'{name}', CASE {' '.join(cases)} ELSE {rest} END"
 
-    names = dict.fromkeys(g for groups in R.SUGGESTIONS.values() for g in groups)
+    suggestions = dict.fromkeys(g for groups in R.SUGGESTIONS.values() for g in groups)
     out = collected.selectExpr(
-        "page_id", "features.*", "repeating_elements", "tables", "forms", f"{patterns} AS data_patterns",
-        f"named_struct({', '.join(suggestion(n) for n in names)}) AS suggested_selectors",
+        "page_id", *names, "repeating_elements", "tables", "forms", "data_patterns",
+        f"named_struct({', '.join(suggestion(n) for n in suggestions)}) AS suggested_selectors",
     )
     patterns_found = F.size("data_patterns")
     has_groups = F.size("repeating_elements") > 0

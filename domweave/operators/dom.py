@@ -402,9 +402,10 @@ def text_sql(node: str = "", raw: bool = False) -> str:
     return _slice_sql("doc_text", f"{at}{kind}_start", f"{at}{kind}_end")
 
 
-def text_head_sql(length: int) -> str:
+def text_head_sql(length: int, node: str = "") -> str:
     """SQL for the first ``length`` characters of a trimmed text; a character has four bytes at most."""
-    return f"substring({_slice_sql('doc_text', 'trim_start', 'trim_end', 4 * length)}, 1, {length})"
+    at = f"{node}." if node else ""
+    return f"substring({_slice_sql('doc_text', f'{at}trim_start', f'{at}trim_end', 4 * length)}, 1, {length})"
 
 
 def text_of(raw: bool = False) -> Column:

@@ -310,31 +310,29 @@ def page_analysis(spark, sf_dir):
 @query(
     "stored_page_analysis",
     """
-    -- stored pages: article is the main content, the only class (ad) occurs once, lists of more than three items count
+    -- stored pages: article is the main content, the only class (ad) occurs once, every list of more than three items counts
     WITH p AS (
-      SELECT page_id, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, len(regexp_extract_all(html, '<li>')) AS items,
-        len(regexp_extract_all(html, '<ul>')) AS lists, len(regexp_extract_all(html, '<h1>')) AS headings,
-        len(regexp_extract_all(html, '<(p)>')) AS paragraphs FROM pages
-    ), s AS (
-      SELECT *, 3 * len(list_filter(['article','news','story','report','headline','author','date'], lambda w: contains(title, w))) AS news_words,
-        greatest(len(list_filter(['price','buy','cart','shop','product','order','payment'], lambda w: contains(title, w))),
-          len(list_filter(['post','blog','comment','tag','category','archive'], lambda w: contains(title, w))),
-          len(list_filter(['like','share','follow','friend','profile','feed'], lambda w: contains(title, w))),
-          len(list_filter(['thread','post','reply','user','topic','discussion'], lambda w: contains(title, w)))) AS other_words
+      SELECT page_id, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title,
+        list_filter(list_transform(regexp_extract_all(html, '(?s)<ul>.*?</ul>'), lambda u: len(regexp_extract_all(u, '<li>'))), lambda n: n > 3) AS lists FROM pages
+    ), w AS (
+      SELECT *, [
+        {'score': 3 * len(list_filter(['price','buy','cart','shop','product','order','payment'], lambda w: contains(title, w))), 'place': 1, 'name': 'ecommerce'},
+        {'score': 5 + 3 * len(list_filter(['article','news','story','report','headline','author','date'], lambda w: contains(title, w))), 'place': 2, 'name': 'news'},
+        {'score': 3 * len(list_filter(['post','blog','comment','tag','category','archive'], lambda w: contains(title, w))), 'place': 3, 'name': 'blog'},
+        {'score': 3 * len(list_filter(['like','share','follow','friend','profile','feed'], lambda w: contains(title, w))), 'place': 4, 'name': 'social'},
+        {'score': 3 * len(list_filter(['thread','post','reply','user','topic','discussion'], lambda w: contains(title, w))), 'place': 5, 'name': 'forum'}] AS scores
       FROM p
-    )
-    SELECT page_id, CASE WHEN news_words > 0 AND 5 + news_words > 3 * other_words THEN 'news' WHEN greatest(5 + news_words, 3 * other_words) <= 5 THEN 'general' ELSE 'other' END AS page_type,
-      'article' AS main, CAST(items AS BIGINT) AS list_items,
-      round(0.5::DOUBLE + CASE WHEN greatest(5 + news_words, 3 * other_words) > 5 THEN 0.2 ELSE 0 END + 0.1 + CASE WHEN items > 3 THEN 0.05 ELSE 0 END, 6)::DOUBLE AS confidence
-    FROM s
+    ), s AS (SELECT *, list_sort(scores)[-1] AS best FROM w), t AS (SELECT *, CASE WHEN best.score > 5 THEN best.name ELSE 'general' END AS page_type FROM s)
+    SELECT page_id, page_type, 'article' AS main, array_to_string(list_transform(lists, lambda n: 'list:ul:' || n), ',') AS patterns,
+      round(0.5::DOUBLE + CASE WHEN page_type <> 'general' THEN 0.2 ELSE 0 END + 0.1 + least(0.05 * len(lists), 0.15), 6)::DOUBLE AS confidence
+    FROM t
     """,
 )
 def stored_page_analysis(spark, sf_dir):
     a = analyze.analyze_pages(parsed(stored(spark, sf_dir)))
-    kind = F.when(F.col("page_type").isin("news", "general"), F.col("page_type")).otherwise("other")
     return a.select(
-        "page_id", kind.alias("page_type"), F.col("main_content.selector").alias("main"),
-        F.coalesce(F.get(F.filter("data_patterns", lambda p: p["type"] == "list"), 0)["size"], F.lit(0)).alias("list_items"),
+        "page_id", "page_type", F.col("main_content.selector").alias("main"),
+        F.array_join(F.transform("data_patterns", lambda p: F.concat_ws(":", p["type"], p["selector"], p["size"].cast("string"))), ",").alias("patterns"),
         F.round("confidence", 6).alias("confidence"),
     )
 
