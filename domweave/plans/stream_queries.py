@@ -79,6 +79,30 @@ def stream_duplicates(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@query(
+    "stream_duplicates_hot",
+    """
+    -- a third of all rows share one value; the files are four, by event_id
+    SELECT user_id % 2 AS job_id, value, event_id AS item_no, row_number() OVER (PARTITION BY user_id % 2, value ORDER BY event_id) > 1 AS is_duplicate
+    FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE event_type || '-' || (user_id // 2) END AS value FROM events)
+    """,
+)
+def stream_duplicates_hot(spark, sf_dir):
+    """Flags over four micro-batches, with state that expires."""
+    path, state, landed = work_dir(spark, "flags"), work_dir(spark, "state"), work_dir(spark, "landed")
+    rows = table(spark, sf_dir, "events").selectExpr(
+        "user_id % 2 AS job_id", "if(event_id % 3 = 0, 'hot', concat(event_type, '-', user_id div 2)) AS value", "event_id AS item_no")
+    last = rows.agg(F.max("item_no")).first()[0] or 0
+    for part in range(4):  # files are taken in the order of their times
+        low, high = last * part // 4, last * (part + 1) // 4
+        some = rows.where((F.col("item_no") >= low) & ((F.col("item_no") < high) | F.lit(part == 3)))
+        some.coalesce(1).write.mode("append").parquet(landed)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    flagged = streams.flag_duplicates(stream, "job_id", "value", "item_no", ttl="30 days")
+    streams.run_to_table(flagged, path, state, idle_batches=False).awaitTermination()
+    return spark.read.parquet(path)
+
+
 @query(
     "stream_counters",
     f"""

@@ -19,6 +19,9 @@ SETTINGS = {
     # Partial results of a page stay small; the default of 128 keys makes nearly every task sort its input.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "32768",
     "spark.sql.session.timeZone": "UTC",
+    # State of streams is kept outside the heap and saved as changes; arbitrary state with expiry needs it.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 

@@ -7,8 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from domweave.operators.dom import parse_pages
 from domweave.operators.extract import matches
@@ -48,28 +47,83 @@ def first_occurrences(items: DataFrame, value: str, ts: str = "ts", delay: str =
     return _timed(items, ts).withWatermark(ts, delay).dropDuplicatesWithinWatermark([value])
 
 
-def flag_duplicates(items: DataFrame, job: str, value: str, item: str, timeout: str = "NoTimeout") -> DataFrame:
-    """(job, value, item, is_duplicate): repeats of a value within a job, kept in keyed state.
+class _FirstOfKey(StatefulProcessor):
+    """Tells of each key's candidates which is the first ever; remembers the key until it has not been seen for a while."""
 
-    State is one boolean per (job, value).
+    def __init__(self, job: str, value: str, ttl_ms: int | None):
+        self.job, self.value, self.ttl_ms = job, value, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        job, value, salt = key
+
+        def out(items, first):
+            return pd.DataFrame({self.job: [job], self.value: [value], "items": [items], "is_first": [first]})
+
+        if salt:  # what came after a candidate of its own task: known to be repeats, no state is read
+            for chunk in rows:
+                for items in chunk["items"]:
+                    yield out(items, False)
+            return
+        seen, best = self.seen.exists(), None
+        for chunk in rows:
+            for items in chunk["items"]:
+                if seen or best is not None and not items[0] < best[0]:
+                    yield out(items, False)
+                    continue
+                if best is not None:
+                    yield out(best, False)
+                best = items
+        if best is not None:
+            yield out(best, True)
+        self.seen.update((True,))
+
+    def close(self) -> None:
+        pass
+
+
+def flag_duplicates(items: DataFrame, job: str, value: str, item: str, ttl: str | None = None, hold: int = 100_000, salts: int = 64) -> DataFrame:
+    """(job, value, item, is_duplicate): repeats of a value within a job, in order of ``item`` within a micro-batch.
+
+    Every task first reduces its rows to one candidate for each (job, value), its least item; all others are
+    repeats whatever the state says, and go on packed, spread over ``salts`` groups.  So a value in a third of all
+    rows sends a few candidates to the task that holds its state.  State is one boolean per (job, value); with
+    ``ttl`` (such as "7 days") it is forgotten once the value has not been seen for that long, and the
+    next occurrence counts as a first one again.
     """
     kinds = {f.name: f.dataType.simpleString() for f in items.schema.fields}
-    schema = f"{job} {kinds[job]}, {value} {kinds[value]}, {item} {kinds[item]}, is_duplicate boolean"
+    keys = f"{job} {kinds[job]}, {value} {kinds[value]}"
 
-    def flag(key: tuple, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seen = state.exists
-        for chunk in rows:
-            out = chunk[[job, value, item]].sort_values(item)
-            out["is_duplicate"] = True
-            if not seen and len(out):
-                out.iloc[0, out.columns.get_loc("is_duplicate")] = False
-                seen = True
-            yield out
-        state.update((True,))
-
-    return items.groupBy(job, value).applyInPandasWithState(
-        flag, schema, "seen boolean", "append", getattr(GroupStateTimeout, timeout)
-    )
+    def reduce(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+
+        def flush():
+            rows = pd.concat(held)
+            packed = rows.sort_values(item).groupby([job, value], dropna=False, sort=False)[item].agg(list).reset_index()
+            first = packed.assign(salt=0, items=packed[item].str[:1]).drop(columns=item)
+            rest = packed[packed[item].str.len() > 1]
+            spread = [1 + hash(i[0]) % salts for i in rest[item]]
+            return pd.concat([first, rest.assign(salt=spread, items=rest[item].str[1:]).drop(columns=item)])
+
+        for frame in frames:
+            held.append(frame)
+            n += len(frame)
+            if n >= hold:
+                yield flush()
+                held, n = [], 0
+        if n:
+            yield flush()
+
+    packed = items.select(job, value, item).mapInPandas(reduce, f"{keys}, salt int, items array<{kinds[item]}>")
+    flagged = packed.groupBy(job, value, "salt").transformWithStateInPandas(
+        _FirstOfKey(job, value, _millis_of(ttl)), f"{keys}, items array<{kinds[item]}>, is_first boolean", "Append", "ProcessingTime" if ttl else "None")
+    return flagged.select(job, value, F.explode("items").alias(item), (~F.col("is_first")).alias("is_duplicate"))
+
+
+def _millis_of(ttl: str | None) -> int | None:
+    return int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else None
 
 
 def windowed_counters(log: DataFrame, ts: str = "ts", window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
@@ -98,13 +152,23 @@ def live_totals(log: DataFrame) -> DataFrame:
     )
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Process everything available into Parquet files."""
-    return (
-        stream.writeStream.format("parquet")
-        .outputMode(mode)
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", idle_batches: bool = True) -> StreamingQuery:
+    """Process everything available into Parquet files.
+
+    ``idle_batches=False`` for state that expires by the clock: such a query asks for one more batch without
+    data for ever, and so would never end.  Expired state is then left out at the next read, and removed with the next data.
+    """
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, str(idle_batches and before == "true").lower())
+    try:  # a query keeps the settings of its start
+        return (
+            stream.writeStream.format("parquet")
+            .outputMode(mode)
+            .option("path", path)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        conf.set(name, before)
