@@ -84,7 +84,7 @@ def stream_duplicates(spark, sf_dir):
     """
     -- a third of all rows share one value; the files are four, by event_id
     SELECT user_id % 2 AS job_id, value, event_id AS item_no, row_number() OVER (PARTITION BY user_id % 2, value ORDER BY event_id) > 1 AS is_duplicate
-    FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE event_type || '-' || (user_id // 2) END AS value FROM events)
+    FROM (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE event_type || '-' || (user_id // 2) END AS value FROM events)
     """,
 )
 def stream_duplicates_hot(spark, sf_dir):
