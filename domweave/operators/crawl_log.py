@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from domweave.plans import rules as R
@@ -65,6 +65,21 @@ def request_counters(log: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def observed(log: DataFrame, name: str = "requests") -> tuple[DataFrame, Observation]:
+    """The log, and its running totals: they are filled by whatever action first reads all of it.
+
+    On a stream use the same metrics by name, they are part of every batch's progress.
+    """
+    totals = Observation(name)
+    return log.observe(totals, *request_metrics()), totals
+
+
+def request_metrics() -> list[Column]:
+    failed = F.col("error_code").isNotNull() | (F.col("status") >= 400)
+    return [
+        F.count(F.lit(1)).alias("total_requests"), F.count_if(~failed).alias("successful_requests"), F.count_if(failed).alias("failed_requests")]
+
+
 def error_status(name: Column, code: Column, message: Column) -> Column:
     """Response category of an error."""
     return (

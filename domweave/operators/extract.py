@@ -226,6 +226,51 @@ def child_keys(nodes: DataFrame) -> DataFrame:
     )
 
 
+_KEY = (
+    "concat(n.tag, if(n.class <> '', concat('.', regexp_replace(n.class, '\\\\s+', '.')), ''), if(n.id <> '', concat('#', n.id), ''))"
+)
+# keys of all elements in document order; siblings with one key are neighbours once sorted, and all but the first get their index
+_CHILD_KEYS = (
+    "transform(sort_array(transform(siblings, (m, i) -> named_struct('at', m.at, 'key', "
+    "if(i > 0 AND get(siblings, i - 1).parent <=> m.parent AND get(siblings, i - 1).key = m.key, concat_ws('_', m.key, m.index), m.key)))), k -> k.key)"
+)
+
+
+def _quoted(text: str) -> str:
+    """SQL for a string in JSON."""
+    return f"regexp_replace(to_json(array({text})), '^.|.$', '')"
+
+
+def child_trees(dom: DataFrame, root: Selector, html: bool = False, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """``keys``, item_id and tree: every element that matches ``root`` with all that is below it, as one nested JSON value.
+
+    An element is ``{"attributes", "text", "html", "children"}`` without empty parts; text is its own,
+    children are named like `child_keys`.  The value is put together in the page row: every element gives an
+    opening and a closing piece, which are sorted by place, so neither depth nor the number of siblings matters.
+    ``html`` adds inner HTML, which repeats the source once a level.  ``parse_json`` makes the value a variant.
+    """
+    keyed = dom.withColumn(
+        "siblings", F.expr(f"sort_array(transform(nodes, n -> named_struct('parent', n.parent_id, 'key', {_KEY}, 'index', n.child_index, 'at', n.node_id)))")
+    ).withColumn("child_keys", F.expr(_CHILD_KEYS))
+    inner = "if(n.html_end > n.html_start, concat('\"html\":', " + _quoted(
+        "cast(substring(cast(html AS BINARY), n.html_start + 1, n.html_end - n.html_start) AS STRING)") + "), NULL)"
+    parts = [
+        "if(size(n.attrs) > 0, concat('\"attributes\":', to_json(n.attrs)), NULL)",
+        f"if(n.own_text <> '', concat('\"text\":', {_quoted('n.own_text')}), NULL)", *([inner] if html else []),
+        "if(n.n_children > 0, '\"children\":{', NULL)",
+    ]
+    named = f"if(n.node_id = r.node_id, '', concat(if(n.child_index > 0, ',', ''), {_quoted('get(child_keys, n.node_id)')}, ':'))"
+    opening = f"concat({named}, '{{', array_join(array_compact(array({', '.join(parts)})), ','))"
+    pieces = (
+        f"array(named_struct('at', n.node_id, 'kind', 0, 'depth', 0, 'text', {opening}), "
+        "named_struct('at', n.last_id, 'kind', 1, 'depth', -n.depth, 'text', if(n.n_children > 0, '}}', '}')))"
+    )
+    below = "slice(nodes, r.node_id + 1, r.last_id - r.node_id + 1)"
+    tree = f"array_join(transform(sort_array(flatten(transform({below}, n -> {pieces}))), p -> p.text), '')"
+    found = F.expr(f"transform({root.hits()}, r -> named_struct('item_id', r.node_id, 'tree', {tree}))")
+    return unnest(keyed, found, *keys)
+
+
 def matched_texts(dom: DataFrame, selector: Selector, keys=("page_id",)) -> DataFrame:
     """Texts of all matches of a page in document order, blank ones dropped."""
     texts = F.expr(f"transform({selector.hits()}, n -> {text_sql('n', raw=True)})")

@@ -101,13 +101,16 @@ def preview_advice(total: Column) -> Column:
     )
 
 
-def exported_schema(items: DataFrame) -> DataFrame:
-    """Field types by the first item, for a schema file."""
-    kinds = {f.name: f.dataType for f in items.schema.fields}
+def exported_schema(items: DataFrame, job: str = "job_id", order: tuple[str, ...] = ("page_id", "item_id")) -> DataFrame:
+    """(job, field, type, required): field types by the first item of each job, for a schema file per job.
+
+    The first item is found by a mergeable minimum, so a job of any size sends one row per task, and the answer
+    does not depend on scheduling.
+    """
+    kinds = {f.name: f.dataType for f in items.schema.fields if f.name != job}
+    first = items.groupBy(job).agg(F.min_by(F.struct(*[f"`{n}`" for n in kinds]), F.struct(*order)).alias("first"))
     entries = F.array(*[
-        F.struct(
-            F.lit(n).alias("field"), text.display_type(F.col(f"`{n}`"), k).alias("type"), F.lit(False).alias("required")
-        )
+        F.struct(F.lit(n).alias("field"), text.display_type(F.col("first")[n], k).alias("type"), F.lit(False).alias("required"))
         for n, k in kinds.items()
     ])
-    return items.limit(1).select(F.inline(entries))
+    return first.select(job, F.inline(entries))

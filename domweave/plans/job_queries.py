@@ -15,7 +15,7 @@ from domweave.plans import rendered, scrape
 from domweave.plans import rules as R
 from domweave.plans.page_queries import parsed
 from domweave.plans.registry import query, table
-from domweave.session import work_dir
+from domweave.session import work_dir, written
 from domweave.sources import jobs as job_files
 from domweave.sources import writers
 from domweave.sources.pages import read_pages, spread
@@ -235,6 +235,57 @@ def job_round_trip(spark, sf_dir):
     )
 
 
+@query(
+    "exported_configs",
+    """
+    SELECT CAST(n_nationkey AS BIGINT) AS job_id, 'https://x.org/' || n_name AS url, CAST(n_nationkey + 1 AS INT) AS max_pages, n_nationkey % 2 = 0 AS spa,
+      'p' || n_nationkey AS query_param, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE '//li[@class="next"]' END AS next_page_xpath,
+      CASE n_nationkey % 4 WHEN 0 THEN '' WHEN 1 THEN '//h1 as xpath_field_1 text' WHEN 2 THEN '//h1 as xpath_field_1 text;//a as link attribute'
+        ELSE '//a as link attribute;//p "q" as xpath_field_2 text' END AS fields, CAST(n_nationkey % 4 > 1 AS BIGINT) AS tags
+    FROM nation
+    """,
+)
+def exported_configs(spark, sf_dir):
+    """Configuration files with camel-case names and selectors that are strings or objects, read, written and read again."""
+    key = F.col("n_nationkey")
+    link = '{"xpath": "//a", "name": "link", "type": "attribute", "attribute": "href"}'
+    listed = F.when(key % 4 == 0, "[]").when(key % 4 == 1, '["//h1"]').when(key % 4 == 2, f'["//h1", {link}]').otherwise(
+        f'[{link[:-1]}, "multiple": true' + r'}, "//p \"q\""]')
+    next_page = F.when(key % 3 != 0, r', "nextPageXPath": "//li[@class=\"next\"]"').otherwise("")
+    made = table(spark, sf_dir, "nation").select(F.concat(
+        F.format_string('{\n "jobId": %d, "url": "https://x.org/%s", "maxPages": "%d pages", ', key, "n_name", key + 1),
+        F.lit('"spa": '), (key % 2 == 0).cast("string"), F.format_string(', "paginationConfig": {"queryParam": "p%d"', key), next_page,
+        F.lit('}, "xpathSelectors": '), listed, F.when(key % 4 > 1, ', "tagSelectors": ["h2"]').otherwise(""), F.lit("}")).alias("value"))
+    path = work_dir(spark, "configs")
+    read = job_files.jobs_from_json(made)
+    read.select(job_files.exported_json(read.drop("corrupt")).alias("value")).repartition(25).write.text(path)
+    again = job_files.read_exported_jobs(spark, f"{path}/part-*").where("corrupt IS NULL")
+    one_line = F.transform(sel.normalize_selectors(F.col("xpath_selectors")), lambda s: F.concat(s["xpath"], F.lit(" as "), s["name"], F.lit(" "), s["type"]))
+    return again.select(
+        "job_id", "url", "max_pages", "spa", "pagination.query_param", "pagination.next_page_xpath", F.array_join(one_line, ";").alias("fields"),
+        F.coalesce(F.size(F.filter("tag_selectors", lambda t: t["tag"] == "h2")), F.lit(0)).cast("long").alias("tags"))
+
+
+@query(
+    "schema_files",
+    """
+    WITH f AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rn FROM customer)
+    SELECT c_nationkey AS job_id, unnest(['item_id', 'name', 'balance', 'contact', 'note']) AS field, unnest(['number', 'text', 'number',
+      CASE c_custkey % 3 WHEN 0 THEN 'url' WHEN 1 THEN 'email' ELSE 'text' END, CASE WHEN c_custkey % 2 = 0 THEN 'html' ELSE 'text' END]) AS type
+    FROM f WHERE rn = 1
+    """,
+)
+def schema_files(spark, sf_dir):
+    """A schema file for each job from its first item, read back from the folders."""
+    items = table(spark, sf_dir, "customer").selectExpr(
+        "c_nationkey AS job_id", "c_custkey AS item_id", "c_name AS name", "c_acctbal AS balance",
+        "CASE c_custkey % 3 WHEN 0 THEN concat('https://x.org/', c_custkey) WHEN 1 THEN concat('c', c_custkey, '@x.org') END AS contact",
+        "if(c_custkey % 2 = 0, '<b>x</b>', 'x') AS note")
+    path = work_dir(spark, "schemas")
+    writers.write_rules(preview.exported_schema(items, "job_id", ("item_id",)), path, by_job="job_id")
+    return spark.read.schema("field string, type string, required boolean, job_id int").json(path).select("job_id", "field", "type")
+
+
 # ---- paging ------------------------------------------------------------------------
 
 
@@ -755,6 +806,32 @@ def flatten_export(spark, sf_dir):
     return writers.flatten(items, {"attributes": keys}).drop("item_id")
 
 
+@query(
+    "open_export",
+    """
+    -- a name for every order, five items; names in the order in which items bring them
+    WITH o AS (
+      SELECT o_orderpriority AS item, o_orderkey AS k, CASE o_orderkey % 50 WHEN 0 THEN '"a ""b"", c"' ELSE o_orderstatus || printf('%.2f', o_totalprice) END AS cell,
+        'prices.' || o_orderkey AS name, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) AS place FROM orders
+    ), i AS (SELECT DISTINCT item FROM o)
+    SELECT i.item, string_agg(CASE WHEN o.item = i.item THEN o.cell ELSE '' END, ',' ORDER BY place) AS line,
+      (SELECT string_agg(name, ',' ORDER BY place) FROM o) AS header
+    FROM i, o GROUP BY i.item
+    """,
+)
+def open_export(spark, sf_dir):
+    """Items whose maps have as many names as there are orders."""
+    cell = F.when(F.col("o_orderkey") % 50 == 0, F.lit('a "b", c')).otherwise(F.concat("o_orderstatus", F.format_string("%.2f", "o_totalprice")))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("item"), F.struct(F.col("o_orderkey").alias("k"), cell.alias("v")).alias("e"))
+    prices = F.map_from_entries(F.transform(F.sort_array(F.collect_list("e")), lambda e: F.struct(e["k"].cast("string").alias("k"), e["v"].alias("v"))))
+    items = rows.groupBy("item").agg(prices.alias("prices"))
+    path = work_dir(spark, "open-csv")
+    writers.write_open_csv(items, path, ("prices",), ("item",))
+    names = spark.read.schema("name string, place int").json(f"{path}/header")
+    header = names.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "name"))), lambda n: n["name"]), ",").alias("header"))
+    return writers.open_lines(items, ("prices",), ("item",), names).join(F.broadcast(header))
+
+
 @query(
     "nested_flatten",
     """
@@ -806,6 +883,21 @@ def export_by_strategy(spark, sf_dir):
     return counted.join(totals.where("total_items > 0").select("strategy"), "strategy")
 
 
+@query(
+    "observed_totals",
+    f"""
+    SELECT count(*) AS total_requests, count(*) FILTER (WHERE NOT {_FAILED}) AS successful_requests, count(*) FILTER (WHERE {_FAILED}) AS failed_requests,
+      count(*) AS written FROM ({LOG_SQL})
+    """,
+)
+def observed_totals(spark, sf_dir):
+    """Totals of a log that come along with writing it, without a pass of their own."""
+    log, totals = crawl_log.observed(crawl_rows(table(spark, sf_dir, "events")))
+    stored = written(log, "log")
+    found = totals.get
+    return stored.agg(F.count(F.lit(1)).alias("written")).select(*[F.lit(v).cast("long").alias(k) for k, v in found.items()], "written")
+
+
 # ---- whole runs --------------------------------------------------------------------------
 
 

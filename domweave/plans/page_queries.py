@@ -362,6 +362,25 @@ def child_keys(spark, sf_dir):
     return keyed.where(F.col("parent_id") > 1).select("page_id", "child_key")
 
 
+@query(
+    "child_trees",
+    """
+    -- a page of notes as one value; a key taken by an earlier note gets the place of the later one
+    WITH n AS (
+      SELECT c_custkey // 30 AS page_id, c_custkey % 30 AS i, c_name, c_nationkey,
+        CASE WHEN c_custkey % 3 = 0 THEN 'hot' ELSE 'cold' END AS kind FROM customer
+    ), k AS (
+      SELECT *, 'div.note.' || kind || CASE WHEN row_number() OVER (PARTITION BY page_id, kind ORDER BY i) > 1 THEN '_' || i ELSE '' END AS key FROM n
+    )
+    SELECT page_id, '{"children":{' || string_agg('"' || key || '":{"attributes":{"class":"note ' || kind || '"},"children":{"div":{"text":"' || c_name ||
+      '"},"p":{"text":"nation ' || c_nationkey || '"},"p_2":{"text":"balance"}}}', ',' ORDER BY i) || '}}' AS tree
+    FROM k GROUP BY page_id
+    """,
+)
+def child_trees(spark, sf_dir):
+    return extract.child_trees(parsed(rendered.notes(spark, sf_dir)), css("body")).select("page_id", "tree")
+
+
 @query(
     "thread_posts",
     """
@@ -399,6 +418,39 @@ def parse_errors(spark, sf_dir):
     return dom.agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("parse_error").isNotNull()).alias("failed"))
 
 
+@query(
+    "parse_failures",
+    """
+    -- a character reference of 5,000 digits in every third feed page stops the parser there; the others are read
+    SELECT doc_id // 10 AS page_id, CASE WHEN (doc_id // 10) % 3 = 0 THEN 'ValueError' END AS error,
+      CASE WHEN (doc_id // 10) % 3 = 0 THEN 0 ELSE count(*) END AS items FROM documents GROUP BY 1, 2, (doc_id // 10) % 3
+    """,
+)
+def parse_failures(spark, sf_dir):
+    """Pages that cannot be read keep their row and their error, next to those that can."""
+    pages = rendered.feed(spark, sf_dir)
+    broken = F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit("<p>&#"), F.repeat(F.lit("9"), 5000), F.lit(";</p>"))).otherwise(F.col("html"))
+    dom = parsed(pages.withColumn("html", broken))
+    items = extract.match_count(css("article")).cast("long")
+    return dom.select("page_id", F.split_part(F.col("parse_error"), F.lit(":"), F.lit(1)).alias("error"), items.alias("items"))
+
+
+@query(
+    "lateral_elements",
+    """
+    SELECT page_id, CAST(len(regexp_extract_all(html, '<a href="([^"]+)">([^<]+)</a>')) AS BIGINT) AS links,
+      CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT) AS items FROM pages
+    """,
+)
+def lateral_elements(spark, sf_dir):
+    """The parser as a table function."""
+    register_sql(spark)
+    spread(read_pages(spark, f"{sf_dir}/pages.parquet").select("page_id", "html")).createOrReplaceTempView("lateral_pages")
+    return spark.sql(
+        "SELECT page_id, count_if(e.tag = 'a' AND e.attrs['href'] <> '' AND e.text <> '') AS links, count_if(e.tag = 'li') AS items "
+        "FROM lateral_pages, LATERAL page_elements(html) e GROUP BY page_id")
+
+
 @query(
     "sql_surface",
     """

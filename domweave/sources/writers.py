@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from domweave.session import written
+
 
 def map_keys(items: DataFrame, column: str, order: tuple[str, ...] = ()) -> list[str]:
     """Distinct keys of a map column in first-seen order: names of export columns."""
@@ -14,6 +17,62 @@ def map_keys(items: DataFrame, column: str, order: tuple[str, ...] = ()) -> list
     return [row["key"] for row in first.orderBy("first", "key").collect()]
 
 
+def open_header(items: DataFrame, columns: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """(name, place): dotted names of all keys of map columns, in first-seen order of rows and columns.
+
+    Names are a table: they are reduced by Spark and never become columns of a plan, so there may be any number.
+    """
+    def names_of(n, c):
+        keys = F.coalesce(F.map_keys(F.col(f"`{c}`")), F.array().cast("array<string>"))
+        return F.transform(keys, lambda k, i: F.struct(F.concat(F.lit(f"{c}."), k).alias("name"), F.lit(n).alias("column"), i.alias("i")))
+
+    listed = F.flatten(F.array(*[names_of(n, c) for n, c in enumerate(columns)]))
+    seen = items.select(*order, F.inline(listed)).groupBy("name").agg(F.min(F.struct(*order, "column", "i")).alias("first"))
+    ranked = written(seen.repartitionByRange("first").sortWithinPartitions("first").select("name", "first", F.spark_partition_id().alias("part")), "names")
+    # names before each partition, then a name's place within its own: no task sees them all
+    counts = ranked.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.alias("a").join(counts.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(
+        F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    within = F.row_number().over(W.partitionBy("part").orderBy("first"))
+    return ranked.withColumn("within", within).join(before, "part").select("name", (F.col("before") + F.col("within") - 1).cast("int").alias("place"))
+
+
+def open_lines(items: DataFrame, columns: tuple[str, ...], order: tuple[str, ...], header: DataFrame | None = None) -> DataFrame:
+    """(order…, line): a CSV line for every item with a cell for every name of `open_header`, empty where the item has no such key.
+
+    Each entry finds its place by a join on its name; cells are laid out per item, so a line is as long as the
+    header, as CSV has it, and nothing else is.  Names are told the driver nowhere.
+    """
+    header = written(header if header is not None else open_header(items, columns, order), "header")
+
+    def entries_of(c):
+        found = F.filter(F.map_entries(F.col(f"`{c}`")), lambda e: e["key"].isNotNull())
+        return F.transform(found, lambda e: F.struct(F.concat(F.lit(f"{c}."), e["key"]).alias("name"), e["value"].cast("string").alias("value")))
+
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    entries = F.flatten(F.array(*[F.coalesce(entries_of(c), none) for c in columns]))
+    cells = items.select(*order, F.inline_outer(entries)).join(header, "name", "left")
+    held = F.sort_array(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", csv_cell(F.col("value")).alias("cell")))))
+    laid = cells.groupBy(*order).agg(held.alias("held")).join(F.broadcast(header.agg(F.count(F.lit(1)).cast("int").alias("names"))))
+    # commas between neighbouring places, then those up to the end
+    gap = F.expr("transform(held, (h, i) -> concat(repeat(',', h.place - if(i = 0, 0, get(held, i - 1).place)), h.cell))")
+    last = F.expr("repeat(',', greatest(names - 1 - coalesce(get(held, size(held) - 1).place, 0), 0))")
+    return laid.select(*order, F.concat(F.array_join(gap, ""), last).alias("line"))
+
+
+def csv_cell(value: Column) -> Column:
+    """A value as a CSV cell: quoted where it holds a comma, a quote or a line end."""
+    quoted = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(F.rlike(value, F.lit(r'[",\r\n]')), quoted).otherwise(F.coalesce(value, F.lit("")))
+
+
+def write_open_csv(items: DataFrame, path: str, columns: tuple[str, ...], order: tuple[str, ...], mode: str = "errorifexists") -> None:
+    """Lines below ``path``/lines, the names with their places below ``path``/header."""
+    header = written(open_header(items, columns, order), "header")
+    open_lines(items, columns, order, header).select("line").write.mode(mode).text(f"{path}/lines")
+    header.repartitionByRange("place").sortWithinPartitions("place").write.mode(mode).json(f"{path}/header")
+
+
 def _leaf(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.ArrayType):
         nested = isinstance(kind.elementType, (T.StructType, T.MapType, T.ArrayType))
@@ -76,6 +135,7 @@ def write_items(
         summary.write.mode(mode).json(f"{path}/run_summary")
 
 
-def write_rules(rules: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Validation rules (field, type, required, …) as JSON."""
-    rules.write.mode(mode).json(path)
+def write_rules(rules: DataFrame, path: str, mode: str = "errorifexists", by_job: str | None = None) -> None:
+    """Validation rules (field, type, required, …) as JSON, with ``by_job`` in one folder per job."""
+    writer = rules.write.mode(mode)
+    (writer.partitionBy(by_job) if by_job else writer).json(path)
