@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,24 +42,31 @@ def visit(front: DataFrame, pages: DataFrame) -> DataFrame:
     return front.join(latest_snapshots(pages), "url", "left")
 
 
-def has_next_page(
-    dom: DataFrame, paging: str, next_page: Selector | None, button: Selector | None = None,
-    load_more: Selector | None = None, per_element: bool = False, keys: tuple[str, ...] = ("page_id",),
-) -> DataFrame:
-    """Marker per page: does the listing go on?
+def next_marker(
+    paging: str, next_page: Selector | None, button: Selector | None = None, load_more: Selector | None = None, per_element: bool = False,
+) -> Column:
+    """Marker of a parsed page: does the listing go on?
 
     ``per_element`` is the stricter button test: some match must be enabled, without a
     disabled class and not hidden by its inline style.
     """
     chosen = {"button": button or next_page, "infinite": load_more or next_page}.get(paging, next_page)
     if next_page is None or chosen is None or paging not in ("query", "path", "button", "infinite"):
-        return dom.select(*keys, F.lit(False).alias("has_next"))
+        return F.lit(False)
     found = f"size({chosen.hits()}) > 0"
     if paging == "button" and per_element:
         found = f"exists({chosen.hits()}, n -> {_USABLE})"
     elif paging == "button":
         found = f"({found} AND NOT exists({chosen.hits()}, n -> array_contains(n.classes, 'disabled')))"
-    return dom.select(*keys, F.expr(found).alias("has_next"))
+    return F.expr(found)
+
+
+def has_next_page(
+    dom: DataFrame, paging: str, next_page: Selector | None, button: Selector | None = None,
+    load_more: Selector | None = None, per_element: bool = False, keys: tuple[str, ...] = ("page_id",),
+) -> DataFrame:
+    """`next_marker` of every page."""
+    return dom.select(*keys, next_marker(paging, next_page, button, load_more, per_element).alias("has_next"))
 
 
 _USABLE = (

@@ -346,27 +346,30 @@ def paging_takewhile(spark, sf_dir):
 @query(
     "next_markers",
     """
-    SELECT DISTINCT p_partkey // 20 AS page_id, true AS by_query, (p_partkey // 20) % 7 <> 6 AS by_button,
-      (p_partkey // 20) % 7 <> 6 AS by_element, true AS by_xpath, false AS by_infinite, false AS unset FROM part
+    -- every seventh page has a disabled link, every fourth a button for more, every fifth a usable link besides a hidden one
+    WITH p AS (SELECT DISTINCT p_partkey // 20 AS page_id FROM part)
+    SELECT page_id, true AS by_query, page_id % 7 <> 6 AS by_button, page_id % 7 <> 6 OR page_id % 5 = 0 AS by_element, true AS by_xpath,
+      page_id % 4 = 0 AS by_infinite, page_id % 5 = 0 AS by_other_button, false AS unset, false AS by_none FROM p
     """,
 )
 def next_markers(spark, sf_dir):
-    dom = parsed(rendered.catalog(spark, sf_dir))
-    next_link = css("a.next")
-
-    def flag(name, *args, **options):
-        marked = paging.has_next_page(dom, *args, keys=("page_id",), **options)
-        return marked.select("page_id", F.lit(name).alias("name"), F.col("has_next"))
-
-    flags = flag("by_query", "query", next_link)
-    for other in (
-        flag("by_button", "button", next_link), flag("by_element", "button", next_link, per_element=True),
-        flag("by_xpath", "path", xpath("//main/a[contains(@class,'next')]")),
-        flag("by_infinite", "infinite", next_link, load_more=css(".load-more")), flag("unset", "query", None),
-    ):
-        flags = flags.unionByName(other)
-    names = ["by_query", "by_button", "by_element", "by_xpath", "by_infinite", "unset"]
-    return flags.groupBy("page_id").agg(*[F.bool_or(F.when(F.col("name") == n, F.col("has_next"))).alias(n) for n in names])
+    """All kinds of markers in one pass over the pages."""
+    key = F.col("page_id")
+    extra = F.concat(
+        F.when(key % 4 == 0, '<button class="load-more">more</button>').otherwise(""),
+        F.when(key % 5 == 0, '<a class="other" style="color: red; display: none">x</a><a class="other">y</a>')
+        .otherwise('<a class="other" disabled>x</a><a class="other" style="display:none">y</a>'))
+    dom = parsed(rendered.catalog(spark, sf_dir).withColumn("html", F.replace("html", F.lit("</main>"), F.concat(extra, F.lit("</main>")))))
+    link, other = css("a.next"), css("a.other")
+    markers = {
+        "by_query": paging.next_marker("query", link), "by_button": paging.next_marker("button", link),
+        "by_element": paging.next_marker("button", css("a.next, a.other"), per_element=True),
+        "by_xpath": paging.next_marker("path", xpath("//main/a[contains(@class,'next')]")),
+        "by_infinite": paging.next_marker("infinite", link, load_more=css(".load-more")),
+        "by_other_button": paging.next_marker("button", link, button=other, per_element=True),
+        "unset": paging.next_marker("query", None), "by_none": paging.next_marker("none", link),
+    }
+    return dom.select("page_id", *[m.alias(n) for n, m in markers.items()])
 
 
 @query(
@@ -846,25 +849,23 @@ def nested_flatten(spark, sf_dir):
     return writers.flatten(nested)
 
 
-def _export(format_, read):
+_SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def _export(format_):
     def build(spark, sf_dir):
         path = work_dir(spark, f"export-{format_}")
-        rows = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "role", "text")
+        # every fourth text begins and ends with blanks and line ends
+        rows = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "role", "if(conv_id % 4 = 0, concat(' \\n', text, '\\n  '), text) AS text")
         writers.write_items(rows, path, format_)
-        return read(spark, path).select("conv_id", "turn", "role", "text")
+        return writers.read_items(spark, path, _SCHEMA, format_)
 
     return build
 
 
-_SCHEMA = "conv_id long, turn long, role string, text string"
-_SOURCE = "SELECT conv_id, turn, role, text FROM conversations"
-query("export_json", _SOURCE)(_export("json", lambda s, p: s.read.schema(_SCHEMA).json(p)))
-query("export_csv", _SOURCE)(
-    _export("csv", lambda s, p: s.read.schema(_SCHEMA).csv(p, header=True, escape='"', multiLine=True))
-)
-query("export_xml", "SELECT conv_id, turn, role, trim(text, chr(10) || ' ') AS text FROM conversations")(
-    _export("xml", lambda s, p: s.read.format("xml").schema(_SCHEMA).option("rowTag", "item").load(p))
-)
+_SOURCE = "SELECT conv_id, turn, role, CASE WHEN conv_id % 4 = 0 THEN ' ' || chr(10) || text || chr(10) || '  ' ELSE text END AS text FROM conversations"
+for _format in ("json", "csv", "xml"):
+    query(f"export_{_format}", _SOURCE)(_export(_format))
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,7 +126,8 @@ def write_items(
         writer = writer.partitionBy(by_strategy)
     target = f"{path}/items" if summary is not None else path
     if format == "csv":
-        writer.option("header", True).option("escape", '"').csv(target)
+        # outer blanks belong to the values
+        writer.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(target)
     elif format == "xml":
         writer.format("xml").option("rowTag", "item").option("rootTag", "items").save(target)
     else:
@@ -135,6 +136,17 @@ def write_items(
         summary.write.mode(mode).json(f"{path}/run_summary")
 
 
+def read_items(spark: SparkSession, path: str, schema: str | T.StructType, format: str = "json") -> DataFrame:
+    """Items as `write_items` wrote them, outer blanks and line ends of texts included (nested CSV columns stay text)."""
+    options = {
+        "csv": {"header": True, "escape": '"', "multiLine": True},
+        "xml": {"rowTag": "item", "ignoreSurroundingSpaces": False},
+    }
+    if format not in ("json", "csv", "xml", "parquet"):
+        raise ValueError(f"unsupported export format: {format}")
+    return spark.read.schema(schema).format(format).options(**options.get(format, {})).load(path)
+
+
 def write_rules(rules: DataFrame, path: str, mode: str = "errorifexists", by_job: str | None = None) -> None:
     """Validation rules (field, type, required, …) as JSON, with ``by_job`` in one folder per job."""
     writer = rules.write.mode(mode)
