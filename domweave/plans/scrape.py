@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from domweave.functions.selectors import Selector
+from domweave.functions.skew import join_per_key
 from domweave.operators import jobs as job_ops
 from domweave.operators import analyze, crawl_log, paging, preview
 from domweave.operators.dom import parse_pages
 from domweave.operators.extract import Field, drop_empty, extract_items
+from domweave.operators.field_rules import apply_rules
 from domweave.operators.rule_sets import MARK, evaluate, rule_sets
 from domweave.operators.validate import Schema, apply_validation
 from domweave.plans import rules as R
@@ -145,6 +147,39 @@ def run_mixed(jobs: DataFrame, pages: DataFrame, normalized: bool = False) -> tu
         "success_rate", crawl_log.success_rate(F.col("successful_requests"), F.col("failed_requests")))
 
 
+_KEYS = ("page_no", "page_id", "item_id")
+
+
+def item_values(items: DataFrame) -> DataFrame:
+    """(job_id, page_no, page_id, item_id, field, value): the text of every item and its fields with one value."""
+    single = F.transform(
+        F.filter(F.map_entries("fields"), lambda e: F.size(e["value"]) == 1), lambda e: F.struct(e["key"].alias("field"), F.get(e["value"], 0).alias("value")))
+    own = F.filter(F.array(F.when(F.col("text").isNotNull(), F.struct(F.lit("text").alias("field"), F.col("text").alias("value")))), lambda e: e.isNotNull())
+    none = F.array().cast("array<struct<field:string,value:string>>")
+    # a field that is called text as well wins over the item's own text
+    named = F.coalesce(single, none)
+    all_of = F.concat(F.filter(own, lambda e: ~F.exists(named, lambda f: f["field"] == "text")), named)
+    return items.select("job_id", *_KEYS, F.inline(all_of))
+
+
+def validate_mixed(items: DataFrame, jobs: DataFrame, rules: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items, messages, stats) of a mixed run: values cleaned and checked by the rules of their job, or by its first item.
+
+    Jobs that switch validation off keep their items.  Fields with several values and the other parts of an item stay as they are.
+    """
+    checks = job_ops.with_defaults(jobs).where("enable_data_validation").select("job_id").distinct()
+    checked = written(join_per_key(items, checks, ["job_id"], list(_KEYS), "left_semi"), "to-check")
+    values, messages, stats = apply_rules(item_values(checked), rules, "job_id", _KEYS)
+    cleaned = checked.join(values.select("job_id", *_KEYS, F.col("fields").alias("values")), ["job_id", *_KEYS])
+    others = F.map_filter(F.coalesce("fields", F.create_map().cast("map<string,array<string>>")), lambda k, v: ~F.map_contains_key("values", k))
+    single = F.map_filter("values", lambda k, v: (k != "text") | F.coalesce(F.map_contains_key("fields", k), F.lit(False)))
+    merged = F.map_concat(others, F.transform_values(single, lambda k, v: F.array(v)))
+    own_text = F.when(F.coalesce(F.map_contains_key("fields", "text"), F.lit(False)), F.col("text")).otherwise(F.try_element_at("values", F.lit("text")))
+    out = cleaned.withColumn("new_text", own_text).withColumn("fields", F.when(F.size(merged) > 0, merged)).withColumn("text", F.col("new_text")).drop("new_text", "values")
+    unchecked = join_per_key(items, checks, ["job_id"], list(_KEYS), "left_anti")
+    return out.select(*items.columns).unionByName(unchecked), messages, stats
+
+
 def preview_jobs(
     jobs: DataFrame, pages: DataFrame, item_selector: str | Selector, fields: list[Field] = (), limit: int = R.PREVIEW_ITEMS,
 ) -> tuple[DataFrame, DataFrame]:
