@@ -155,3 +155,26 @@ def job_run_validated(spark, sf_dir):
     kept, _, _ = scrape.validate_mixed(items, some, rules)
     price = F.get(F.try_element_at("fields", F.lit("span")), 0)
     return kept.groupBy("job_id").agg(F.count(F.lit(1)).alias("items"), F.array_join(F.sort_array(F.collect_list(price)), ",").alias("prices"))
+
+
+@query(
+    "job_preview_mixed",
+    """
+    WITH j AS (SELECT CAST(n_nationkey AS BIGINT) AS job_id FROM nation WHERE n_nationkey % 5 = 0),
+    i AS (SELECT *, row_number() OVER (ORDER BY p_partkey) AS rank FROM part WHERE p_partkey < 20),
+    f AS (
+      SELECT rank, unnest(['text', 'links', 'images', 'label', 'span']) AS field, unnest([
+        p_name || '$' || printf('%.2f', p_retailprice) || p_brand, p_brand || ' → /p/' || p_partkey, p_type || ' → /i/' || p_partkey || '.png', p_name,
+        '$' || printf('%.2f', p_retailprice)]) AS value FROM i WHERE rank <= 5)
+    SELECT job_id, field, CASE WHEN field IN ('links', 'images') THEN 'array' ELSE 'text' END AS types,
+      string_agg(value, '|' ORDER BY rank) FILTER (WHERE rank <= 3) AS samples, (SELECT count(*) FROM i) AS total_found,
+      CASE WHEN (SELECT count(*) FROM i) < 5 THEN 'few_items' END AS advice
+    FROM j, f GROUP BY job_id, field
+    """,
+)
+def job_preview_mixed(spark, sf_dir):
+    """Fields, types and samples of list jobs, by their own rules."""
+    some = jobs(spark, sf_dir).where("job_id % 5 = 0")
+    _, structure, totals = scrape.preview_mixed(some, sites(spark, sf_dir))
+    return structure.join(totals, "job_id").select(
+        "job_id", "field", F.array_join("types", ",").alias("types"), F.array_join("samples", "|").alias("samples"), "total_found", "advice")

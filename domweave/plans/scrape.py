@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from domweave.functions import text
 from domweave.functions.selectors import Selector
 from domweave.functions.skew import join_per_key
 from domweave.operators import jobs as job_ops
@@ -180,6 +181,54 @@ def validate_mixed(items: DataFrame, jobs: DataFrame, rules: DataFrame | None =
     return out.select(*items.columns).unionByName(unchecked), messages, stats
 
 
+def _shown_entries(items: DataFrame) -> Column:
+    """Keys of an item with the type and the readable form of their values, in order."""
+    def entry(name, kind, shown, place):
+        return F.struct(F.lit(place).alias("place"), F.lit(name).alias("field") if isinstance(name, str) else name.alias("field"), kind.alias("type"), shown.alias("value"))
+
+    shown = preview.format_items(items.select("text", "html", "attributes", "links", "images")).columns
+    forms = {f: preview._shown(F.col(f), items.schema[f].dataType, f) for f in shown}
+    own = [
+        F.when(F.col(f).isNotNull(), entry(f, text.preview_type(F.col(f), items.schema[f].dataType), forms[f], i))
+        for i, f in enumerate(("tag_name", "text", "html", "attributes", "links", "images")) if f in forms]
+    single = lambda e: F.size(e["value"]) == 1
+    fields = F.transform(F.coalesce(F.map_entries("fields"), F.array().cast("array<struct<key:string,value:array<string>>>")), lambda e: entry(
+        e["key"], F.when(single(e), text.preview_type(F.get(e["value"], 0))).otherwise("array"), F.array_join(e["value"], "; "), 9))
+    return F.concat(F.filter(F.array(*own), lambda e: e.isNotNull()), fields)
+
+
+def preview_mixed(jobs: DataFrame, pages: DataFrame, limit: int = R.PREVIEW_ITEMS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(values, structure, totals) of the first page of jobs that each bring their own rules.
+
+    ``values``: job_id, rank, field, type, value of the first ``limit`` items; ``structure``: the types and first three values
+    of each field of a job; ``totals``: items found, advice, and what validation by the first item's types finds: number of
+    errors, errors by type, the first three.  Only first pages are parsed.
+    """
+    ready = job_ops.with_defaults(jobs).where(F.size(job_ops.job_errors()) == 0)
+    ready = written(ready.withColumn("strategy", job_ops.chosen_strategy()), "jobs")
+    visits = written(preview.first_pages(paging.visit(paging.frontier(ready), pages.select("url", "page_id"))).select("job_id", "page_no", "page_id"), "visits")
+    dom = written(_parsed(visits, pages).withColumn("bytes", F.octet_length("html")), "parsed")
+    items, _ = _stage(ready, visits, dom)
+    first = preview.preview_items(items, "job_id", _KEYS, limit)
+    values = written(first.select("job_id", "rank", F.inline(_shown_entries(items))), "values")
+    nth = F.row_number().over(Window.partitionBy("job_id", "field").orderBy("rank"))
+    held = values.withColumn("nth", nth)  # at most ``limit`` values of a field
+    structure = held.groupBy("job_id", "field").agg(
+        F.min("place").alias("place"), F.sort_array(F.collect_set("type")).alias("types"),
+        F.sort_array(F.collect_list(F.when(F.col("nth") <= R.SAMPLE_COUNT, F.struct("nth", "value")))).alias("samples"),
+    ).withColumn("samples", F.transform("samples", lambda s: s["value"])).drop("place")
+    _, messages, _ = validate_mixed(items, jobs)
+    errors = messages.where("severity = 'error'")
+    by_type = errors.groupBy("job_id", "type").agg(F.count(F.lit(1)).alias("n")).groupBy("job_id").agg(
+        F.sum("n").alias("errors"), F.array_join(F.sort_array(F.collect_list(F.concat_ws(": ", "type", "n"))), ", ").alias("error_types"))
+    place = F.row_number().over(Window.partitionBy("job_id").orderBy(F.col("issue_no") != -2, *_KEYS, "issue_no"))
+    examples = errors.withColumn("place", place).where(F.col("place") <= R.SAMPLE_COUNT).groupBy("job_id").agg(
+        F.sort_array(F.collect_list(F.struct("place", "type", "field", "value"))).alias("examples"))
+    totals = ready.select("job_id").join(preview.total_found(items), "job_id", "left").fillna(0, ["total_found"])
+    totals = totals.join(by_type, "job_id", "left").join(examples, "job_id", "left").fillna(0, ["errors"])
+    return values.drop("place"), structure, totals.withColumn("advice", preview.preview_advice(F.col("total_found")))
+
+
 def preview_jobs(
     jobs: DataFrame, pages: DataFrame, item_selector: str | Selector, fields: list[Field] = (), limit: int = R.PREVIEW_ITEMS,
 ) -> tuple[DataFrame, DataFrame]:
