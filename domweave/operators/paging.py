@@ -28,8 +28,17 @@ def frontier(jobs: DataFrame) -> DataFrame:
 
 
 def latest_snapshots(pages: DataFrame) -> DataFrame:
-    """One (url, page_id) per URL: the newest snapshot, chosen without moving the source."""
-    return pages.groupBy("url").agg(F.max("page_id").alias("page_id"))
+    """One (url, page_id) per URL: the newest snapshot, chosen without moving the source.
+
+    Newest by ``fetched_at`` if the pages have it, equal times and pages without it by the larger page_id.
+    """
+    age = F.struct("fetched_at", "page_id") if "fetched_at" in pages.columns else F.col("page_id")
+    return pages.groupBy("url").agg(F.max_by("page_id", age).alias("page_id"))
+
+
+def snapshot_keys(pages: DataFrame) -> DataFrame:
+    """The columns that tell snapshots apart, without their source."""
+    return pages.select(*[c for c in ("url", "page_id", "fetched_at") if c in pages.columns])
 
 
 def visit(front: DataFrame, pages: DataFrame) -> DataFrame:

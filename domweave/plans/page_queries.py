@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from domweave.functions.selectors import css, xpath
@@ -175,11 +176,16 @@ def child_join(spark, sf_dir):
     """,
 )
 def descendant_join(spark, sf_dir):
-    """Descendant step as a join of two element sets on the page and the range of node ids below the ancestor."""
+    """Descendant step on a stored element table, without a join.
+
+    Elements come in document order, so one lies below a container if a container before it has not ended yet: a running maximum
+    of ends per page.
+    """
     nodes = written(elements(parsed(stored(spark, sf_dir))).select("page_id", "node_id", "last_id", "tag"), "elements")
-    navs = nodes.where(F.col("tag") == "nav").select("page_id", F.col("node_id").alias("above"), F.col("last_id").alias("last"))
-    below = nodes.where(F.col("tag") == "a").select("page_id", "node_id")
-    return below.join(navs, "page_id").where("node_id > above AND node_id <= last").groupBy("page_id").agg(F.count_distinct("node_id").alias("links"))
+    before = W.partitionBy("page_id").orderBy("node_id").rowsBetween(W.unboundedPreceding, -1)
+    end = F.max(F.when(F.col("tag") == "nav", F.col("last_id"))).over(before)
+    rows = nodes.where(F.col("tag").isin("nav", "a")).withColumn("end", end)
+    return rows.where("tag = 'a' AND node_id <= end").groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
 
 
 @query(

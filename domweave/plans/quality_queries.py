@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from domweave.functions import text
@@ -302,6 +304,15 @@ def validated_items(spark, sf_dir):
     return v.validate(items(spark, sf_dir), SCHEMA)[0]
 
 
+@query(
+    "items_with_invalid",
+    f"{CHECKED_SQL} SELECT job_id, item_no, title, email, phone, price, balance FROM checked",
+)
+def items_with_invalid(spark, sf_dir):
+    """Invalid items stay, without the values that failed."""
+    return v.validate(items(spark, sf_dir), replace(SCHEMA, include_invalid=True))[0]
+
+
 @query(
     "checked_items",
     f"""{CHECKED_SQL} SELECT job_id, item_no, title, email, phone, price, array_to_string(errors, ',') AS errors,

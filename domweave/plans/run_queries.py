@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from domweave.operators.jobs import JOB_SCHEMA
+from domweave.operators.extract import extract_items
+from domweave.operators.jobs import JOB_SCHEMA, Extractors
 from domweave.plans import rendered, scrape
+from domweave.plans.page_queries import parsed
 from domweave.plans.registry import query, table
 from domweave.session import written
 
@@ -178,3 +180,17 @@ def job_preview_mixed(spark, sf_dir):
     _, structure, totals = scrape.preview_mixed(some, sites(spark, sf_dir))
     return structure.join(totals, "job_id").select(
         "job_id", "field", F.array_join("types", ",").alias("types"), F.array_join("samples", "|").alias("samples"), "total_found", "advice")
+
+
+@query(
+    "forced_extractor",
+    """
+    -- the static rules find products; the forced ones look for links to more, of which the page has one besides
+    SELECT p_partkey // 20 AS page_id, 'links' AS extractor, count(*) + 1 AS items FROM part GROUP BY 1
+    """,
+)
+def forced_extractor(spark, sf_dir):
+    """An extractor chosen by name runs alone, whatever its result is worth."""
+    known = Extractors().register("cards", lambda dom: extract_items(dom, ".product", parts=("text",))).register(
+        "links", lambda dom: extract_items(dom, "a[href]", parts=("text",)))
+    return known.run("links", parsed(rendered.catalog(spark, sf_dir))).groupBy("page_id", "extractor").agg(F.count(F.lit(1)).alias("items"))

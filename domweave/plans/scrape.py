@@ -27,7 +27,7 @@ def job_visits(jobs: DataFrame, pages: DataFrame) -> DataFrame:
     Jobs that break a rule are left out.
     """
     ready = job_ops.with_defaults(jobs).where(F.size(job_ops.job_errors()) == 0)
-    return paging.visit(paging.frontier(ready), pages.select("url", "page_id")).select("job_id", "page_no", "page_id")
+    return paging.visit(paging.frontier(ready), paging.snapshot_keys(pages)).select("job_id", "page_no", "page_id")
 
 
 def job_pages(jobs: DataFrame, pages: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def run_mixed(jobs: DataFrame, pages: DataFrame, normalized: bool = False) -> tu
     """
     ready = job_ops.with_defaults(jobs).where(F.size(job_ops.job_errors()) == 0)
     ready = written(ready.withColumn("strategy", job_ops.chosen_strategy()), "jobs")
-    visits = written(paging.visit(paging.frontier(ready), pages.select("url", "page_id")).select("job_id", "page_no", "page_id"), "visits")
+    visits = written(paging.visit(paging.frontier(ready), paging.snapshot_keys(pages)).select("job_id", "page_no", "page_id"), "visits")
     wanted = visits.select("page_id").where(F.col("page_id").isNotNull()).distinct()
     source = pages.select("page_id", "html").join(wanted, "page_id", "left_semi").withColumn("bytes", F.octet_length("html"))
     dom = written(parse_pages(source), "parsed")
@@ -206,7 +206,7 @@ def preview_mixed(jobs: DataFrame, pages: DataFrame, limit: int = R.PREVIEW_ITEM
     """
     ready = job_ops.with_defaults(jobs).where(F.size(job_ops.job_errors()) == 0)
     ready = written(ready.withColumn("strategy", job_ops.chosen_strategy()), "jobs")
-    visits = written(preview.first_pages(paging.visit(paging.frontier(ready), pages.select("url", "page_id"))).select("job_id", "page_no", "page_id"), "visits")
+    visits = written(preview.first_pages(paging.visit(paging.frontier(ready), paging.snapshot_keys(pages))).select("job_id", "page_no", "page_id"), "visits")
     dom = written(_parsed(visits, pages).withColumn("bytes", F.octet_length("html")), "parsed")
     items, _ = _stage(ready, visits, dom)
     first = preview.preview_items(items, "job_id", _KEYS, limit)

@@ -11,13 +11,13 @@ PAGE_SCHEMA = "page_id long, url string, html string"
 def read_pages(spark: SparkSession, path: str, format: str = "parquet", **options) -> DataFrame:
     """Page snapshots from a table format, or raw files with ``format="files"``.
 
-    Raw files become one page each: the path is the URL and its hash the page id.
+    Raw files become one page each: the path is the URL, its hash the page id, and the file's time ``fetched_at``.
     """
     if format == "files":
         raw = spark.read.text(path, wholetext=True, **options).select(
-            F.col("_metadata.file_path").alias("url"), F.col("value").alias("html")
+            F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"), F.col("_metadata.file_modification_time").alias("fetched_at")
         )
-        return raw.select(F.xxhash64("url").alias("page_id"), "url", "html")
+        return raw.select(F.xxhash64("url").alias("page_id"), "url", "html", "fetched_at")
     return spark.read.schema(PAGE_SCHEMA).format(format).options(**options).load(path)
 
 

@@ -145,3 +145,26 @@ def test_preview(spark):
     assert (profile["values"], profile["samples"], profile["types"]) == (7, ["t0", "t1", "t2"], ["text"])
     exported = {r["field"]: r["type"] for r in preview.exported_schema(items).where("job_id = 1").collect()}
     assert exported == {"page_id": "number", "item_id": "number", "text": "text"}
+
+
+def test_newest_snapshot_by_time(spark):
+    pages = spark.sql("SELECT * FROM VALUES (9, 'u', timestamp'2024-01-01'), (3, 'u', timestamp'2024-05-01'), (4, 'v', null), (2, 'w', timestamp'2024-01-01'), "
+                      "(5, 'w', timestamp'2024-01-01') AS t(page_id, url, fetched_at)")
+    assert {r.url: r.page_id for r in paging.latest_snapshots(pages).collect()} == {"u": 3, "v": 4, "w": 5}
+    assert {r.url: r.page_id for r in paging.latest_snapshots(pages.drop("fetched_at")).collect()} == {"u": 9, "v": 4, "w": 5}
+
+
+def test_exported_configurations(spark):
+    texts = [
+        '{"jobId": 5, "url": "https://a.org", "maxPages": "7", "enableSmartAnalysis": false, "paginationConfig": {"nextPageXPath": "//a", "nextButtonSelector": ".n"},'
+        ' "xpathSelectors": ["//h1", {"xpath": "//a", "name": "l", "multiple": true}], "tagSelectors": [{"name": "n", "tag": "p"}, "h2"], "usePuppeteer": true}',
+        "{}", "[1]", "not json", "null", '{"maxPages": "many", "xpathSelectors": "//h1", "spa": "yes"}',
+    ]
+    rows = job_files.jobs_from_json(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, value string")).orderBy("n").collect()
+    one = rows[0]
+    assert (one.job_id, one.max_pages, one.enable_smart_analysis, one.use_puppeteer, one.spa) == (5, 7, False, True, None)
+    assert (one.pagination.next_page_xpath, one.pagination.next_button_selector, one.pagination.query_param) == ("//a", ".n", None)
+    assert [(s.xpath, s.name, s.multiple) for s in one.xpath_selectors] == [("//h1", None, None), ("//a", "l", True)]
+    assert [(s.name, s.tag) for s in one.tag_selectors] == [("n", "p"), (None, "h2")]
+    assert [r.corrupt for r in rows] == [None, None, "[1]", "not json", "null", None]
+    assert (rows[5].max_pages, rows[5].xpath_selectors, rows[5].spa) == (None, None, None) or rows[5].spa in (True, None)
