@@ -479,3 +479,37 @@ def test_pipeline(spark):
     assert docs_now.count() < before.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs_now, sf)
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in docs_now.collect()}
+
+
+def test_pipeline_stages_on_hostile_tables(spark):
+    """Nulls, empty and long texts, repeats, one id with two texts, rows without an id, clashing columns; then nothing at all."""
+    import corpus_pipeline
+
+    sf = work_dir(spark, "hostile")
+    base, item = text_of(700, 60), text_of(701, 12)
+    near = " ".join([*base.split()[:58], "other", "end"])
+    rows = [
+        (1, base), (1, base), (2, near), (3, None), (4, ""), (5, " \n"), (None, base), (None, None), (6, text_of(702, 4000)), (7, f"{text_of(703, 40)} {item} tail"),
+        (8, text_of(704, 30)), (8, base), (9, "x" * 30_000), (10, "x" * 30_000), (None, item),
+    ]
+    docs = spark.createDataFrame([(i, t, None, "s", None, 7, i, 0.5) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score int, "
+                                 "component_id long, text_ double")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)] + [(7, 0, 1), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (None, item), (3, "")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+
+    def after(name, frame):
+        out = stages[name](spark, frame, sf)
+        assert out.columns == frame.columns
+        return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+    kept = after("toxicity", docs)
+    assert {(3, None), (4, ""), (5, " \n"), (None, None)} <= set(kept) and set(kept) <= set(rows)
+    # 2 and 8 are near 1, 10 is equal to 9
+    assert after("n-gram Jaccard join", docs) == sorted((r for r in rows if r[0] not in (2, 8, 10)), key=str)
+    assert after("benchmark decontamination", docs) == sorted((r for r in rows if r[0] != 7), key=str)
+    packed = stages["best-fit packing"](spark, docs, sf).collect()
+    assert sorted((r.doc_id for r in packed if r.piece == 0), key=str) == sorted((i for i, _ in rows), key=str)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
