@@ -387,7 +387,7 @@ def register_sql(spark: SparkSession, name: str = "parse_html", table_function:
     whose rows carry their texts.  The function is faster; the table function reads better.
     """
     spark.udf.register(name, _parser(True))
-    spark.udtf.register(table_function, F.udtf(_ElementRows, returnType=ELEMENT_ROW))
+    spark.udtf.register(table_function, F.udtf(_ElementRows, returnType=ELEMENT_ROW, useArrow=True))
 
 
 def unnest(dom: DataFrame, rows: Column, *keep: str) -> DataFrame:

@@ -817,9 +817,8 @@ def flatten_export(spark, sf_dir):
       SELECT o_orderpriority AS item, o_orderkey AS k, CASE o_orderkey % 50 WHEN 0 THEN '"a ""b"", c"' ELSE o_orderstatus || printf('%.2f', o_totalprice) END AS cell,
         'prices.' || o_orderkey AS name, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) AS place FROM orders
     ), i AS (SELECT DISTINCT item FROM o)
-    SELECT i.item, string_agg(CASE WHEN o.item = i.item THEN o.cell ELSE '' END, ',' ORDER BY place) AS line,
-      (SELECT string_agg(name, ',' ORDER BY place) FROM o) AS header
-    FROM i, o GROUP BY i.item
+    SELECT i.item, string_agg(CASE WHEN o.item = i.item THEN o.cell ELSE '' END, ',' ORDER BY place) AS line FROM i, o GROUP BY i.item
+    UNION ALL SELECT '(names)', string_agg(name, ',' ORDER BY place) FROM o
     """,
 )
 def open_export(spark, sf_dir):
@@ -831,8 +830,8 @@ def open_export(spark, sf_dir):
     path = work_dir(spark, "open-csv")
     writers.write_open_csv(items, path, ("prices",), ("item",))
     names = spark.read.schema("name string, place int").json(f"{path}/header")
-    header = names.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "name"))), lambda n: n["name"]), ",").alias("header"))
-    return writers.open_lines(items, ("prices",), ("item",), names).join(F.broadcast(header))
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "name"))), lambda n: n["name"]), ",")
+    return writers.open_lines(items, ("prices",), ("item",), names).union(names.agg(F.lit("(names)").alias("item"), listed.alias("line")))
 
 
 @query(

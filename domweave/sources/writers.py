@@ -29,10 +29,10 @@ def open_header(items: DataFrame, columns: tuple[str, ...], order: tuple[str, ..
     listed = F.flatten(F.array(*[names_of(n, c) for n, c in enumerate(columns)]))
     seen = items.select(*order, F.inline(listed)).groupBy("name").agg(F.min(F.struct(*order, "column", "i")).alias("first"))
     ranked = written(seen.repartitionByRange("first").sortWithinPartitions("first").select("name", "first", F.spark_partition_id().alias("part")), "names")
-    # names before each partition, then a name's place within its own: no task sees them all
-    counts = ranked.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(
-        F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    # names before each partition, then a name's place within its own: no task sees them all, the driver one number a partition
+    counts = {r.part: r.n for r in ranked.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts = [(part, sum(n for other, n in counts.items() if other < part)) for part in counts]
+    before = items.sparkSession.createDataFrame(starts, "part int, before long")
     within = F.row_number().over(W.partitionBy("part").orderBy("first"))
     return ranked.withColumn("within", within).join(before, "part").select("name", (F.col("before") + F.col("within") - 1).cast("int").alias("place"))
 
@@ -53,10 +53,10 @@ def open_lines(items: DataFrame, columns: tuple[str, ...], order: tuple[str, ...
     entries = F.flatten(F.array(*[F.coalesce(entries_of(c), none) for c in columns]))
     cells = items.select(*order, F.inline_outer(entries)).join(header, "name", "left")
     held = F.sort_array(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", csv_cell(F.col("value")).alias("cell")))))
-    laid = cells.groupBy(*order).agg(held.alias("held")).join(F.broadcast(header.agg(F.count(F.lit(1)).cast("int").alias("names"))))
+    laid = cells.groupBy(*order).agg(held.alias("held")).withColumn("names", F.lit(header.count()))
     # commas between neighbouring places, then those up to the end
     gap = F.expr("transform(held, (h, i) -> concat(repeat(',', h.place - if(i = 0, 0, get(held, i - 1).place)), h.cell))")
-    last = F.expr("repeat(',', greatest(names - 1 - coalesce(get(held, size(held) - 1).place, 0), 0))")
+    last = F.expr("repeat(',', cast(greatest(names - 1 - coalesce(get(held, size(held) - 1).place, 0), 0) AS int))")
     return laid.select(*order, F.concat(F.array_join(gap, ""), last).alias("line"))
 
 
