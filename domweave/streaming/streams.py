@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -48,77 +49,85 @@ def first_occurrences(items: DataFrame, value: str, ts: str = "ts", delay: str =
 
 
 class _FirstOfKey(StatefulProcessor):
-    """Tells of each key's candidates which is the first ever; remembers the key until it has not been seen for a while."""
+    """Tells of the candidates of a bucket's keys which are the first ever; remembers a key until it has not been seen for a while.
 
-    def __init__(self, job: str, value: str, ttl_ms: int | None):
-        self.job, self.value, self.ttl_ms = job, value, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "seen boolean", self.ttl_ms)
+    A call takes all keys of one bucket, as every call costs far more than a key's entry in the bucket's map.
+    """
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        job, value, salt = key
+    def __init__(self, key: dict[str, str], ttl_ms: int | None):
+        self.key, self.ttl_ms = key, ttl_ms
 
-        def out(items, first):
-            return pd.DataFrame({self.job: [job], self.value: [value], "items": [items], "is_first": [first]})
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", ", ".join(f"{n} {t}" for n, t in self.key.items()), "seen boolean", self.ttl_ms)
+        self.out = Row(*self.key, "items", "is_first")
 
-        if salt:  # what came after a candidate of its own task: known to be repeats, no state is read
-            for chunk in rows:
-                for items in chunk["items"]:
-                    yield out(items, False)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if key[0] < 0:  # what came after a candidate of its own task: known to be repeats, no state is read
+            for job, value, items, _ in rows:
+                yield self.out(job, value, items, False)
             return
-        seen, best = self.seen.exists(), None
-        for chunk in rows:
-            for items in chunk["items"]:
-                if seen or best is not None and not items[0] < best[0]:
-                    yield out(items, False)
-                    continue
-                if best is not None:
-                    yield out(best, False)
-                best = items
-        if best is not None:
-            yield out(best, True)
-        self.seen.update((True,))
+        best = {}
+        for job, value, items, _ in rows:
+            known = best.get((job, value))
+            if known is None:
+                best[job, value] = items[0]
+            else:
+                first, repeat = sorted((known, items[0]), key=lambda i: (i is None, i))
+                best[job, value] = first
+                yield self.out(job, value, [repeat], False)
+        for at, item in best.items():
+            seen = self.seen.containsKey(at)
+            if not seen or self.ttl_ms:  # a sight puts the expiry off
+                self.seen.updateValue(at, (True,))
+            yield self.out(*at, [item], not seen)
 
     def close(self) -> None:
         pass
 
 
-def flag_duplicates(items: DataFrame, job: str, value: str, item: str, ttl: str | None = None, hold: int = 100_000, salts: int = 64) -> DataFrame:
+def flag_duplicates(items: DataFrame, job: str, value: str, item: str, ttl: str | None = None, hold: int = 100_000, salts: int = 64,
+                    buckets: int = 1024) -> DataFrame:
     """(job, value, item, is_duplicate): repeats of a value within a job, in order of ``item`` within a micro-batch.
 
     Every task first reduces its rows to one candidate for each (job, value), its least item; all others are
     repeats whatever the state says, and go on packed, spread over ``salts`` groups.  So a value in a third of all
-    rows sends a few candidates to the task that holds its state.  State is one boolean per (job, value); with
-    ``ttl`` (such as "7 days") it is forgotten once the value has not been seen for that long, and the
+    rows sends a few candidates to the task that holds its state.  State is one boolean per (job, value), kept in ``buckets``
+    maps: a call of the state operator takes a bucket, and holds its candidates of one micro-batch.  The number of buckets belongs
+    to the checkpoint.  With ``ttl`` (such as "7 days") a value is forgotten once it has not been seen for that long, and the
     next occurrence counts as a first one again.
     """
     kinds = {f.name: f.dataType.simpleString() for f in items.schema.fields}
     keys = f"{job} {kinds[job]}, {value} {kinds[value]}"
 
-    def reduce(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).sort_by(item)  # nulls last
+        groups = rows.group_by([job, value], use_threads=False).aggregate([(item, "list")]).combine_chunks()
+        for part in groups.to_batches(max_chunksize=hold):
+            lists = part.column(f"{item}_list").to_pylist()
+            rest = [n for n, i in enumerate(lists) if len(i) > 1]
+            for at, salt, cut in ((None, [0] * len(lists), [i[:1] for i in lists]),
+                                  (pa.array(rest, pa.int64()), [1 + hash(lists[n][0]) % salts for n in rest], [lists[n][1:] for n in rest])):
+                of = part if at is None else part.take(at)
+                yield pa.RecordBatch.from_arrays(
+                    [of.column(job), of.column(value), pa.array(salt, pa.int32()), pa.array(cut, pa.list_(rows.schema.field(item).type))],
+                    names=[job, value, "salt", "items"])
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-
-        def flush():
-            rows = pd.concat(held)
-            packed = rows.sort_values(item).groupby([job, value], dropna=False, sort=False)[item].agg(list).reset_index()
-            first = packed.assign(salt=0, items=packed[item].str[:1]).drop(columns=item)
-            rest = packed[packed[item].str.len() > 1]
-            spread = [1 + hash(i[0]) % salts for i in rest[item]]
-            return pd.concat([first, rest.assign(salt=spread, items=rest[item].str[1:]).drop(columns=item)])
-
-        for frame in frames:
-            held.append(frame)
-            n += len(frame)
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
             if n >= hold:
-                yield flush()
+                yield from packed(held)
                 held, n = [], 0
         if n:
-            yield flush()
+            yield from packed(held)
 
-    packed = items.select(job, value, item).mapInPandas(reduce, f"{keys}, salt int, items array<{kinds[item]}>")
-    flagged = packed.groupBy(job, value, "salt").transformWithStateInPandas(
-        _FirstOfKey(job, value, _millis_of(ttl)), f"{keys}, items array<{kinds[item]}>, is_first boolean", "Append", "ProcessingTime" if ttl else "None")
+    reduced = items.select(job, value, item).mapInArrow(reduce, f"{keys}, salt int, items array<{kinds[item]}>")
+    bucket = F.when(F.col("salt") == 0, F.pmod(F.xxhash64(job, value), F.lit(buckets))).otherwise(-F.col("salt")).cast("int")
+    flagged = reduced.select(job, value, "items", bucket.alias("bucket")).groupBy("bucket").transformWithState(
+        _FirstOfKey({job: kinds[job], value: kinds[value]}, _millis_of(ttl)), f"{keys}, items array<{kinds[item]}>, is_first boolean", "Append",
+        "ProcessingTime" if ttl else "None")
     return flagged.select(job, value, F.explode("items").alias(item), (~F.col("is_first")).alias("is_duplicate"))
 
 

@@ -69,3 +69,20 @@ def test_a_hot_value_sends_candidates_only(spark):
     assert out.count() == 30_000 and out.where("not is_duplicate").collect() == [(1, "hot", 0, False)]
     # one value is remembered, whatever the number of rows
     assert [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.numInputRows] == [1]
+
+
+def test_a_call_takes_a_bucket_of_values(spark):
+    """The state operator is called by bucket, not by value; whole numbers beside nulls stay exact."""
+    big = 2**60 + 1
+    rows = [(big + i % 400, f"v{i % 7}", i) for i in range(8_000)] + [(None, "x", 9_000), (None, "x", 9_001)]
+    folder, path = work_dir(spark, "in"), work_dir(spark, "out")
+    land(spark, folder, rows)
+    stream = spark.readStream.schema(SCHEMA).parquet(folder)
+    flagged = streams.flag_duplicates(stream, "job", "value", "item", buckets=3)
+    assert "bucket" in flagged._jdf.queryExecution().analyzed().toString()
+    assert streams.run_to_table(flagged, path, work_dir(spark, "state")).awaitTermination(120)
+    seen, want = set(), {}
+    for j, v, i in rows:
+        want[j, v, i] = (j, v) in seen
+        seen.add((j, v))
+    assert {(r.job, r.value, r.item): r.is_duplicate for r in spark.read.parquet(path).collect()} == want
