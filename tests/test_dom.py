@@ -174,3 +174,19 @@ def test_byte_ranges_of_wide_characters(spark):
     assert found["b"] == (3, "€ 😀", "€ 😀", "€ 😀")
     assert found["p"] == (4, "日本 z", "日本 z", "日本 <i>z</i>")
     assert found["i"] == (1, "z", "z", "z")
+
+
+def test_few_elements_are_held_as_objects(spark, monkeypatch):
+    """A batch of many pages is packed piece by piece, and stays in order."""
+    import pyarrow as pa
+
+    from domweave.operators import dom as module
+
+    sizes, pack = [], module._element_array
+    monkeypatch.setattr(module, "_element_array", lambda nodes: sizes.append(len(nodes)) or pack(nodes))
+    pages = pa.array([None, ""] + [f"<p>{i}</p>" + "<i></i>" * 96 for i in range(500)])
+    out = module._parser(True).func(pages)
+    assert len(out) == len(pages) and sum(sizes) == 6 + 500 * 100 and max(sizes) < 11_000
+    assert [o["doc_text"] for o in out.to_pylist()] == ["", ""] + [str(i) for i in range(500)]
+    assert [len(o["nodes"]) for o in out.to_pylist()] == [3, 3] + [100] * 500
+    assert len(module._parser(True).func(pa.array([], pa.string()))) == 0
