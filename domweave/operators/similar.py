@@ -34,26 +34,26 @@ def path_locator_sql(node: str = "n") -> str:
         return f"concat({n}.tag, if({n}.type_count > 1, concat('[', {n}.type_index, ']'), ''))"
 
     # body, if it is above the element, is always its second ancestor
-    up = "get(nodes, w.at)"
+    up = "w.up"
     body = f"(w.body OR {up}.depth = 1 AND {up}.tag = 'body')"
     near = (
         f"aggregate(array_repeat(0, least({node}.depth, {R.LOCATOR_DEPTH - 1})), "
-        f"named_struct('at', {node}.parent_id, 'body', false, 'steps', array({label(node)})), "
-        f"(w, k) -> named_struct('at', {up}.parent_id, 'body', {body}, "
+        f"named_struct('up', get(nodes, {node}.parent_id), 'body', false, 'steps', array({label(node)})), "
+        f"(w, k) -> named_struct('up', get(nodes, {up}.parent_id), 'body', {body}, "
         f"'steps', if({body}, w.steps, concat(array({label(up)}), w.steps))), w -> w.steps)"
     )
     return f"concat('//', array_join({near}, '/'))"
 
 
-def smart_locator_sql(node: str = "n") -> str:
-    """By id, else by an identifying attribute, else by classes, else by path."""
+def smart_locator_sql(node: str = "n", path: str | None = None) -> str:
+    """By id, else by an identifying attribute, else by classes, else by ``path`` (default: the path locator)."""
     cases = [f"WHEN {node}.id <> '' THEN concat('//', {node}.tag, '[@id=\\'', {node}.id, '\\']')"]
     for name in R.LOCATOR_ATTRIBUTES:
         value = f"try_element_at({node}.attrs, '{name}')"
         cases.append(f"WHEN {value} <> '' THEN concat('//', {node}.tag, '[@{name}=\\'', {value}, '\\']')")
     tests = f"transform({node}.classes, c -> concat('contains(@class,\\'', c, '\\')'))"
     cases.append(f"WHEN size({node}.classes) > 0 THEN concat('//', {node}.tag, '[', array_join({tests}, ' and '), ']')")
-    return f"CASE {' '.join(cases)} ELSE {path_locator_sql(node)} END"
+    return f"CASE {' '.join(cases)} ELSE {path or path_locator_sql(node)} END"
 
 
 def locators(dom: DataFrame, *keep: str) -> DataFrame:
@@ -61,9 +61,9 @@ def locators(dom: DataFrame, *keep: str) -> DataFrame:
     keep = keep or ("page_id",)
     rows = F.expr(
         "transform(nodes, n -> named_struct('node_id', n.node_id, 'tag', n.tag, "
-        f"'locator', {smart_locator_sql()}, 'path', {path_locator_sql()}))"
+        f"'locator', {smart_locator_sql(path='NULL')}, 'path', {path_locator_sql()}))"
     )
-    return unnest(dom, rows, *keep)
+    return unnest(dom, rows, *keep).withColumn("locator", F.coalesce("locator", "path"))  # a path is made once
 
 
 def similar_elements(

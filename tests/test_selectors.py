@@ -109,3 +109,16 @@ def test_expression_checks(spark):
     assert found == ["unbalanced_brackets", "no_leading_slash", "not_a_string", "unbalanced_quotes", None]
     row = spark.createDataFrame([("////a[@class='x'][position()=1]",)], "s string").select(rewrite_xpath(F.col("s")))
     assert row.first()[0] == "//a[contains(@class,'x')][1]"
+
+
+def test_a_locator_makes_its_path_once(spark):
+    from domweave.operators import similar
+    from domweave.operators.dom import parse_pages
+
+    assert "aggregate(" not in similar.smart_locator_sql(path="NULL")
+    pages = spark.createDataFrame([(1, "<div id=a><p>x<p class=k>y<b>z</b></div>")], "page_id long, html string")
+    got = {r.tag + str(r.node_id): (r.locator, r.path) for r in similar.locators(parse_pages(pages)).collect()}
+    assert got["div3"] == ("//div[@id='a']", "//div")
+    assert got["p4"] == ("//div/p[1]", "//div/p[1]")
+    assert got["p5"] == ("//p[contains(@class,'k')]", "//div/p[2]")
+    assert got["b6"] == ("//div/p[2]/b", "//div/p[2]/b")
