@@ -190,3 +190,25 @@ def test_few_elements_are_held_as_objects(spark, monkeypatch):
     assert [o["doc_text"] for o in out.to_pylist()] == ["", ""] + [str(i) for i in range(500)]
     assert [len(o["nodes"]) for o in out.to_pylist()] == [3, 3] + [100] * 500
     assert len(module._parser(True).func(pa.array([], pa.string()))) == 0
+
+
+def test_a_task_hands_pages_on_before_its_batch_ends():
+    """The elements of a batch are never held together, whatever the number of its pages."""
+    import pyarrow as pa
+
+    from domweave.operators import dom as module
+
+    pages = pa.array(["<ul>" + "<li>x" * 3000 + "</ul>", None, "<p>y"] * 8)
+    read = []
+
+    def batches():
+        for _ in range(2):
+            read.append(len(pages))
+            yield pages
+
+    out = module._stream_parser(True).func(batches())
+    first = next(out)
+    assert read == [24] and len(first) < 24 and sum(map(len, first.field("nodes").to_pylist())) < 2 * module.HELD_ELEMENTS
+    rest = [first, *out]
+    assert read == [24, 24] and len(rest) > 4
+    assert pa.concat_arrays(rest).equals(pa.concat_arrays([module._parser(True).func(pages)] * 2))
