@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,6 +81,29 @@ def segment_slices(keys: np.ndarray, segments: int):
             yield segment, int(at[segment]), int(at[segment + 1])
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, compressed place by place: bytes that are mostly zero take next to nothing."""
+    places = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(8, "little") + (pa.compress(places, codec="zstd", asbytes=True) if len(values) else b"")
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    if not n:
+        return np.zeros(0, np.uint64)
+    places = pa.decompress(data[8:], 8 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(places, np.uint8).reshape(8, n).T).view("<u8")[:, 0]
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their distances."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data), dtype=np.uint64)
+
+
 def segments_for(nbytes: int, per_segment: int, least: int = 16) -> int:
     """A power of two that grows with the input, so that a segment stays of one size."""
     wanted = max(least, -(-int(nbytes) // per_segment))

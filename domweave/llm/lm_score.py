@@ -11,7 +11,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from domweave.llm.common import PLACES, WordHashes, mixed, segment_slices, segments_for, text_bytes, utf8, words_of
+from domweave.llm.common import (
+    PLACES, WordHashes, mixed, packed, packed_keys, segment_slices, segments_for, text_bytes, unpacked, unpacked_keys, utf8, words_of,
+)
 from domweave.session import written
 
 #: Keys of the marks around a text; no word has a blank.
@@ -53,7 +55,7 @@ def _levels(counts: np.ndarray) -> np.ndarray:
 def count_ngrams(texts: DataFrame, segments: int, hold: int = 2_000_000) -> DataFrame:
     """A written table of segments of keys with their counts over all ``texts`` (one binary column).
 
-    Counts are summed per task first and leave it packed by segment of the key, so a hot n-gram is one
+    Counts are summed per task first and leave it compressed by segment of the key, so a hot n-gram is one
     entry per task.  ``types``, ``tokens``: distinct and all of a segment; ``events``: entries its filter part needs.
     """
     def count(batches):
@@ -67,7 +69,7 @@ def count_ngrams(texts: DataFrame, segments: int, hold: int = 2_000_000) -> Data
                 cuts = list(segment_slices(keys, segments))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([s for s, _, _ in cuts], pa.int32()), pa.array([order] * len(cuts), pa.int32()),
-                    pa.array([keys[a:b].tobytes() for _, a, b in cuts]), pa.array([counts[a:b].astype("<u8").tobytes() for _, a, b in cuts])],
+                    pa.array([packed_keys(keys[a:b]) for _, a, b in cuts], pa.binary()), pa.array([packed(counts[a:b]) for _, a, b in cuts], pa.binary())],
                     schema=_PART)
 
         for batch in batches:
@@ -84,9 +86,9 @@ def count_ngrams(texts: DataFrame, segments: int, hold: int = 2_000_000) -> Data
         parts: dict = {}
         for batch in batches:
             for segment, order, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                parts.setdefault((segment, order), []).append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, "<u8")))
+                parts.setdefault((segment, order), []).append((keys, counts))
         for (segment, order), own in sorted(parts.items()):
-            keys, counts = _summed(np.concatenate([k for k, _ in own]), np.concatenate([c for _, c in own]).astype(np.int64))
+            keys, counts = _summed(np.concatenate([unpacked_keys(k) for k, _ in own]), np.concatenate([unpacked(c) for _, c in own]).astype(np.int64))
             parts[segment, order] = None
             types, tokens = len(keys), int(counts.sum())
             events = int(_levels(counts).sum())
@@ -95,7 +97,7 @@ def count_ngrams(texts: DataFrame, segments: int, hold: int = 2_000_000) -> Data
                     (segment, order, keys.tobytes(), counts.astype("<u8").tobytes(), types, tokens, events), _TOTAL)], schema=_TOTAL)
 
     return written(
-        texts.mapInArrow(count, _PART_DDL).repartition(segments, "segment").mapInArrow(total, _TOTAL_DDL), "ngrams")
+        texts.mapInArrow(count, _PART_DDL).repartition(segments, "segment").mapInArrow(total, _TOTAL_DDL), "ngrams", compression="zstd")
 
 
 @dataclass
@@ -237,22 +239,28 @@ class Part:
 
     @staticmethod
     def of(tokens: list[np.ndarray]) -> tuple[Part, np.ndarray, np.ndarray]:
-        """The part, its distinct words and its distinct pairs, both sorted."""
+        """The part, its distinct words (and the marks) and its distinct pairs, both sorted."""
         lengths = np.array(list(map(len, tokens)))
-        before = np.concatenate([np.r_[np.uint64(BEGIN), t[:-1]] for t in tokens])
-        tokens = np.concatenate(tokens)
-        types, inverse = np.unique(np.r_[tokens, before], return_inverse=True)
-        pairs, at_pair = np.unique(bigram_keys(tokens, before), return_inverse=True)
+        types, at = np.unique(np.concatenate([*tokens, np.array([BEGIN, END], np.uint64)]), return_inverse=True)
+        return Part.placed(types, lengths, at[:-2])
+
+    @staticmethod
+    def placed(types: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[Part, np.ndarray, np.ndarray]:
         begin, end = np.searchsorted(types, np.array([BEGIN, END], np.uint64)).tolist()
-        return Part(begin, end, lengths, inverse[: len(tokens)], inverse[len(tokens) :], at_pair), types, pairs
+        before = np.r_[begin, at[:-1]]
+        before[np.cumsum(lengths)[:-1]] = begin
+        pairs, at_pair = np.unique(bigram_keys(types[at], types[before]), return_inverse=True)
+        return Part(begin, end, lengths, at, before, at_pair), types, pairs
 
-    def packed(self) -> bytes:
-        return np.concatenate([[self.begin, self.end, len(self.lengths)], self.lengths, self.at, self.at_before, self.at_pair]).astype("<i4").tobytes()
+    def packed(self, types: np.ndarray) -> list[bytes]:
+        """Words and places only: a word's predecessor and the pairs follow from them."""
+        return [packed_keys(types), packed(np.r_[len(self.lengths), self.lengths, self.at])]
 
     @staticmethod
-    def unpacked(data: bytes) -> Part:
-        begin, end, n = (values := np.frombuffer(data, "<i4"))[:3].tolist()
-        return Part(begin, end, values[3 : 3 + n], *np.split(values[3 + n :], 3))
+    def unpacked(types: bytes, places: bytes) -> tuple[Part, np.ndarray, np.ndarray]:
+        numbers = unpacked(places).astype(np.int64)
+        texts = int(numbers[0])
+        return Part.placed(unpacked_keys(types), numbers[1 : 1 + texts], numbers[1 + texts :])
 
     def score(self, types_levels: np.ndarray, pairs_levels: np.ndarray, n: int, types: int, share: float) -> np.ndarray:
         """Sum of log10 p of each text."""
@@ -336,14 +344,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sha
             order = np.argsort(tokens[rare], kind="stable")
             rare_keys, rare_rows = tokens[rare][order], np.repeat(keys, part.lengths)[rare][order]
             cuts = list(segment_slices(rare_keys, segments))
-            yield _scored({"segment": [s for s, _, _ in cuts], "rows": [rare_rows[a:b].tobytes() for _, a, b in cuts],
-                           "keys": [rare_keys[a:b].tobytes() for _, a, b in cuts]})
+            yield _scored({"segment": [s for s, _, _ in cuts], "rows": [packed(rare_rows[a:b]) for _, a, b in cuts],
+                           "keys": [packed_keys(rare_keys[a:b]) for _, a, b in cuts]})
             if not whole:
-                yield _scored({"part": keys[:1], "rows": [part.packed()], "keys": [keys.tobytes()]})
-                for which, asked in ((UNIGRAM, own_types), (BIGRAM, own_pairs)):
-                    cuts = list(segment_slices(asked, segments))
-                    yield _scored({"part": [keys[0]] * len(cuts), "n": [which] * len(cuts), "segment": [s for s, _, _ in cuts],
-                                   "keys": [asked[a:b].tobytes() for _, a, b in cuts]})
+                words, places = part.packed(own_types)
+                yield _scored({"part": keys[:1], "rows": [places], "keys": [words]})
 
     scored = written(
         own.select("doc_id", (~training("doc_id")).alias("held_out"), "text").mapInArrow(score, _SCORED_DDL), "scored")
@@ -354,60 +359,76 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sha
         for batch in batches:
             for rows, keys, counts in zip(*(c.to_pylist() for c in batch.columns[1:])):
                 if counts is None:
-                    asked.append((np.frombuffer(rows, np.int64), np.frombuffer(keys, np.uint64)))
+                    asked.append((rows, keys))
                 else:
                     counted.append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, "<u8")))
         if not asked:
             return
         own_keys, own_counts = _summed(*(np.concatenate([c[i] for c in counted] or [np.zeros(0, t)]) for i, t in enumerate((np.uint64, "<u8"))))
         for rows, keys in asked:
+            rows, keys = unpacked(rows).astype(np.int64), unpacked_keys(keys)
             c = looked_up(keys, own_keys, own_counts.astype(np.int64))
             row, at = np.unique(rows, return_inverse=True)
             yield pa.RecordBatch.from_arrays([
                 pa.array(row), pa.array(np.bincount(at, weights=c > 0).astype(np.int64)), pa.array(np.bincount(at, weights=np.log10(c + 0.5)))],
                 names=["key", "rare_known", "rare_logs"])
 
+    def ask(batches):
+        """Distinct words and pairs of the parts, by segment; made from the places, so that they are not stored besides."""
+        for batch in batches:
+            for number, places, words in zip(*(c.to_pylist() for c in batch.columns)):
+                _, *distinct = Part.unpacked(words, places)
+                for which, asked in zip((UNIGRAM, BIGRAM), distinct):
+                    cuts = list(segment_slices(asked, segments))
+                    yield pa.RecordBatch.from_pydict({
+                        "part": pa.array([number] * len(cuts), pa.int64()), "n": pa.array([which] * len(cuts), pa.int32()),
+                        "segment": pa.array([s for s, _, _ in cuts], pa.int32()), "keys": pa.array([packed_keys(asked[a:b]) for _, a, b in cuts], pa.binary())})
+
     def answer(batches):
         """Levels of what is asked of a segment, from the bits of the segment."""
-        asked, bits = [], {}
+        asked, bits = {}, {}
         for batch in batches:
             for part, which, segment, keys, own in zip(*(c.to_pylist() for c in batch.columns)):
                 if own is None:
-                    asked.append((part, which, segment, keys))
+                    asked.setdefault((segment, which), []).append((part, keys))
                 else:
                     own = np.frombuffer(own, np.uint8)
                     bits[segment] = bits[segment] | own if segment in bits else own
-        for part, which, segment, keys in asked:
-            keys = np.frombuffer(keys, np.uint64)
+        for (segment, which), rows in asked.items():
+            # parts ask for the same words and pairs again and again: each is probed once
+            keys = [unpacked_keys(k) for _, k in rows]
+            distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
             own = bits.get(segment)
-            levels = np.zeros(len(keys), np.uint8) if own is None else Filter(own, segments, size, probes, segment).levels(keys, which)
-            yield pa.RecordBatch.from_pydict({
-                "part": pa.array([part], pa.int64()), "n": pa.array([which], pa.int32()), "segment": pa.array([segment], pa.int32()),
-                "rows": pa.array([None], pa.binary()), "keys": pa.array([levels.tobytes()], pa.binary())})
+            levels = np.zeros(len(distinct), np.uint8) if own is None else Filter(own, segments, size, probes, segment).levels(distinct, which)
+            for (part, _), levels in zip(rows, np.split(levels[at], np.cumsum([len(k) for k in keys[:-1]]))):
+                yield pa.RecordBatch.from_pydict({
+                    "part": pa.array([part], pa.int64()), "n": pa.array([which], pa.int32()), "segment": pa.array([segment], pa.int32()),
+                    "rows": pa.array([None], pa.binary()), "keys": pa.array([packed(levels)], pa.binary())})
 
     def finish(rows):
         """Scores of one part, once the levels of its words and pairs are back."""
-        levels, places = {UNIGRAM: [], BIGRAM: []}, None
-        for _, which, segment, packed, keys in zip(*(c.to_pylist() for c in rows.columns)):
+        levels = {UNIGRAM: [], BIGRAM: []}
+        for first, which, segment, places, keys in zip(*(c.to_pylist() for c in rows.columns)):
             if which is None:
-                places = Part.unpacked(packed), np.frombuffer(keys, np.int64)
+                part, *_ = Part.unpacked(keys, places)
+                texts = first + np.arange(len(part.lengths))
             else:
                 levels[which].append((segment, keys))
-        part, keys = places
-        types_levels, pairs_levels = (np.frombuffer(b"".join(x for _, x in sorted(levels[which])), np.uint8) for which in (UNIGRAM, BIGRAM))
-        return pa.table({"key": keys, "score": part.score(types_levels, pairs_levels, n, types, share)})
+        types_levels, pairs_levels = (np.concatenate([unpacked(x) for _, x in sorted(levels[which])]) for which in (UNIGRAM, BIGRAM))
+        return pa.table({"key": texts, "score": part.score(types_levels, pairs_levels, n, types, share)})
 
-    asked = scored.where("segment is not null and part is null").select("segment", "rows", "keys", F.lit(None).cast("binary").alias("counts"))
+    asked = scored.where("segment is not null").select("segment", "rows", "keys", F.lit(None).cast("binary").alias("counts"))
     counted = totals.where(F.col("n") == UNIGRAM).select("segment", F.lit(None).cast("binary").alias("rows"), "keys", "counts")
     rare = asked.union(counted).repartition(segments, "segment").mapInArrow(resolve, "key long, rare_known long, rare_logs double")
     rare = rare.groupBy("key").agg(F.sum("rare_known").alias("rare_known"), F.sum("rare_logs").alias("rare_logs"))
     texts = scored.where("key is not null")
     if not whole:
-        probed = scored.where("segment is not null and part is not null").select("part", "n", "segment", "keys", F.lit(None).cast("binary").alias("bits"))
+        places = scored.where("part is not null").select("part", "n", "segment", "rows", "keys")
+        probed = places.select("part", "rows", "keys").mapInArrow(ask, "part long, n int, segment int, keys binary")
         stored = filter_parts(totals, segments, size, probes).selectExpr(
             "cast(null as long) AS part", "cast(null as int) AS n", "segment", "cast(null as binary) AS keys", "bits")
-        levels = probed.union(stored).repartition(segments, "segment").mapInArrow(answer, "part long, n int, segment int, rows binary, keys binary")
-        places = scored.where("segment is null and part is not null").select("part", "n", "segment", "rows", "keys")
+        levels = probed.withColumn("bits", F.lit(None).cast("binary")).union(stored).repartition(segments, "segment")
+        levels = written(levels.mapInArrow(answer, "part long, n int, segment int, rows binary, keys binary"), "levels")
         texts = texts.drop("score").join(
             places.union(levels).groupBy("part").applyInArrow(finish, "key long, score double"), "key")
     return texts.join(rare, "key", "left").select(

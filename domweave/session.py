@@ -24,6 +24,8 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
+#: Whether the shuffle files of an execution go when it ends, not when the driver next collects garbage.
+REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _shipped: set[str] = set()
 
@@ -56,11 +58,17 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(rows: DataFrame, name: str) -> DataFrame:
+def written(rows: DataFrame, name: str, **options: str) -> DataFrame:
     """The same rows as a table in the shared folder, for results that are used several times.
 
-    Unlike a cache it survives the loss of executors.
+    Unlike a cache it survives the loss of executors.  What was shuffled for it is removed once it is written.
+    ``options`` are those of the Parquet writer.
     """
-    path = work_dir(rows.sparkSession, name)
-    rows.write.parquet(path)
+    path, conf = work_dir(rows.sparkSession, name), rows.sparkSession.conf
+    before = conf.get(REMOVE_SHUFFLES, None)
+    conf.set(REMOVE_SHUFFLES, "true")
+    try:
+        rows.write.parquet(path, **options)
+    finally:
+        conf.unset(REMOVE_SHUFFLES) if before is None else conf.set(REMOVE_SHUFFLES, before)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)

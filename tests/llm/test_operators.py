@@ -233,6 +233,22 @@ def test_filter_keeps_its_bits_beyond_the_broadcast(docs):
     assert lm_score.score_texts(empty(docs), max_filter_bytes=0).count() == 0
 
 
+def test_words_and_places_of_a_part_are_stored_small():
+    from domweave.llm.common import WordHashes
+
+    hashes = WordHashes()
+    tokens = [lm_score.tokens_of(text_of(i, 300 + 50 * i).encode(), hashes) for i in range(40)] + [lm_score.tokens_of(b"", hashes)]
+    part, types, pairs = lm_score.Part.of(tokens)
+    stored = part.packed(types)
+    assert len(b"".join(stored)) < 3 * sum(map(len, tokens))  # places in words, predecessors and pairs took 12 bytes a token
+    again, *distinct = lm_score.Part.unpacked(*stored)
+    for name in ("begin", "end", "lengths", "at", "at_before", "at_pair"):
+        assert np.array_equal(getattr(part, name), getattr(again, name))
+    assert np.array_equal(distinct[0], types) and np.array_equal(distinct[1], pairs)
+    assert len(pairs) == len({*zip(part.at_before.tolist(), part.at.tolist())})
+    assert part.at_before[0] == part.begin and part.at_before[-1] == part.begin and types[part.end] == lm_score.END
+
+
 def test_scores_know_pairs_seen_once(docs):
     rows = pairs_of(docs)
     train = [[*(t or "").lower().split(), None] for d, t in rows if d is None or zlib.crc32(str(d).encode()) % 5 != 1]
