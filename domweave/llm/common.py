@@ -72,6 +72,21 @@ def shingle_hashes(words: np.ndarray, length: int) -> np.ndarray:
     return np.unique(mixed(runs))
 
 
+_kept: dict = {}
+
+
+def worker_keeps(owner: str, make=None):
+    """What a worker process keeps for the next task of ``owner``, made if it is not there.
+
+    Worker processes serve all operators in turn: whatever others kept is dropped, as it would take memory from this one.
+    """
+    for other in [k for k in _kept if k != owner]:
+        del _kept[other]
+    if make and owner not in _kept:
+        _kept[owner] = make()
+    return _kept.get(owner)
+
+
 def segment_slices(keys: np.ndarray, segments: int):
     """(segment, start, end) of sorted 64-bit keys cut by their highest bits; ``segments`` is a power of two."""
     shift = np.uint64(64 - (segments.bit_length() - 1))

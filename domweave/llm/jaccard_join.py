@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from domweave.functions.skew import join_per_key
 from domweave.llm.common import (
-    PLACES, WordHashes, measured_broadcast, mixed, segment_slices, segments_for, shingle_hashes, text_bytes, utf8, words_of,
+    PLACES, WordHashes, measured_broadcast, mixed, segment_slices, segments_for, shingle_hashes, text_bytes, utf8, words_of, worker_keeps,
 )
 from domweave.llm.components import connected_components, joined_components
 from domweave.session import written
@@ -108,6 +108,7 @@ def _index(length: int, percent: int, segments: int, hold: int = 1_000_000):
     """Documents to their set ids, and to index entries packed by segment of the list id."""
 
     def route(batches):
+        worker_keeps("sets")
         hashes, ends, seen = WordHashes(), size_bounds(percent, 1), set()
         lists, sets, held = [], [], 0
 
@@ -149,6 +150,7 @@ def _index(length: int, percent: int, segments: int, hold: int = 1_000_000):
 
 def _read_lists(batches):
     """Documents as they are; of each list with several sets the least as leader of each other."""
+    worker_keeps("sets")
     lists, sets = [], []
     for batch in batches:
         docs = batch.filter(batch.column("n").is_valid())

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import zlib
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from string import ascii_lowercase, ascii_uppercase
 
@@ -14,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from domweave.llm.common import utf8
+from domweave.llm.common import utf8, worker_keeps
 from domweave.session import written
 
 
@@ -65,10 +64,9 @@ class Encoder:
         return b"".join(map(self.young.__getitem__, words))
 
 
-@lru_cache(maxsize=1)
 def _encoder(path: str) -> Encoder:
-    """One encoder per worker process: what a task has learnt serves the next one."""
-    return Encoder(path)
+    """One encoder per worker process: what a task has learnt serves the next one, until another operator needs the memory."""
+    return worker_keeps(f"encoder {path}", lambda: Encoder(path))
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, key long"

@@ -233,6 +233,16 @@ def test_filter_keeps_its_bits_beyond_the_broadcast(docs):
     assert lm_score.score_texts(empty(docs), max_filter_bytes=0).count() == 0
 
 
+def test_an_operator_drops_what_others_keep_in_the_worker():
+    from domweave.llm import common
+
+    first = packing._encoder(word_vocabulary())
+    assert packing._encoder(word_vocabulary()) is first
+    assert common.worker_keeps("toxicity") is None
+    assert packing._encoder(word_vocabulary()) is not first and len(common._kept) == 1
+    common.worker_keeps("none")
+
+
 def test_words_and_places_of_a_part_are_stored_small():
     from domweave.llm.common import WordHashes
 
