@@ -162,7 +162,8 @@ def check_items(
     absent = [
         _issue("error", "missing", n) for n, rule in schema.fields.items() if rule.required and n not in names
     ]
-    checked = cleaned.select(*kept, *checks)
+    # out of a generator, as a filter on the verdict would else be pushed below and hold every check many times over
+    checked = cleaned.select(*kept, F.inline(F.array(F.struct(*checks))))
     fields = {n: F.when(F.size(f"c{i}.errors") == 0, F.col(f"c{i}.cleaned")) for i, n in enumerate(names)}
     wide = checked.select(
         *kept,

@@ -144,3 +144,13 @@ def test_schema_from_the_first_item(spark):
     assert schema.fields["f"].type == "email" and schema.fields["n"].type == "object"
     rules = {(r["job_id"], r["field"]): r["type"] for r in v.sample_rules(frame).collect()}
     assert rules == {(1, "f"): "email", (1, "n"): "object", (2, "f"): "html", (2, "n"): "number"}
+
+
+def test_checks_of_valid_items_are_made_once(spark):
+    """A filter on the verdict does not hold the checks a second time."""
+    items = spark.createDataFrame([(1, 1, "a@b.org", "12345678"), (1, 2, "none", "12345678"), (1, 3, None, None)], "job_id int, item_no int, email string, phone string")
+    schema = v.Schema({"email": v.FieldRule("email"), "phone": v.FieldRule("phone")}, (v.Relation("required_together", ("email", "phone")),))
+    kept = v.validate(items, schema)[0]
+    assert [tuple(r) for r in kept.orderBy("item_no").collect()] == [(1, 1, "a@b.org", "12345678"), (1, 3, None, None)]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 2
