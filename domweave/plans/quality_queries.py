@@ -83,6 +83,15 @@ VALUES_SQL = """
 """
 
 
+def customers(spark, sf_dir):
+    """The columns used here, dealt out to as many tasks as a shuffle has.
+
+    The rows are narrow and few files hold them, but each becomes many values and checks: the work is that of CPUs, not of splits.
+    """
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    return spread(rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def values(spark, sf_dir):
     k, seg, nation = "c_custkey", "c_mktsegment", "c_nationkey"
     pieces = {
@@ -115,7 +124,7 @@ def values(spark, sf_dir):
         "unit_price": seg,
     }
     rows = ", ".join(f"named_struct('field', '{n}', 'value', {e})" for n, e in pieces.items())
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.expr(f"inline(array({rows}))"))
+    return customers(spark, sf_dir).select(F.col("c_custkey").alias("id"), F.expr(f"inline(array({rows}))"))
 
 
 def _clean_query(name, kind, source_sql, source, key):
@@ -229,7 +238,7 @@ ITEMS_SQL = """
 def items(spark, sf_dir):
     k = F.col("c_custkey")
     seg = F.col("c_mktsegment")
-    return table(spark, sf_dir, "customer").select(
+    return customers(spark, sf_dir).select(
         F.col("c_nationkey").alias("job_id"), k.alias("item_no"),
         F.concat(seg, F.when(k % 4 == 0, "  #").otherwise("")).alias("title"),
         F.when(k % 10 == 0, None).when(k % 10 == 1, "no mail")

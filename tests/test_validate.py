@@ -154,3 +154,19 @@ def test_checks_of_valid_items_are_made_once(spark):
     assert [tuple(r) for r in kept.orderBy("item_no").collect()] == [(1, 1, "a@b.org", "12345678"), (1, 3, None, None)]
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") == 2
+
+
+def test_customers_are_dealt_over_the_tasks_of_a_shuffle(spark, tmp_path):
+    from domweave.plans import quality_queries
+
+    spark.range(0, 500, 1, 1).selectExpr(
+        "id AS c_custkey", "if(id = 3, NULL, 'n') AS c_name", "1 AS c_nationkey", "-1.5D AS c_acctbal", "'AUTO' AS c_mktsegment",
+    ).write.parquet(f"{tmp_path}/customer.parquet")
+    before = spark.conf.get("spark.domweave.parsePartitions", "0")
+    spark.conf.set("spark.domweave.parsePartitions", "0")
+    try:
+        for frame, per_row in ((quality_queries.values(spark, str(tmp_path)), 27), (quality_queries.items(spark, str(tmp_path)), 1)):
+            tasks = frame.groupBy(F.spark_partition_id()).count().collect()
+            assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(r["count"] for r in tasks) == 500 * per_row
+    finally:
+        spark.conf.set("spark.domweave.parsePartitions", before)
