@@ -47,6 +47,11 @@ class Step:
             conditions.append(f"{at}type_index = {self.nth}")
         return f"coalesce({' AND '.join(conditions)}, false)" if conditions else "true"
 
+    def possible(self, tags: str, names: str) -> str:
+        conditions = [] if self.tag is None else [f"array_contains({tags}, {literal(self.tag)})"]
+        conditions += [f"contains({names}, {literal(value)})" for name, op, value in self.tests if op != "present" and name in ("class", "id")]
+        return f"({' AND '.join(conditions)})" if conditions else "true"
+
 
 def some_ancestor_sql(at: str, name: str, condition) -> str:
     """SQL: some proper ancestor of an element meets ``condition(ancestor)``.
@@ -85,6 +90,14 @@ class Selector:
             above = some_ancestor_sql(at, f"a{level}", lambda up: self._chain(outer, up, level + 1))
         return f"({last.sql(node)} AND {above})"
 
+    def possible(self, tags: str, names: str) -> str:
+        """SQL: a page may hold a match, told from its last steps alone.
+
+        ``tags`` is an array of all tags of the page, ``names`` a text that holds all its classes and ids.  True for some
+        pages without a match, never false for one with a match.
+        """
+        return "(" + " OR ".join(chain[-1].possible(tags, names) for chain in self.chains) + ")"
+
     def matches(self) -> Column:
         """Condition on flat element columns."""
         return F.expr(self.sql())

@@ -17,8 +17,28 @@ from domweave.operators.dom import above_sql, text_head_sql, text_sql, unnest
 from domweave.plans import rules as R
 
 
+def with_names(dom: DataFrame) -> DataFrame:
+    """Adds all tags of a page, and one text of all its classes and ids: its elements are walked only for what can occur."""
+    if "page_names" in dom.columns:
+        return dom
+    return dom.withColumns({
+        "page_tags": F.expr("array_distinct(transform(nodes, n -> n.tag))"), "page_names": F.concat_ws("\n", "nodes.class", "nodes.id"),
+    })
+
+
+#: An empty array of the same type; from a place behind the end, as a slice within copies all elements first.
+NO_NODES = "slice(nodes, size(nodes) + 1, 0)"
+
+
 def _any(selector: str) -> str:
-    return f"exists(nodes, n -> {css(selector).sql('n')})"
+    wanted = css(selector)
+    return f"({wanted.possible('page_tags', 'page_names')} AND exists(nodes, n -> {wanted.sql('n')}))"
+
+
+def _hits(selector: str) -> str:
+    """SQL for the matching elements of a page; its elements are walked only if its tags and names allow a match."""
+    wanted = css(selector)
+    return f"filter(if({wanted.possible('page_tags', 'page_names')}, nodes, {NO_NODES}), n -> {wanted.sql('n')})"
 
 
 def short_selector_sql(node: str = "") -> str:
@@ -35,14 +55,14 @@ def short_selector_sql(node: str = "") -> str:
 
 def _meta(name: str) -> str:
     """Content of the first meta element of that name."""
-    first = css(f'meta[name="{name}"]').hits()
+    first = _hits(f'meta[name="{name}"]')
     return f"coalesce(try_element_at(get({first}, 0).attrs, 'content'), '')"
 
 
 def page_texts() -> dict[str, str]:
     """Title (all title elements together), description and keywords of a page."""
     return {
-        "title": f"array_join(transform({css('title').hits()}, n -> {text_sql('n', raw=True)}), '')",
+        "title": f"array_join(transform({_hits('title')}, n -> {text_sql('n', raw=True)}), '')",
         "description": _meta("description"),
         "keywords": _meta("keywords"),
     }
@@ -53,9 +73,9 @@ def type_score(page_type: str) -> str:
     weights = {"title": R.TITLE_WEIGHT, "description": R.DESCRIPTION_WEIGHT, "keywords": R.KEYWORDS_WEIGHT}
     found = []
     for word in map(literal, R.PAGE_TYPE_WORDS[page_type]):
-        found += [f"if(contains(lower({text}), {word}), {weight}, 0)" for text, weight in weights.items()]
+        found += [f"if(contains({text}_lower, {word}), {weight}, 0)" for text, weight in weights.items()]
         found.append(
-            f"{R.ELEMENT_WEIGHT} * size(filter(named, n -> contains(n.class, {word}) OR contains(n.id, {word})))"
+            f"if(contains(page_names, {word}), {R.ELEMENT_WEIGHT} * size(filter(named, n -> contains(n.class, {word}) OR contains(n.id, {word}))), 0)"
         )
     if page_type in R.TYPE_BONUS_SELECTORS:
         found.append(f"if({_any(R.TYPE_BONUS_SELECTORS[page_type])}, {R.TYPE_BONUS}, 0)")
@@ -72,9 +92,9 @@ def main_content() -> str:
         )
 
     known = [
-        f"get(transform(slice({css(s).hits()}, 1, 1), n -> {area(literal(s), 'false')}), 0)" for s in R.MAIN_CONTENT
+        f"get(transform(slice({_hits(s)}, 1, 1), n -> {area(literal(s), 'false')}), 0)" for s in R.MAIN_CONTENT
     ]
-    divs = "filter(nodes, n -> n.tag = 'div' AND n.text_length > 0)"
+    divs = f"filter(if(array_contains(page_tags, 'div'), nodes, {NO_NODES}), n -> n.tag = 'div' AND n.text_length > 0)"
     longest = (
         f"array_max(transform({divs}, n -> named_struct('size', n.text_length, 'order', -n.node_id, "
         f"'area', {area(short_selector_sql('n'), 'true')}))).area"
@@ -99,14 +119,15 @@ def page_features(dom: DataFrame, *keep: str) -> DataFrame:
         "n -> named_struct('class', coalesce(n.class, ''), 'id', coalesce(n.id, '')))"
     )
     facts = {name: _any(selector) for name, selector in R.STRUCTURE_FLAGS.items()}
-    facts |= {name: f"size({css(selector).hits()})" for name, selector in R.MEDIA.items()}
+    facts |= {name: f"size({_hits(selector)})" for name, selector in R.MEDIA.items()}
     facts["main_content"] = main_content()
     kept = [f"`{k}`" for k in keep]
-    texts = dom.selectExpr(
-        *kept, *(["nodes"] if "nodes" not in keep else []), f"{named} AS named",
+    texts = with_names(dom).selectExpr(
+        *kept, *[c for c in ("nodes", "page_tags", "page_names") if c not in keep], f"{named} AS named",
         *[f"{e} AS {n}" for n, e in {**page_texts(), **facts}.items()],
     )
-    scored = texts.selectExpr(
+    lowered = texts.selectExpr("*", *[f"lower({text}) AS {text}_lower" for text in page_texts()])
+    scored = lowered.selectExpr(
         *kept, "title", "description", "keywords",
         *[f"CAST({type_score(t)} AS bigint) AS score_{t}" for t in R.PAGE_TYPE_WORDS], *facts,
     )
@@ -115,24 +136,26 @@ def page_features(dom: DataFrame, *keep: str) -> DataFrame:
 
 # ---- marks -----------------------------------------------------------------------
 
-MARK = "struct<kind:string,key:string,outer:int,inner:int>"
-NO_MARKS = f"cast(array() AS array<{MARK}>)"
+#: What a table, list or form holds: rows, the cells of the first one, items, inputs.
+BOX = "struct<selector:string,attrs:map<string,string>,rows:bigint,first_row:int,columns:bigint,list_items:bigint,inputs:bigint>"
 
 
-def _mark(kind: str, key: str = "NULL", outer: str = "NULL", inner: str = "NULL") -> str:
+def _mark(kind: str, key: str = "NULL", outer: str = "NULL", box: str = "NULL") -> str:
+    """What element ``n`` counts towards; tables, lists and forms bring their own facts."""
     return (
-        f"named_struct('kind', '{kind}', 'key', CAST({key} AS string), "
-        f"'outer', CAST({outer} AS int), 'inner', CAST({inner} AS int))"
+        f"named_struct('kind', '{kind}', 'key', CAST({key} AS string), 'outer', CAST({outer} AS int), 'node_id', n.node_id, "
+        f"'n_children', n.n_children, 'trim_start', n.trim_start, 'trim_end', n.trim_end, 'box', CAST({box} AS {BOX}))"
     )
 
 
-def _single(marks: list[str]) -> str:
-    return f"array_compact(array({', '.join(marks)}))"
+def _marks(selector: str, marks: str) -> str:
+    """``marks`` of every element that matches."""
+    return f"transform({_hits(selector)}, n -> {marks})"
 
 
 def group_marks() -> str:
     key = "concat(upper(n.tag), '.', substring_index(n.class, ' ', 1))"
-    return _single([f"if(n.class <> '', {_mark('group', key)}, NULL)"])
+    return f"transform(filter(nodes, n -> n.class <> ''), n -> {_mark('group', key)})"
 
 
 def suggested_selectors() -> list[str]:
@@ -142,58 +165,48 @@ def suggested_selectors() -> list[str]:
 
 
 def selector_marks(selectors: list[str]) -> str:
-    return _single([f"if({css(s).sql('n')}, {_mark('selector', literal(s))}, NULL)" for s in selectors])
+    return f"concat({', '.join(_marks(s, _mark('selector', literal(s))) for s in selectors)})"
 
 
-def container_marks() -> str:
-    """An element counts in the tables, lists and forms above it."""
+def _inside(node: str, selector: str) -> str:
+    """SQL for the ids of the elements inside a node that match; they stand in a row behind it, so nothing else is walked."""
+    inside = f"sequence({node}.node_id + 1, {node}.last_id)"
+    return f"filter(if({node}.last_id > {node}.node_id, {inside}, cast(array() AS array<int>)), i -> {css(selector).sql('get(nodes, i)')})"
 
-    def tags(names):
-        return "n.tag IN (" + ", ".join(literal(t) for t in names.split()) + ")"
 
-    def own(names, kind):
-        return f"if({tags(names)}, array({_mark(kind, outer='n.node_id')}), {NO_MARKS})"
+def container_marks() -> str:
+    """Tables, lists and forms with what stands anywhere inside them, also in containers of their own kind."""
 
-    def below(container, kind, names, inner="NULL"):
-        marks = f"transform({above_sql(css(container))}, up -> {_mark(kind, outer='up', inner=inner)})"
-        return f"if({tags(names)}, {marks}, {NO_MARKS})"
+    def box(kind, selector, members, **facts):
+        zero = {"rows": "0", "first_row": "NULL", "columns": "0", "list_items": "0", "inputs": "0"}
+        own = ", ".join(f"'{name}', {fact}" for name, fact in (zero | facts).items())
+        mark = _mark(kind, outer="n.node_id", box=f"named_struct('selector', {short_selector_sql('n')}, 'attrs', n.attrs, {own})")
+        return _marks(selector, f"get(transform(array({_inside('n', members)}), found -> {mark}), 0)")
 
-    # a cell counts for every pair of a row above it and a table above that row
-    pairs = (
-        f"flatten(transform({above_sql(css('tr'))}, row -> transform(filter({above_sql(css('table'))}, t -> t < row), "
-        f"t -> {_mark('table_cell', outer='t', inner='row')})))"
-    )
+    cells = f"if(size(found) > 0, size({_inside('get(nodes, found[0])', 'td, th')}), 0)"
     parts = [
-        own("table", "table"), below("table", "table_row", "tr", "n.node_id"), f"if({tags('td th')}, {pairs}, {NO_MARKS})",
-        own("ul ol", "list"), below("ul, ol", "list_item", "li"),
-        own("form", "form"), below("form", "form_input", "input select textarea"),
+        box("table", "table", "tr", rows="size(found)", first_row="get(found, 0)", columns=cells),
+        box("list", "ul, ol", "li", list_items="size(found)"),
+        box("form", "form", "input, select, textarea", inputs="size(found)"),
     ]
     return f"concat({', '.join(parts)})"
 
 
-def _described(marks: str, extra: str = "") -> Column:
-    wanted = ", ".join(f"'{c}', n.{c}" for c in ("node_id", "n_children", "trim_start", "trim_end", "attrs"))
-    return F.expr(
-        f"transform(nodes, n -> named_struct({wanted}, 'selector', {short_selector_sql('n')}{extra}, 'marks', {marks}))"
-    )
-
-
-def _mark_rows(dom: DataFrame, described: Column, keep: tuple[str, ...], extra: tuple[str, ...] = ()) -> DataFrame:
+def _mark_rows(dom: DataFrame, marks: str, *keep: str) -> DataFrame:
     """Marks with the first characters of their element's text.
 
-    The page text is cut here, in the stage that unnests, and does not go any further:
-    otherwise every mark would carry a copy of it into the aggregation.
+    The marks of a page are made inside its row, selector by selector, and then unnested.  The page text is cut in
+    the stage that unnests, and does not go any further: otherwise every mark would carry a copy of it into the aggregation.
     """
-    rows = unnest(dom, described, *keep, "doc_text").select("*", F.inline_outer("marks"))
+    made = with_names(dom).select(*keep, "doc_text", F.expr(marks).alias("marks"))
     head = F.expr(f"if(kind IN ('group', 'selector'), {text_head_sql(R.GROUP_SAMPLE_LENGTH)}, NULL)")
-    columns = [*keep, "kind", "key", "outer", "inner", "node_id", "n_children", "selector", *extra]
-    boxed = F.expr("if(kind IN ('table', 'list', 'form'), attrs, NULL)")
-    return rows.where(F.col("kind").isNotNull()).select(*columns, boxed.alias("attrs"), head.alias("head"))
+    columns = [*keep, "kind", "key", "outer", "node_id", "n_children", "box"]
+    return unnest(made, F.col("marks"), *keep, "doc_text").select(*columns, head.alias("head"))
 
 
 def page_marks(dom: DataFrame, marks: str, *keep: str) -> DataFrame:
-    """Rows (page, kind, key, outer, inner) saying what an element counts towards."""
-    return _mark_rows(dom, _described(marks), keep or ("page_id",))
+    """Rows (page, kind, key, outer, box) saying what an element counts towards."""
+    return _mark_rows(dom, marks, *(keep or ("page_id",)))
 
 
 def _first_texts() -> Column:
@@ -262,47 +275,29 @@ def best_selectors(dom: DataFrame) -> DataFrame:
     )
 
 
-def _boxes() -> dict[str, Column]:
-    """First step of container counting, per (container, row).
+def _boxes() -> Column:
+    """The containers of a group: one, unless rows of pages share an id.
 
-    The container's own facts are collected (there is one entry) rather than reduced
-    with max or first: string and map buffers would force a sort of all marks.
+    They are collected rather than reduced with max or first: string and map buffers would force a sort of all marks.
     """
-    kind = F.col("kind")
-    own = F.when(kind.isin("table", "list", "form"), F.struct(kind.alias("box"), "selector", "attrs"))
-    return {
-        "boxes": F.collect_list(own),
-        "rows": F.count_if(kind == "table_row"),
-        "cells": F.count_if(kind == "table_cell"),
-        "list_items": F.count_if(kind == "list_item"),
-        "inputs": F.count_if(kind == "form_input"),
-    }
-
-
-def _box_totals() -> dict[str, Column]:
-    """Second step, per container: rows of a table, cells of its first row, members."""
-    return {
-        "boxes": F.flatten(F.collect_list("boxes")),
-        "columns": F.coalesce(F.min_by("cells", F.when(F.col("rows") > 0, F.col("inner"))), F.lit(0)),
-        "rows": F.sum("rows"),
-        "list_items": F.sum("list_items"),
-        "inputs": F.sum("inputs"),
-    }
+    return F.collect_list(F.when(F.col("box").isNotNull(), F.struct(F.col("kind").alias("box"), "box.*"))).alias("boxes")
 
 
 def _with_box(counted: DataFrame) -> DataFrame:
-    own = F.get("boxes", 0)
-    return counted.withColumns({n: own[n] for n in ("box", "selector", "attrs")}).drop("boxes")
+    """Facts of the container: rows of a table, cells of its first row, members."""
+    def total(fact: str, boxes: str = "boxes") -> Column:
+        return F.expr(f"aggregate({boxes}, 0L, (sum, b) -> sum + b.{fact})")
 
-
-def _aliased(columns: dict[str, Column]) -> list[Column]:
-    return [c.alias(n) for n, c in columns.items()]
+    own = F.get("boxes", F.lit(0))
+    first = "filter(boxes, b -> b.first_row = array_min(boxes.first_row))"
+    return counted.withColumns(
+        {n: own[n] for n in ("box", "selector", "attrs")} | {n: total(n) for n in ("rows", "list_items", "inputs")} | {"columns": total("columns", first)}
+    ).drop("boxes")
 
 
 def container_counts(dom: DataFrame) -> DataFrame:
     """Tables, lists and forms: one row each with its selector and member counts."""
-    rows = page_marks(dom, container_marks()).groupBy("page_id", "outer", "inner").agg(*_aliased(_boxes()))
-    return _with_box(rows.groupBy("page_id", F.col("outer").alias("node_id")).agg(*_aliased(_box_totals())))
+    return _with_box(page_marks(dom, container_marks()).groupBy("page_id", F.col("outer").alias("node_id")).agg(_boxes()))
 
 
 def _attr(name: str, default: str) -> Column:
@@ -323,14 +318,7 @@ def tables(dom: DataFrame) -> DataFrame:
 def data_patterns(dom: DataFrame) -> DataFrame:
     """Tables, cards and lists that hold data, one row each, from one pass over the elements."""
     marks = f"concat({container_marks()}, {selector_marks(R.CARD_SELECTORS)})"
-    first = (
-        page_marks(dom, marks)
-        .groupBy("page_id", "key", "outer", "inner")
-        .agg(F.count(F.lit(1)).alias("count"), *_aliased(_boxes()))
-    )
-    boxes = _with_box(
-        first.groupBy("page_id", "key", "outer").agg(F.sum("count").alias("count"), *_aliased(_box_totals()))
-    )
+    boxes = _with_box(page_marks(dom, marks).groupBy("page_id", "key", "outer").agg(F.count(F.lit(1)).alias("count"), _boxes()))
     kind = F.when(F.col("key").isNotNull(), "cards").otherwise(F.col("box"))
     size = F.expr("CASE WHEN key IS NOT NULL THEN count WHEN box = 'table' THEN rows ELSE list_items END")
     place = F.array_position(F.array(*[F.lit(s) for s in R.CARD_SELECTORS]), F.col("key")).cast("int")
@@ -399,33 +387,24 @@ def analyze_pages(dom: DataFrame, reference_order: bool = False) -> DataFrame:
     ``reference_order=True`` gives the advice as if confidence were still zero when
     it is written, so that low confidence is always among it.
     """
-    page = page_features(dom, "page_id", "doc_text", "nodes")
-    names = [c for c in page.columns if c not in ("page_id", "doc_text", "nodes")]
-    page = page.select("page_id", "doc_text", "nodes", F.struct(*names).alias("features"))
+    wanted = ("page_id", "doc_text", "nodes", "page_tags", "page_names")
+    page = page_features(with_names(dom), *wanted)
+    names = [c for c in page.columns if c not in wanted]
+    page = page.select(*wanted, F.struct(*names).alias("features"))
 
     # the features of a page ride on the mark of its root element
-    root = f"if(n.node_id = 0, array({_mark('page')}), {NO_MARKS})"
+    root = f"transform(filter(slice(nodes, 1, 1), n -> n.node_id = 0), n -> {_mark('page')})"
     marks = f"concat({root}, {group_marks()}, {selector_marks(suggested_selectors())}, {container_marks()})"
-    described = _described(marks, ", 'features', if(n.node_id = 0, features, NULL)")
-    rows = _mark_rows(page, described, ("page_id",), ("features",))
+    rows = _mark_rows(page, marks, "page_id", "features").withColumn("features", F.expr("if(kind = 'page', features, NULL)"))
 
     family = F.expr("if(kind IN ('group', 'selector', 'page'), kind, 'container')")
-    first = rows.groupBy("page_id", family.alias("family"), "key", "outer", "inner").agg(
+    counted = _with_box(rows.groupBy("page_id", family.alias("family"), "key", "outer").agg(
         F.count(F.lit(1)).alias("count"),
         F.avg(F.expr("if(kind = 'group', n_children, NULL)")).alias("avg_children"),
         _first_texts().alias("samples"),
         F.first("features", True).alias("features"),
-        *_aliased(_boxes()),
-    )
-    second = _with_box(
-        first.groupBy("page_id", "family", "key", "outer").agg(
-            F.sum("count").alias("count"),
-            F.first("avg_children", True).alias("avg_children"),
-            F.first("samples", True).alias("samples"),
-            F.first("features", True).alias("features"),
-            *_aliased(_box_totals()),
-        )
-    )
+        _boxes(),
+    ))
 
     def listed(condition: str, *fields: str) -> str:
         shape = ", ".join(fields)
@@ -437,7 +416,7 @@ def analyze_pages(dom: DataFrame, reference_order: bool = False) -> DataFrame:
         f"'{n}', coalesce(nullif(try_element_at(attrs, '{n}'), ''), '{default}')"
         for n, default in (("method", "GET"), ("action", ""))
     )
-    collected = second.groupBy("page_id").agg(
+    collected = counted.groupBy("page_id").agg(
         F.first("features", True).alias("features"),
         F.expr(listed(
             f"family = 'group' AND count >= {R.REPEATING_MINIMUM}",

@@ -109,3 +109,32 @@ def test_job_selector_comes_from_the_first_page(spark):
 def test_confidence_buckets(spark):
     rows = spark.createDataFrame([(0.7,), (0.69,), (0.4,), (0.39,)], "c double")
     assert [r[0] for r in rows.select(analyze.confidence_bucket(F.col("c"))).collect()] == ["high", "medium", "medium", "low"]
+
+
+def test_members_of_containers_are_counted_inside_the_page(spark):
+    # one mark per container, not one per row, cell, item or input: what leaves a page does not grow with its tables
+    page = "<table>" + "<tr><td>1<td>2" * 40 + "</table><ul>" + "<li>x" * 30 + "</ul><form>" + "<input>" * 20 + "</form>"
+    dom = parsed(spark, page, page.replace("<td>2", "<td>2<td>3"))
+    marks = analyze.page_marks(dom, analyze.container_marks())
+    assert marks.count() == 6
+    counts = {(r["page_id"], r["box"]): (r["rows"], r["columns"], r["list_items"], r["inputs"]) for r in analyze.container_counts(dom).collect()}
+    assert counts == {(i, kind): c for i in (0, 1) for kind, c in (("table", (40, 2 + i, 0, 0)), ("list", (0, 0, 30, 0)), ("form", (0, 0, 0, 20)))}
+
+
+def test_containers_of_repeated_pages_add_up(spark):
+    configure(spark)
+    page = "<table id=a><tr><td>1<td>2<tr><td>3</table>"
+    dom = parse_pages(spark.createDataFrame([(1, page), (1, page), (None, page)], "page_id long, html string"))
+    rows = {r["page_id"]: (r["rows"], r["columns"]) for r in analyze.tables(dom).collect()}
+    assert rows == {1: (4, 4), None: (2, 2)}
+
+
+def test_what_a_page_holds_rules_no_match_out(spark):
+    source = ("<div class='x card-big'><p id=content role=main>a</p></div><H2 class='Title post'>b</H2><ul class=item><li>c</ul>"
+              "<i id='product'></i><b class=''>d</b>")
+    dom = analyze.with_names(parsed(spark, source, "", "<p>x", None))
+    listed = [*analyze.suggested_selectors(), *analyze.R.MAIN_CONTENT, *analyze.R.STRUCTURE_FLAGS.values(), *analyze.R.TYPE_BONUS_SELECTORS.values(),
+              "p#content", "div > p", "ul li", "[id]", '[id^="prod"]', "*"]
+    for row in dom.selectExpr(*[f"struct({css(s).hits()}.node_id AS plain, {analyze._hits(s)}.node_id AS kept) AS `{i}`" for i, s in enumerate(listed)]).collect():
+        for name, found in zip(listed, row):
+            assert found["plain"] == found["kept"], name

@@ -212,3 +212,10 @@ def test_a_task_hands_pages_on_before_its_batch_ends():
     rest = [first, *out]
     assert read == [24, 24] and len(rest) > 4
     assert pa.concat_arrays(rest).equals(pa.concat_arrays([module._parser(True).func(pages)] * 2))
+
+
+def test_elements_written_alike_share_no_facts(spark):
+    rows = spark.createDataFrame([(1, "</p></td><td class='a b'>1<td class='a b'>2<tr class='a b'>"), (2, "</div>"), (3, "</p>")], "page_id long, html string")
+    found = {r["page_id"]: [(n["tag"], n["attrs"], n["classes"]) for n in r["nodes"]] for r in parse_pages(rows).collect()}
+    assert [n for n in found[1] if n[1]] == [("td", {"class": "a b"}, ["a", "b"])] * 2 + [("tr", {"class": "a b"}, ["a", "b"])]
+    assert [n[0] for n in found[2]] == ["html", "head", "body"] and [n[0] for n in found[3]] == ["html", "head", "body", "p"]
