@@ -280,15 +280,16 @@ def _scored(columns: dict) -> pa.RecordBatch:
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", share: float = 0.25, most_frequent: int = 1_000_000,
-                max_filter_bytes: int = 1 << 26, segment_bytes: int = 8_000_000, part_tokens: int = 1_000_000) -> DataFrame:
+                max_filter_bytes: int = 0, segment_bytes: int = 8_000_000, part_tokens: int = 1_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
     Unigrams and bigrams of all training rows (crc32 of the id mod 5 is not 1) are counted.
     ``score`` sums log10 p(w | h) = share * c(h, w) / c(h) + (1 - share) * p(w), with
     p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)) and every c quantised to powers of two and read from a
-    log-frequency Bloom filter of 12 bits an event, pairs seen once included.  A filter of at most
-    ``max_filter_bytes`` is broadcast; a larger one stays cut by segment of the key, and the distinct words and pairs
-    of every ``part_tokens`` tokens are sent to their segments and their levels back.  Both give the same scores.
+    log-frequency Bloom filter of 12 bits an event, pairs seen once included.  The filter stays cut by segment of the key, and
+    the distinct words and pairs of every ``part_tokens`` tokens are sent to their segments and their levels back, at every
+    size, so that disk and time grow with the input.  A filter of at most ``max_filter_bytes`` is broadcast instead: less is
+    shuffled for a corpus known to be small.  Both give the same scores.
     ``base_score`` and ``n_known`` use exact counts: tokens seen N / ``most_frequent`` times or more are
     broadcast (so at most ``most_frequent`` of them), the others meet their counts in a shuffle.
 
@@ -420,7 +421,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sha
     asked = scored.where("segment is not null").select("segment", "rows", "keys", F.lit(None).cast("binary").alias("counts"))
     counted = totals.where(F.col("n") == UNIGRAM).select("segment", F.lit(None).cast("binary").alias("rows"), "keys", "counts")
     rare = asked.union(counted).repartition(segments, "segment").mapInArrow(resolve, "key long, rare_known long, rare_logs double")
-    rare = rare.groupBy("key").agg(F.sum("rare_known").alias("rare_known"), F.sum("rare_logs").alias("rare_logs"))
+    # written on its own, so that its shuffles are gone before the levels are shuffled
+    rare = written(rare.groupBy("key").agg(F.sum("rare_known").alias("rare_known"), F.sum("rare_logs").alias("rare_logs")), "rare")
     texts = scored.where("key is not null")
     if not whole:
         places = scored.where("part is not null").select("part", "n", "segment", "rows", "keys")

@@ -233,6 +233,17 @@ def test_filter_keeps_its_bits_beyond_the_broadcast(docs):
     assert lm_score.score_texts(empty(docs), max_filter_bytes=0).count() == 0
 
 
+def test_scores_go_by_segment_unless_a_broadcast_is_asked_for(docs, monkeypatch):
+    def scores(**options):
+        return sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm_score.score_texts(docs, **options).collect())
+
+    asked, built = [], lm_score.build_filter
+    monkeypatch.setattr(lm_score, "build_filter", lambda *a, **k: asked.append(1) or built(*a, **k))
+    want = scores()
+    assert not asked  # no size at which the way, and with it the disk, changes
+    assert scores(max_filter_bytes=1 << 26) == want and asked
+
+
 def test_an_operator_drops_what_others_keep_in_the_worker():
     from domweave.llm import common
 
