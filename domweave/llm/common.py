@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from functools import wraps
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -87,6 +90,26 @@ def worker_keeps(owner: str, make=None):
     return _kept.get(owner)
 
 
+def release_memory() -> None:
+    """Gives memory that is free within this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def releasing(task):
+    """A task over batches that leaves its worker process with no more than what that keeps: the process waits beside the JVM for its next task."""
+    @wraps(task)
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
 def segment_slices(keys: np.ndarray, segments: int):
     """(segment, start, end) of sorted 64-bit keys cut by their highest bits; ``segments`` is a power of two."""
     shift = np.uint64(64 - (segments.bit_length() - 1))

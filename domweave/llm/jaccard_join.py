@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from domweave.functions.skew import join_per_key
 from domweave.llm.common import (
-    PLACES, WordHashes, measured_broadcast, mixed, segment_slices, segments_for, shingle_hashes, text_bytes, utf8, words_of, worker_keeps,
+    PLACES, WordHashes, measured_broadcast, mixed, releasing, segment_slices, segments_for, shingle_hashes, text_bytes, utf8, words_of, worker_keeps,
 )
 from domweave.llm.components import connected_components, joined_components
 from domweave.session import written
@@ -107,6 +107,7 @@ def _batch(schema: pa.Schema, rows: int, /, **columns) -> pa.RecordBatch:
 def _index(length: int, percent: int, segments: int, hold: int = 1_000_000):
     """Documents to their set ids, and to index entries packed by segment of the list id."""
 
+    @releasing
     def route(batches):
         worker_keeps("sets")
         hashes, ends, seen = WordHashes(), size_bounds(percent, 1), set()
@@ -148,6 +149,7 @@ def _index(length: int, percent: int, segments: int, hold: int = 1_000_000):
     return route
 
 
+@releasing
 def _read_lists(batches):
     """Documents as they are; of each list with several sets the least as leader of each other."""
     worker_keeps("sets")
@@ -186,6 +188,7 @@ def _read_lists(batches):
 def _members(docs: DataFrame, wanted: DataFrame, length: int, id_col: str, text: str) -> DataFrame:
     """set_id, members of one document of each wanted set (doc_id, set_id), read from its text again."""
 
+    @releasing
     def build(batches):
         hashes, seen = WordHashes(), set()
         for batch in batches:

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from domweave.llm.common import utf8, worker_keeps
+from domweave.llm.common import releasing, utf8, worker_keeps
 from domweave.session import written
 
 
@@ -83,6 +83,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int = 4096, end_id: int
     """
     end = int(end_id).to_bytes(4, "little")
 
+    @releasing
     def cut(batches):
         collecting = gc.isenabled()
         gc.disable()  # lists of words without cycles: collection passes would only cost time

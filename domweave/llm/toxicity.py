@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from domweave.llm.common import utf8, worker_keeps
+from domweave.llm.common import releasing, utf8, worker_keeps
 
 LETTERS = 26
 #: The kernel compares runs of three letters that lie within SPAN places; each place costs a factor of DECAY.
@@ -202,6 +202,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     Empty and null texts are scored as texts without a toxic word.  Repeated rows give
     repeated results; null ids stay; other columns are ignored; an empty table gives no rows.
     """
+    @releasing
     def rate(batches):
         worker_keeps("toxicity")
         known: dict[bytes, float] = {}
@@ -220,6 +221,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
     """The rows whose score is below ``threshold``, with all their columns, in one pass over the table."""
+    @releasing
     def keep(batches):
         worker_keeps("toxicity")
         known: dict[bytes, float] = {}

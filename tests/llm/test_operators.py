@@ -244,6 +244,26 @@ def test_scores_go_by_segment_unless_a_broadcast_is_asked_for(docs, monkeypatch)
     assert scores(max_filter_bytes=1 << 26) == want and asked
 
 
+def test_a_task_gives_its_memory_back_when_it_ends():
+    from domweave.llm import common
+
+    def held():
+        return int(next(line for line in open("/proc/self/status") if line.startswith("VmRSS")).split()[1]) // 1024
+
+    def task(batches):
+        for n in batches:
+            mine = [np.arange(200) for _ in range(n)]
+            yield len(mine)
+
+    def run(wrapped):
+        common.release_memory()
+        before = held()
+        assert list(wrapped(iter([60_000]))) == [60_000]
+        return held() - before
+
+    assert run(common.releasing(task)) < 30
+
+
 def test_an_operator_drops_what_others_keep_in_the_worker():
     from domweave.llm import common
 
