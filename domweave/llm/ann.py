@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -11,6 +13,10 @@ from pyspark.sql import functions as F
 from domweave.session import written
 
 BITS = 7
+#: Vectors, and bytes of them, that a cell of the check has at most: queries, which are held, and rows, which pass by.
+CELL_QUERIES, CELL_ROWS = (1 << 15, 16 << 20), (1 << 17, 64 << 20)
+#: Queries that are multiplied with a block at a time.
+STRIPE = 2048
 
 
 def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -106,6 +112,84 @@ def _found(rows) -> pa.RecordBatch:
                                       names=["class", "vec_id", "score"])
 
 
+class _Cell:
+    """Queries of a cell, each with the ``k`` best rows found for it so far and the score from which a row counts."""
+
+    def __init__(self, parts: list, k: int):
+        self.k, self.classes = k, [c for classes, _, _ in parts for c in classes]
+        self.vecs = np.concatenate([_matrix(vecs, len(classes)) for classes, vecs, _ in parts])
+        self.floor = np.concatenate([lasts for _, _, lasts in parts]) - 1e-12
+        self.best: dict[int, list] = {}
+
+    def compare(self, b: np.ndarray, ids) -> None:
+        """Goes through a block; queries that its centre and radius rule out are skipped."""
+        unit = b / np.linalg.norm(b, axis=1, keepdims=True)
+        centre = unit.mean(axis=0, keepdims=True)
+        possible = np.arange(len(self.vecs))
+        if np.linalg.norm(centre):
+            radius = np.arccos(np.clip(cosines(unit, centre).min(), -1, 1))
+            angle = np.arccos(np.clip(cosines(self.vecs, centre)[:, 0], -1, 1))
+            possible = np.flatnonzero(np.cos(np.maximum(angle - radius, 0)) >= self.floor - 1e-9)
+        for start in range(0, len(possible), STRIPE):
+            at = possible[start : start + STRIPE]
+            scores = cosines(self.vecs[at], b)
+            reached = scores.max(axis=1) >= self.floor[at]
+            self._take(_best(at[reached].tolist(), scores[reached], ids, self.k, self.floor[at[reached]]))
+
+    def _take(self, found) -> None:
+        for i, some in groupby(found, key=lambda f: f[0]):
+            own = dict(self.best.get(i, ()))
+            for _, v, s in some:
+                own[v] = max(s, own.get(v, s))
+            best = self.best[i] = sorted(own.items(), key=lambda f: (-f[1], f[0]))[: self.k]
+            if len(best) == self.k:
+                self.floor[i] = max(self.floor[i], best[-1][1])
+
+    def found(self) -> pa.RecordBatch:
+        return _found([(self.classes[i], v, s) for i, best in self.best.items() for v, s in best])
+
+
+def _checked(asked: DataFrame, blocks: DataFrame, k: int, width: int) -> DataFrame:
+    """(class, vec_id, score) of rows that may be among a query's ``k`` best, from all blocks.
+
+    ``asked`` (near, classes, queries, lasts) has blocks of queries with the last score each has so far.  Queries and blocks are
+    cut into shares, and every two shares meet in one cell, which gets each of its blocks and queries once: a block is sent as
+    often as there are shares of queries, and nothing is broadcast.
+    """
+    def shares(vectors, cell):
+        most, size = cell
+        return -(-(vectors or 0) // max(1, min(most, size // width)))
+
+    tasks, (n, rows) = blocks.sparkSession.sparkContext.defaultParallelism, blocks.agg(F.count("*"), F.sum("n")).first()
+    across = max(1, shares(asked.agg(F.sum(F.size("classes"))).first()[0], CELL_QUERIES))
+    down = max(1, min(n, 2 * tasks), shares(rows, CELL_ROWS))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    no_ids = F.lit(None).cast("array<array<long>>")
+    sent = asked.select(every(down).alias("p"), F.pmod(F.xxhash64("near"), F.lit(across)).cast("int").alias("c"), F.lit(-1).cast("long").alias("at"),
+                        "classes", F.col("queries").alias("vecs"), "lasts", no_ids.alias("ids"))
+    sent = sent.union(blocks.select(F.pmod("at", F.lit(down)).cast("int").alias("p"), every(across).alias("c"), "at", F.lit(None).cast("array<long>").alias("classes"),
+                                    "vecs", F.lit(None).cast("array<double>").alias("lasts"), "ids"))
+
+    def verify(batches):
+        place, parts, cell = None, [], None
+        for batch in batches:
+            for p, c, at, classes, vecs, lasts, ids in zip(*(x.to_pylist() for x in batch.columns)):
+                if (p, c) != place:
+                    if cell:
+                        yield cell.found()
+                    place, parts, cell = (p, c), [], None
+                if at < 0:  # queries come first
+                    parts.append((classes, vecs, lasts))
+                elif parts:
+                    cell = cell or _Cell(parts, k)
+                    cell.compare(_matrix(vecs, len(ids)), ids)
+        if cell:
+            yield cell.found()
+
+    dealt = sent.repartition(down * across, "p", "c").sortWithinPartitions("p", "c", "at")
+    return dealt.mapInArrow(verify, _FOUND_DDL)
+
+
 def _top(found: DataFrame, k: int) -> DataFrame:
     unique = found.groupBy("class", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("score"), "vec_id"))
@@ -120,8 +204,8 @@ def nearest(rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id"
     put in Hilbert order, range-partitioned by key and cut into blocks of ``block`` vectors.
     *Windows*: a query is compared with its own and the neighbouring blocks of each ordering; the
     windows' results merge and are reranked by exact cosine in double precision.  *Check*
-    (optional): the blocks of the first ordering are gone through once more for every query, in blocks of queries.
-    A block whose centre and radius leave no room for a score as high as the
+    (optional): the blocks of the first ordering are gone through once more for every query, a share of the blocks and one of
+    the queries at a time (`_checked`).  A block whose centre and radius leave no room for a score as high as the
     query's last is skipped.  That makes the answer exact.  On vectors without structure
     hardly a block can be skipped, then it costs queries times rows; without it the answer is approximate.
 
@@ -175,7 +259,7 @@ def nearest(rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id"
 
     placed = classes.mapInArrow(place_on_curves, "o int, key long, vec binary, ids array<long>, asked boolean")
     blocks = written(
-        placed.repartitionByRange("o", "key", "vec").sortWithinPartitions("o", "key", "vec").mapInArrow(cut_blocks, _BLOCK_DDL), "blocks")
+        placed.repartitionByRange("o", "key", F.xxhash64("vec")).sortWithinPartitions("o", "key", "vec").mapInArrow(cut_blocks, _BLOCK_DDL), "blocks")
     # a row per partition and ordering: blocks before it
     counts = blocks.groupBy("o", "pid").agg(F.count("*").alias("blocks"))
     before = F.coalesce(F.sum("blocks").over(Window.partitionBy("o").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -200,41 +284,22 @@ def nearest(rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id"
                 yield _found(_best(own, cosines(_matrix(asked_vecs, len(own)), _matrix(vecs, n)), ids, k + 1))
 
     around = F.explode(F.array(F.col("near") - 1, F.col("near"), F.col("near") + 1))
-    windows = queries.select("o", around.alias("at"), "classes", "queries").join(blocks, ["o", "at"])
+    # written tables are joined by merging: compressed, or with rows yet to be repeated, they look small enough to broadcast and are not
+    windows = queries.hint("merge").select("o", around.alias("at"), "classes", "queries").join(blocks, ["o", "at"])
     found = windows.select("n", "vecs", "ids", "classes", "queries").mapInArrow(search, _FOUND_DDL)
     best = written(_top(found, k + 1).drop("place"), "nearest")
     if check:
         last = best.groupBy("class").agg(F.when(F.count("*") > k, F.min("score")).otherwise(-2.0).alias("last"))
-        base = blocks.where("o = 0")
         # query blocks with each query's last score so far
         named = queries.where("o = 0").select("near", F.posexplode("classes").alias("i", "class"))
-        lasts = named.join(last, "class").groupBy("near").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "last"))), lambda s: s.last).alias("lasts"))
-        groups = written(queries.where("o = 0").join(lasts, "near").select("classes", "queries", "lasts"), "asked")
-        n_blocks = base.count()
+        lasts = named.join(last.hint("merge"), "class").groupBy("near").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "last"))), lambda s: s.last).alias("lasts"))
+        groups = written(queries.where("o = 0").hint("merge").join(lasts, "near").select("near", "classes", "queries", "lasts"), "asked")
         # the stated query set against all rows, in blocks
-        pairs = groups.select("*", F.explode(F.expr(f"sequence(0L, {max(n_blocks - 1, 0)}L)")).alias("at")).join(base, "at")
-
-        def verify(batches):
-            for batch in batches:
-                for own, asked_vecs, lasts, n, vecs, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                    a, b, lasts = _matrix(asked_vecs, len(own)), _matrix(vecs, n), np.array(lasts)
-                    unit = b / np.linalg.norm(b, axis=1, keepdims=True)
-                    centre = unit.mean(axis=0, keepdims=True)
-                    if not np.linalg.norm(centre):
-                        possible = np.ones(len(own), bool)
-                    else:
-                        radius = np.arccos(np.clip(cosines(unit, centre).min(), -1, 1))
-                        angle = np.arccos(np.clip(cosines(a, centre)[:, 0], -1, 1))
-                        possible = np.cos(np.maximum(angle - radius, 0)) >= lasts - 1e-9
-                    at = np.flatnonzero(possible)
-                    if len(at):
-                        yield _found(_best([own[i] for i in at], cosines(a[at], b), ids, k + 1, lasts[at] - 1e-12))
-
-        more = pairs.select("classes", "queries", "lasts", "n", "vecs", "ids").mapInArrow(verify, _FOUND_DDL)
+        more = _checked(groups, blocks.where("o = 0"), k + 1, first.n)
         best = written(_top(best.union(more), k + 1).drop("place"), "checked")
     # every query of a class has the class's answers but itself
-    members = asked.join(classes.select("vec", F.col("ids")[0].alias("class")), "vec").select(F.col("vec_id").alias("query_id"), "class").distinct()
-    answers = members.join(best, "class").where("vec_id != query_id")
+    members = asked.join(classes.hint("merge").select("vec", F.col("ids")[0].alias("class")), "vec").select(F.col("vec_id").alias("query_id"), "class").distinct()
+    answers = members.join(best.hint("merge"), "class").where("vec_id != query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return answers.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -516,6 +516,52 @@ def test_nearest(spark):
     assert ann.nearest(frame.where("vec_id in (50, 51)")).count() == 1
 
 
+def repeated_and_broadcast(frame):
+    """Lines of the plan, before anything has run, that repeat rows (Generate) below a broadcast."""
+    found, below = [], None
+    for line in frame._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if below is not None and depth <= below:
+            below = None
+        if below is not None and "Generate" in line:
+            found.append(line)
+        if below is None and "BroadcastExchange" in line:
+            below = depth
+    return found
+
+
+def test_nearest_broadcasts_no_repeated_rows(spark, monkeypatch):
+    random, steps = np.random.default_rng(6), []
+    frame = spark.createDataFrame([(i, random.standard_normal(8).tolist()) for i in range(300)], "vec_id long, embedding array<float>")
+    keep = ann.written
+    monkeypatch.setattr(ann, "written", lambda rows, *a, **b: steps.append(rows) or keep(rows, *a, **b))
+    steps.append(ann.nearest(frame, every=10, block=16))
+    assert len(steps) > 5 and [line for s in steps for line in repeated_and_broadcast(s)] == []
+
+
+@pytest.mark.parametrize("queries, rows", [(7, 40), (1000, 1000)])
+def test_nearest_in_cells_of_any_size(spark, monkeypatch, queries, rows):
+    monkeypatch.setattr(ann, "CELL_QUERIES", (queries, 1 << 20))
+    monkeypatch.setattr(ann, "CELL_ROWS", (rows, 1 << 20))
+    random = np.random.default_rng(7)
+    x = random.standard_normal((300, 8)).astype(np.float32)
+    x[200:] = x[:100] + 0.05 * random.standard_normal((100, 8)).astype(np.float32)
+    # one id with two vectors counts with the better
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(299, x[30].tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    got = collections.defaultdict(list)
+    for r in ann.nearest(frame, every=10, block=16, orderings=1).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    want = {}
+    for q in range(0, 300, 10):
+        s = unit @ unit[q]
+        s[299] = max(s[299], unit[30] @ unit[q])
+        s[q] = -9
+        want[q] = np.lexsort((np.arange(300), -s.round(12)))[:5].tolist()
+    assert got == want
+
+
 def test_hilbert_curve_visits_neighbours():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3), -1).reshape(-1, 3)
     order = cells[np.argsort(ann.hilbert_keys(cells, 3))]
