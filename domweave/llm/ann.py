@@ -224,7 +224,7 @@ def nearest(rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id"
     place = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
     classes = own.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     asked = own.where(F.col("vec_id") % every == 0)
-    classes = written(classes.join(asked.select("vec").distinct().withColumn("asked", F.lit(True)), "vec", "left").select(
+    classes = written(classes.join(asked.select("vec").distinct().withColumn("asked", F.lit(True)).hint("merge"), "vec", "left").select(
         "vec", "ids", F.coalesce("asked", F.lit(False)).alias("asked")), "classes")
 
     def place_on_curves(batches):
