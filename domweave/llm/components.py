@@ -8,23 +8,24 @@ from pyspark.sql import functions as F
 from domweave.session import written
 
 
-def _stars(rows: DataFrame) -> DataFrame:
+def _stars(rows: DataFrame, broadcast: bool = True) -> DataFrame:
     """rows (u, v) with the least neighbour of u, or u itself, as m.
 
     Minima are reduced before the shuffle; the rows of a hub are split by adaptive execution (skew join).
     """
     least = rows.groupBy("u").agg(F.min("v").alias("least"))
-    return rows.join(least, "u").withColumn("m", F.least("u", "least"))
+    return rows.join(least if broadcast else least.hint("merge"), "u").withColumn("m", F.least("u", "least"))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64, broadcast: bool = True) -> DataFrame:
     """(node, component) of every node with an edge to another; component: its least node.
 
     Nodes are any ordered type.  Loops, repeated edges, either direction and nulls are
     allowed; edges with a null end are ignored, an edgeless table gives no rows.  Every round is
     written to the shared checkpoint folder, so lost executors cost one round at most.
     Only two counters per round reach the driver.  Stars halve paths, so rounds grow with
-    the logarithm of the longest path; more than ``rounds`` raise an error.
+    the logarithm of the longest path; more than ``rounds`` raise an error.  Without ``broadcast`` all joins merge: edges are
+    written, and by their compressed size the planner broadcasts a million of them.
     """
     now = written(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -32,9 +33,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     seen = None
     for _ in range(rounds):
         both = now.union(now.select(F.col("v"), F.col("u")))
-        large = _stars(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = _stars(both, broadcast).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        stars = _stars(large)
+        stars = _stars(large, broadcast)
         small = stars.select(F.col("v").alias("u"), F.col("m").alias("v")).union(stars.select("u", F.col("m").alias("v")))
         now = written(small.where("u != v").distinct(), "stars")
         row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

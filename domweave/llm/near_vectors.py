@@ -65,6 +65,15 @@ def calibrate(n: int, cosine: float, recall: float) -> tuple[int, float, int]:
     return projections, low, count
 
 
+def merged(rows: DataFrame) -> DataFrame:
+    """Rows that are joined by merging, as their number grows with the table's.
+
+    The planner broadcasts what its estimate calls small, which leaves out rows yet to be repeated (`join_per_key`) and takes a
+    written table by its compressed size; it does not go back on that for what it then measures, if merging needs another shuffle.
+    """
+    return rows.hint("merge")
+
+
 def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
 
@@ -126,7 +135,7 @@ def _balls(classes: DataFrame, cosine: float, seed: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:4], pa.array(g), pa.array(np.where(inside, near, 1.0))], names=["c", "vec", "weight", "least", "g", "near"])
 
-    joined = join_per_key(keyed, leaders, ["key"], ["c"], "inner").select("c", "vec", "weight", "least", "g", "leader")
+    joined = join_per_key(keyed, merged(leaders), ["key"], ["c"], "inner").select("c", "vec", "weight", "least", "g", "leader")
     return written(joined.mapInArrow(attach, "c long, vec binary, weight long, least long, g long, near double"), "balls")
 
 
@@ -244,7 +253,7 @@ def _judged(candidates: DataFrame, balls: DataFrame, cosine: float) -> DataFrame
             keep = pa.array(some)
             yield pa.RecordBatch.from_arrays([a, b, pa.array(every)], names=["a", "b", "every"]).filter(keep)
 
-    sides = candidates.join(own.toDF("a", "va", "na"), "a").join(own.toDF("b", "vb", "nb"), "b")
+    sides = candidates.join(merged(own.toDF("a", "va", "na")), "a").join(merged(own.toDF("b", "vb", "nb")), "b")
     return written(sides.select("a", "b", "va", "na", "vb", "nb").mapInArrow(judge, "a long, b long, every boolean"), "judged")
 
 
@@ -255,11 +264,11 @@ def _verified(mixed: DataFrame, balls: DataFrame, cosine: float) -> DataFrame:
     pair returns one number for each member, never its pairs.
     """
     needed = mixed.select(F.explode(F.array("a", "b")).alias("g")).distinct()
-    some = written(balls.join(needed, "g").select("g", "c", "vec", "weight"), "members")
+    some = written(join_per_key(balls, merged(needed), ["g"], ["c"], "inner").select("g", "c", "vec", "weight"), "members")
     cuts = some.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("cuts"))
     block = F.pmod(F.xxhash64("c"), F.col("cuts"))
     blocks = written(
-        join_per_key(some, cuts, ["g"], ["c"], "inner").groupBy("g", block.alias("block"))
+        join_per_key(some, merged(cuts), ["g"], ["c"], "inner").groupBy("g", block.alias("block"))
         .agg(F.collect_list(F.struct("c", "weight", "vec")).alias("members")).select("g", "members"), "blocks")
 
     def compare(batches):
@@ -277,7 +286,7 @@ def _verified(mixed: DataFrame, balls: DataFrame, cosine: float) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["c", "more", "a", "b"])
 
-    pairs = mixed.join(blocks.toDF("a", "left"), "a").join(blocks.toDF("b", "right"), "b")
+    pairs = mixed.join(merged(blocks.toDF("a", "left")), "a").join(merged(blocks.toDF("b", "right")), "b")
     return written(pairs.select("a", "b", "left", "right").mapInArrow(compare, "c long, more long, a long, b long"), "verified")
 
 
@@ -325,17 +334,17 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector: str = "embe
     edges = whole.union(verified.select("a", "b").distinct())
     groups = written(balls.groupBy("g").agg(F.sum("weight").alias("rows"), F.min("least").alias("least")), "groups")
     both = whole.union(whole.select("b", "a")).toDF("g", "to")
-    outside = both.join(groups.select(F.col("g").alias("to"), "rows"), "to").groupBy("g").agg(F.sum("rows").alias("outside"))
-    named = groups.join(connected_components(edges).withColumnRenamed("node", "g"), "g", "left").withColumn("component", F.coalesce("component", "g"))
+    outside = both.join(merged(groups.select(F.col("g").alias("to"), "rows")), "to").groupBy("g").agg(F.sum("rows").alias("outside"))
+    named = groups.join(merged(connected_components(edges, broadcast=False).withColumnRenamed("node", "g")), "g", "left").withColumn("component", F.coalesce("component", "g"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     per_ball = written(
-        join_per_key(named, smallest, ["component"], ["g"]).join(outside, "g", "left")
+        join_per_key(named, merged(smallest), ["component"], ["g"]).join(outside, "g", "left")
         .select("g", (F.col("rows") - 1 + F.coalesce("outside", F.lit(0))).alias("links"), "component_id"), "linked")
     more = verified.groupBy("c").agg(F.sum("more").alias("more"))
-    members = join_per_key(balls.select("g", "c", "vec", "weight", "least"), per_ball, ["g"], ["c"], "inner").join(more, "c", "left")
+    members = join_per_key(balls.select("g", "c", "vec", "weight", "least"), merged(per_ball), ["g"], ["c"], "inner").join(merged(more), "c", "left")
     answers = written(members.select("vec", "weight", "least", (F.col("links") + F.coalesce("more", F.lit(0))).alias("n_links"), "component_id"), "answers")
     alone = answers.where("weight = 1").select(F.col("least").alias("vec_id"), "n_links", "component_id")
     shared = answers.where("weight > 1").select(F.sha2("vec", 256).alias("digest"), "n_links", "component_id")
-    copies = join_per_key(own.select("vec_id", F.sha2("vec", 256).alias("digest")), shared, ["digest"], ["vec_id"], "inner").select("vec_id", "n_links", "component_id")
+    copies = join_per_key(own.select("vec_id", F.sha2("vec", 256).alias("digest")), merged(shared), ["digest"], ["vec_id"], "inner").select("vec_id", "n_links", "component_id")
     kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))
     return rest.union(alone).union(copies).withColumn("kept", kept)

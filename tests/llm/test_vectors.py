@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from domweave.llm import near_vectors, vector_codes, whitening
+from domweave.llm import components, near_vectors, vector_codes, whitening
 from domweave.session import configure
 
 BAD = [None, [], [None, 1.0, 2.0, 3.0] * 2, [math.nan] * 8, [math.inf] + [0.0] * 7, [1.0, 2.0, 3.0]]
@@ -243,6 +243,22 @@ def test_near_duplicates(spark):
     assert same >= 0.97 * len(want)
 
 
+def test_near_duplicates_broadcast_nothing(spark, monkeypatch):
+    steps, keep = [], near_vectors.written
+    for module in (near_vectors, components):
+        monkeypatch.setattr(module, "written", lambda rows, *a, **b: steps.append(rows) or keep(rows, *a, **b))
+    steps.append(near_vectors.near_duplicates(table(spark, near_table(5))))
+    plans = [s._jdf.queryExecution().executedPlan().toString() for s in steps]
+    assert len(plans) > 12 and sum("SortMergeJoin" in p for p in plans) > 6 and not any("Broadcast" in p for p in plans)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_components_joined_either_way(spark, broadcast):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (7, 6), (9, 9), (None, 4), (5, 7), (2, 1)], "a long, b long")
+    got = sorted(map(tuple, components.connected_components(edges, broadcast=broadcast).collect()))
+    assert got == [(1, 1), (2, 1), (3, 1), (5, 5), (6, 5), (7, 5)]
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, 0), (2, [], 0)], [(3, [1.0, 0.0], 0)], [(3, [1.0], 0), (4, [2.0], 0), (5, [-1.0], 0)]])
 def test_near_duplicates_of_little(spark, rows):
     got = sorted(map(tuple, near_vectors.near_duplicates(table(spark, rows)).collect()))
